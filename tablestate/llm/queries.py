@@ -7,16 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .packing import packed_documents
 from .token_index import token_index
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_index(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_token_index": op10_token_index}
+    return {f.__name__: f for f in (op3_best_fit_packing, op10_token_index)}
 
 
 def oracle_sql() -> dict[str, str]:
