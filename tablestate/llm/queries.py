@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .packing import packed_documents
+from .quality_rules import quality_rules
 from .token_index import token_index
 
 
@@ -15,13 +16,17 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_index(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op10_token_index)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_quality_rules, op10_token_index)}
 
 
 def oracle_sql() -> dict[str, str]:
