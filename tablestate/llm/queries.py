@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import contamination
 from .packing import packed_documents
 from .quality_rules import quality_rules
+from .simhash import near_duplicates
 from .token_index import token_index
 
 
@@ -22,6 +23,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=2)
     return found.select(
@@ -41,7 +46,7 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_quality_rules, op6_decontamination, op10_token_index)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_quality_rules, op5_simhash_anchors, op6_decontamination, op10_token_index)}
 
 
 def oracle_sql() -> dict[str, str]:
