@@ -105,12 +105,12 @@ def write_whole(uri: str, data: bytes) -> None:
     store, path = filesystem(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(part, compression=None) as out:
         out.write(data)
     store.move(part, path)
 
 
 def read_whole(uri: str) -> bytes:
     store, path = filesystem(uri)
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:
         return f.read()

@@ -13,6 +13,7 @@ from .packing import packed_documents
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .token_index import token_index
+from .warc import archived
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +41,18 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archived(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_index(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_quality_rules, op5_simhash_anchors, op6_decontamination, op10_token_index)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_quality_rules, op5_simhash_anchors, op6_decontamination, op8_warc_bundles, op10_token_index)}
 
 
 def oracle_sql() -> dict[str, str]:
