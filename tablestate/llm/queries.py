@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .html_extract import main_texts
 from .packing import packed_documents
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
@@ -16,6 +17,10 @@ from .token_index import token_index
 from .warc import archived
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_quality_rules, op5_simhash_anchors, op6_decontamination, op8_warc_bundles, op10_token_index)}
+    return {f.__name__: f for f in (op1_html_extraction, op3_best_fit_packing, op4_quality_rules, op5_simhash_anchors, op6_decontamination, op8_warc_bundles, op10_token_index)}
 
 
 def oracle_sql() -> dict[str, str]:
