@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .html_extract import main_texts
+from .language_id import identified
 from .packing import packed_documents
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
@@ -46,6 +47,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archived(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -57,7 +62,7 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op3_best_fit_packing, op4_quality_rules, op5_simhash_anchors, op6_decontamination, op8_warc_bundles, op10_token_index)}
+    return {f.__name__: f for f in (op1_html_extraction, op3_best_fit_packing, op4_quality_rules, op5_simhash_anchors, op6_decontamination, op7_language_id, op8_warc_bundles, op10_token_index)}
 
 
 def oracle_sql() -> dict[str, str]:
