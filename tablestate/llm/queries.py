@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .html_extract import main_texts
+from .kneser_ney import classified
 from .language_id import identified
 from .packing import packed_documents
 from .quality_rules import quality_rules
@@ -22,6 +23,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op3_best_fit_packing, op4_quality_rules, op5_simhash_anchors, op6_decontamination, op7_language_id, op8_warc_bundles, op10_token_index)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_kneser_ney_quality, op3_best_fit_packing, op4_quality_rules, op5_simhash_anchors, op6_decontamination, op7_language_id, op8_warc_bundles, op10_token_index)}
 
 
 def oracle_sql() -> dict[str, str]:
