@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom_lm import scored
 from .common import table
 from .decontaminate import contamination
 from .html_extract import main_texts
@@ -61,13 +62,17 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_index(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_kneser_ney_quality, op3_best_fit_packing, op4_quality_rules, op5_simhash_anchors, op6_decontamination, op7_language_id, op8_warc_bundles, op10_token_index)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_kneser_ney_quality, op3_best_fit_packing, op4_quality_rules, op5_simhash_anchors, op6_decontamination, op7_language_id, op8_warc_bundles, op9_bloom_lm, op10_token_index)}
 
 
 def oracle_sql() -> dict[str, str]:
