@@ -70,46 +70,45 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(a: list[int], b: list[int], room: int, n: list[int]) -> tuple[int, list[int], list[int]] | None:
+def _exchange(a: list[int], b: list[int], room: int, n: np.ndarray) -> tuple[int, list[int], list[int]] | None:
     """The exchange that fills bin a most: (gain, items of a that go to b, items of b that go to a)."""
-    best = None
-
-    def offer(gain: int, out: list[int], into: list[int]) -> bool:
-        nonlocal best
-        if 0 < gain <= room and (best is None or gain > best[0]):
-            best = (gain, out, into)
-        return best is not None and best[0] == room
-
-    for j, y in enumerate(b):
-        if offer(n[y], [], [y]):
-            return best
-        for x in a:
-            if offer(n[y] - n[x], [x], [y]):
-                return best
-        for z in b[:j]:
-            pair = n[y] + n[z]
-            if offer(pair, [], [y, z]):
-                return best
-            for x in a:
-                if offer(pair - n[x], [x], [y, z]):
-                    return best
-    return best
-
-
-def improve(bins: list[list[int]], n: list[int], size: int, effort: int = 400_000) -> list[list[int]]:
+    na, nb = np.r_[0, n[a]], n[b]  # the 0: nothing goes back, a plain move
+    gain = nb[:, None] - na
+    gain[gain > room] = 0
+    i, x = divmod(int(gain.argmax()), len(na))
+    best = (int(gain[i, x]), x, [b[i]])
+    if best[0] < room and len(b) > 1:
+        first, second = np.triu_indices(len(b), 1)
+        gain = (nb[first] + nb[second])[:, None] - na
+        gain[gain > room] = 0
+        k, x = divmod(int(gain.argmax()), len(na))
+        if gain[k, x] > best[0]:
+            best = (int(gain[k, x]), x, [b[first[k]], b[second[k]]])
+    return (best[0], [a[best[1] - 1]] if best[1] else [], best[2]) if best[0] > 0 else None
+
+
+#: Donor bins given up before a group's search ends; exchanges looked at for each donor and in all.
+_DONORS, _LOOKS, _EFFORT = 12, 200, 4000
+
+
+def improve(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
     """Empty bins by exchanges, emptiest first. Each exchange moves tokens from a bin to one at least as full.
 
-    effort bounds the pairs of bins looked at, so a group's time is bounded; the packing is valid whenever it stops.
+    A donor offers its items to the bins with most room. The looks are bounded, so a group's time is too; the packing
+    is valid whenever the search stops.
     """
-    least = -(-sum(n) // size)
-    fill = [sum(n[i] for i in b) for b in bins]
+    n = np.array(lengths)
+    least = -(-int(n.sum()) // size)
+    fill = [int(n[b].sum()) for b in bins]
     live = sorted((k for k in range(len(bins)) if fill[k] < size), key=lambda k: fill[k])
-    count, stuck = len(bins), 0
-    while count > least and stuck < len(live) and effort > 0:
-        donor = live[stuck]
+    count, given_up, effort = len(bins), 0, _EFFORT
+    while count > least and given_up < min(_DONORS, len(live)) and effort > 0:
+        donor = live[given_up]
         moved = False
-        for k in reversed(live):
-            if k == donor or fill[k] < fill[donor] or fill[k] == size or not bins[donor]:
+        for k in live[given_up + 1 : given_up + 1 + _LOOKS]:
+            if not bins[donor]:
+                break
+            if fill[k] == size or fill[k] < fill[donor]:
                 continue
             effort -= 1
             found = _exchange(bins[k], bins[donor], size - fill[k], n)
@@ -120,10 +119,8 @@ def improve(bins: list[list[int]], n: list[int], size: int, effort: int = 400_00
                 fill[k] += gain
                 fill[donor] -= gain
                 moved = True
-        if not bins[donor]:
-            count -= 1
-        if not moved:
-            stuck += 1
+        count -= not bins[donor]
+        given_up += not moved
         live = sorted((k for k in live if bins[k] and fill[k] < size), key=lambda k: fill[k])
     return [b for b in bins if b]
 
