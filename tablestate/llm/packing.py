@@ -120,7 +120,7 @@ def improve(bins: list[list[int]], lengths: list[int], size: int) -> list[list[i
                 fill[donor] -= gain
                 moved = True
         count -= not bins[donor]
-        given_up += not moved
+        given_up = 0 if moved else given_up + 1  # what moved may have made room for a bin given up before
         live = sorted((k for k in live if bins[k] and fill[k] < size), key=lambda k: fill[k])
     return [b for b in bins if b]
 
