@@ -89,7 +89,7 @@ def _element(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
         main |= whole in MAIN_NAMES and tag not in ("html", "body")
     if hidden:
         noise = True
-    kept = sorted(re.sub(r"\d+", "0", n) for n in names)
+    kept = sorted(re.sub(r"\d{3,}", "0", n) for n in names)
     return ".".join([tag, *kept]), noise, main and not noise, bool(kept)
 
 
