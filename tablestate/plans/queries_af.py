@@ -12,13 +12,20 @@ from ..operators import adoption, backfill, latency, ledger, sizing, state
 from ..sources.tables import shared_folder
 from .registry import Views, query
 
-WORK = F.col("filled").isNull()
-CHANGE = {"filled": F.col("legacy")}
 BATCH = 1000
 _MICROS = "timestampdiff(MICROSECOND, TIMESTAMP '2024-01-01 00:00:00', {})"
 _MICROS_SQL = "date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', {})"
 
 
+def work():
+    """The rows of v_backfill that need work."""
+    return F.col("filled").isNull()
+
+
+def change():
+    return {"filled": F.col("legacy")}
+
+
 def micros(c: str):
     """Microseconds since 2024, the same in every session time zone."""
     return F.expr(_MICROS.format(c))
@@ -41,17 +48,17 @@ def a2_slice_plan(v: Views) -> DataFrame:
 
 @query("SELECT id, legacy, CASE WHEN id > 2000 AND id <= 7000 AND filled IS NULL THEN legacy ELSE filled END AS filled FROM v_backfill")
 def a3_apply_slices(v: Views) -> DataFrame:
-    return backfill.apply_slices(v.backfill, "id", WORK, CHANGE, 2000, 7000)
+    return backfill.apply_slices(v.backfill, "id", work(), change(), 2000, 7000)
 
 
 @query(_COUNTS)
 def a4_slice_counts(v: Views) -> DataFrame:
-    return backfill.slice_counts(v.backfill, "id", WORK, BATCH)
+    return backfill.slice_counts(v.backfill, "id", work(), BATCH)
 
 
 @query(f"SELECT 'orders' AS job, slice_no, hi AS position, CAST(sum(rows_touched) OVER (ORDER BY slice_no) AS BIGINT) AS rows FROM ({_COUNTS}) c")
 def a5_progress(v: Views) -> DataFrame:
-    counts = backfill.slice_counts(v.backfill, "id", WORK, BATCH).withColumn("job", F.lit("orders"))
+    counts = backfill.slice_counts(v.backfill, "id", work(), BATCH).withColumn("job", F.lit("orders"))
     return backfill.progress(counts, ["job"], wave=64)
 
 
@@ -64,12 +71,12 @@ def a6_resume_point(v: Views) -> DataFrame:
 
 @query("SELECT count(CASE WHEN filled IS NULL THEN 1 END) AS remaining, count(CASE WHEN filled IS NULL THEN 1 END) = 0 AS done FROM v_backfill")
 def a7_remaining(v: Views) -> DataFrame:
-    return backfill.remaining(v.backfill, WORK)
+    return backfill.remaining(v.backfill, work())
 
 
 @query("SELECT count(CASE WHEN id > 5000 AND filled IS NOT NULL THEN 1 END) AS filled_above, count(CASE WHEN id <= 5000 AND filled IS NULL THEN 1 END) AS unfilled_at_or_below FROM v_backfill")
 def a8_cursor_audit(v: Views) -> DataFrame:
-    return backfill.cursor_audit(v.backfill, "id", WORK, 5000)
+    return backfill.cursor_audit(v.backfill, "id", work(), 5000)
 
 
 @query("SELECT id, legacy, coalesce(filled, legacy) AS filled FROM v_backfill")
@@ -77,7 +84,7 @@ def a9_run_backfill(v: Views) -> DataFrame:
     src = v.backfill
     low, high = backfill.key_bounds(src, "id").first()
     slices = max(1, -(-(high - low + 1) // (4 * BATCH))) if low is not None else 1
-    return backfill.run_backfill(v.spark, src, "id", CHANGE, WORK, BATCH, f"{shared_folder(v.spark)}/backfill-{uuid.uuid4().hex}", slices)
+    return backfill.run_backfill(v.spark, src, "id", change(), work(), BATCH, f"{shared_folder(v.spark)}/backfill-{uuid.uuid4().hex}", slices)
 
 
 @query("""SELECT job, batch_no, size, expected_size, CASE WHEN max_lag_bytes > 0 AND lag_bytes > max_lag_bytes THEN took_ms ELSE 0 END AS pause_ms, size = expected_size AS ok FROM (

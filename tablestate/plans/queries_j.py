@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import shared_folder
 from ..streaming import streams
-from .queries_af import _FOLD, _MICROS_SQL, CHANGE, WORK, micros
+from .queries_af import _FOLD, _MICROS_SQL, change, micros, work
 from .registry import Views, query
 
 _FILES = 6
@@ -77,7 +77,7 @@ def j4_stream_stale_writers(v: Views) -> DataFrame:
 def j5_stream_backfill(v: Views) -> DataFrame:
     src = v.backfill
     out = _folder(v, "stream-backfill")
-    streams.stream_backfill(_live(v, src, "id", "rows"), "id", CHANGE, WORK, out, _folder(v, "state")).awaitTermination()
+    streams.stream_backfill(_live(v, src, "id", "rows"), "id", change(), work(), out, _folder(v, "state")).awaitTermination()
     done = [f"{out}/batch={r.batch}" for r in v.spark.read.schema("batch long").parquet(f"{out}/manifest/*").toLocalIterator()]
     return v.spark.read.schema(src.schema).parquet(*done)
 
