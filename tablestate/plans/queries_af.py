@@ -299,12 +299,22 @@ def c8_ownership_intervals(v: Views) -> DataFrame:
     return ledger.ownership_intervals(v.heartbeats.select("seq", "resource", "owner", "epoch", micros("at_ts").alias("at_us")), TTL_US)
 
 
+def _held(beats: DataFrame) -> DataFrame:
+    return beats.select("resource", "owner", micros("at_ts").alias("started"), (micros("at_ts") + 20_000_000_000).alias("ended"))
+
+
 @query(f""", i AS (SELECT seq, resource, owner, {_MICROS_SQL.format('at_ts')} AS started, {_MICROS_SQL.format('at_ts')} + 20000000000 AS ended FROM v_heartbeats WHERE seq % 10 = 0)
 SELECT a.resource, a.owner, a.started, a.ended, count(*) AS others_open FROM i a JOIN i b ON a.resource = b.resource AND a.owner <> b.owner AND b.ended > a.started
    AND (b.started < a.started OR (b.started = a.started AND (b.ended < a.ended OR (b.ended = a.ended AND b.owner < a.owner)))) GROUP BY a.seq, a.resource, a.owner, a.started, a.ended""")
 def c9_overlapping_owners(v: Views) -> DataFrame:
-    held = v.heartbeats.where("seq % 10 = 0").select("resource", "owner", micros("at_ts").alias("started"), (micros("at_ts") + 20_000_000_000).alias("ended"))
-    return ledger.overlapping_owners(held)
+    return ledger.overlapping_owners(_held(v.heartbeats.where("seq % 10 = 0")))
+
+
+@query(f""", i AS (SELECT seq, resource, owner, {_MICROS_SQL.format('at_ts')} AS started, {_MICROS_SQL.format('at_ts')} + 20000000000 AS ended FROM v_heartbeats)
+SELECT a.resource, a.owner, a.started, a.ended, count(*) AS others_open FROM i a JOIN i b ON a.resource = b.resource AND a.owner <> b.owner AND b.ended > a.started
+   AND (b.started < a.started OR (b.started = a.started AND (b.ended < a.ended OR (b.ended = a.ended AND b.owner < a.owner)))) GROUP BY a.seq, a.resource, a.owner, a.started, a.ended""")
+def c9_overlapping_owners_whole(v: Views) -> DataFrame:
+    return ledger.overlapping_owners(_held(v.heartbeats))
 
 
 @query("SELECT *, CAST(row_number() OVER (PARTITION BY db ORDER BY migration_no, step_no) AS INTEGER) AS position, count(*) OVER (PARTITION BY db) AS total FROM v_plan_steps")

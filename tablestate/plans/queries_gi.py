@@ -147,6 +147,13 @@ def g14_never_granted(v: Views) -> DataFrame:
     return hazards.never_granted(v.ddl_actions.where("repo % 2 = 0"))
 
 
+@query(f"""SELECT m.repo, m.relation FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, lower(relation) ORDER BY migration_no DESC, step_no DESC, stmt_no DESC, action_no DESC) AS k FROM v_ddl_actions WHERE action_kind = 'create_table') c WHERE k = 1) m
+ WHERE m.repo IN (SELECT repo FROM v_ddl_actions WHERE action_kind = 'grant')
+   AND NOT EXISTS (SELECT 1 FROM v_ddl_actions e WHERE e.repo = m.repo AND lower(e.relation) = lower(m.relation) AND e.action_kind IN ('drop_table', 'grant') AND {_PLACE.format('e.')} > {_PLACE.format('m.')})""")
+def g14_never_granted_whole(v: Views) -> DataFrame:
+    return hazards.never_granted(v.ddl_actions)
+
+
 _PROVEN = "EXISTS (SELECT 1 FROM v_ddl_actions c JOIN v_ddl_actions d ON d.repo = c.repo AND d.migration_no = c.migration_no AND d.relation = c.relation AND d.constraint_name = c.constraint_name WHERE c.action_kind = 'add_check' AND d.action_kind = 'validate_constraint' AND c.repo = a.repo AND c.migration_no = a.migration_no AND c.relation = a.relation)"
 
 

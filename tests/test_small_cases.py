@@ -3,6 +3,9 @@ from pyspark.sql import functions as F
 
 from tablestate.functions.scalars import humanize_bytes, humanize_duration, humanize_rows
 from tablestate.operators import corpus, findings, hazards, latency, ledger, sizing, state
+from tablestate.plans import catalog
+from tablestate.plans.queries_af import micros
+from tablestate.plans.registry import Views
 from tablestate.sources.tables import read_tables, read_texts, write_report
 from tablestate.streaming import streams
 
@@ -156,3 +159,25 @@ def test_stale_writers_stream(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     assert {r.seq: r.outcome for r in out if r.seq > 0} == {1: "accepted", 2: "accepted", 3: "refused", 4: "accepted"}
+
+
+def test_whole_queries_leave_nothing_out(spark, sf_dir):
+    """Overlaps of all heartbeats and never-granted tables of all repos, against brute force."""
+    at = Views(spark, sf_dir)
+    beats = [(r.resource, r.owner, r.at, r.at + 20_000_000_000) for r in at.heartbeats.select("resource", "owner", micros("at_ts").alias("at")).collect()]
+    want = []
+    for a in beats:
+        n = sum(a[0] == b[0] and a[1] != b[1] and b[3] > a[2] and (b[2], b[3], b[1]) < (a[2], a[3], a[1]) for b in beats)
+        want += [(*a, n)] * (n > 0)
+    assert sorted(map(tuple, catalog.QUERIES["c9_overlapping_owners_whole"](spark, sf_dir).collect())) == sorted(want)
+    made, later, lineage = {}, {}, set()
+    for r in sorted(at.ddl_actions.collect(), key=lambda r: (r.migration_no, r.step_no, r.stmt_no, r.action_no)):
+        key = (r.repo, r.relation.lower())
+        if r.action_kind == "create_table":
+            made[key], later[key] = (r.repo, r.relation), False
+        elif r.action_kind in ("drop_table", "grant"):
+            later[key] = True
+            lineage |= {r.repo} if r.action_kind == "grant" else set()
+    want = sorted(x for k, x in made.items() if not later[k] and k[0] in lineage)
+    assert sorted(map(tuple, catalog.QUERIES["g14_never_granted_whole"](spark, sf_dir).collect())) == want
+    assert any(repo % 2 for repo, _ in want)
