@@ -2,13 +2,15 @@
 
 Pieces are dealt at random to groups of bounded size. Within a group, best fit by decreasing length gives a first
 packing; then a local search takes the emptiest bin and gives its pieces away: it moves a piece, exchanges one for one
-or two for one with a fuller bin, always so that tokens flow to the fuller bin and the sum of squared fills rises,
-until the bin is empty or no exchange helps. Bins that stay underfull in their group meet those of other groups in
-the next round, in fewer groups, until one group holds all that are left.
+or two for one with a fuller bin, always so that tokens flow to the fuller bin and the sum of squared fills rises.
+An index by length and room finds the partner, and the search ends at the lower bound or when no exchange helps.
+Bins that stay underfull in their group meet those of other groups in the next round, in fewer groups, until one
+group holds all that are left.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -70,58 +72,103 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(a: list[int], b: list[int], room: int, n: np.ndarray) -> tuple[int, list[int], list[int]] | None:
-    """The exchange that fills bin a most: (gain, items of a that go to b, items of b that go to a)."""
-    na, nb = np.r_[0, n[a]], n[b]  # the 0: nothing goes back, a plain move
-    gain = nb[:, None] - na
-    gain[gain > room] = 0
-    i, x = divmod(int(gain.argmax()), len(na))
-    best = (int(gain[i, x]), x, [b[i]])
-    if best[0] < room and len(b) > 1:
-        first, second = np.triu_indices(len(b), 1)
-        gain = (nb[first] + nb[second])[:, None] - na
-        gain[gain > room] = 0
-        k, x = divmod(int(gain.argmax()), len(na))
-        if gain[k, x] > best[0]:
-            best = (int(gain[k, x]), x, [b[first[k]], b[second[k]]])
-    return (best[0], [a[best[1] - 1]] if best[1] else [], best[2]) if best[0] > 0 else None
-
-
-#: Donor bins given up before a group's search ends; exchanges looked at for each donor and in all.
-_DONORS, _LOOKS, _EFFORT = 12, 200, 4000
+class _Rooms:
+    """Open bins by room: for each length (0: any bin) the bin with most room that holds an item of that length."""
+
+    def __init__(self, size: int):
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(size)]
+        self.reach = np.full(size, -1)  # the largest sum that an item of this length can be given up for
+        self.age: dict[int, int] = {}
+        self.upto: np.ndarray | None = None
+
+    def put(self, k: int, held: set[int], room: int) -> None:
+        for y in held:
+            heapq.heappush(self.heaps[y], (-room, k, self.age.setdefault(k, 0)))
+            self._top(y)
+
+    def take(self, k: int, held: set[int]) -> None:
+        self.age[k] = self.age.get(k, 0) + 1
+        for y in held:
+            self._top(y)
+
+    def _top(self, y: int) -> None:
+        heap = self.heaps[y]
+        while heap and self.age[heap[0][1]] != heap[0][2]:
+            heapq.heappop(heap)
+        self.reach[y] = y - heap[0][0] if heap else -1
+        self.upto = None
+
+    def best(self, sums: np.ndarray) -> tuple[int, int, int] | None:
+        """(place in sums, length that comes back, bin) of the exchange with the largest gain."""
+        if self.upto is None:
+            self.upto = np.maximum.accumulate(self.reach)
+        back = np.searchsorted(self.upto, sums)  # the least length that can be given up for each sum
+        gain = np.where(back < len(self.upto), sums - back, 0)
+        i = int(gain.argmax())
+        return (i, int(back[i]), self.heaps[back[i]][0][1]) if gain[i] > 0 else None
+
+
+def _offers(items: list[int], lengths: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """(sum, items) of each item and pair of items, one for each choice of lengths."""
+    of: dict[int, list[int]] = {}
+    for i in items:
+        of.setdefault(lengths[i], []).append(i)
+    kinds = list(of)
+    out: list[tuple[int, tuple[int, ...]]] = [(x, (of[x][0],)) for x in kinds]
+    for at, x in enumerate(kinds):
+        if len(of[x]) > 1:
+            out.append((2 * x, (of[x][0], of[x][1])))
+        out += [(x + z, (of[x][0], of[z][0])) for z in kinds[at + 1 :]]
+    return out
 
 
 def improve(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
-    """Empty bins by exchanges, emptiest first. Each exchange moves tokens from a bin to one at least as full.
+    """Empty bins by exchanges, emptiest first, until the lower bound is met or no exchange helps.
 
-    A donor offers its items to the bins with most room. The looks are bounded, so a group's time is too; the packing
-    is valid whenever the search stops.
+    A donor takes the exchange that fills another bin most: an item or two of its own for one item or none. Tokens
+    move to a bin at least as full, so the sum of squared fills rises at each and the search ends by itself.
     """
-    n = np.array(lengths)
-    least = -(-int(n.sum()) // size)
-    fill = [int(n[b].sum()) for b in bins]
-    live = sorted((k for k in range(len(bins)) if fill[k] < size), key=lambda k: fill[k])
-    count, given_up, effort = len(bins), 0, _EFFORT
-    while count > least and given_up < min(_DONORS, len(live)) and effort > 0:
-        donor = live[given_up]
-        moved = False
-        for k in live[given_up + 1 : given_up + 1 + _LOOKS]:
-            if not bins[donor]:
-                break
-            if fill[k] == size or fill[k] < fill[donor]:
+    bins = [list(b) for b in bins]
+    least = -(-sum(lengths) // size)
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    count = len(bins)
+    live, moved = [k for k in range(count) if fill[k] < size], True
+    held = lambda k: {0, *(lengths[i] for i in bins[k])}
+    while moved and count > least:
+        moved, rooms = False, _Rooms(size)
+        for k in live:
+            rooms.put(k, held(k), size - fill[k])
+        queue = [(fill[k], k) for k in live]
+        heapq.heapify(queue)
+        done, rest = set(), []
+        while queue and count > least:
+            f, donor = heapq.heappop(queue)
+            if donor in done or f != fill[donor]:
                 continue
-            effort -= 1
-            found = _exchange(bins[k], bins[donor], size - fill[k], n)
-            if found:
-                gain, out, into = found
-                bins[k] = [i for i in bins[k] if i not in out] + into
-                bins[donor] = [i for i in bins[donor] if i not in into] + out
-                fill[k] += gain
-                fill[donor] -= gain
+            done.add(donor)
+            rooms.take(donor, held(donor))
+            while bins[donor]:
+                offers = _offers(bins[donor], lengths)
+                found = rooms.best(np.array([x for x, _ in offers]))
+                if not found:
+                    break
+                i, back, k = found
+                given, before = offers[i], held(k)
+                out = [next(i for i in bins[k] if lengths[i] == back)] if back else []
+                rooms.take(k, before)
+                bins[k] = [i for i in bins[k] if i not in out] + list(given[1])
+                bins[donor] = [i for i in bins[donor] if i not in given[1]] + out
+                fill[k] += given[0] - back
+                fill[donor] -= given[0] - back
                 moved = True
-        count -= not bins[donor]
-        given_up = 0 if moved else given_up + 1  # what moved may have made room for a bin given up before
-        live = sorted((k for k in live if bins[k] and fill[k] < size), key=lambda k: fill[k])
+                if fill[k] < size:
+                    rooms.put(k, held(k), size - fill[k])
+                    heapq.heappush(queue, (fill[k], k))
+            if bins[donor]:
+                rest.append(donor)
+            else:
+                count -= 1
+        live = rest
     return [b for b in bins if b]
 
 
@@ -129,18 +176,18 @@ def pack_group(lengths: list[int], size: int) -> list[list[int]]:
     return improve(best_fit(lengths, size), lengths, size)
 
 
-def _round(pieces: DataFrame, groups: int, size: int, last: bool) -> DataFrame:
-    """Pack (rid, length) in groups: rid, length, sequence_id, offset, open."""
+def _round(pieces: DataFrame, groups: int, size: int, last: bool, slow: bool) -> DataFrame:
+    """Pack (rid, length) in groups: rid, length, sequence_id, offset, open. slow: the fullest half closes at least."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rid", kind="stable")
         rid, n = pdf["rid"].to_numpy(), pdf["length"].tolist()
         bins = sorted(pack_group(n, size), key=lambda b: -sum(n[i] for i in b))
         out, free = [], 0
-        for b in bins:
+        for k, b in enumerate(bins):
             room = size - sum(n[i] for i in b)
             free += room
-            still_open = not last and free > CLOSE * size
+            still_open = not last and free > CLOSE * size and not (slow and 2 * k < len(bins))
             at, name = 0, int(rid[b].min())
             for i in b:
                 out.append((rid[i], n[i], name, at, still_open))
@@ -157,18 +204,16 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, group: int = GROUP) -> DataFra
     A sequence is named by the smallest rid in it. Pieces of the full size are sequences of their own.
     """
     left = pieces.where(F.col("length") < size).select("rid", "length")
-    n, placed = left.count(), []
+    n, placed, slow = left.count(), [], False
     while n:
         groups = -(-n // group)
-        done = keep(_round(left, groups, size, groups == 1), "packing-round")
+        done = keep(_round(left, groups, size, groups == 1, slow), "packing-round")
         placed.append(done.where(~F.col("open")).select("rid", "sequence_id", "offset"))
         if groups == 1:
             break
         left = done.where("open").select("rid", "length")
         before, n = n, left.count()
-        if n > 0.9 * before:  # groups no longer close bins: settle what is left as it stands
-            placed.append(left.join(done, "rid").select("rid", "sequence_id", "offset"))
-            break
+        slow = n > 0.9 * before  # few bins closed: the next round halves those left, so that one group comes to hold them
     whole = pieces.where(F.col("length") == size).withColumns({"sequence_id": F.col("rid"), "offset": F.lit(0).cast("long")})
     if not placed:
         return whole

@@ -116,3 +116,30 @@ def test_exchanges_empty_bins():
     assert len(better) < len(poor) and all(sum(n[i] for i in b) <= 80 for b in better)
     square = lambda bins: sum(sum(n[i] for i in b) ** 2 for b in bins)
     assert square(better) > square(poor)
+
+
+def test_search_ends_when_no_exchange_helps():
+    rng = random.Random(1)
+    lengths = [rng.randint(500, 1000) for _ in range(4000)]
+    first = packing.best_fit(lengths, 2048)
+    bins = packing.improve(first, lengths, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(4000)) and all(sum(lengths[i] for i in b) <= 2048 for b in bins)
+    assert len(bins) < 0.98 * len(first)
+    few = [rng.randint(30, 60) for _ in range(60)]
+    bins = packing.improve(packing.best_fit(few, 100), few, 100)
+    fill = [sum(few[i] for i in b) for b in bins]
+    for a, donor in enumerate(bins):
+        for b, other in enumerate(bins):
+            if a != b and fill[a] <= fill[b] < 100:
+                gives = [few[i] for i in donor] + [few[i] + few[j] for i in donor for j in donor if i < j]
+                assert not any(0 < x - y <= 100 - fill[b] for x in gives for y in [0, *(few[i] for i in other)])
+
+
+def test_open_bins_go_on_to_the_last_round(spark, monkeypatch):
+    rows = [(i, 40 if i % 2 else 41) for i in range(2000)]  # two of three to a bin: rooms of 18 to 20 close no bin
+    seen = []
+    one = packing._round
+    monkeypatch.setattr(packing, "_round", lambda pieces, groups, *rest: seen.append(groups) or one(pieces, groups, *rest))
+    out = packing.pack(spark.createDataFrame(rows, "rid long, length long"), size=100, group=200).collect()
+    assert sorted((r.rid, r.length) for r in out) == rows
+    assert seen[0] > 1 and seen[-1] == 1
