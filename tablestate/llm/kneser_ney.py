@@ -24,7 +24,7 @@ BITS, OWN = 12, 3071
 MASK = (1 << BITS) - 1
 #: A language's threshold: this quantile of its trusted documents' scores, plus a margin in nats a character.
 QUANTILE, MARGIN = 0.999, 0.02
-#: Width of the histogram's bins; languages with fewer trusted documents than this use all languages' threshold.
+#: Width of the histogram's bins; languages with fewer trusted documents than this, but some, use all languages' threshold.
 BIN, LEAST_DOCS = 0.001, 50
 #: Characters whose mean is mixed into a short text's mean, at the trusted mean, so that few characters decide little.
 PRIOR = 200.0
@@ -199,10 +199,10 @@ class Model:
         w = Window.partitionBy("lang")
         ranked = both.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
         found = ranked.where(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy("lang").agg(F.min("bin").alias("bin"), F.max("all").alias("all"))
-        rows = found.where(F.col("lang").isNull() | (F.col("all") >= LEAST_DOCS)).toLocalIterator()  # a row for each language
-        limits = {lang: (b + 1) * BIN + margin for lang, b, _ in rows}
-        self.every = limits.pop(None, float("inf"))
-        self.limits = limits
+        rows = list(found.toLocalIterator())  # a row for each language
+        pooled = next((b for lang, b, _ in rows if lang is None), 0)
+        self.limits = {lang: ((b if n >= LEAST_DOCS else pooled) + 1) * BIN + margin for lang, b, n in rows if lang is not None}
+        self.every = float("inf")  # a language without trusted text is not judged by others
 
     def summed(self, rows: DataFrame) -> DataFrame:
         """rows (with text) with total and n, the sum of their scores and the number of grams."""
@@ -231,7 +231,8 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, m
 
     labels: doc_id, quality, toxic; trusted are ids with quality 1 and not toxic. Null or empty text: the end alone is
     scored. Null lang: a language of its own. Null ids: scored, never trusted. Repeated rows: each counts and is
-    scored. Without trusted rows everything is kept. Very long texts: whole. Empty table: no rows. Other columns are
+    scored. A language without trusted rows is
+    kept whole. Very long texts: whole. Empty table: no rows. Other columns are
     not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")

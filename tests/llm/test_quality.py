@@ -128,3 +128,14 @@ def test_thresholds_are_quantiles(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
     out = kneser_ney.classified(docs, labels, quantile=0.9, margin=0.0).collect()
     assert 178 <= sum(r.kept for r in out) <= 184
+
+
+def test_languages_without_trusted_text_are_kept(spark):
+    rng = random.Random(4)
+    other = ["".join(chr(0x4E00 + rng.randrange(500)) for _ in range(300)) for _ in range(10)]
+    docs = spark.createDataFrame([(i, prose(rng, 60), "aa") for i in range(60)] + [(100 + i, t, "zz") for i, t in enumerate(other)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    out = kneser_ney.classified(docs, labels).collect()
+    assert all(r.kept and math.isinf(r.threshold) for r in out if r.lang == "zz")
+    assert all(math.isfinite(r.threshold) for r in out if r.lang == "aa")
+    assert kneser_ney.keep_fluent(docs, labels).where("lang = 'zz'").count() == 10
