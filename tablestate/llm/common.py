@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when it has been counted and stays below this many bytes.
 BROADCAST_BYTES = 64 << 20
 
+#: Arrow batches: (setting, Spark's own value, the operators'). What a worker holds follows the bytes of a batch.
+_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"))
+
 _SHIPPED: set[str] = set()
 
 
@@ -34,8 +37,9 @@ def prepare(spark: SparkSession) -> SparkSession:
                         path = os.path.join(folder, f)
                         z.write(path, os.path.relpath(path, os.path.dirname(package)))
         spark.sparkContext.addPyFile(archive)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    for key, usual, ours in _BATCHES:  # DataFrames run after we return, so these stay; a session that has set its own keeps it
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, ours)
     return spark
 
 
@@ -43,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tablestate-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -71,15 +77,30 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, lengthened until no column of the frames has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bytes of a long in a broadcast hash relation: the row, its place in the page and in the table.
+ID_BYTES = 64
+
+
 def marked(docs: DataFrame, ids: DataFrame, id_col: str, flag: str) -> DataFrame:
     """docs with a boolean column: whether the id is among ids (distinct, not null).
 
-    ids is broadcast when its counted size allows it, else both sides are shuffled by id.
+    ids is broadcast when its counted size allows it, else both sides are shuffled by id; rows without an id are set
+    apart first, so that they are no key, and a frequent id is a skewed side that adaptive execution may split.
     """
-    other = ids.select(F.col(ids.columns[0]).alias("__id"), F.lit(True).alias("__in"))
-    if small(other, 16):
-        other = F.broadcast(other)
-    return docs.join(other, docs[id_col] == other["__id"], "left").withColumn(flag, F.coalesce("__in", F.lit(False))).drop("__id", "__in")
+    key, found = unused("id_", docs), unused("found_", docs)
+    other = ids.select(F.col(ids.columns[0]).alias(key), F.lit(True).alias(found))
+    near = small(other, ID_BYTES)
+    some = docs if near else docs.where(F.col(id_col).isNotNull())
+    out = some.join(F.broadcast(other) if near else other, F.col(id_col) == F.col(key), "left").withColumn(flag, F.coalesce(found, F.lit(False))).drop(key, found)
+    return out if near else out.unionByName(docs.where(F.col(id_col).isNull()).withColumn(flag, F.lit(False)))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -99,24 +99,42 @@ def brute_kn(train, texts, order=4):
     return [sum(-math.log(p(g)) for g in grams(t, order)) for t in texts]
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 2000])
+@pytest.mark.parametrize("limit", [2_000_000, 100])
 def test_kneser_ney_by_brute_force(spark, odd_docs, odd_labels, limit):
-    """Once with one broadcast table, once with the table in parts."""
+    """Once with one shard, once with many."""
     docs = odd_docs.where("length(text) < 20000 or text is null")
-    model = kneser_ney.Model(docs, odd_labels, limit=limit)
-    assert (len(model.tables) > 1) == (limit == 2000)
+    model = kneser_ney.Model(docs, odd_labels, shard_grams=limit)
+    assert (len(model.shards) > 1) == (limit == 100)
     good = {1} | {100 + i for i in range(60) if i % 3}
     rows = docs.select("doc_id", "text").collect()
     train = [r.text for r in rows if r.doc_id in good]
     want = brute_kn(train, [r.text or "" for r in rows])
     got = sorted(r.total for r in model.summed(docs.select("doc_id", "text")).collect())
     assert np.allclose(sorted(want), got, rtol=2e-5)
-    kept = kneser_ney.keep_fluent(docs, odd_labels, limit=limit)
+    kept = kneser_ney.keep_fluent(docs, odd_labels, shard_grams=limit)
     assert kept.columns == docs.columns
-    verdicts = kneser_ney.classified(docs, odd_labels, limit=limit)
+    verdicts = kneser_ney.classified(docs, odd_labels, shard_grams=limit)
     assert verdicts.count() == docs.count() and kept.count() == verdicts.where("kept").count()
 
 
+def test_pieces_of_long_texts(monkeypatch):
+    """Grams and sums do not depend on where a batch is cut."""
+    rng = random.Random(8)
+    texts = ["", prose(rng, 40), "x", prose(rng, 400), "\0a\uffff\U0010ffff日本", prose(rng, 3), ""]
+    whole, n = kneser_ney.grams_of(texts, [(i, 0, len(t)) for i, t in enumerate(texts)])
+    assert n.tolist() == [len(t) + 1 for t in texts]
+    g = np.unique(whole)
+    table = kneser_ney.GramTable(g, np.arange(1, len(g) + 1) / 7)
+    want = table.sums(texts)
+    assert np.allclose(table.lookup(g), np.arange(1, len(g) + 1) / 7) and (table.lookup(np.array([-5, 1 << 47])) == 0).all()
+    for size in (7, 50, 300):
+        monkeypatch.setattr(kneser_ney, "PIECE", size)
+        cut = [kneser_ney.grams_of(texts, spans)[0] for spans in kneser_ney.pieces(texts)]
+        assert np.concatenate(cut).tolist() == whole.tolist()
+        got = table.sums(texts)
+        assert np.allclose(got[0], want[0]) and got[1].tolist() == want[1].tolist()
+
+
 def test_classifier_without_rows_or_labels(spark, odd_docs, odd_labels, no_docs):
     assert kneser_ney.classified(no_docs, odd_labels).count() == 0
     assert kneser_ney.classified(odd_docs, odd_labels.limit(0)).where("not kept").count() == 0
