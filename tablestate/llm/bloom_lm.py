@@ -1,86 +1,122 @@
-"""Language-model scoring with a log-frequency Bloom filter.
-
-The base score is an add-one word unigram with exact counts. The model is a word unigram with absolute discounting;
-the mass that it frees goes to a character n-gram model of the vocabulary, in which a word is the sequence of its
-characters and a separator. The character model's n-gram counts, over distinct training words, are quantised to
-powers of a base and stored in a Bloom filter: level q of an n-gram is stored as q entries, and its count is read by
-probing level after level until one is missing. Orders are interpolated from the shortest up, each weighted by its
-context's count. The filter is blocked: an n-gram's hash picks one segment, in which all its probes fall, so segments
-are built apart and the filter is a list of them, broadcast to workers. Its size is bounded; characters' n-grams grow
-far slower than the corpus, while words, which do not fit in a broadcast, are joined.
-
-Words are counted exactly without shuffling texts. A task cuts its rows into blocks; a block keeps its texts as word
-numbers and a list of its distinct words. Only (block, word, count) is shuffled: summed by word, joined back, and
-returned to the block as an array of counts. A block's size is bounded, so is everything that is grouped by it.
+"""Language-model scoring with a log-frequency Bloom filter of word n-grams.
+
+The model predicts a word, or a text's end, from the two words before it. All n-grams of orders one to three of the
+training texts are counted; a count is quantised to a level, one more than its logarithm to the base 1.5 rounded down,
+and an n-gram of level q is stored as q entries of a Bloom filter. A count is read by probing entry after entry until
+one is missing. Probabilities are discounted and interpolated, order by order:
+  p_k = max(count(n-gram) - D_k, 0) / count(context) + D_k * t_k(q) * p_(k-1),
+where D_k = n_1 / (n_1 + 2 n_2) from the numbers of n-grams that occur once and twice, and t_k(q) is the number of
+different n-grams for each training token over all contexts of level q, so that freed mass needs no further counts in
+the filter. p_0 is uniform over the training vocabulary and one unknown word.
+
+How it runs. A task turns its texts into blocks: numbers of words in a list of the block's distinct words, so words are
+hashed once a block and no later pass touches a string. Blocks send their sorted, distinct n-gram keys with counts to
+the shards that the keys' leading bits name; a shard adds up, and writes its piece of the filter and its words' exact
+counts. Pieces are gathered into parts of bounded size. A part is given to the workers whole: each reads it from the
+shared folder and probes it for its blocks' n-grams, then the next part. Nothing passes through the driver but a row
+for each shard. Levels of the n-grams at hand are kept for each block, so that the discounts, which depend on all
+training tokens, are known before probabilities are formed.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_text, keep, prepare
-
-ORDER = 5
-#: Words in a block: what one row of the block table holds.
-BLOCK_WORDS = 1_000_000
-#: Bytes of the filter at most; a larger model raises the error rate, not the memory. Bits for each stored entry.
-FILTER_BYTES, ENTRY_BITS = 32 << 20, 10
-PROBES, SEGMENT_BITS = 5, 1 << 16
+from .common import crc32_text, keep, new_folder, prepare, read_whole, write_whole
+
+ORDER = 3
+#: Words in a block; a text is never divided, so the last one of a block may go beyond.
+BLOCK_WORDS = 2_000_000
+#: N-grams that are dealt to a shard or so, each counted once for each block that has it.
+SHARD_GRAMS = 2_000_000
+#: Bytes that a worker holds of the filter, or of the words' counts, at a time.
+PART_BYTES = 128 << 20
+#: Bits of the filter for each entry, and bits that an entry sets, all in one 64-bit word of the filter.
+ENTRY_BITS, PROBES = 12, 4
 #: Counts are stored as level 1 + floor(log(count) / log(LOG_BASE)); LEVELS covers counts up to 10^12.
 LOG_BASE, LEVELS = 1.5, 70
-#: Counts' worth that the next shorter context adds to a context.
-STRENGTH = 2.0
-#: Taken from each word's count and given to the character model.
-DISCOUNT = 0.75
-#: Alphabet of the model: probability 1/ALPHABET when even the single character is unknown.
-ALPHABET = 1 << 12
-_SEPARATOR, _END = 1, 2
+#: An n-gram's key has so many bits more than the number of n-grams: two share a key once in 2^SPARE_BITS.
+SPARE_BITS = 12
+#: Blocks that a task holds while it reads part after part.
+HELD_BLOCKS = 4
+_BEGIN, _END = xxhash.xxh3_64_intdigest(b""), xxhash.xxh3_64_intdigest(b" ")  # no word has these bytes
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def level(count: np.ndarray) -> np.ndarray:
+    return np.minimum(LEVELS, 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(LOG_BASE) + 1e-9)).astype(np.uint8)
+
+
+def level_values() -> np.ndarray:
+    """The count that each level stands for: the middle of the whole numbers that have it; 0 for level 0."""
+    edge = np.ceil(LOG_BASE ** np.arange(LEVELS + 1) - 1e-6)
+    return np.r_[0.0, (edge[:-1] + edge[1:] - 1) / 2]
+
+
+def _packed(a: np.ndarray) -> bytes:
+    """Whole numbers of one width, byte by byte: the high bytes of small numbers cost nothing."""
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
 # --- blocks of word numbers
 
-_BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("numbers", pa.binary()), ("words", pa.list_(pa.binary())), ("train", pa.list_(pa.int64()))])
-_BLOCK_SQL = "block long, ids binary, lengths binary, numbers binary, words array<binary>, train array<bigint>"
+_BLOCKS = pa.schema([("ids", pa.binary()), ("lengths", pa.binary()), ("numbers", pa.binary()), ("words", pa.binary()), ("tokens", pa.int64()), ("texts", pa.int64())])
+_BLOCK_SQL = "ids binary, lengths binary, numbers binary, words binary, tokens long, texts long"
 
 
 def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs: doc_id, held_out, text. ids holds (is null, id, held out) of each text, numbers its words' places in words."""
-    import zlib
+    """docs: doc_id, held_out, text. A row for each block.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+    ids holds (is null, id, held out) of each text, numbers its words' places in words, words the hashes of distinct
+    words; tokens and texts count what is learnt from.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[tuple] = []
         lengths: list[int] = []
         numbers: list[np.ndarray] = []
         place: dict[bytes, int] = {}
-        size = 0
+        size = tokens = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal size
-            n, at = np.array(lengths, np.int64), np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-            learn = np.repeat(np.array([not h for _, _, h in ids], bool), n)
-            train = np.bincount(at[learn], minlength=len(place))
-            row = [uuid.uuid4().int >> 65, np.array(ids, np.int64).tobytes(), n.tobytes(), zlib.compress(at.astype("<u4").tobytes(), 1), list(place), train]
-            out = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCKS)], schema=_BLOCKS)
+            nonlocal size, tokens
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, place), np.uint64, len(place))
+            at = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
+            texts = sum(not h for _, _, h in ids)
+            row = [np.array(ids, np.int64).tobytes(), np.array(lengths, np.int64).tobytes(), _packed(at), hashes.tobytes(), tokens + texts, texts]
             for x in (ids, lengths, numbers, place):
                 x.clear()
-            size = 0
-            return out
+            size = tokens = 0
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCKS)], schema=_BLOCKS)
 
         for batch in batches:
             for k, h, t in zip(*(c.to_pylist() for c in batch.columns)):
                 w = (t or "").encode().lower().split()
                 ids.append((k is None, k or 0, h))
                 lengths.append(len(w))
-                numbers.append(np.array([place.setdefault(x, len(place)) for x in w], np.int64))
+                numbers.append(np.fromiter((place.setdefault(x, len(place)) for x in w), np.uint32, len(w)))
                 size += len(w) + 1
+                tokens += 0 if h else len(w)
                 if size >= block_words:
                     yield close()
         if ids:
@@ -89,271 +125,397 @@ def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return keep(docs.mapInArrow(run, _BLOCK_SQL), "blocks")
 
 
-def _numbers(data: bytes) -> np.ndarray:
-    import zlib
+class Block:
+    """A block's texts as word numbers, and the n-grams that end at each token. A text of n words has n + 1 tokens."""
 
-    return np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+    def __init__(self, row: dict):
+        self.ids = np.frombuffer(row["ids"], np.int64).reshape(-1, 3)
+        self.lengths = np.frombuffer(row["lengths"], np.int64)
+        self.words = np.frombuffer(row["words"], np.uint64)
+        self.numbers = _unpacked(row["numbers"], np.uint32)
+        tokens = self.lengths + 1
+        self.ends = np.cumsum(tokens) - 1  # the place of each text's end among the block's tokens
+        self.starts = self.ends - self.lengths
+        self.learn = np.repeat(self.ids[:, 2] == 0, tokens)
 
+    def by_token(self, each: np.ndarray, end) -> np.ndarray:
+        """A word's value at each of its tokens, and the end's value at texts' ends."""
+        out = np.empty(len(self.learn), each.dtype)
+        inside = np.ones(len(out), bool)
+        inside[self.ends] = False
+        out[inside], out[self.ends] = each[self.numbers], end
+        return out
 
-# --- character n-grams
+    def before(self, each: np.ndarray, first) -> np.ndarray:
+        """The value at the token before each token, and first at the start of each text."""
+        out = np.empty_like(each)
+        out[1:] = each[:-1]
+        out[self.starts] = first
+        return out
 
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the pair and of the triple of words that end at each token; two begins stand before each text."""
+        with np.errstate(over="ignore"):
+            one = self.by_token(self.words, np.uint64(_END))
+            two = _mix(self.before(one, np.uint64(_BEGIN)) * np.uint64(0x9E3779B97F4A7C15) + one)
+            first = _mix(np.array([_BEGIN], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(_BEGIN))[0]
+            return two, _mix(self.before(two, first) * np.uint64(0xD6E8FEB86659FD93) + one)
 
-def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of each word alone: (rows of ORDER codes, number of codes of each word, its separator included).
 
-    A word's characters are predicted from the word itself: contexts start at the separator before it.
-    """
-    texts = [w.decode("utf-8", "replace") for w in words]
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    code = np.where(code < 3000, code + 3, 3072 + (code & 1023))
-    width = lens + ORDER  # ORDER - 1 separators in front, one behind
-    line = np.full(int(width.sum()), _SEPARATOR, np.int64)
-    line[np.arange(len(code)) + np.repeat(np.cumsum(width) - width + ORDER - 1 - (np.cumsum(lens) - lens), lens)] = code
-    at = np.arange(int((lens + 1).sum())) + np.repeat(np.cumsum(width) - width - (np.cumsum(lens + 1) - (lens + 1)), lens + 1)
-    packed = np.zeros(len(at), np.int64)
-    for j in range(ORDER):
-        packed = packed << 12 | line[at + j]
-    return packed, lens + 1
+# --- the filter
 
 
-def end_gram() -> np.ndarray:
-    packed = 0
-    for j in range(ORDER):
-        packed = packed << 12 | (_END if j == ORDER - 1 else _SEPARATOR)
-    return np.array([packed], np.int64)
+class Layout:
+    """How keys of `bits` bits are dealt to shards, in order."""
 
+    def __init__(self, tokens: int, shard_grams: int = SHARD_GRAMS):
+        self.bits = min(60, max(32, (ORDER * tokens).bit_length() + SPARE_BITS))
+        self.shards = max(1, -(-ORDER * tokens // shard_grams))
 
-def _suffix(packed: np.ndarray, k: int) -> np.ndarray:
-    """The last k codes, marked with their number so that orders do not mix."""
-    return packed & ((1 << 12 * k) - 1)
+    def keys(self, hashes: np.ndarray, order: int) -> np.ndarray:
+        """Keys of n-grams of one order, 64 bits; the leading `bits` of them are what the filter knows."""
+        with np.errstate(over="ignore"):
+            return _mix(hashes + np.uint64(order) * np.uint64(0xA24BAED4963EE407))
 
+    def short(self, keys: np.ndarray) -> np.ndarray:
+        return keys >> np.uint64(64 - self.bits)
 
-def _key(gram: np.ndarray, k: int, context: bool) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * k + context) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+    def shard(self, short: np.ndarray) -> np.ndarray:
+        return (((short >> np.uint64(self.bits - 32)) * np.uint64(self.shards)) >> np.uint64(32)).astype(np.int64)
 
 
-def level(count: np.ndarray) -> np.ndarray:
-    return np.minimum(LEVELS, 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(LOG_BASE) + 1e-9)).astype(np.int64)
+def _entry(short: np.ndarray, q: int) -> np.ndarray:
+    """The bits of entry (key, level q) within its word of the filter."""
+    with np.errstate(over="ignore"):
+        h = _mix(short * np.uint64(0x9FB21C651E98DF25) + np.uint64(q) * np.uint64(0xC2B2AE3D27D4EB4F))
+    mask = np.zeros(len(h), np.uint64)
+    for i in range(PROBES):
+        mask |= np.uint64(1) << ((h >> np.uint64(6 * i)) & np.uint64(63))
+    return mask
 
 
-def _places(key: np.ndarray, q) -> np.ndarray:
-    """Bits of entry (key, level q) within its segment: PROBES columns."""
+def _place(short: np.ndarray, q: int, words: np.ndarray) -> np.ndarray:
+    """The word of entry (key, level q): levels of a key lie side by side."""
     with np.errstate(over="ignore"):
-        h = (key ^ (np.asarray(q, np.uint64) * np.uint64(0xA24BAED4963EE407))) * np.uint64(0x9FB21C651E98DF25)
-        h ^= h >> np.uint64(32)
-        step = (h >> np.uint64(17)) | np.uint64(1)
-        return np.stack([((h + np.uint64(i) * step) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64) for i in range(PROBES)], 1)
-
-
-class Filter:
-    def __init__(self, bits: np.ndarray):
-        """bits: (segments, SEGMENT_BITS / 8) bytes."""
-        self.bits = bits
-
-    def counts(self, gram: np.ndarray, k: int, context: bool) -> np.ndarray:
-        """Quantised counts by repeated probes; 0 where the first level is missing."""
-        key = _key(gram, k, context)
-        segment = ((key >> np.uint64(20)) % np.uint64(len(self.bits))).astype(np.int64)
-        found = np.zeros(len(gram), np.int64)
-        alive = np.arange(len(gram))
+        first = ((_mix(short + np.uint64(0x8EBC6AF09C88C6E3)) >> np.uint64(32)) * words) >> np.uint64(32)
+    return ((first + np.uint64(q - 1)) % words).astype(np.int64)
+
+
+def filter_words(short: np.ndarray, levels: np.ndarray, entry_bits: int = ENTRY_BITS) -> np.ndarray:
+    """The filter of distinct keys with their levels: 64-bit words."""
+    words = np.zeros(max(1, -(-int(levels.sum(dtype=np.int64)) * entry_bits // 64)), np.uint64)
+    size = np.uint64(len(words))
+    for q in range(1, int(levels.max(initial=0)) + 1):
+        own = short[levels >= q]
+        np.bitwise_or.at(words, _place(own, q, size), _entry(own, q))
+    return words
+
+
+class Part:
+    """Some shards' pieces of the filter, to be probed."""
+
+    def __init__(self, layout: Layout, pieces: dict[int, np.ndarray]):
+        self.layout = layout
+        self.size, self.offset = np.zeros(layout.shards, np.uint64), np.zeros(layout.shards, np.int64)
+        at = 0
+        for shard, words in pieces.items():
+            self.size[shard], self.offset[shard] = len(words), at
+            at += len(words)
+        self.words = np.concatenate([*pieces.values(), np.zeros(0, np.uint64)])
+
+    def fill(self, short: np.ndarray, out: np.ndarray) -> None:
+        """Write the levels of those keys that this part has room for into out: levels by repeated probes, 0 if the first misses."""
+        shard = self.layout.shard(short)
+        alive = np.flatnonzero(self.size[shard] > 0)
+        if not len(alive):
+            return
+        key, size, offset = short[alive], self.size[shard[alive]], self.offset[shard[alive]]
         for q in range(1, LEVELS + 1):
-            at = _places(key[alive], q)
-            there = ((self.bits[segment[alive, None], at >> 3] >> (at & 7)) & 1).all(1)
-            alive = alive[there]
+            mask = _entry(key, q)
+            there = (self.words[offset + _place(key, q, size)] & mask) == mask
+            alive, key, size, offset = alive[there], key[there], size[there], offset[there]
             if not len(alive):
                 break
-            found[alive] = q
-        return np.where(found > 0, LOG_BASE ** (found - 1.0), 0.0)
+            out[alive] = q
 
-    def log10(self, packed: np.ndarray) -> np.ndarray:
-        """log10 probability of each n-gram's last code given those before it. Shorter n-grams repeat: each is looked up once."""
-        p = np.full(len(packed), 1.0 / ALPHABET)
-        for k in range(1, ORDER + 1):
-            grams, at = np.unique(_suffix(packed, k), return_inverse=True)
-            contexts, under = np.unique(grams >> 12, return_inverse=True)
-            context = self.counts(contexts, k, True)[under]
-            own = np.minimum(self.counts(grams, k, False), context)
-            p = (own[at] + STRENGTH * p) / (context[at] + STRENGTH)
-        return np.log10(p)
 
+_DEALT = pa.schema([("shard", pa.int64()), ("ord", pa.int8()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-class Memo:
-    """Log probabilities that a task has found already, by n-gram; emptied when it outgrows its limit."""
 
-    def __init__(self, table: Filter, limit: int = 1_500_000):
-        self.table, self.limit = table, limit
-        self.grams, self.values = np.zeros(0, np.int64), np.zeros(0)
+def dealt(table: DataFrame, layout: Layout) -> DataFrame:
+    """(shard, ord, keys, counts) of the training texts' n-grams: for each block its sorted distinct keys, and how often each occurs there.
 
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """grams: sorted and distinct."""
-        if len(self.grams) > self.limit:
-            self.grams, self.values = self.grams[:0], self.values[:0]
-        new = ~np.isin(grams, self.grams, assume_unique=True) if len(self.grams) else np.ones(len(grams), bool)
-        if new.any():
-            fresh = self.table.log10(grams[new])
-            both = np.concatenate([self.grams, grams[new]])
-            order = np.argsort(both, kind="stable")
-            self.grams, self.values = both[order], np.concatenate([self.values, fresh])[order]
-        return self.values[np.searchsorted(self.grams, grams)]
+    The pair of begins before each training text counts too: it is a context.
+    """
+    step = 64 - layout.bits
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = Block(row)
+                two, three = b.grams()
+                one = b.by_token(b.words, np.uint64(_END))
+                for order, hashes in ((1, one), (2, two), (3, three)):
+                    keys = layout.keys(hashes[b.learn], order)
+                    keys = np.sort(keys if order == 1 else keys >> np.uint64(step))
+                    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+                    counts = np.diff(np.r_[first, len(keys)]).astype(np.uint32)
+                    keys = keys[first]
+                    shard = layout.shard(layout.short(keys) if order == 1 else keys)
+                    cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
+                    rows = []
+                    for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+                        part = keys[a:z]
+                        rows.append((int(shard[a]), order, _packed(np.r_[part[:1], part[1:] - part[:-1]]), _packed(counts[a:z])))
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DEALT)], schema=_DEALT)
+
+    return table.mapInArrow(run, "shard long, ord byte, keys binary, counts binary")
+
+
+_PIECES_SQL = "shard long, filter string, filter_bytes long, vocabulary string, kinds long, entries long"
+
+
+def pieces(rows: DataFrame, layout: Layout, entry_bits: int = ENTRY_BITS) -> DataFrame:
+    """A row for each shard that has n-grams: the files of its piece of the filter and of its words' exact counts."""
+    folder = new_folder(rows.sparkSession, "lm-pieces")
+    step = 64 - layout.bits
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shorts, levels, known, entries = [], [], None, 0
+        for order in range(1, ORDER + 1):
+            own = pdf[pdf["ord"] == order]
+            if not len(own):
+                continue
+            keys = np.concatenate([np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64) for k in own["keys"]])
+            counts = np.concatenate([_unpacked(c, np.uint32) for c in own["counts"]]).astype(np.int64)
+            at = np.argsort(keys, kind="stable")
+            keys, counts = keys[at], counts[at]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            keys, counts = keys[first], np.add.reduceat(counts, first)
+            if order == 1:
+                known = (keys, counts)
+                keys, counts = keys >> np.uint64(step), counts
+            shorts.append(keys)
+            levels.append(level(counts))
+        short, q = np.concatenate(shorts), np.concatenate(levels)
+        words = filter_words(short, q, entry_bits)
+        entries = int(q.sum(dtype=np.int64))
+        name, vocabulary, kinds = f"{folder}/{uuid.uuid4().hex}", "", 0
+        write_whole(f"{name}.filter", words.tobytes())
+        if known is not None:
+            vocabulary, kinds = f"{name}.words", len(known[0])
+            write_whole(vocabulary, known[0].tobytes() + known[1].tobytes())
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "filter": [f"{name}.filter"], "filter_bytes": [words.nbytes], "vocabulary": [vocabulary], "kinds": [kinds], "entries": [entries]})
+
+    return keep(rows.groupBy("shard").applyInPandas(run, _PIECES_SQL), "lm-pieces")
+
+
+class Model:
+    """Where the filter's pieces and the words' counts are, in groups that a worker holds at a time."""
+
+    def __init__(self, table: DataFrame, shard_grams: int = SHARD_GRAMS, part_bytes: int = PART_BYTES, entry_bits: int = ENTRY_BITS):
+        tokens, texts = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
+        self.tokens, self.texts = int(tokens), int(texts)
+        self.layout = Layout(self.tokens, shard_grams)
+        found = [r.asDict() for r in pieces(dealt(table, self.layout), self.layout, entry_bits).toLocalIterator()]  # a row for each shard
+        self.kinds = sum(r["kinds"] for r in found)
+        self.entries, self.bytes = sum(r["entries"] for r in found), sum(r["filter_bytes"] for r in found)
+        found.sort(key=lambda r: r["shard"])
+        self.parts = _grouped([(r["shard"], r["filter"], r["filter_bytes"]) for r in found], part_bytes)
+        self.vocabulary = _grouped([(r["shard"], r["vocabulary"], 16 * r["kinds"]) for r in found if r["kinds"]], part_bytes)
+
+
+def _grouped(files: list[tuple[int, str, int]], most: int) -> list[tuple[tuple[int, str], ...]]:
+    out: list[tuple[tuple[int, str], ...]] = []
+    room = 0
+    for shard, path, size in files:
+        if size > room or not out:
+            out.append(())
+            room = most
+        out[-1] += ((shard, path),)
+        room -= size
+    return out
+
+
+#: What this worker has read last, by kind and files.
+_READ: dict[str, tuple] = {}
+
+
+def _part(layout: Layout, files: tuple[tuple[int, str], ...]) -> Part:
+    if _READ.get("part", (None,))[0] != files:
+        _READ.pop("part", None)
+        _READ["part"] = (files, Part(layout, {s: np.frombuffer(read_whole(p), np.uint64) for s, p in files}))
+    return _READ["part"][1]
+
+
+def _words(files: tuple[tuple[int, str], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of some shards' words: shards come in the order of their keys, so all are sorted."""
+    if _READ.get("words", (None,))[0] != files:
+        _READ.pop("words", None)
+        read = [np.frombuffer(read_whole(p), np.uint64) for _, p in files]
+        _READ["words"] = (files, np.concatenate([x[: len(x) // 2] for x in read]), np.concatenate([x[len(x) // 2 :].astype(np.uint32 if max(x[len(x) // 2 :].max(), 1) < 1 << 32 else np.uint64) for x in read]))
+    return _READ["words"][1:]
+
+
+# --- levels, discounts and scores
+
+_LEVELS = pa.schema([("ids", pa.binary()), ("lengths", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("one", pa.binary()), ("two", pa.binary()), ("three", pa.binary())])
+_LEVELS_SQL = "ids binary, lengths binary, known binary, base binary, one binary, two binary, three binary"
+
+
+def levels(table: DataFrame, model: Model) -> DataFrame:
+    """For each block: each text's known tokens and base score, by exact counts, and the levels of each token's n-grams."""
+    layout, parts, vocabulary, total, kinds, texts = model.layout, model.parts, model.vocabulary, model.tokens, model.kinds, model.texts
 
-_GRAMS = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            counts = [np.zeros(len(r["words"]) // 8, np.int64) for r in held]
+            for files in vocabulary:
+                keys, c = _words(files)
+                for row, known in zip(held, counts):
+                    own = layout.keys(np.frombuffer(row["words"], np.uint64), 1)
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    hit = keys[at] == own
+                    known[hit] = c[at[hit]]
+            found = [(np.zeros(len(r["words"]) // 8 + 1, np.uint8), *np.zeros((2, int(np.frombuffer(r["lengths"], np.int64).sum()) + len(r["lengths"]) // 8), np.uint8)) for r in held]
+            for files in parts:
+                part = _part(layout, files)
+                for row, (one, two, three) in zip(held, found):
+                    b = Block(row)
+                    part.fill(layout.short(layout.keys(np.append(b.words, np.uint64(_END)), 1)), one)
+                    for order, hashes, to in zip((2, 3), b.grams(), (two, three)):
+                        part.fill(layout.short(layout.keys(hashes, order)), to)
+            for row, known, (one, two, three) in zip(held, counts, found):
+                b = Block(row)
+                base = np.log10((np.append(known, texts) + 1) / (total + kinds + 1))
+                sums = lambda each: np.add.reduceat(each, b.starts)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x], pa.binary())
+                        for x in (
+                            row["ids"],
+                            row["lengths"],
+                            sums(b.by_token((known > 0).astype(np.int64), texts > 0)).tobytes(),
+                            sums(b.by_token(base[:-1], base[-1])).tobytes(),
+                            _packed(b.by_token(one[:-1], one[-1])),
+                            _packed(two),
+                            _packed(three),
+                        )
+                    ],
+                    schema=_LEVELS,
+                )
+            held.clear()
 
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.append(row)
+                if len(held) == HELD_BLOCKS:
+                    yield from out()
+        if held:
+            yield from out()
 
-def count_grams(counts: DataFrame) -> DataFrame:
-    """(gram, n) of order ORDER over the distinct words of (word, c) with c > 0, and the end."""
+    return keep(table.select("ids", "lengths", "numbers", "words").mapInArrow(run, _LEVELS_SQL), "lm-levels")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            g, n = np.unique(word_grams(batch.column(0).to_pylist())[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], schema=_GRAMS)
-
-    grams = counts.where("c > 0").select("word").mapInArrow(run, "gram long, n long")
-    end = counts.sparkSession.createDataFrame([(int(end_gram()[0]), 1)], "gram long, n long")
-    return grams.unionByName(end).groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def build_filter(spark: SparkSession, grams: DataFrame, filter_bytes: int = FILTER_BYTES) -> Filter:
-    """The filter of all orders' n-grams and contexts. Segments are built by the tasks that their entries are dealt to."""
-    entries = None
-    for k in range(1, ORDER + 1):
-        own = grams.groupBy(F.col("gram").bitwiseAND((1 << 12 * k) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        own = keep(own, "lm-grams")
-        context = own.groupBy(F.shiftright("gram", 12).alias("gram")).agg(F.sum("n").alias("n"))
-        for df, flag in ((own, False), (context, True)):
-            part = df.select("gram", "n", F.lit(k).alias("k"), F.lit(flag).alias("context"))
-            entries = part if entries is None else entries.unionByName(part)
-    levels = F.least(F.lit(LEVELS), 1 + F.floor(F.log("n") / np.log(LOG_BASE) + 1e-9))
-    total = entries.agg(F.sum(levels)).first()[0] or 0
-    segments = int(min(max(1, -(-int(total) * ENTRY_BITS // SEGMENT_BITS)), filter_bytes * 8 // SEGMENT_BITS))
-    dealt = pa.schema([("segment", pa.int32()), ("key", pa.int64()), ("level", pa.int32())])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gram, n, k, context = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for order in np.unique(k).tolist():
-                for flag in (False, True):
-                    own = (k == order) & (context == flag)
-                    if own.any():
-                        key = _key(gram[own], order, flag)
-                        segment = ((key >> np.uint64(20)) % np.uint64(segments)).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(key.view(np.int64)), pa.array(level(n[own]).astype(np.int32))], schema=dealt)
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(SEGMENT_BITS, bool)
-        key, most = pdf["key"].to_numpy().view(np.uint64), pdf["level"].to_numpy()
-        for q in range(1, int(most.max()) + 1):
-            bits[_places(key[most >= q], q)] = True
-        return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+def _contexts(b: Block, one: np.ndarray, two: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of the contexts of each token's pair and triple; texts begin with contexts that all texts share."""
+    begin = level(np.array([texts]))[0] if texts else np.uint8(0)
+    return b.before(one, begin), b.before(two, begin)
 
-    rows = entries.select("gram", "n", "k", "context").mapInArrow(deal, "segment int, key long, level int")
-    out = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for segment, bits in rows.groupBy("segment").applyInPandas(build, "segment int, bits binary").toLocalIterator():  # at most filter_bytes
-        out[segment] = np.frombuffer(bits, np.uint8)
-    return Filter(out)
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[dict, Block, np.ndarray, np.ndarray, np.ndarray]]:
+    for row in batch.to_pylist():
+        yield row, Block(row | {"words": b"", "numbers": _packed(np.zeros(0, np.uint32))}), *(_unpacked(row[c], np.uint8) for c in ("one", "two", "three"))
 
-_SCORED = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("lp", pa.float32())])
-#: Distinct words that are scored at a time: their n-grams repeat, and each is looked up once.
-_TOGETHER = 50_000
 
+_SEEN = pa.schema([("ord", pa.int8()), ("ctx", pa.int32()), ("lvl", pa.int32()), ("n", pa.int64())])
 
-def word_scores(counts: DataFrame, shared, tokens: int, kinds: int) -> DataFrame:
-    """(word, c, lp): the model's log10 probability of each distinct word of the corpus, found once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        memo = Memo(shared.value)
+def discounts(table: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(D of each order, t of each order and context level). Order 1 has one context, of level 0.
 
-        def out() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            held.clear()
-            known = rows.column(1).to_numpy()
-            packed, width = word_grams(rows.column(0).to_pylist())
-            g, at = np.unique(packed, return_inverse=True)
-            lp = np.add.reduceat(memo.log10(g)[at], np.cumsum(width) - width)
-            if tokens:
-                free = DISCOUNT * kinds / tokens
-                seen = np.log10(np.maximum(known - DISCOUNT, 1e-9) / tokens + free * 10.0 ** np.maximum(lp, -300))
-                lp = np.where(known > 0, seen, np.log10(free) + lp)
-            return pa.RecordBatch.from_arrays([rows.column(0).combine_chunks(), pa.array(known), pa.array(lp.astype(np.float32))], schema=_SCORED)
+    Both come from the numbers of training tokens by order, context level and level: an n-gram of count c has c of them.
+    """
+    texts = model.texts
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((ORDER + 1, (LEVELS + 1) ** 2), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(b.num_rows for b in held) >= _TOGETHER:
-                yield out()
-        if held:
-            yield out()
+            for _, b, one, two, three in _rows(batch):
+                after, beyond = _contexts(b, one, two, texts)
+                for order, own, context in ((1, one, np.zeros_like(one)), (2, two, after), (3, three, beyond)):
+                    n[order] += np.bincount(context[b.learn].astype(np.int64) * (LEVELS + 1) + own[b.learn], minlength=n.shape[1])
+        order, both = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(order, pa.int8()), pa.array(both // (LEVELS + 1), pa.int32()), pa.array(both % (LEVELS + 1), pa.int32()), pa.array(n[order, both])], schema=_SEEN)
+
+    seen = table.mapInArrow(run, "ord byte, ctx int, lvl int, n long").groupBy("ord", "ctx", "lvl").agg(F.sum("n").alias("n"))
+    n = np.zeros((ORDER + 1, LEVELS + 1, LEVELS + 1))
+    for order, ctx, lvl, k in seen.toLocalIterator():  # at most a row for each order, level and level
+        n[order, ctx, lvl] = k
+    return _estimates(n)
 
-    return counts.select("word", "c").repartition("word").mapInArrow(run, "word binary, c long, lp float")
+
+def _estimates(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    once, twice = n[:, :, 1].sum(1), n[:, :, 2].sum(1) / 2
+    d = np.where((once > 0) & (twice > 0), once / np.maximum(once + 2 * twice, 1), 0.5)
+    kinds = (n[:, :, 1:] / level_values()[1:]).sum(2)
+    return d, np.where(n.sum(2) > 0, kinds / np.maximum(n.sum(2), 1), 1.0)
+
+
+class Scorer:
+    """log10 probability of tokens from the levels of their n-grams and contexts."""
+
+    def __init__(self, tokens: int, kinds: int, d: np.ndarray, t: np.ndarray):
+        value, p0 = level_values(), 1.0 / (kinds + 1)
+        self.one = np.maximum(value - d[1], 0) / max(tokens, 1) + d[1] * kinds / max(tokens, 1) * p0 if tokens else np.ones(LEVELS + 1)
+        self.free = d[:, None] * t
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.kept = [np.nan_to_num(np.maximum(np.minimum(value[:, None], value[None, :]) - x, 0) / value[None, :]) for x in d]
+
+    def log10(self, one: np.ndarray, two: np.ndarray, three: np.ndarray, after: np.ndarray, beyond: np.ndarray) -> np.ndarray:
+        p = self.one[one]
+        for k, own, context in ((2, two, after), (3, three, beyond)):
+            p = np.where(context > 0, self.kept[k][own, context] + self.free[k, context] * p, p)
+        return np.log10(np.minimum(p, 1.0))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _OUT_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scored(docs: DataFrame, folds: int = 7, held: int = 2, block_words: int = BLOCK_WORDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def scored(docs: DataFrame, folds: int = 7, held: int = 2, block_words: int = BLOCK_WORDS, shard_grams: int = SHARD_GRAMS, part_bytes: int = PART_BYTES, entry_bits: int = ENTRY_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Held out: rows whose crc32 of the id's decimal text leaves `held` modulo `folds`; null ids are not. Null or empty
-    text: the end alone. Repeated rows teach and are scored again. No training text: N = V = 0, each token's base is
-    log10(1) = 0. Very long texts: whole, in a block of their own. Empty table: no rows. Other columns are not read.
+    text: the end alone. Repeated rows teach and are scored again. No training text: N = V = 0, each token's base and
+    score are log10(1) = 0. Very long texts: whole; a block takes one in full and is closed after it. Words are told
+    apart by 64-bit hashes. Empty table: no rows. Columns other than doc_id and text are not read.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     held_out = F.coalesce(F.pmod(crc32_text(F.col("doc_id")), F.lit(folds)) == held, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     table = blocks(rows, block_words)
-    words = table.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.train").alias("n"))
-    counts = keep(words.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    ends = rows.where("not held_out").count()
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    tokens, kinds = int(total) + ends, int(distinct) + (ends > 0)
-    shared = spark.sparkContext.broadcast(build_filter(spark, keep(count_grams(counts), "lm-grams"), filter_bytes))
-
-    scores = word_scores(counts, shared, tokens, kinds)
-    back = words.select("block", "at", "word").join(scores, "word").groupBy("block").agg(F.collect_list(F.struct("at", "c", "lp")).alias("found"))
-    joined = table.select("block", "ids", "lengths", "numbers", F.size("words").alias("n")).join(back, "block", "left")
+    model = Model(table, shard_grams, part_bytes, entry_bits)
+    found = levels(table, model)
+    scorer, tokens, texts = Scorer(model.tokens, model.kinds, *discounts(found, model)), model.tokens, model.texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(1)[b].as_py(), np.int64).reshape(-1, 3)
-                n = np.frombuffer(batch.column(2)[b].as_py(), np.int64)
-                numbers = _numbers(batch.column(3)[b].as_py())
-                known, model = np.zeros(batch.column(4)[b].as_py(), np.int64), np.zeros(batch.column(4)[b].as_py())
-                found = batch.column(5)[b]
-                if found.is_valid:
-                    pairs = found.values
-                    at = pairs.field("at").to_numpy()
-                    known[at], model[at] = pairs.field("c").to_numpy(), pairs.field("lp").to_numpy()
-                base = np.log10((known + 1) / (tokens + kinds + 1))
-                edges = np.r_[0, np.cumsum(n)]
-
-                def sums(each: np.ndarray) -> np.ndarray:
-                    upto = np.r_[0.0, np.cumsum(each[numbers])] if len(numbers) else np.zeros(1)
-                    return upto[edges[1:]] - upto[edges[:-1]]
-
-                end_base = np.log10((ends + 1) / (tokens + kinds + 1))
-                end_model = float(shared.value.log10(end_gram())[0])
-                if ends:
-                    end_model = np.log10((ends - DISCOUNT) / tokens + DISCOUNT * kinds / tokens * 10.0**end_model)
+            for row, b, one, two, three in _rows(batch):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[:, 1], mask=ids[:, 0].astype(bool)),
-                        pa.array(ids[:, 2].astype(bool)),
-                        pa.array(n + 1),
-                        pa.array(sums((known > 0).astype(float)).round().astype(np.int64) + (ends > 0)),
-                        pa.array(np.full(len(n), tokens)),
-                        pa.array(sums(base) + end_base),
-                        pa.array(sums(model) + end_model),
+                        pa.array(b.ids[:, 1], mask=b.ids[:, 0].astype(bool)),
+                        pa.array(b.ids[:, 2].astype(bool)),
+                        pa.array(b.lengths + 1),
+                        pa.array(np.frombuffer(row["known"], np.int64)),
+                        pa.array(np.full(len(b.ids), tokens)),
+                        pa.array(np.frombuffer(row["base"], np.float64)),
+                        pa.array(np.add.reduceat(scorer.log10(one, two, three, *_contexts(b, one, two, texts)), b.starts)),
                     ],
                     schema=_OUT,
                 )
 
-    return joined.mapInArrow(run, _OUT_SQL)
+    return found.mapInArrow(run, _OUT_SQL)

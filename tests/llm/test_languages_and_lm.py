@@ -4,6 +4,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from invented import prose
 from pyspark.sql import functions as F
 
@@ -65,24 +67,116 @@ def test_base_score(spark, odd_docs, no_docs):
     assert bloom_lm.scored(no_docs).count() == 0
 
 
-def test_filter_counts_are_quantised_counts(spark):
+def brute_scores(rows, folds=7, k=2):
+    """Scores of all rows from dictionaries of exact counts, by the model's definition."""
+    value, split = bloom_lm.level_values(), lambda t: (t or "").encode().lower().split()
+    lv = lambda c: 0 if not c else 1 + math.floor(math.log(c) / math.log(bloom_lm.LOG_BASE) + 1e-9)
+    texts = [(["<", "<", *split(t), ">"], held(i, folds, k)) for i, t in rows]
+    grams = lambda w: [(i, tuple(w[i - n + 1 : i + 1])) for i in range(2, len(w)) for n in (1, 2, 3)]
+    c = Counter(g for w, out in texts if not out for _, g in grams(w))
+    n = sum(v for g, v in c.items() if len(g) == 1)
+    kinds = sum(len(g) == 1 for g in c)
+    c[("<",)] = c[("<", "<")] = sum(not out for _, out in texts)
+    seen, types = Counter(), Counter()
+    for w, out in texts:
+        if not out:
+            for _, g in grams(w):
+                seen[len(g), lv(c[g[:-1]])] += 1
+                types[len(g), lv(c[g[:-1]])] += 1 / value[lv(c[g])]
+    d = {}
+    for m in (1, 2, 3):
+        once, twice = (sum(v == k for g, v in c.items() if len(g) == m and g[-1] != "<") for k in (1, 2))
+        d[m] = once / (once + 2 * twice) if once and twice else 0.5
+    out = []
+    for (i, _), (w, _) in zip(rows, texts):
+        score = 0.0
+        for j in range(2, len(w)):
+            p = 1 / (kinds + 1)
+            for m in (1, 2, 3):
+                g = tuple(w[j - m + 1 : j + 1])
+                q, qc = lv(c[g]), lv(c[g[:-1]]) if m > 1 else 0
+                if m == 1:
+                    p = max(value[q] - d[1], 0) / n + d[1] * kinds / n * p if n else p
+                elif qc:
+                    p = max(min(value[q], value[qc]) - d[m], 0) / value[qc] + d[m] * types[m, qc] / max(seen[m, qc], 1) * p
+            p = min(p, 1.0)
+            score += math.log10(p)
+        out.append((i, round(score, 3)))
+    return sorted(map(repr, out))
+
+
+def test_score_by_brute_force(spark, odd_docs, sf_dir):
+    """With many bits to an entry, so that false positives are rare; once in one part and block, once in many."""
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id < 60"))
+    rows = [tuple(r) for r in docs.collect()]
+    want = brute_scores(rows)
+    for sizes in ({}, {"block_words": 3000, "shard_grams": 20_000, "part_bytes": 400_000}):
+        got = bloom_lm.scored(docs, entry_bits=400, **sizes).collect()
+        assert sorted(repr((r.doc_id, round(r.score, 3))) for r in got) == want
+
+
+def test_words_in_another_order_score_otherwise(spark):
+    rng = random.Random(7)
+    texts = [prose(rng, 60) for _ in range(40)]
+    docs = [(i, t) for i, t in enumerate(texts * 3)] + [(1000 + i, " ".join(sorted(t.split()))) for i, t in enumerate(texts)]
+    out = {r.doc_id: r for r in bloom_lm.scored(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i in range(40):
+        a, b = out[i], out[1000 + i]
+        assert a.n_tokens == b.n_tokens and (b.held_out is False or a.score > b.score + 10)
+
+
+def test_filter_levels_are_quantised_counts(spark):
     rng = np.random.default_rng(0)
-    grams = np.unique(rng.integers(0, 1 << 59, 3000))
-    n = rng.integers(1, 5000, len(grams))
-    f = bloom_lm.build_filter(spark, spark.createDataFrame([*zip(grams.tolist(), n.tolist())], "gram long, n long"))
-    got = f.counts(grams, bloom_lm.ORDER, False)
-    want = bloom_lm.LOG_BASE ** (bloom_lm.level(n) - 1.0)
-    assert (got >= want).all() and (got == want).mean() > 0.97  # a filter may overstate, never understate
-    assert (f.counts(rng.integers(0, 1 << 59, 20_000), bloom_lm.ORDER, False) == 0).mean() > 0.9
+    layout = bloom_lm.Layout(1_000_000, 100_000)
+    keys = np.unique(layout.short(layout.keys(np.arange(30_000, dtype=np.uint64), 2)))
+    n = rng.integers(1, 5000, len(keys))
+    part = bloom_lm.Part(layout, {int(s): bloom_lm.filter_words(keys[own], bloom_lm.level(n[own])) for s in np.unique(layout.shard(keys)) for own in [layout.shard(keys) == s]})
+    got = np.zeros(len(keys), np.uint8)
+    part.fill(keys, got)
+    assert (got >= bloom_lm.level(n)).all() and (got == bloom_lm.level(n)).mean() > 0.96  # a filter may overstate, never understate
+    other = np.zeros(100_000, np.uint8)
+    part.fill(layout.short(layout.keys(np.arange(1 << 40, (1 << 40) + 100_000, dtype=np.uint64), 2)), other)
+    assert 0 < (other > 0).mean() < 0.03
+    bloom_lm.Part(layout, {}).fill(keys, none := np.zeros(len(keys), np.uint8))
+    assert not none.any()
+    value = bloom_lm.level_values()
+    assert all(value[bloom_lm.level(np.array([c]))[0]] == pytest.approx(c, rel=0.25) for c in range(1, 3000))
+
+
+def test_an_empty_filter_changes_scores(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    full = {r.doc_id: r.score for r in bloom_lm.scored(docs).collect()}
+    monkeypatch.setattr(bloom_lm.Part, "fill", lambda self, short, out: None)
+    table = bloom_lm.blocks(docs.selectExpr("doc_id", "crc32(cast(cast(doc_id as string) as binary)) % 7 = 2 as held_out", "text"))
+    model = bloom_lm.Model(table)
+    model.parts = []
+    found = bloom_lm.levels(table, model)
+    scorer = bloom_lm.Scorer(model.tokens, model.kinds, *bloom_lm.discounts(found, model))
+    seen = 0
+    for row in found.collect():
+        for _, b, one, two, three in bloom_lm._rows(pa.RecordBatch.from_pylist([row.asDict()], schema=bloom_lm._LEVELS)):
+            scores = np.add.reduceat(scorer.log10(one, two, three, *bloom_lm._contexts(b, one, two, model.texts)), b.starts)
+            seen += sum(abs(full[i] - s) > 0.1 for i, s in zip(b.ids[:, 1].tolist(), scores.tolist()))
+    assert seen >= 0.99 * len(full)
 
 
 def test_model_prefers_its_language(spark):
+    """Texts in which a word leaves few choices for the next: held-out texts score above the base, strange ones below them."""
     rng = random.Random(6)
-    docs = [(i, prose(rng, 300)) for i in range(80)]
+    words = sorted(set(prose(rng, 400).split()))
+    after = {w: [rng.choice(words) for _ in range(3)] for w in words}
+
+    def text(n):
+        out = [rng.choice(words)]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return " ".join(out)
+
+    docs = [(i, text(300)) for i in range(80)]
     odd = [(1000 + i, "".join(rng.choice("qxzjwvkpy") for _ in range(6)) + " zzq") for i in range(20)]
     out = {r.doc_id: r for r in bloom_lm.scored(spark.createDataFrame(docs + odd, "doc_id long, text string")).collect()}
     fresh = [r for i, r in out.items() if i < 1000 and r.held_out]
     strange = [r for i, r in out.items() if i >= 1000 and r.held_out]
     mean = lambda rows: sum(r.score for r in rows) / sum(r.n_tokens for r in rows)
     assert fresh and strange and mean(fresh) > mean(strange)
-    assert mean(fresh) > sum(r.base_score for r in fresh) / sum(r.n_tokens for r in fresh) - 0.3
+    assert mean(fresh) > sum(r.base_score for r in fresh) / sum(r.n_tokens for r in fresh) + 1
