@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.tables import shared_folder
 from ..streaming import streams
@@ -19,10 +20,23 @@ def _folder(v: Views, name: str) -> str:
     return f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _live(v: Views, df: DataFrame, order: str, name: str, files: int = 2) -> DataFrame:
-    """df as a stream of files in time order, some files a trigger."""
-    path = _folder(v, name)
-    df.repartitionByRange(_FILES, order).sortWithinPartitions(order).write.parquet(path)
+def _live(v: Views, df: DataFrame, order: str, name: str, files: int = 2, marker: dict | None = None, time: str | None = None) -> DataFrame:
+    """df as a stream of files in the order of a column, some files a trigger.
+
+    A file source takes files by their time of change, so they are written one after another. marker: values of a last
+    row, by its time (usually the order) a day after all others, that lets the watermark pass them; its other columns
+    are null.
+    """
+    time = time or order
+    dealt, path = _folder(v, f"{name}-dealt"), _folder(v, name)
+    df.repartitionByRange(_FILES, order).sortWithinPartitions(order).withColumn("file_", F.spark_partition_id()).write.parquet(dealt)
+    rows = v.spark.read.schema(StructType([*df.schema.fields, StructField("file_", IntegerType())])).parquet(dealt)
+    for i in range(_FILES):
+        rows.where(F.col("file_") == i).drop("file_").coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
+    if marker is not None:
+        after = df.agg((F.max(time) + F.expr("INTERVAL 1 DAY")).alias(time))
+        last = after.select(*[F.col(time) if f.name == time else F.lit(marker.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema])
+        last.coalesce(1).write.mode("append").parquet(path)
     return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
@@ -31,27 +45,60 @@ def _done(v: Views, stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 _TICK = "CAST(floor({} / 60000000) AS BIGINT)"
-_LAST = f"(SELECT max({_MICROS_SQL.format('at_ts')}) FROM v_latencies)"
+_LATENCY = f"""SELECT {_TICK.format(_MICROS_SQL.format('at_ts'))} AS minute, run_id, class, count(*) AS n, CAST(quantile_disc(took_us, 0.5) AS BIGINT) AS p50,
+       CAST(quantile_disc(took_us, 0.99) AS BIGINT) AS p99, CAST(max(took_us) AS BIGINT) AS max FROM v_latencies GROUP BY ALL"""
+#: A last row that comes out nowhere: its class and run are its own.
+_LAST = {"run_id": -1, "class": "end", "took_us": 0}
 
 
-@query(f"""SELECT minute, run_id, class, n, p50, p99, max FROM (SELECT {_TICK.format(_MICROS_SQL.format('at_ts'))} AS minute, run_id, class, count(*) AS n, CAST(quantile_disc(took_us, 0.5) AS BIGINT) AS p50,
-       CAST(quantile_disc(took_us, 0.99) AS BIGINT) AS p99, CAST(max(took_us) AS BIGINT) AS max FROM v_latencies GROUP BY ALL) w WHERE (minute + 1) * 60000000 <= {_LAST} - 30000000""")
+def _minutes(v: Views) -> DataFrame:
+    return _done(v, streams.stream_latency(_live(v, v.latencies, "at_ts", "latencies", marker=_LAST))).where("run_id <> -1")
+
+
+@query(_LATENCY)
 def j1_stream_latency(v: Views) -> DataFrame:
-    out = _done(v, streams.stream_latency(_live(v, v.latencies, "at_ts", "latencies")))
-    minute = F.floor(micros("window.start") / 60_000_000).cast("long")
-    last = v.latencies.agg(F.max(micros("at_ts")).alias("last"))  # windows that the final watermark has closed
-    return out.withColumn("minute", minute).join(F.broadcast(last)).where(F.col("minute") * 60_000_000 + 60_000_000 <= F.col("last") - 30_000_000).select("minute", "run_id", "class", "n", "p50", "p99", "max")
+    return _minutes(v).select(F.floor(micros("window.start") / 60_000_000).cast("long").alias("minute"), "run_id", "class", "n", "p50", "p99", "max")
+
+
+#: Microseconds by term.
+_LIMITS = {"p50": 20_000, "p99": 60_000, "max": 90_000}
+
+
+_OVER = " UNION ALL ".join(f"SELECT minute, run_id, class, '{t}' AS term, CAST({u} AS BIGINT) AS allowed_us, {t} AS reached_us FROM l WHERE {t} > {u}" for t, u in _LIMITS.items())
+
+
+@query(f", l AS ({_LATENCY}) SELECT * FROM ({_OVER}) b WHERE class <> 'slow_read'")
+def j1_budget_breaches(v: Views) -> DataFrame:
+    found = streams.budget_breaches(_minutes(v), _LIMITS)
+    return found.select(F.floor(micros("window.start") / 60_000_000).cast("long").alias("minute"), "run_id", "class", "term", "allowed_us", "reached_us")
+
 
+_WAITS = """SELECT a.reading_no, a.run_id, a.sample_at, a.waiting_us, CASE WHEN a.wait_event IS NULL THEN '' ELSE a.wait_type || ':' || a.wait_event END AS event, coalesce(l.relation, '') AS relation FROM v_activity a
+  LEFT JOIN (SELECT sample_at, pid, relation FROM v_locks WHERE NOT granted AND locktype = 'relation') l ON l.sample_at = a.sample_at AND l.pid = a.pid WHERE a.state = 'active'"""
 
-@query(f"""SELECT a.reading_no, a.run_id, CASE WHEN a.wait_event IS NULL THEN '' ELSE a.wait_type || ':' || a.wait_event END AS event, coalesce(l.relation, '') AS relation FROM v_activity a
-  LEFT JOIN (SELECT sample_at, pid, relation FROM v_locks WHERE NOT granted AND locktype = 'relation') l ON l.sample_at = a.sample_at AND l.pid = a.pid
- WHERE a.state = 'active' AND (l.relation IS NOT NULL OR {_MICROS_SQL.format('a.sample_at')} < (SELECT max({_MICROS_SQL.format('sample_at')}) FROM v_locks) - 2 * 86400000000)""")
+
+def _waits(v: Views) -> DataFrame:
+    """Readings as stream_waits gives them, all of them: a last row on either side lets both watermarks pass."""
+    activity = _live(v, v.activity, "sample_at", "activity", marker={"state": "active", "reading_no": -1, "pid": -1})
+    locks = _live(v, v.locks, "sample_at", "locks", marker={"granted": False, "locktype": "relation", "pid": -1})
+    return _done(v, streams.stream_waits(activity, locks)).where("reading_no <> -1")
+
+
+@query(f"SELECT reading_no, run_id, event, relation FROM ({_WAITS}) w")
 def j2_stream_waits(v: Views) -> DataFrame:
-    activity, locks = v.activity, v.locks
-    out = _done(v, streams.stream_waits(_live(v, activity, "sample_at", "activity"), _live(v, locks, "sample_at", "locks")))
-    last = locks.agg(F.max(micros("sample_at")).alias("last"))
-    sure = (F.col("relation") != "") | (micros("sample_at") < F.col("last") - 2 * 86_400_000_000)
-    return out.join(F.broadcast(last)).where(sure).select("reading_no", "run_id", "event", "relation")
+    return _waits(v).select("reading_no", "run_id", "event", "relation")
+
+
+@query(f""", r AS ({_WAITS}), s AS (SELECT r.*, {_MICROS_SQL.format('sample_at')} AS us FROM r)
+SELECT CAST((floor(us / 10000000) - k) * 10000000 AS BIGINT) AS started_us, run_id, event, count(*) AS samples, CAST(coalesce(max(CASE WHEN event <> '' AND relation <> '' THEN waiting_us END), 0) AS BIGINT) AS longest_us
+  FROM s, (SELECT unnest(range(6)) AS k) w GROUP BY ALL""")
+def j2_wait_windows(v: Views) -> DataFrame:
+    path = _folder(v, "readings")
+    _waits(v).write.parquet(path)
+    readings = v.spark.read.parquet(path)
+    live = _live(v, readings, "sample_at", "waits", marker={"run_id": -1, "event": "", "relation": ""})
+    out = _done(v, streams.wait_windows(live.withWatermark("sample_at", "30 seconds")))
+    return out.where("run_id <> -1").select(micros("window.start").alias("started_us"), "run_id", "event", "samples", F.col("longest_us").cast("long").alias("longest_us"))
 
 
 @query(f"SELECT migration_no, step_no, status, attempts, error, checkpoint FROM ({_FOLD}) f")
@@ -62,15 +109,21 @@ def j3_stream_ledger(v: Views) -> DataFrame:
     return out.groupBy(*key).agg(last.alias("s")).select(*key, "s.*")
 
 
-@query()  # decided in order of arrival, which SQL does not know
+_TTL_US = 600_000_000
+
+
+@query(f""", h AS (SELECT seq, resource, owner, epoch, {_MICROS_SQL.format('at_ts')} AS at_us, epoch = max(epoch) OVER (PARTITION BY resource ORDER BY seq) AND owner = first_value(owner) OVER (PARTITION BY resource, epoch ORDER BY seq) AS ok FROM v_heartbeats)
+SELECT resource, seq, owner, epoch, at_us, CASE WHEN ok THEN 'accepted' ELSE 'refused' END AS outcome FROM h
+UNION ALL SELECT resource, -1, owner, epoch, at_us + {_TTL_US}, 'expired' FROM (SELECT *, lead(at_us) OVER (PARTITION BY resource ORDER BY seq) AS nxt FROM h WHERE ok) a WHERE coalesce(nxt > at_us + {_TTL_US}, TRUE)""")
 def j4_stream_stale_writers(v: Views) -> DataFrame:
     before = v.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
     try:
-        out = _done(v, streams.stream_stale_writers(_live(v, v.heartbeats, "seq", "beats", files=1), 600_000))
+        beats = _live(v, v.heartbeats, "seq", "beats", files=1, marker={"resource": -1, "seq": -1, "owner": "", "epoch": 0}, time="at_ts")
+        out = _done(v, streams.stream_stale_writers(beats, _TTL_US // 1000))
     finally:
         v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return out.where("outcome <> 'expired'")
+    return out.where("resource <> -1").select("resource", "seq", "owner", "epoch", micros("timestamp_micros(at_us)").alias("at_us"), "outcome")
 
 
 @query("SELECT id, legacy, coalesce(filled, legacy) AS filled FROM v_backfill")
@@ -82,16 +135,10 @@ def j5_stream_backfill(v: Views) -> DataFrame:
     return v.spark.read.schema(src.schema).parquet(*done)
 
 
-_END = f"(SELECT max({_MICROS_SQL.format('at_ts')}) FROM v_heartbeats)"
-
-
-@query(f"""SELECT resource, owner, epoch, started_us, ended_us, beats FROM (SELECT resource, owner, epoch, min(us) AS started_us, max(us) + 600000000 AS ended_us, count(*) AS beats FROM (
+@query(f"""SELECT resource, owner, epoch, min(us) AS started_us, max(us) + 600000000 AS ended_us, count(*) AS beats FROM (
 SELECT *, sum(fresh) OVER (PARTITION BY resource, owner, epoch ORDER BY us, seq) AS island FROM (
 SELECT *, CASE WHEN coalesce(us - lag(us) OVER (PARTITION BY resource, owner, epoch ORDER BY us, seq) >= 600000000, TRUE) THEN 1 ELSE 0 END AS fresh FROM (
-SELECT seq, resource, owner, epoch, {_MICROS_SQL.format('at_ts')} AS us FROM v_heartbeats) h) a) b GROUP BY resource, owner, epoch, island) c WHERE ended_us <= {_END} - 30000000""")
+SELECT seq, resource, owner, epoch, {_MICROS_SQL.format('at_ts')} AS us FROM v_heartbeats) h) a) b GROUP BY resource, owner, epoch, island""")
 def j6_session_ownership(v: Views) -> DataFrame:
-    beats = v.heartbeats
-    out = _done(v, streams.session_ownership(_live(v, beats, "at_ts", "beats"), "10 minutes"))
-    last = beats.agg(F.max(micros("at_ts")).alias("last"))
-    spans = out.withColumns({"started_us": micros("start"), "ended_us": micros("end")}).join(F.broadcast(last)).where(F.col("ended_us") <= F.col("last") - 30_000_000)
-    return spans.select("resource", "owner", "epoch", "started_us", "ended_us", "beats")
+    out = _done(v, streams.session_ownership(_live(v, v.heartbeats, "at_ts", "beats", marker={"resource": -1, "owner": "", "epoch": 0}), "10 minutes"))
+    return out.where("resource <> -1").select("resource", "owner", "epoch", micros("start").alias("started_us"), micros("end").alias("ended_us"), "beats")

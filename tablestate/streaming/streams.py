@@ -50,47 +50,60 @@ def stream_ledger(events: DataFrame) -> DataFrame:
     return ledger_fold(events)
 
 
-def stream_stale_writers(writes: DataFrame, ttl_ms: int) -> DataFrame:
+def stream_stale_writers(writes: DataFrame, ttl_ms: int, late: str = "30 seconds") -> DataFrame:
     """Each write as accepted or refused when it arrives, and the end of ownership by timeout (outcome expired, seq -1).
 
     Needs the RocksDB state store. State by resource: highest epoch, its owner and expiry, with an event-time timer.
-    writes: seq, resource, owner, epoch, at_ts.
+    writes: seq, resource, owner, epoch, at_ts. Columns: resource, seq, owner, epoch, at_us, outcome; at_us is the
+    write's time, or for expired the last accepted write's plus the time to live. An ownership expires when no write of
+    its own is accepted in that time, whether the next write or the watermark shows it. Rows of one resource that come
+    together are taken in the order of seq; a row later than `late` behind the newest is dropped and counted by Spark.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    ttl_us, columns = ttl_ms * 1000, ["resource", "seq", "owner", "epoch", "at_us", "outcome"]
+
     class Fence(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.held = handle.getValueState("held", "epoch long, owner string, expires long")
+            self.held = handle.getValueState("held", "epoch long, owner string, last long, open boolean")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            held = self.held.get() if self.held.exists() else (-(1 << 62), "", 0)
-            out = []
-            for row in sorted((r for part in rows for r in part.itertuples(index=False)), key=lambda r: r.seq):
-                epoch, owner, expires = held
-                if row.epoch > epoch:
-                    epoch, owner = int(row.epoch), row.owner
-                ok = row.epoch == epoch and row.owner == owner
-                if ok:
-                    expires = max(int(expires), int(row.at_ts.timestamp() * 1000) + ttl_ms)
-                held = (epoch, owner, expires)
-                out.append((key[0], int(row.seq), row.owner, int(row.epoch), "accepted" if ok else "refused"))
+            df = pd.concat(rows).sort_values("seq", kind="stable", ignore_index=True)
+            epoch, owner, last, still = self.held.get() if self.held.exists() else (-(1 << 62), None, 0, False)
+            # Runs of equal (highest epoch so far) have one owner: the writer of the first row that has that epoch.
+            top = df["epoch"].cummax().clip(lower=epoch)
+            taker = df["owner"].where((top > top.shift(fill_value=epoch))).ffill()
+            taker = taker.where(top > epoch, owner)
+            ok = (df["epoch"] == top) & (df["owner"] == taker)
+            us = df["us"]
+            out = pd.DataFrame({"resource": key[0], "seq": df["seq"], "owner": df["owner"], "epoch": df["epoch"], "at_us": us, "outcome": ok.map({True: "accepted", False: "refused"})})
+            mine = pd.DataFrame({"epoch": top[ok], "owner": taker[ok], "at_us": us[ok].cummax()})
+            if still:
+                mine = pd.concat([pd.DataFrame({"epoch": [epoch], "owner": [owner], "at_us": [last]}), mine], ignore_index=True)
+            ended = mine[mine["at_us"].shift(-1) > mine["at_us"] + ttl_us]
+            gone = pd.DataFrame({"resource": key[0], "seq": -1, "owner": ended["owner"], "epoch": ended["epoch"], "at_us": ended["at_us"] + ttl_us, "outcome": "expired"})
+            if len(mine):
+                last, still = int(mine["at_us"].iloc[-1]), True
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            if held[2]:
-                self.handle.registerTimer(held[2])
-            self.held.update(held)
-            yield pd.DataFrame(out, columns=["resource", "seq", "owner", "epoch", "outcome"])
+            if still:
+                self.handle.registerTimer((last + ttl_us) // 1000 + 1)
+            if len(df):
+                epoch, owner = int(top.iloc[-1]), taker.iloc[-1]
+            self.held.update((epoch, owner, last, still))
+            yield pd.concat([out, gone])[columns].astype({"resource": "int64", "seq": "int64", "epoch": "int64", "at_us": "int64"})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            epoch, owner, _ = self.held.get()
-            yield pd.DataFrame([(key[0], -1, owner, epoch, "expired")], columns=["resource", "seq", "owner", "epoch", "outcome"])
+            epoch, owner, last, _ = self.held.get()
+            self.held.update((epoch, owner, last, False))
+            yield pd.DataFrame([(key[0], -1, owner, epoch, last + ttl_us, "expired")], columns=columns)
 
         def close(self) -> None:
             pass
 
-    keyed = writes.withWatermark("at_ts", "0 seconds").groupBy("resource")
-    return keyed.transformWithStateInPandas(Fence(), "resource long, seq long, owner string, epoch long, outcome string", "Append", "EventTime")
+    keyed = writes.withColumn("us", F.unix_micros(F.col("at_ts").cast("timestamp"))).withWatermark("at_ts", late).groupBy("resource")
+    return keyed.transformWithStateInPandas(Fence(), "resource long, seq long, owner string, epoch long, at_us long, outcome string", "Append", "EventTime")
 
 
 def stream_backfill(rows: DataFrame, key: str, changes: dict[str, Column], needs_work: Column, out: str, checkpoint: str) -> StreamingQuery:
@@ -114,10 +127,20 @@ def session_ownership(beats: DataFrame, gap: str, late: str = "30 seconds") -> D
     return beats.withWatermark("at_ts", late).groupBy(s, "resource", "owner", "epoch").agg(F.count("*").alias("beats")).select("resource", "owner", "epoch", "session_window.start", "session_window.end", "beats")
 
 
-def run_once(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
+class LateRows(RuntimeError):
+    """Rows came later than the watermark forgives and were dropped."""
+
+
+def rows_dropped(query: StreamingQuery) -> int:
+    """Rows that the query's stateful operators have dropped as late, as far as its progress reports go back."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
+def run_once(df: DataFrame, out: str, checkpoint: str, mode: str = "append", allow_late: bool = False) -> DataFrame:
     """Run a streaming DataFrame over what is there now and return what it wrote.
 
-    In update mode each micro-batch's rows are kept under its number, in a column batch.
+    In update mode each micro-batch's rows are kept under its number, in a column batch. Raises LateRows if rows were
+    dropped as late, unless that is allowed.
     """
     schema = StructType(df.schema.fields)
     if mode == "append":
@@ -125,5 +148,9 @@ def run_once(df: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
     else:
         schema = schema.add("batch", IntegerType())
         writer = df.writeStream.foreachBatch(lambda part, n: part.write.mode("overwrite").parquet(f"{out}/batch={n}"))
-    writer.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = writer.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    dropped = rows_dropped(query)
+    if dropped and not allow_late:
+        raise LateRows(f"{dropped} rows came later than the watermark forgives")
     return df.sparkSession.read.schema(schema).parquet(out)
