@@ -135,6 +135,19 @@ def test_search_ends_when_no_exchange_helps():
                 assert not any(0 < x - y <= 100 - fill[b] for x in gives for y in [0, *(few[i] for i in other)])
 
 
+def test_search_beats_best_fit_and_never_loses_to_it():
+    for seed, (low, high) in enumerate([(500, 1000), (300, 900), (30, 700), (1, 2047)]):
+        rng = random.Random(seed)
+        lengths = [rng.randint(low, high) for _ in range(2000)]
+        bins, plain = packing.pack_group(lengths, 2048), packing.best_fit(lengths, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(2000)) and all(sum(lengths[i] for i in b) <= 2048 for b in bins)
+        assert len(bins) <= len(plain)
+        assert low < 300 or len(bins) < len(plain)  # pieces of a third to two thirds of a bin
+        first = packing.next_fit(lengths, 2048)
+        searched = packing.improve(first, lengths, 2048)
+        assert len(searched) < 0.95 * len(first)  # the search alone empties bins
+
+
 def test_open_bins_go_on_to_the_last_round(spark, monkeypatch):
     rows = [(i, 40 if i % 2 else 41) for i in range(2000)]  # two of three to a bin: rooms of 18 to 20 close no bin
     seen = []
