@@ -4,7 +4,7 @@ Documents are indexed in shards. A shard lays its documents' words on one line o
 documents that no window can cross, and stores for each term its sorted positions (postings). The test items' windows
 are then looked up in every shard: the postings of a window's rarest term in the shard give candidate starts, which
 are intersected, rarest first, with the other terms' postings moved back by their offsets. What remains are exact
-phrase matches; with a slack, each term may be that many words off its place (proximity matches). Only postings of
+phrase matches; with a slack, each term may be that many words off its place after one start (proximity matches). Only postings of
 terms that occur in some item are read back, and a shard is searched by one task, so no group grows with the corpus.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, marked, prepare
+from .common import keep, marked, prepare, unused
 
 WINDOW = 10
 #: A shard is closed when it holds this many words (bounds its memory and positions).
@@ -34,13 +34,13 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_WORDS).split()
 
 
-def _windows(items: list[tuple[str, str]], window: int) -> dict[tuple[bytes, ...], list[str]]:
+def _windows(items: list[tuple[str | None, str]], window: int) -> dict[tuple[bytes, ...], list[str]]:
     """Each distinct window and the items that have it."""
     out: dict[tuple[bytes, ...], set[str]] = {}
     for item, text in items:
         w = words_of(text)
         for i in range(max(1, len(w) - window + 1) if w else 0):
-            out.setdefault(tuple(w[i : i + window]), set()).add(item)
+            out.setdefault(tuple(w[i : i + window]), set()).update([item] if item is not None else [])
     return {k: sorted(v) for k, v in out.items()}
 
 
@@ -102,17 +102,23 @@ def build_index(docs: DataFrame, gap: int, id_col: str = "doc_id", text_col: str
 
 
 def find(postings: list[np.ndarray], slack: int = 0) -> tuple[np.ndarray, int]:
-    """(positions of the rarest term, its offset) where term j of each list occurs j words on, give or take slack."""
+    """(positions of the rarest term, its offset) such that term j of the lists occurs at j words after some start, give or take slack.
+
+    The start is the same for all terms and itself within slack of what the rarest term's position gives, so that the
+    answer does not depend on which term is rarest.
+    """
     order = sorted(range(len(postings)), key=lambda j: len(postings[j]))
     rarest = order[0]
-    at = postings[rarest]
+    at = np.repeat(postings[rarest], 2 * slack + 1)
+    start = at - rarest + np.tile(np.arange(-slack, slack + 1), len(postings[rarest]))
     for j in order[1:]:
         if not len(at):
             break
-        p, low = postings[j], at + (j - rarest - slack)
+        p, low = postings[j], start + (j - slack)
         i = np.minimum(np.searchsorted(p, low), len(p) - 1)
-        at = at[(p[i] >= low) & (p[i] <= low + 2 * slack)]
-    return at, rarest
+        good = (p[i] >= low) & (p[i] <= low + 2 * slack)
+        at, start = at[good], start[good]
+    return (np.unique(at) if slack else at), rarest
 
 
 def search_shard(head: np.ndarray, postings: dict[bytes, np.ndarray], windows: dict[tuple[bytes, ...], list[str]], slack: int) -> pd.DataFrame:
@@ -146,7 +152,7 @@ def _item_blocks(benchmark: DataFrame, window: int, block: int) -> Iterator[dict
     """The items' windows in blocks of bounded size; items come to the driver one at a time."""
     items, n = [], 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null").toLocalIterator():
-        items.append((item if item is not None else "", text))
+        items.append((item, text))
         n += max(1, len(text) // 4)
         if n >= block:
             yield _windows(items, window)
@@ -177,9 +183,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """doc_id, n_words, n_hit, items (array of item ids), near_items for each row of docs.
 
     A window: `window` consecutive words of an item, or all of a shorter one. near_items: items with a window whose
-    words all occur within slack words of their places (empty when slack is 0). Null or empty texts have no words;
+    words all occur within slack words of their places after one start, so up to 2 * slack words may stand between them
+    (empty when slack is 0). Null or empty texts have no words;
     null ids and repeated rows are kept as they are; an item without words has no window; equal items match alike and
-    each counts. Very long texts make a shard of their own. Empty benchmark: no hits. Empty docs: no rows.
+    each is listed; an item_id that occurs twice is listed once; an item without an id hits and is not listed. Very long
+    texts: a shard takes one whole and is closed after it. Empty benchmark: no hits. Empty docs: no rows. Other columns
+    are not read.
     """
     spark = prepare(docs.sparkSession)
     index = build_index(docs, window + 2 * slack + 2, id_col, text_col, shard_words)
@@ -223,9 +232,11 @@ def _documents(spark: SparkSession, heads: DataFrame, found: DataFrame | None) -
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no window of an item occurs, with all their columns.
 
-    Rows are told apart by a row number given before the index is built, so ids may be null or repeated.
+    Rows are told apart by a row number given before the index is built, so ids may be null or repeated; its name and
+    the mark's are ones that docs lacks. Null and empty texts stay. Empty tables: no rows, or docs as it is.
     """
     prepare(docs.sparkSession)
-    numbered = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    bad = keep(contamination(numbered, benchmark, window, id_col="__row").where("n_hit > 0").select("doc_id"), "contaminated")
-    return marked(numbered, bad, "__row", "__bad").where(~F.col("__bad")).drop("__row", "__bad")
+    row, bad = unused("row_number", docs), unused("is_bad", docs)
+    numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = keep(contamination(numbered, benchmark, window, id_col=row).where("n_hit > 0").select("doc_id"), "contaminated")
+    return marked(numbered, found, row, bad).where(~F.col(bad)).drop(row, bad)

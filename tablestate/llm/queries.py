@@ -75,5 +75,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_html_extraction, op2_kneser_ney_quality, op3_best_fit_packing, op4_quality_rules, op5_simhash_anchors, op6_decontamination, op7_language_id, op8_warc_bundles, op9_bloom_lm, op10_token_index)}
 
 
+#: Words by op6: A-Z to a-z, then runs of what is no ASCII sign or space.
+_OP6_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_OP6_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_OP6_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+win AS (SELECT array_to_string(w[i + 1 : i + 10], ' ') AS words, least(len(w), 10) AS n, list(DISTINCT item) AS items
+          FROM (SELECT item, w, unnest(range(greatest(len(w) - 10, 0) + 1)) AS i FROM b WHERE len(w) > 0) x GROUP BY ALL),
+runs AS (SELECT r, i, array_to_string(w[i + 1 : i + n], ' ') AS words, n
+         FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM win) l WHERE len(w) >= n) x),
+found AS (SELECT runs.r, runs.i, runs.n, win.items FROM runs JOIN win ON win.words = runs.words AND win.n = runs.n),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) x GROUP BY r),
+named AS (SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, unnest(items) AS item FROM found) x GROUP BY r),
+pos AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+term AS (SELECT words, n, items, unnest(string_split(words, ' ')) AS word, unnest(range(n)) AS j FROM win),
+rare AS (SELECT words, arg_min(word, c) AS word, arg_min(j, c) AS j FROM (SELECT term.*, (SELECT count(*) FROM pos WHERE pos.word = term.word) AS c FROM term) x GROUP BY words),
+begun AS (SELECT DISTINCT words, r, p - j + s AS s FROM rare JOIN pos USING (word), (SELECT unnest(range(-2, 3)) AS s) k),
+close AS (SELECT begun.words, begun.r, begun.s FROM begun JOIN term ON term.words = begun.words
+            JOIN pos ON pos.r = begun.r AND pos.word = term.word AND abs(pos.p - begun.s - term.j) <= 2
+           GROUP BY ALL HAVING count(DISTINCT term.j) = max(term.n)),
+near AS (SELECT r, count(DISTINCT item) AS n_near_items FROM (SELECT r, unnest(items) AS item FROM close JOIN win USING (words)) x GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+  FROM d LEFT JOIN hits USING (r) LEFT JOIN named USING (r) LEFT JOIN near USING (r)"""
+
+#: base32 of a SHA-1: five hexadecimal digits are four letters.
+_OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+x AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS last FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda k:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(CAST('0x' || substr(hex, CAST(5 * g + 1 AS INTEGER), 5) AS INTEGER) // CAST(power(32, 3 - k) AS INTEGER) % 32 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+  FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": _OP6_SQL, "op8_warc_bundles": _OP8_SQL}
