@@ -2,35 +2,46 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _tenths(x: Column) -> Column:
-    """One decimal, half up, without thousands separators."""
-    t = F.round(x * 10).cast("long")
-    return F.concat(F.floor(t / 10).cast("long").cast("string"), F.lit("."), (t % 10).cast("string"))
+def _half_up(x: Column) -> Column:
+    """The nearest whole number, halves up, as long: floor stays a machine operation where round goes through decimals."""
+    return F.floor(x + 0.5).cast("long")
+
+
+def _scaled(n: Column, steps: tuple[tuple[int, str], ...]) -> Column:
+    """n over the largest step that it reaches, with one decimal and the step's unit. n reaches the last step.
+
+    The number is named once, so that generated code stays small.
+    """
+    (size, unit), *rest = steps
+    by, name = F.when(n >= size, size), F.when(n >= size, unit)
+    for size, unit in rest[:-1]:
+        by, name = by.when(n >= size, size), name.when(n >= size, unit)
+    size, unit = rest[-1]
+    tenths = _half_up(n / by.otherwise(size) * 10)
+    return F.concat((tenths.cast("decimal(19,0)") * F.lit(Decimal("0.1"))).cast("string"), name.otherwise(unit))
 
 
 def humanize_rows(n: Column) -> Column:
     """1234567 → 1.2M; steps of 1000."""
-    out = F.when(n >= 10**9, F.concat(_tenths(n / 10**9), F.lit("B")))
-    return out.when(n >= 10**6, F.concat(_tenths(n / 10**6), F.lit("M"))).when(n >= 10**3, F.concat(_tenths(n / 10**3), F.lit("k"))).otherwise(n.cast("string"))
+    return F.when(n >= 1000, _scaled(n, ((10**9, "B"), (10**6, "M"), (10**3, "k")))).otherwise(n.cast("string"))
 
 
 def humanize_bytes(n: Column) -> Column:
     """365072220160 → 340.0 GB; steps of 1024."""
-    out = F.when(n >= 1 << 40, F.concat(_tenths(n / (1 << 40)), F.lit(" TB")))
-    for size, unit in ((1 << 30, " GB"), (1 << 20, " MB"), (1 << 10, " kB")):
-        out = out.when(n >= size, F.concat(_tenths(n / size), F.lit(unit)))
-    return out.otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    return F.when(n >= 1024, _scaled(n, ((1 << 40, " TB"), (1 << 30, " GB"), (1 << 20, " MB"), (1 << 10, " kB")))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def humanize_duration(us: Column) -> Column:
     """Microseconds: 2280000000 → 38m0s; hours rounded to minutes, minutes to seconds, less to tenths."""
-    minutes = F.round(us / 6e7).cast("long")
-    seconds = F.round(us / 1e6).cast("long")
-    tenths = F.round(us / 1e5).cast("long")
+    minutes = _half_up(us / 6e7)
+    seconds = _half_up(us / 1e6)
+    tenths = _half_up(us / 1e5)
     text = lambda *c: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in c])
     s = lambda c: F.floor(c).cast("long").cast("string")
     part = F.when(tenths % 10 == 0, text(s(tenths / 10), "s")).otherwise(text(s(tenths / 10), ".", (tenths % 10).cast("string"), "s"))

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the pacing rule: batch sizes, target time, growth.
@@ -131,7 +131,8 @@ def run_backfill(
 ) -> DataFrame:
     """Rewrite src into out, wave by wave of consecutive slices, and return the rows that are committed.
 
-    A wave is one job that writes wave=<n>/ by overwrite; then a manifest row, written whole, commits it. A run that
+    A wave is one job that writes wave=<n>/ by overwrite and counts on the way what it rewrites and what would still
+    need work; then a manifest row, written whole, commits it. A run that
     was stopped begins after the last committed wave. Slices are independent, so those of a wave run in parallel; a
     range predicate on the key prunes row groups. The next wave's slices follow the pacing rule. Null keys are written
     with the last wave, unchanged. crash, for tests, is called before the data and before the manifest row of a wave.
@@ -149,17 +150,17 @@ def run_backfill(
         if crash:
             crash("data", wave)
         began = time.time()
-        apply_slices(part, key, needs_work, changes, position, hi).write.mode("overwrite").parquet(f"{out}/wave={wave}")
-        took = int(1000 * (time.time() - began))
-        touched = part.where(needs_work).count()
+        before, after = Observation(), Observation()
+        seen = part.observe(before, F.count_if(needs_work).alias("n"))
+        rewritten = apply_slices(seen, key, needs_work, changes, position, hi).observe(after, F.count_if(needs_work & F.col(key).isNotNull()).alias("n"))
+        rewritten.write.mode("overwrite").parquet(f"{out}/wave={wave}")
+        took, touched = int(1000 * (time.time() - began)), before.get["n"]
+        if after.get["n"]:
+            raise RuntimeError("rows still need work after their slice was rewritten")
         if crash:
             crash("manifest", wave)
         spark.createDataFrame([(wave, hi, touched, took)], _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest/{wave}")
         per_slice = took / slices
         slices = max(1, slices // 2) if per_slice > TARGET_MS else slices * 5 // 4
         position, wave = hi, wave + 1
-    rows = committed(spark, out, src.schema)
-    left = rows.where(needs_work & F.col(key).isNotNull()).limit(1).count()
-    if left:
-        raise RuntimeError("rows still need work after the last slice")
-    return rows
+    return committed(spark, out, src.schema)

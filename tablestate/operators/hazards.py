@@ -2,7 +2,8 @@
 
 actions: repo, migration_no, step_no, stmt_no, action_no, step_kind, no_lock_timeout, action_kind, schema_name,
 relation, column_name, referenced, constraint_name, type_name, type_mod, concurrent, not_valid, if_exists, has_where,
-filled_by, condition_text, label. A statement's place is (migration_no, step_no, stmt_no); a migration is a file.
+filled_by, condition_text, label, lock_mode. A statement's place is (migration_no, step_no, stmt_no); a migration is a
+file. lock_mode is the mode that a lock_table action names (null: the strongest).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ STEP = ["repo", "migration_no", "step_no"]
 #: What each action locks on a Postgres server. Modes 1 access share, 2 row share, 3 row exclusive,
 #: 4 share update exclusive, 5 share, 6 share row exclusive, 7 exclusive, 8 access exclusive; durations 1 instant,
 #: 2 scan, 3 rewrite, 4 index build. None: any. Columns: action, concurrent, not valid, filled by, version from and
-#: to, locked side, mode, duration, implicit, reason.
+#: to, locked side, mode (None: the one that the action names), duration, implicit, reason.
 RULES = [
     ("create_index", True, None, None, 0, 99, "relation", 4, 4, False, "built beside traffic"),
     ("create_index", False, None, None, 0, 99, "relation", 5, 4, False, "built while writers wait"),
@@ -78,6 +79,7 @@ RULES = [
     ("detach_partition", False, None, None, 0, 99, "relation", 8, 1, False, "partition detached"),
     ("detach_partition", False, None, None, 0, 99, "referenced", 8, 1, False, "partition detached"),
     ("alter_other", None, None, None, 0, 99, "relation", 8, 1, False, "other change"),
+    ("lock_table", None, None, None, 0, 99, "relation", None, 1, False, "locked by name until the transaction ends"),
     ("select", None, None, None, 0, 99, "relation", 1, 2, False, "read"),
     ("select_for_update", None, None, None, 0, 99, "relation", 2, 2, False, "read and locked"),
     ("insert", None, None, None, 0, 99, "relation", 3, 1, False, "written"),
@@ -94,13 +96,15 @@ def rule_table(spark: SparkSession) -> DataFrame:
 def effects(actions: DataFrame, version: int = 16) -> DataFrame:
     """actions with locked, mode, duration, implicit, reason, ord: a row for each lock. Actions that lock nothing have none.
 
-    A broadcast join with the fixed rule table; flags and the version's range decide among a kind's rules.
+    A broadcast join with the fixed rule table; flags and the version's range decide among a kind's rules. Actions
+    without a column lock_mode name none.
     """
     r = F.broadcast(rule_table(actions.sparkSession).where((F.col("version_from") <= version) & (F.col("version_to") >= version)))
     same = lambda rule, own: F.col(rule).isNull() | (F.col(rule) == F.col(own))
     joined = actions.join(r, (F.col("kind") == F.col("action_kind")) & same("r_concurrent", "concurrent") & same("r_not_valid", "not_valid") & same("r_filled_by", "filled_by"))
     locked = F.when(F.col("side") == "relation", F.col("relation")).otherwise(F.col("referenced"))
-    return joined.withColumn("locked", locked).drop("kind", "r_concurrent", "r_not_valid", "r_filled_by", "version_from", "version_to", "side")
+    named = F.coalesce("lock_mode", F.lit(8)).cast("int") if "lock_mode" in actions.columns else F.lit(8)
+    return joined.withColumns({"locked": locked, "mode": F.coalesce("mode", named)}).drop("kind", "r_concurrent", "r_not_valid", "r_filled_by", "version_from", "version_to", "side")
 
 
 def outside_transaction(version: int = 16) -> Column:
@@ -162,12 +166,13 @@ _SPEC = ["type_name", "type_mod"]
 def type_before(actions: DataFrame) -> DataFrame:
     """Type changes with prior (name, modifier): the column's last known type strictly before, across files; null if unknown.
 
-    An as-of lookup as one sort by (repo, relation, column): probes stand before the events of their own statement.
+    An as-of lookup as one sort by (repo, relation, column): probes stand before the events of their own statement, of
+    which the last action counts for later ones.
     """
     spec = F.struct(*_SPEC)
     known = actions.where(F.col("action_kind").isin("add_column", "alter_type")).withColumns({"__spec": spec, "__turn": F.lit(1)})
     asked = actions.where("action_kind = 'alter_type'").withColumns({"__spec": F.lit(None).cast(known.schema["__spec"].dataType), "__turn": F.lit(0)})
-    w = Window.partitionBy("repo", F.lower("relation"), F.lower("column_name")).orderBy("migration_no", "step_no", "stmt_no", "__turn").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("repo", F.lower("relation"), F.lower("column_name")).orderBy("migration_no", "step_no", "stmt_no", "__turn", "action_no").rowsBetween(Window.unboundedPreceding, 0)
     return asked.unionByName(known).withColumn("prior", F.last("__spec", ignorenulls=True).over(w)).where("__turn = 0").drop("__spec", "__turn")
 
 
@@ -192,22 +197,23 @@ def lock_domains(actions: DataFrame, parents: DataFrame, view_bases: DataFrame,
     """(step, n_domains, n_stmts): transactions that block two or more independent tables by two or more statements.
 
     Relations stand for their parents (the last parent in the lineage wins); a view counts only if its base is not
-    locked by the same step.
+    locked by the same step. The locks are computed once: what a step locks is gathered beside each of its rows.
     """
     last = parents.groupBy("repo", F.lower("relation").alias("__r")).agg(F.max_by("parent", F.struct("migration_no", "ord")).alias("__parent"))
     e = blockable(effects(actions.where("step_kind = 'ddl_tx'"), version), actions).where("blockable and mode >= 5").withColumn("__r", F.lower("locked"))
-    locked = e.select(*STMT, "__r").distinct()
-    bases = view_bases.select("repo", F.lower("relation").alias("__r"), F.lower("base").alias("__base")).distinct()
-    covered = locked.select(*STEP, "__r").distinct().join(bases, ["repo", "__r"]).join(locked.select(*STEP, F.col("__r").alias("__base")).distinct(), [*STEP, "__base"], "left_semi").select(*STEP, "__r").distinct()
-    own = locked.join(covered, [*STEP, "__r"], "left_anti").join(last, ["repo", "__r"], "left")
+    bases = view_bases.groupBy("repo", F.lower("relation").alias("__r")).agg(F.collect_set(F.lower("base")).alias("__bases"))
+    locked = e.groupBy(*STEP, "__r").agg(F.collect_set("stmt_no").alias("__stmts"))
+    beside = locked.withColumn("__all", F.collect_set("__r").over(Window.partitionBy(*STEP))).join(bases, ["repo", "__r"], "left")
+    own = beside.where(~F.coalesce(F.arrays_overlap("__bases", "__all"), F.lit(False))).join(last, ["repo", "__r"], "left")
     domain = F.coalesce(F.lower("__parent"), "__r")
-    return own.groupBy(*STEP).agg(F.count_distinct(domain).alias("n_domains"), F.count_distinct("stmt_no").alias("n_stmts")).where("n_domains >= 2 and n_stmts >= 2")
+    counted = own.groupBy(*STEP).agg(F.count_distinct(domain).alias("n_domains"), F.size(F.array_distinct(F.flatten(F.collect_list("__stmts")))).cast("long").alias("n_stmts"))
+    return counted.where("n_domains >= 2 and n_stmts >= 2")
 
 
 def long_work_with_company(actions: DataFrame, version: int = 16) -> DataFrame:
     """(step, stmt_no, locked, duration, others): the heaviest row work of a transaction and the other blocking statements with it."""
     e = blockable(effects(actions.where("step_kind = 'ddl_tx'"), version), actions).where("blockable")
-    rank = F.struct(F.col("duration"), -F.col("stmt_no"), -F.col("ord"))
+    rank = F.struct(F.col("duration"), -F.col("stmt_no"), -F.col("action_no"), -F.col("ord"))
     heavy = e.where("not implicit and duration >= 2").groupBy(*STEP).agg(F.max_by(F.struct("stmt_no", "locked", "duration"), rank).alias("h"))
     blocking = e.where("mode >= 5").select(*STEP, F.col("stmt_no").alias("__s")).distinct()
     joined = heavy.join(blocking, STEP).where("__s <> h.stmt_no")
@@ -257,15 +263,49 @@ def not_null_proof(probes: DataFrame, actions: DataFrame) -> DataFrame:
     return probes.join(proof, ["repo", "migration_no", "relation"], "left").withColumn("proven", F.coalesce("__p", F.lit(False))).drop("__p")
 
 
+def _heaviest(spark: SparkSession, version: int) -> DataFrame:
+    """(kind, its flags) with the longest duration of its explicit locks: the rule table, flags written out."""
+    rules = [r for r in RULES if r[4] <= version <= r[5] and not r[9]]
+    fills = sorted({r[3] for r in rules if r[3] is not None}) + [""]
+    fits = lambda rule, own: rule is None or rule == own
+    rows = []
+    for kind in sorted({r[0] for r in rules}):
+        for beside in (True, False):
+            for unchecked in (True, False):
+                for fill in fills:
+                    found = [r[8] for r in rules if r[0] == kind and fits(r[1], beside) and fits(r[2], unchecked) and fits(r[3], fill)]
+                    if found:
+                        rows.append((kind, beside, unchecked, fill, max(found)))
+    return spark.createDataFrame(rows, "action_kind string, __beside boolean, __unchecked boolean, __fill string, duration int")
+
+
 def with_context(actions: DataFrame, stats: DataFrame, version: int = 16) -> DataFrame:
-    """actions with what the rules look at: created, column_added, proven, in_place, duration, sized, large."""
-    ctx = not_null_proof(column_added_in_file(created_here(actions, actions), actions), actions)
-    place = [*STMT, "action_no"]
-    typed = in_place_type_change(type_before(actions)).select(*place, "in_place")
-    worst = effects(actions, version).where("not implicit").groupBy(*place).agg(F.max("duration").alias("duration"))
-    ctx = ctx.join(typed, place, "left").join(worst, place, "left").join(stats.select("relation", "exists", "n_rows", "n_bytes"), "relation", "left")
+    """actions with what the rules look at: created, column_added, proven, in_place, duration, sized, large.
+
+    The same columns as created_here, column_added_in_file, not_null_proof and in_place_type_change give, but as windows
+    over one partitioning by file; only type changes are looked up across files, apart from the rest.
+    """
+    typed = in_place_type_change(type_before(actions)).drop("prior")
+    rest = actions.where("action_kind is null or action_kind <> 'alter_type'").withColumn("in_place", F.lit(False))
+    rows = rest.unionByName(typed).repartition("repo", "migration_no")
+    kind, place, schema = F.col("action_kind"), F.struct("step_no", "stmt_no"), F.col("schema_name")
+    file = ["repo", "migration_no", "relation"]
+    over = lambda c, *more: c.over(Window.partitionBy(*file, *more))
+    made = kind.isin("create_table", "create_partition", "create_referencing")
+    any_, bare, same = (over(F.min(F.when(made & w, place)), *more) for w, more in ((F.lit(True), ()), (schema == "", ()), (F.lit(True), ("schema_name",))))
+    rows = rows.withColumns({"__any": any_, "__bare": bare})
+    rows = rows.withColumns({"__same": same, "column_added": F.coalesce(over(F.min(F.when(kind == "add_column", place)), "column_name") < place, F.lit(False))})
+    both = over(F.max((kind == "add_check").cast("int")), "constraint_name") * over(F.max((kind == "validate_constraint").cast("int")), "constraint_name")
+    rows = rows.withColumn("__both", both).withColumn("proven", F.coalesce(over(F.max("__both")), F.lit(0)) == 1)
+    created = F.when(schema == "", F.col("__any")).otherwise(F.least("__bare", "__same")) < place
+    rows = rows.withColumn("created", F.coalesce(created, F.lit(False))).drop("__any", "__bare", "__same", "__both")
+    heaviest = _heaviest(actions.sparkSession, version)
+    fills = [r[3] for r in RULES if r[3] is not None]
+    flags = {"__beside": F.coalesce("concurrent", F.lit(False)), "__unchecked": F.coalesce("not_valid", F.lit(False)), "__fill": F.when(F.col("filled_by").isin(*fills), F.col("filled_by")).otherwise("")}
+    rows = rows.withColumns(flags).join(F.broadcast(heaviest), ["action_kind", *flags], "left").drop(*flags)
+    ctx = rows.join(stats.select("relation", "exists", "n_rows", "n_bytes"), "relation", "left")
     size = [F.col("exists"), F.col("n_rows"), F.col("n_bytes")]
-    return ctx.withColumns({"sized": size_grade(*size), "large": is_large(*size), "in_place": F.coalesce("in_place", F.lit(False)), "duration": F.coalesce("duration", F.lit(0))}).drop("exists", "n_rows", "n_bytes")
+    return ctx.withColumns({"sized": size_grade(*size), "large": is_large(*size), "duration": F.coalesce("duration", F.lit(0))}).drop("exists", "n_rows", "n_bytes")
 
 
 def predicate_table(version: int = 16) -> list[tuple[str, Column, Column]]:

@@ -46,9 +46,13 @@ def a2_slice_plan(v: Views) -> DataFrame:
     return backfill.slice_plan(v.backfill, "id", BATCH).select("id", "slice_no", "lo", "hi")
 
 
-@query("SELECT id, legacy, CASE WHEN id > 2000 AND id <= 7000 AND filled IS NULL THEN legacy ELSE filled END AS filled FROM v_backfill")
+@query("""SELECT id, legacy, CASE WHEN id > lo AND id <= hi AND filled IS NULL THEN legacy ELSE filled END AS filled
+  FROM v_backfill, (SELECT min(id) + (max(id) - min(id)) // 4 AS lo, max(id) - (max(id) - min(id)) // 4 AS hi FROM v_backfill) k""")
 def a3_apply_slices(v: Views) -> DataFrame:
-    return backfill.apply_slices(v.backfill, "id", work(), change(), 2000, 7000)
+    """The middle half of the key range."""
+    low, high = backfill.key_bounds(v.backfill, "id").first()
+    quarter = (high - low) // 4
+    return backfill.apply_slices(v.backfill, "id", work(), change(), low + quarter, high - quarter)
 
 
 @query(_COUNTS)
@@ -74,9 +78,12 @@ def a7_remaining(v: Views) -> DataFrame:
     return backfill.remaining(v.backfill, work())
 
 
-@query("SELECT count(CASE WHEN id > 5000 AND filled IS NOT NULL THEN 1 END) AS filled_above, count(CASE WHEN id <= 5000 AND filled IS NULL THEN 1 END) AS unfilled_at_or_below FROM v_backfill")
+@query("""SELECT count(CASE WHEN id > cut AND filled IS NOT NULL THEN 1 END) AS filled_above, count(CASE WHEN id <= cut AND filled IS NULL THEN 1 END) AS unfilled_at_or_below
+  FROM v_backfill, (SELECT min(id) + (max(id) - min(id)) // 2 AS cut FROM v_backfill) k""")
 def a8_cursor_audit(v: Views) -> DataFrame:
-    return backfill.cursor_audit(v.backfill, "id", work(), 5000)
+    """A cursor in the middle of the key range."""
+    low, high = backfill.key_bounds(v.backfill, "id").first()
+    return backfill.cursor_audit(v.backfill, "id", work(), low + (high - low) // 2)
 
 
 @query("SELECT id, legacy, coalesce(filled, legacy) AS filled FROM v_backfill")
@@ -303,17 +310,19 @@ def _held(beats: DataFrame) -> DataFrame:
     return beats.select("resource", "owner", micros("at_ts").alias("started"), (micros("at_ts") + 20_000_000_000).alias("ended"))
 
 
-@query(f""", i AS (SELECT seq, resource, owner, {_MICROS_SQL.format('at_ts')} AS started, {_MICROS_SQL.format('at_ts')} + 20000000000 AS ended FROM v_heartbeats WHERE seq % 10 = 0)
+_OVERLAPS = f""", i AS (SELECT seq, resource, owner, {_MICROS_SQL.format('at_ts')} AS started, {_MICROS_SQL.format('at_ts')} + 20000000000 AS ended FROM v_heartbeats)
 SELECT a.resource, a.owner, a.started, a.ended, count(*) AS others_open FROM i a JOIN i b ON a.resource = b.resource AND a.owner <> b.owner AND b.ended > a.started
-   AND (b.started < a.started OR (b.started = a.started AND (b.ended < a.ended OR (b.ended = a.ended AND b.owner < a.owner)))) GROUP BY a.seq, a.resource, a.owner, a.started, a.ended""")
+   AND (b.started < a.started OR (b.started = a.started AND (b.ended < a.ended OR (b.ended = a.ended AND b.owner < a.owner)))) GROUP BY a.seq, a.resource, a.owner, a.started, a.ended"""
+
+
+@query(_OVERLAPS)
 def c9_overlapping_owners(v: Views) -> DataFrame:
-    return ledger.overlapping_owners(_held(v.heartbeats.where("seq % 10 = 0")))
+    return ledger.overlapping_owners(_held(v.heartbeats))
 
 
-@query(f""", i AS (SELECT seq, resource, owner, {_MICROS_SQL.format('at_ts')} AS started, {_MICROS_SQL.format('at_ts')} + 20000000000 AS ended FROM v_heartbeats)
-SELECT a.resource, a.owner, a.started, a.ended, count(*) AS others_open FROM i a JOIN i b ON a.resource = b.resource AND a.owner <> b.owner AND b.ended > a.started
-   AND (b.started < a.started OR (b.started = a.started AND (b.ended < a.ended OR (b.ended = a.ended AND b.owner < a.owner)))) GROUP BY a.seq, a.resource, a.owner, a.started, a.ended""")
+@query(_OVERLAPS)
 def c9_overlapping_owners_whole(v: Views) -> DataFrame:
+    """The name under which the whole input was first covered."""
     return ledger.overlapping_owners(_held(v.heartbeats))
 
 

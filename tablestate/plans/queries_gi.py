@@ -20,7 +20,7 @@ def _value(x) -> str:
 
 
 _RULES = ", ".join(f"({i}, {', '.join(map(_value, r))})" for i, r in enumerate(hazards.RULES))
-_EFF = f"""SELECT a.*, CASE WHEN r.side = 'relation' THEN a.relation ELSE a.referenced END AS locked, r.mode, r.duration, r.implicit, r.reason, r.ord FROM v_ddl_actions a
+_EFF = f"""SELECT a.*, CASE WHEN r.side = 'relation' THEN a.relation ELSE a.referenced END AS locked, coalesce(CAST(r.mode AS INTEGER), a.lock_mode, 8) AS mode, r.duration, r.implicit, r.reason, r.ord FROM v_ddl_actions a
   JOIN (VALUES {_RULES}) r(ord, kind, r_concurrent, r_not_valid, r_filled_by, version_from, version_to, side, mode, duration, implicit, reason)
     ON r.kind = a.action_kind AND (r.r_concurrent IS NULL OR CAST(r.r_concurrent AS BOOLEAN) = a.concurrent) AND (r.r_not_valid IS NULL OR CAST(r.r_not_valid AS BOOLEAN) = a.not_valid) AND (r.r_filled_by IS NULL OR r.r_filled_by = a.filled_by)
    AND r.version_from <= {{0}} AND r.version_to >= {{0}}"""
@@ -51,7 +51,7 @@ def g2_statement_profile(v: Views) -> DataFrame:
 
 
 def _fresh_sql(probe: str, name: str) -> str:
-    return f"""SELECT p.*, coalesce((SELECT first(e.action_kind = 'create_table' ORDER BY e.step_no DESC, e.stmt_no DESC) FROM v_ddl_actions e WHERE e.repo = p.repo AND e.migration_no = p.migration_no AND lower(e.relation) = lower(p.{name})
+    return f"""SELECT p.*, coalesce((SELECT first(e.action_kind = 'create_table' ORDER BY e.step_no DESC, e.stmt_no DESC, e.action_kind = 'drop_table' DESC) FROM v_ddl_actions e WHERE e.repo = p.repo AND e.migration_no = p.migration_no AND lower(e.relation) = lower(p.{name})
    AND ((e.action_kind = 'create_table' AND {_AT.format('e.')} <= {_AT.format('p.')}) OR (e.action_kind = 'drop_table' AND {_AT.format('e.')} < {_AT.format('p.')}))), FALSE) AS fresh FROM ({probe}) p"""
 
 
@@ -61,7 +61,7 @@ def g3_fresh_at(v: Views) -> DataFrame:
     return hazards.fresh_at(a, a).select(*hazards.STMT, "relation", "fresh")
 
 
-_CREATED = f"EXISTS (SELECT 1 FROM v_ddl_actions e WHERE e.repo = a.repo AND e.migration_no = a.migration_no AND e.relation = a.relation AND e.action_kind = 'create_table' AND {_AT.format('e.')} < {_AT.format('a.')})"
+_CREATED = f"EXISTS (SELECT 1 FROM v_ddl_actions e WHERE e.repo = a.repo AND e.migration_no = a.migration_no AND e.relation = a.relation AND e.action_kind = 'create_table' AND (e.schema_name = a.schema_name OR e.schema_name = '' OR a.schema_name = '') AND {_AT.format('e.')} < {_AT.format('a.')})"
 
 
 @query(f"SELECT {_P.format('a.')}, a.relation, {_CREATED} AS created FROM v_ddl_actions a")
@@ -80,7 +80,8 @@ def g5_blockable(v: Views) -> DataFrame:
     return hazards.blockable(hazards.effects(a), a).select(*hazards.STMT, "locked", "ord", "blockable")
 
 
-_WINDOW = "(PARTITION BY repo, lower(relation), lower(column_name) ORDER BY migration_no, step_no, stmt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+#: Strictly before the statement: its own actions are behind the frame.
+_WINDOW = "(PARTITION BY repo, lower(relation), lower(column_name) ORDER BY ((migration_no * 100 + step_no) * 100 + stmt_no) * 100 + action_no RANGE BETWEEN UNBOUNDED PRECEDING AND (action_no + 1) PRECEDING)"
 _TYPED = f"""SELECT *, prior_name IS NOT NULL AND coalesce((prior_name = type_name AND prior_mod IS NOT DISTINCT FROM type_mod) OR (prior_name = 'varchar' AND type_name = 'varchar' AND (type_mod IS NULL OR (prior_mod IS NOT NULL AND type_mod >= prior_mod)))
     OR (prior_name = 'varchar' AND type_name = 'text') OR (prior_name = 'numeric' AND type_name = 'numeric' AND (type_mod IS NULL OR (prior_mod IS NOT NULL AND type_mod >= prior_mod))), FALSE) AS in_place FROM (
 SELECT {_S}, action_no, action_kind, type_name, type_mod, last_value(type_name) OVER {_WINDOW} AS prior_name, last_value(type_mod) OVER {_WINDOW} AS prior_mod FROM v_ddl_actions WHERE action_kind IN ('add_column', 'alter_type')) x WHERE action_kind = 'alter_type'"""
@@ -114,7 +115,7 @@ def g9_lock_domains(v: Views) -> DataFrame:
 
 
 @query(f""", b AS (SELECT * FROM ({_BLOCKABLE}) x WHERE blockable AND step_kind = 'ddl_tx'),
-h AS (SELECT {_STEP}, first(stmt_no ORDER BY duration DESC, stmt_no, ord) AS stmt_no, first(locked ORDER BY duration DESC, stmt_no, ord) AS locked, max(duration) AS duration FROM b WHERE NOT implicit AND duration >= 2 GROUP BY {_STEP})
+h AS (SELECT {_STEP}, first(stmt_no ORDER BY duration DESC, stmt_no, action_no, ord) AS stmt_no, first(locked ORDER BY duration DESC, stmt_no, action_no, ord) AS locked, max(duration) AS duration FROM b WHERE NOT implicit AND duration >= 2 GROUP BY {_STEP})
 SELECT h.*, count(*) AS others FROM h JOIN (SELECT DISTINCT {_S} FROM b WHERE mode >= 5) o ON o.repo = h.repo AND o.migration_no = h.migration_no AND o.step_no = h.step_no AND o.stmt_no <> h.stmt_no GROUP BY ALL""")
 def g10_long_work_with_company(v: Views) -> DataFrame:
     return hazards.long_work_with_company(v.ddl_actions)
@@ -140,17 +141,19 @@ def g13_timeout_off(v: Views) -> DataFrame:
 _PLACE = "({0}migration_no, {0}step_no, {0}stmt_no, {0}action_no)"
 
 
-@query(f"""SELECT m.repo, m.relation FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, lower(relation) ORDER BY migration_no DESC, step_no DESC, stmt_no DESC, action_no DESC) AS k FROM v_ddl_actions WHERE action_kind = 'create_table') c WHERE k = 1) m
- WHERE m.repo % 2 = 0 AND m.repo IN (SELECT repo FROM v_ddl_actions WHERE action_kind = 'grant')
-   AND NOT EXISTS (SELECT 1 FROM v_ddl_actions e WHERE e.repo = m.repo AND lower(e.relation) = lower(m.relation) AND e.action_kind IN ('drop_table', 'grant') AND {_PLACE.format('e.')} > {_PLACE.format('m.')})""")
+_NEVER = f"""SELECT m.repo, m.relation FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, lower(relation) ORDER BY migration_no DESC, step_no DESC, stmt_no DESC, action_no DESC) AS k FROM v_ddl_actions WHERE action_kind = 'create_table') c WHERE k = 1) m
+ WHERE m.repo IN (SELECT repo FROM v_ddl_actions WHERE action_kind = 'grant')
+   AND NOT EXISTS (SELECT 1 FROM v_ddl_actions e WHERE e.repo = m.repo AND lower(e.relation) = lower(m.relation) AND e.action_kind IN ('drop_table', 'grant') AND {_PLACE.format('e.')} > {_PLACE.format('m.')})"""
+
+
+@query(_NEVER)
 def g14_never_granted(v: Views) -> DataFrame:
-    return hazards.never_granted(v.ddl_actions.where("repo % 2 = 0"))
+    return hazards.never_granted(v.ddl_actions)
 
 
-@query(f"""SELECT m.repo, m.relation FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, lower(relation) ORDER BY migration_no DESC, step_no DESC, stmt_no DESC, action_no DESC) AS k FROM v_ddl_actions WHERE action_kind = 'create_table') c WHERE k = 1) m
- WHERE m.repo IN (SELECT repo FROM v_ddl_actions WHERE action_kind = 'grant')
-   AND NOT EXISTS (SELECT 1 FROM v_ddl_actions e WHERE e.repo = m.repo AND lower(e.relation) = lower(m.relation) AND e.action_kind IN ('drop_table', 'grant') AND {_PLACE.format('e.')} > {_PLACE.format('m.')})""")
+@query(_NEVER)
 def g14_never_granted_whole(v: Views) -> DataFrame:
+    """The name under which the whole input was first covered."""
     return hazards.never_granted(v.ddl_actions)
 
 
@@ -179,10 +182,10 @@ _CASES = [
     ("L007", "action_kind = 'add_check' AND NOT not_valid AND NOT created", "sized"),
     ("L008", "action_kind = 'add_primary_key' AND NOT concurrent AND NOT created", "sized"),
     ("L009", "action_kind = 'add_column' AND filled_by = 'unique' AND NOT created", "2"),
-    ("L010", "action_kind = 'vacuum_full'", "3"),
+    ("L010", "action_kind IN ('vacuum_full', 'cluster')", "3"),
     ("L011", "action_kind = 'refresh_view' AND NOT concurrent", "2"),
-    ("L030", "action_kind = 'drop_table' AND NOT created", "2"),
-    ("L031", "action_kind = 'rename_column' AND NOT created AND NOT column_added", "3"),
+    ("L030", "action_kind IN ('drop_table', 'drop_column') AND NOT created", "2"),
+    ("L031", "action_kind IN ('rename_table', 'rename_column') AND NOT created AND NOT column_added", "3"),
     ("L033", "action_kind = 'truncate' AND NOT created", "3"),
     ("L040", "action_kind IN ('update', 'delete') AND NOT has_where AND step_kind <> 'backfill' AND NOT created", "sized"),
     ("L041", "action_kind = 'delete' AND large AND step_kind <> 'backfill' AND NOT created", "sized"),

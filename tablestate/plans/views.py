@@ -22,7 +22,7 @@ SELECT l_suppkey AS job, row_number() OVER (PARTITION BY l_suppkey ORDER BY {_LI
        CAST(floor(l_discount * 100000) AS BIGINT) AS lag_bytes, CAST(5000 AS BIGINT) AS max_lag_bytes
   FROM lineitem""",
     "v_manifest": """
-SELECT job, batch_no AS wave, batch_no * 1000 - 500 AS position, size AS n_rows FROM v_batch_log WHERE batch_no <= 5 AND job % 7 <> 0""",
+SELECT job, batch_no AS wave, batch_no * 1000 - 500 AS position, size AS n_rows FROM v_batch_log WHERE job % 7 <> 0""",
     "v_replicas": """
 SELECT l_suppkey % 10 AS cluster, CAST(l_linenumber AS BIGINT) AS sample, CAST(floor(l_extendedprice * 10) AS BIGINT) AS sent,
        CASE WHEN l_returnflag = 'A' OR l_suppkey % 10 = 3 THEN NULL ELSE CAST(floor(l_extendedprice * 10) AS BIGINT) - CAST(floor(l_discount * 1000) AS BIGINT) END AS replay
@@ -140,29 +140,32 @@ SELECT m.server, m.relation, 1 + (m.server + r.n_rows) % 4 AS duration, CAST(flo
   FROM (SELECT DISTINCT l_suppkey AS server, 't' || CAST(l_partkey % 40 AS STRING) AS relation FROM lineitem) m JOIN v_relation_stats r ON r.relation = m.relation""",
     # G
     "v_ddl_actions": """
-SELECT l_orderkey % 20 AS repo, l_orderkey AS migration_no, CAST(floor((rn - 1) / 3) AS BIGINT) AS step_no, (rn - 1) % 3 AS stmt_no, CAST(0 AS BIGINT) AS action_no,
+SELECT l_orderkey % 20 AS repo, l_orderkey AS migration_no,
+       CASE WHEN l_orderkey % 3 = 0 THEN CAST(floor((rn - 1) / 4) AS BIGINT) ELSE CAST(floor((rn - 1) / 3) AS BIGINT) END AS step_no,
+       CASE WHEN l_orderkey % 3 = 0 THEN CAST(floor((rn - 1) % 4 / 2) AS BIGINT) ELSE (rn - 1) % 3 END AS stmt_no, CASE WHEN l_orderkey % 3 = 0 THEN (rn - 1) % 2 ELSE CAST(0 AS BIGINT) END AS action_no,
        CASE WHEN l_orderkey % 4 = 0 THEN 'ddl_notx' WHEN l_orderkey % 9 = 0 AND rn > 3 THEN 'backfill' ELSE 'ddl_tx' END AS step_kind,
        l_orderkey % 11 = 0 AS no_lock_timeout,
-       CASE (l_partkey + rn) % 20
+       CASE (l_partkey + rn) % 24
          WHEN 0 THEN 'create_table' WHEN 1 THEN 'create_index' WHEN 2 THEN 'add_column' WHEN 3 THEN 'alter_type'
          WHEN 4 THEN 'set_not_null' WHEN 5 THEN 'add_foreign_key' WHEN 6 THEN 'add_check' WHEN 7 THEN 'drop_table'
          WHEN 8 THEN 'rename_column' WHEN 9 THEN 'truncate' WHEN 10 THEN 'update' WHEN 11 THEN 'delete'
          WHEN 12 THEN 'grant' WHEN 13 THEN 'add_enum_value' WHEN 14 THEN 'validate_constraint' WHEN 15 THEN 'add_primary_key'
-         WHEN 16 THEN 'vacuum_full' WHEN 17 THEN 'refresh_view' WHEN 18 THEN 'attach_partition' ELSE 'use_enum_value' END AS action_kind,
-       '' AS schema_name, CASE WHEN l_suppkey % 80 < 40 THEN 't' ELSE 'T' END || CAST(l_suppkey % 40 AS STRING) AS relation, 'c' || CAST(l_partkey % 5 AS STRING) AS column_name,
+         WHEN 16 THEN 'vacuum_full' WHEN 17 THEN 'refresh_view' WHEN 18 THEN 'attach_partition' WHEN 19 THEN 'lock_table'
+         WHEN 20 THEN 'drop_column' WHEN 21 THEN 'rename_table' WHEN 22 THEN 'cluster' ELSE 'use_enum_value' END AS action_kind,
+       CASE l_partkey % 5 WHEN 0 THEN 'app' WHEN 1 THEN 'audit' ELSE '' END AS schema_name, CASE WHEN l_suppkey % 80 < 40 THEN 't' ELSE 'T' END || CAST(l_suppkey % 40 AS STRING) AS relation, 'c' || CAST(l_partkey % 5 AS STRING) AS column_name,
        't' || CAST(l_partkey % 40 AS STRING) AS referenced, 'k' || CAST(l_partkey % 2 AS STRING) AS constraint_name,
        CASE l_returnflag WHEN 'A' THEN 'varchar' WHEN 'N' THEN 'text' ELSE 'numeric' END AS type_name,
        CASE WHEN l_returnflag = 'N' THEN NULL ELSE CAST(floor(l_quantity) AS BIGINT) END AS type_mod,
        l_linestatus = 'O' AS concurrent, l_discount > 0.05 AS not_valid, l_tax > 0.04 AS if_exists, l_quantity > 25 AS has_where,
        CASE l_linenumber % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'constant' WHEN 2 THEN 'volatile' ELSE 'unique' END AS filled_by,
        CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN 'relkind = 1' ELSE 'indisvalid' END AS condition_text,
-       'label_' || CAST(l_partkey % 3 AS STRING) AS label
+       'label_' || CAST(l_partkey % 3 AS STRING) AS label, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(1 + l_linenumber % 8 AS INTEGER) END AS lock_mode
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS rn FROM lineitem) p""",
     "v_view_bases": """
-SELECT DISTINCT l_orderkey % 20 AS repo, 't' || CAST(l_suppkey % 40 AS STRING) AS relation, 't' || CAST((l_suppkey + 1) % 40 AS STRING) AS base FROM lineitem WHERE l_suppkey % 8 = 0""",
+SELECT DISTINCT l_orderkey % 20 AS repo, 't' || CAST(l_suppkey % 40 AS STRING) AS relation, 't' || CAST((l_suppkey + 1) % 40 AS STRING) AS base FROM lineitem""",
     "v_relation_parents": """
-SELECT l_orderkey % 20 AS repo, l_orderkey AS migration_no, CAST(l_linenumber AS BIGINT) AS ord, 't' || CAST(l_suppkey % 40 AS STRING) AS relation, 't' || CAST(l_partkey % 40 AS STRING) AS parent
-  FROM lineitem WHERE l_suppkey % 10 = 1""",
+SELECT l_orderkey % 20 AS repo, l_orderkey AS migration_no, rn AS ord, 't' || CAST(l_suppkey % 40 AS STRING) AS relation, 't' || CAST(l_partkey % 40 AS STRING) AS parent
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS rn FROM lineitem) p""",
     # H
     "v_findings": """
 SELECT doc_id AS finding_id, source AS corpus, source || '/' || lang AS file, 'step_' || CAST(doc_id % 3 AS STRING) AS step,
@@ -177,11 +180,11 @@ SELECT doc_id AS finding_id, CASE WHEN toxic = 1 THEN 'FP' WHEN quality = 1 THEN
        CASE doc_id % 3 WHEN 0 THEN 'size' WHEN 1 THEN 'order' ELSE 'parser' END AS cause
   FROM labels""",
     "v_directives": """
-SELECT DISTINCT source || '/' || lang AS file, doc_id AS line, 'L00' || CAST(1 + doc_id % 9 AS STRING) AS rule_id,
+SELECT DISTINCT source || '/' || lang || CASE WHEN doc_id % 25 = 0 THEN '' ELSE '/' || CAST(doc_id AS STRING) END AS file, doc_id AS line, 'L00' || CAST(1 + doc_id % 9 AS STRING) AS rule_id,
        CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'step_1' END AS step, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'seen' END AS reason,
        CASE WHEN doc_id % 7 = 0 THEN 'gives no reason' ELSE '' END AS problem,
        CASE WHEN doc_id % 3 = 0 THEN '20240817120000' WHEN doc_id % 3 = 1 THEN '20241399000000' ELSE CAST(doc_id AS STRING) END AS version
-  FROM documents WHERE doc_id % 25 = 0""",
+  FROM documents""",
     "v_policy_scopes": """
 SELECT 0 AS scope_no, '' AS path, 'L00' || CAST(r.k AS STRING) AS rule_id, 1 + r.k % 3 AS severity FROM (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) r
 UNION ALL SELECT 1, 'src1', 'L001', 0 UNION ALL SELECT 2, 'src1/en', 'L001', 3 UNION ALL SELECT 3, 'src2/', 'L002', 1

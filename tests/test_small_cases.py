@@ -119,6 +119,41 @@ def test_fresh_and_versions(spark):
     assert hazards.effects(spark.createDataFrame([action("grant", 0)], ACTION)).count() == 0
 
 
+def test_locks_by_name(spark):
+    rows = [(*action("lock_table", 0), 6), (*action("lock_table", 1), None), (*action("lock_table", 2, "o"), 1)]
+    named = spark.createDataFrame(rows, ACTION + ", lock_mode int")
+    assert {r.stmt_no: (r.locked, r.mode, r.duration, r.implicit) for r in hazards.effects(named).collect()} == {0: ("t", 6, 1, False), 1: ("t", 8, 1, False), 2: ("o", 1, 1, False)}
+    assert [r["mode"] for r in hazards.effects(named.drop("lock_mode")).collect()] == [8, 8, 8]
+    assert {r.stmt_no: (r.blocks_reads, r.blocks_writes) for r in hazards.statement_profile(named).collect()} == {0: (False, True), 1: (True, True), 2: (False, False)}
+
+
+def test_schemas_and_several_actions_of_a_statement(spark):
+    rows = [
+        action("create_table", 0, schema_name="app"), action("create_index", 1, schema_name="app"), action("create_index", 1, schema_name="audit", action_no=1), action("create_index", 1, action_no=2),
+        action("add_column", 2, type_name="varchar", type_mod=5, schema_name="app"), action("alter_type", 3, type_name="varchar", type_mod=9), action("alter_type", 3, type_name="varchar", type_mod=7, action_no=1), action("alter_type", 4, type_name="text"),
+    ]
+    actions = spark.createDataFrame(rows, ACTION)
+    assert {(r.stmt_no, r.action_no): r.created for r in hazards.created_here(actions, actions).where("stmt_no = 1").collect()} == {(1, 0): True, (1, 1): False, (1, 2): True}
+    prior = {(r.stmt_no, r.action_no): r.prior.type_mod for r in hazards.type_before(actions).collect()}
+    assert prior == {(3, 0): 5, (3, 1): 5, (4, 0): 7}
+    stats = spark.createDataFrame([], "relation string, exists boolean, n_rows long, n_bytes long")
+    ctx = {(r.stmt_no, r.action_no): (r.created, r.column_added, r.in_place) for r in hazards.with_context(actions, stats).collect()}
+    assert ctx == {(0, 0): (False, False, False), (1, 0): (True, False, False), (1, 1): (False, False, False), (1, 2): (True, False, False), (2, 0): (True, False, False), (3, 0): (True, True, True), (3, 1): (True, True, True), (4, 0): (True, True, True)}
+
+
+def test_context_by_windows_is_context_by_joins(spark, sf_dir):
+    """with_context gives what the operators that it stands for give one by one."""
+    at = Views(spark, sf_dir)
+    a = at.ddl_actions
+    place = [*hazards.STMT, "action_no"]
+    got = hazards.with_context(a, at.relation_stats.withColumn("exists", F.lit(True))).select(*place, "created", "column_added", "proven", "in_place", "duration")
+    want = hazards.not_null_proof(hazards.column_added_in_file(hazards.created_here(a, a), a), a).select(*place, "created", "column_added", "proven")
+    typed = hazards.in_place_type_change(hazards.type_before(a)).select(*place, "in_place")
+    worst = hazards.effects(a).where("not implicit").groupBy(*place).agg(F.max("duration").alias("duration"))
+    want = want.join(typed, place, "left").join(worst, place, "left").fillna({"in_place": False, "duration": 0})
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_suppression_steps(spark):
     f = spark.createDataFrame([(1, "a", "L001", "s1", 2), (2, "a", "L001", "s2", 2), (3, "b", "L001", "s1", 2)], "finding_id int, file string, rule_id string, step string, severity int")
     d = spark.createDataFrame([("a", "L001", "s1", ""), ("b", "L001", "", "broken")], "file string, rule_id string, step string, problem string")
