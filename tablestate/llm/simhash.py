@@ -9,7 +9,9 @@ anchor returns a spanning forest of the links it found, never the pairs. The for
 components by alternating star steps.
 
 Equal fingerprints are one point, so copies cost nothing. An anchor's points are compared by a search that drops
-what it has reached; points that crowd around an anchor are reached after a few steps.
+what it has reached, so points that link cost little however many they are; a crowd of points that do not link is cut
+first by the bytes of its other half, of which two linked fingerprints share at least one. Points with very many edges,
+and fingerprints with very many rows, are joined apart from the rest, by a broadcast whose rows are bounded.
 """
 
 from __future__ import annotations
@@ -22,11 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, prepare
+from .common import keep, prepare, unused
 
 BITS = 3
 SHINGLE = 3
 SEED = 42
+#: Points of an anchor that are compared at once; more are cut by bytes of the other half.
+CROWD = 2_000
+#: Keys that may be joined by a broadcast because they have very many rows.
+HOT_KEYS = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -92,8 +98,7 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(anchor), np.concatenate(home)
 
 
-def link(points: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
-    """Spanning forest (point, smallest of its group) of distinct points under at most `bits` differing bits."""
+def _forest(points: np.ndarray, bits: int) -> list[tuple[int, int]]:
     left, out = np.sort(points), []
     while len(left) > 1:
         reached, left = [left[0]], left[1:]
@@ -109,6 +114,25 @@ def link(points: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
     return out
 
 
+def link(points: np.ndarray, half: int = 0, bits: int = BITS, crowd: int = CROWD) -> list[tuple[int, int]]:
+    """Edges (point, smaller point) that connect distinct points as links of at most `bits` differing bits do.
+
+    Points of an anchor of `half`. A crowd is compared by the bytes of its other half: of two points at most three bits
+    apart, one of the four bytes is equal.
+    """
+    if len(points) <= crowd:
+        return _forest(points, bits)
+    out: set[tuple[int, int]] = set()
+    other = points >> np.uint64(32 * (1 - half))
+    for byte in range(4):
+        key = (other >> np.uint64(8 * byte)) & np.uint64(255)
+        order = np.argsort(key, kind="stable")
+        for part in np.split(points[order], np.flatnonzero(np.diff(key[order])) + 1):
+            if len(part) > 1:
+                out.update(_forest(part, bits))
+    return sorted(out)
+
+
 def links(points: DataFrame, bits: int = BITS) -> DataFrame:
     """points: distinct fp. Edges (u, v), v < u as unsigned, that connect exactly the linked groups."""
     if bits > 3:
@@ -137,7 +161,7 @@ def links(points: DataFrame, bits: int = BITS) -> DataFrame:
                     if (x ^ y).bit_count() <= bits:
                         out.append((max(x, y), min(x, y)))
                 else:
-                    out += link(f[s : s + n], bits)
+                    out += link(f[s : s + n], int(a[s]) & 1, bits)
             uv = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(uv[:, 0].copy()), pa.array(uv[:, 1].copy())], schema=edge)
 
@@ -161,26 +185,38 @@ def links(points: DataFrame, bits: int = BITS) -> DataFrame:
     return at.mapInArrow(meet, "u long, v long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with table, which has each key once with the number of its rows in the column size; total: all rows.
+
+    Keys with more than a HOT_KEYS-th of twice all rows, so fewer than HOT_KEYS of them, are broadcast; the rest are
+    shuffled by key, and none of them is large.
+    """
+    most = max(64, 2 * total // HOT_KEYS)
+    hot = F.broadcast(table.where(F.col(size) > most).drop(size))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(table.where(F.col(size) <= most).drop(size), key))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(fp, root) for each point that has an edge: root is one point of its component, the same for all of it.
 
-    Alternating large-star and small-star steps; each round's edges are written to the shared folder.
+    Alternating large-star and small-star steps until nothing changes; each round's edges and each step's smallest
+    neighbours are written to the shared folder.
     """
     edges = keep(edges.select(F.col("u").alias("a"), F.col("v").alias("b")), "edges")
-    state = None
-    for _ in range(most_rounds):
+    state, count = None, edges.count()
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select("b", "m").where("b <> m").unionByName(least.select(F.col("a").alias("b"), "m"))
+        least = keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_hot(both, least, "a", "n", 2 * count).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        down = keep(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), "down")
+        least = keep(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        small = join_hot(down, least, "a", "n", count).select("b", "m").where("b <> m").unionByName(least.select(F.col("a").alias("b"), "m"))
         edges = keep(small.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        count, digest = now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             return edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
         state = now
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
@@ -193,23 +229,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prepare(docs.sparkSession)
     fps = keep(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    points = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    points = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "points")
     roots = components(links(points, bits))
-    rooted = points.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.where("root <> fp or least is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(least, "root", "left").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = keep(points.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = keep(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("points")), "least-ids")
+    of = keep(join_hot(rooted.drop("least"), least, "root", "points", points.count()).select("fp", "n", "component_id"), "of")
+    return join_hot(fps, of, "fp", "n", fps.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs with one row of each near-duplicate group, the one with the smallest doc_id; all columns.
 
-    Rows are told apart by a row number, so ids may be null or repeated: the first by (doc_id, null last, row) stays.
+    Rows are told apart by a row number, under a name that docs lacks, so ids may be null or repeated: the first by
+    (doc_id, null last, row) stays. Null, empty and wordless texts are near-duplicates of each other. Empty table: no
+    rows.
     """
     prepare(docs.sparkSession)
-    numbered = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    rank = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("__row").alias("z"))
-    ids = numbered.select("__row", rank.alias("__rank"))
-    groups = near_duplicates(numbered, id_col="__row", bits=bits, shingle=shingle)
-    first = groups.join(ids, groups["doc_id"] == ids["__row"]).groupBy("component_id").agg(F.min("__rank").alias("r")).select(F.col("r.z").alias("__row"))
-    return numbered.join(first, "__row", "left_semi").drop("__row")
+    row = unused("row_number", docs)
+    numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rank = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col(row).alias("z"))
+    ids = numbered.select(F.col(row).alias("r"), rank.alias("rank"))
+    groups = near_duplicates(numbered, id_col=row, bits=bits, shingle=shingle)
+    first = groups.join(ids, groups["doc_id"] == ids["r"]).groupBy("component_id").agg(F.min("rank").alias("r")).select(F.col("r.z").alias(row))
+    return numbered.join(first, row, "left_semi").select(docs.columns)

@@ -74,6 +74,48 @@ def test_components_of_crowds_and_chains(spark):
     assert len({got.get(signed(p), signed(p)) for p in points}) == len(groups)
 
 
+def test_a_crowd_that_does_not_link():
+    """Many points of one anchor, cut by bytes, give the groups that comparing all of them gives."""
+    rng = random.Random(9)
+    for half in (0, 1):
+        word = rng.getrandbits(32)
+        points = {word << 32 * half | rng.getrandbits(32) << 32 * (1 - half) for _ in range(600)}
+        points |= {p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for p in list(points)[:200]}
+        points = {p for p in points if (p >> 32 * half & 0xFFFFFFFF ^ word).bit_count() <= 1}
+        edges = simhash.link(np.array(sorted(points), np.uint64), half, crowd=50)
+        assert all((u ^ v).bit_count() <= 9 and v < u for u, v in edges)
+        want, root = brute_components(points), {p: p for p in points}
+
+        def find(p):
+            while root[p] != p:  # noqa: B023
+                p = root[p]  # noqa: B023
+            return p
+
+        for u, v in edges:
+            root[find(u)] = find(v)
+        assert len({find(p) for p in points}) == len(set(want.values()))
+        assert len({(find(p), want[p]) for p in points}) == len(set(want.values()))
+
+
+def test_hot_keys_and_one_large_cluster(spark, monkeypatch):
+    """Half of all rows in one cluster, a third copies of one text, many null ids; with few keys that may be broadcast."""
+    monkeypatch.setattr(simhash, "HOT_KEYS", 8)
+    rng = random.Random(11)
+    center = rng.getrandbits(64)
+    points = {center} | {center ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(400)} | {rng.getrandbits(64) for _ in range(100)}
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    edges = simhash.links(spark.createDataFrame([(signed(p),) for p in points], "fp long"))
+    got = {r.fp: r.root for r in simhash.components(edges).collect()}
+    want = brute_components(points)
+    assert len({got.get(signed(p), signed(p)) for p in points}) == len(set(want.values()))
+    assert len({(got.get(signed(p), signed(p)), r) for p, r in want.items()}) == len(set(want.values()))
+    rows = [(i if i % 5 else None, "all the same words here") for i in range(300)] + [(None, f"word{i} other{i} third{i} fourth{i}") for i in range(50)]
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(repr(r.doc_id) for r in out) == sorted(repr(i) for i, _ in rows)
+    same = [r for r in out if r.fingerprint == f"{brute_fingerprint(rows[0][1]):016x}"]
+    assert len(same) == 300 and {r.component_id for r in same} == {1}
+
+
 def test_near_duplicates(spark, odd_docs, no_docs):
     got = simhash.near_duplicates(odd_docs).collect()
     rows = odd_docs.select("doc_id", "text").collect()
@@ -96,3 +138,5 @@ def test_one_of_each(spark, odd_docs, no_docs):
     assert 1 in ids and 2 not in ids and 4 in ids and 6 not in ids  # copies; texts without words
     assert len({simhash.fingerprint(r.text) for r in rows}) == len(rows)
     assert simhash.one_of_each(no_docs).count() == 0
+    odd = odd_docs.withColumnRenamed("n_words", "row_number").withColumnRenamed("fingerprint", "id_")
+    assert simhash.one_of_each(odd).columns == odd.columns and simhash.one_of_each(odd).count() == len(rows)
