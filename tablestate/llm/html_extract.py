@@ -1,14 +1,20 @@
 """Main text of web pages by site style trees.
 
-Pages of one host are merged into a style tree: an element node is a path of labels (tag, classes, id) below the
-body, and its style nodes are the sequences of children that pages show there. Over the m pages that have a node,
+Pages of one host are merged into a style tree: an element node is a path of labels (tag, classes, id) below the body,
+and its style nodes are the sequences of children that pages show there. Over the m pages that have a node,
   presentation importance  = entropy, to base m, of the node's styles: 0 when all pages look alike, 1 when all differ;
-  content importance       = 1 - mean entropy, to base m, of the texts under the node: 0 when every page repeats them;
-  importance               = (1 - G^l) * presentation + G^l * content, l styles, G = 0.9; 1 when m = 1.
-That is the composite importance of a site style tree with each branch's leaves taken together, so one aggregation
-gives it for every branch. A prior multiplies it: 0 for branches whose tag, class, id or role names boilerplate, and
-for what lies outside the page's article, if it marks one; plain paragraphs and headings of a marked article are
-never removed. Branches below the threshold are cut from each page; hosts with few pages have the prior alone.
+  content importance       = 1 - mean entropy, to base m, of the texts right in the node: 0 when every page repeats them;
+  composite importance     = (1 - G^l) * presentation + G^l * mean over the styles of the mean over the style's children,
+where l is the number of styles, G = 0.9, a node's own texts are one child with their content importance, and a node
+that never has children has its content importance alone. It is formed from the leaves up, one level at a time. What m
+pages say is drawn towards 1 by evidence (m - 1) / (m + 1), so that few pages cut little.
+
+Branches of low importance are cut from each page. The tree also weighs its nodes: a node's mass is the characters of
+its texts, times their importance, with all below it. The deepest node that holds most of a host's mass is its main
+branch. Names are features beside the tree: tags and roles of boilerplate are always cut; classes and ids that sound
+like boilerplate are cut unless the node holds most of the mass; an element named an article marks a page's article
+unless the page has the main branch and the element has nothing to do with it. A page keeps what is in its article,
+marked or found by the tree; where there is neither, all that is not cut.
 """
 
 from __future__ import annotations
@@ -25,7 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import keep, prepare, small
 
-GAMMA, THRESHOLD, LEAST_PAGES = 0.9, 0.3, 5
+GAMMA, THRESHOLD = 0.9, 0.3
+#: Share of a host's mass, times the evidence, that makes a node dominant.
+MAIN_SHARE = 0.5
+#: Elements below this depth count to their ancestor there: the tree is formed in as many steps as it has levels.
+DEPTH = 48
 #: Copies of the hosts' lists, so that a host with a third of all pages is dealt to many tasks.
 SALT = 32
 
@@ -60,10 +70,10 @@ _SCOPE = set("ul ol dl table div section article main body aside nav".split())
 
 
 @lru_cache(maxsize=50_000)
-def _element(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """(label, boilerplate, names an article, has a name of its own) of a start tag."""
+def _element(tag: str, attributes: str) -> tuple[str, int, bool, bool]:
+    """(label, boilerplate: by tag or role 2, by a name 1, names an article, has a name of its own) of a start tag."""
     names: list[str] = []
-    noise, main, hidden = tag in NOISE_TAGS, tag in ("article", "main"), False
+    noise, main, hidden, sounds = tag in NOISE_TAGS, tag in ("article", "main"), False, False
     for key, value in _ATTR.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'")
         if key == "role":
@@ -85,12 +95,12 @@ def _element(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
         state = first in ("has", "no", "with", "without", "is") or last in STATES
         if tag not in ("html", "body") and not state and not own:
             if tag not in ("article", "main") and (last in NOISE_LAST or first in NOISE_FIRST) or tag in ("article", "main") and whole in ("comment", "comments", "ad", "ads", "advert", "sponsored", "promo", "related"):
-                noise = True
+                sounds = True
         main |= whole in MAIN_NAMES and tag not in ("html", "body")
     if hidden:
         noise = True
     kept = sorted(re.sub(r"\d{3,}", "0", n) for n in names)
-    return ".".join([tag, *kept]), noise, main and not noise, bool(kept)
+    return ".".join([tag, *kept]), 2 if noise else 1 if sounds else 0, main and not noise and not sounds, bool(kept)
 
 
 @lru_cache(maxsize=200_000)
@@ -98,30 +108,51 @@ def _node(parent: int, label: str) -> int:
     return xxhash.xxh64_intdigest(f"{parent}/{label}") - (1 << 63)
 
 
+class _Open:
+    """An element of a page, linked to the one around it."""
+
+    __slots__ = ("tag", "node", "depth", "noise", "main", "named", "around", "flags")
+
+    def __init__(self, tag: str, node: int, depth: int, noise: int, main: bool, named: bool, around: "_Open | None"):
+        self.tag, self.node, self.depth, self.noise, self.main, self.named, self.around = tag, node, depth, noise, main, named, around
+        self.flags: tuple | None = None
+
+
+class HostView:
+    """What a host's tree says: nodes to cut, dominant nodes, and the main branch (None if there is none)."""
+
+    __slots__ = ("low", "big", "main")
+
+    def __init__(self, low: frozenset = frozenset(), big: frozenset = frozenset(), main: int | None = None):
+        self.low, self.big, self.main = low, big, main
+
+
+_NOTHING = HostView()
+_HEADINGS = frozenset(("h1", "h2", "h3"))
+
+
 class Page:
-    """One page's blocks: (text, its open elements), and for each element node its children's labels."""
+    """One page's blocks: (text, the element it stands in), and for each element node its children's labels."""
 
-    __slots__ = ("blocks", "children", "marked")
+    __slots__ = ("blocks", "children", "nodes", "marks")
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, tuple]] = []
+        self.blocks: list[tuple[str, _Open | None]] = []
         self.children: dict[int, list[str]] = {}
-        self.marked = False
+        self.nodes: dict[int, tuple[int, int]] = {}  # node: (the node around it, depth)
+        self.marks: list[_Open] = []
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        # an open element: (tag, node, boilerplate, in a marked article, named, in any boilerplate)
-        stack: list[tuple] = []
-        root = ("", 0, False, False, False, False)
+        stack: list[_Open] = []
         run: list[str] = []
-        top = root
         match, at, end = _TOKEN.match, 0, len(source)
 
         def flush() -> None:
             if run:
                 text = _SPACE.sub(" ", _html.unescape("".join(run))).strip()
                 if text:
-                    self.blocks.append((text, tuple(stack)))
+                    self.blocks.append((text, stack[-1] if stack else None))
                 run.clear()
 
         while at < end:
@@ -136,14 +167,14 @@ class Page:
             tag = tag.lower()
             if m[1]:  # an end tag
                 if tag in INLINE:
-                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-                    if k is not None and all(e[0] in INLINE for e in stack[k:]):
-                        if any(e[4] for e in stack[k:]):
+                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag or stack[k].tag not in INLINE), -1)
+                    if k >= 0 and stack[k].tag == tag:
+                        if any(e.named for e in stack[k:]):
                             flush()
                         del stack[k:]
                     continue
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
+                    if stack[k].tag == tag:
                         flush()
                         del stack[k:]
                         break
@@ -165,66 +196,109 @@ class Page:
                 flush()
                 if tag in _ENDS_P:
                     for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == "p":
+                        if stack[k].tag == "p":
                             del stack[k:]
                             break
-                        if stack[k][0] in _SCOPE:
+                        if stack[k].tag in _SCOPE:
                             break
                 elif tag in _SAME:
                     for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] in _SAME[tag]:
+                        if stack[k].tag in _SAME[tag]:
                             del stack[k:]
                             break
-                        if stack[k][0] in _SCOPE:
+                        if stack[k].tag in _SCOPE:
                             break
             elif named:
                 flush()
             if m[3].endswith("/") and not inline:
                 continue
-            top = stack[-1] if stack else root
-            if tag == "header" and not top[3]:
-                noise = True
-            node = top[1] if inline and not named else _node(top[1], label)
-            if node != top[1]:
-                kids = self.children.setdefault(top[1], [])
+            top = stack[-1] if stack else None
+            up, depth = (top.node, top.depth) if top else (0, 0)
+            node = up
+            if tag not in ("html", "body") and not (inline and not named) and depth < DEPTH:
+                node, depth = _node(up, label), depth + 1
+                kids = self.children.setdefault(up, [])
                 if not kids or kids[-1] != label:
                     kids.append(label)
                 self.children.setdefault(node, [])
-            inside = (main or top[3]) and not (noise or top[5])
-            self.marked |= main and not top[5]
-            stack.append((tag, node, noise, inside, named, noise or top[5]))
+                self.nodes[node] = (up, depth)
+            new = _Open(tag, node, depth, noise, main, named, top)
+            stack.append(new)
+            if main:
+                self.marks.append(new)
         flush()
 
-    def text(self, low: set[int] | frozenset = frozenset()) -> str:
-        """The blocks that stay, joined by a space. low: the host's nodes of low importance."""
-        plain, out = [], []
-        for text, opened in self.blocks:
-            if opened and opened[-1][5]:
-                continue
-            inside = bool(opened) and opened[-1][3]
-            if self.marked and not inside:
-                continue
-            plain.append(text)
-            if low and any(e[1] in low and (e[4] or not e[3]) for e in opened):
-                continue
-            out.append(text)
-        return " ".join(out or plain)
-
-    def features(self) -> Iterator[tuple[int, int, int]]:
-        """(node, 0, style) for each node below the body and (node, 1, text) for each text under it; each once."""
-        seen = set()
-        top = {0}
-        for text, opened in self.blocks:
-            h = xxhash.xxh64_intdigest(text) - (1 << 63)
-            for e in opened:
-                if e[0] in ("html", "body"):
-                    top.add(e[1])
-                elif e[1] not in top:
-                    seen.add((e[1], 1, h))
-        yield from seen
-        for node, kids in self.children.items():
-            if node not in top:
-                yield node, 0, xxhash.xxh64_intdigest("\n".join(kids)) - (1 << 63)
+    @staticmethod
+    def _chain(e: _Open | None) -> list[_Open]:
+        """The elements around and with e whose flags are not known yet, outermost first."""
+        out = []
+        while e is not None and e.flags is None:
+            out.append(e)
+            e = e.around
+        return out[::-1]
+
+    def _flags(self, view: HostView, element: _Open | None, marked: bool) -> tuple:
+        """(boilerplate, in a marked article, in the main branch, of low importance) of an element by all around it."""
+        none = (False, False, view.main == 0, False)
+        for e in self._chain(element):
+            noise, article, branch, low = e.around.flags if e.around is not None else none
+            noise = noise or e.noise == 2 or (e.noise == 1 and e.node not in view.big) or (e.tag == "header" and not (article or branch and view.main != 0))
+            article = (article or (marked and e.main)) and not noise
+            branch = branch or e.node == view.main
+            low = low or (e.node in view.low and (e.named or not article))
+            e.flags = (noise, article, branch, low)
+        return element.flags if element is not None else none
+
+    def _marked(self, view: HostView) -> bool:
+        """Whether the page's own marks count: not if it has the main branch and no mark is around or in it."""
+        if view.main is None or view.main not in self.nodes:
+            return True
+        for e in self.marks:
+            if e.node in view.big:
+                return True
+            while e is not None:
+                if e.node == view.main:
+                    return True
+                e = e.around
+        return False
+
+    def text(self, view: HostView = _NOTHING) -> str:
+        """The blocks that stay, joined by a space."""
+        marked = self._marked(view)
+        for _, e in self.blocks:
+            self._flags(view, e, marked)
+        kept = [(text, e, self._flags(view, e, marked)) for text, e in self.blocks]
+        kept = [x for x in kept if not x[2][0]]
+        if marked and any(f[1] for _, _, f in kept):
+            kept = [x for x in kept if x[2][1]]
+        elif view.main is not None and any(f[2] for _, _, f in kept):
+            kept = [x for x in kept if x[2][2] or x[1] is not None and x[1].tag in _HEADINGS]
+        return " ".join([text for text, _, f in kept if not f[3]] or [text for text, _, _ in kept])
+
+    def features(self) -> Iterator[tuple[int, int, int, int, int]]:
+        """Rows (node, kind, value, depth, characters), each once, that the tree is made of.
+
+        Kind 0: the node's style. Kind 1: a text right in the node. Kind 1 + k: value is the node around, which has k
+        children on this page, its own texts being one.
+        """
+        texts: dict[int, dict[int, int]] = {}
+        for text, e in self.blocks:
+            texts.setdefault(e.node if e is not None else 0, {})[xxhash.xxh64_intdigest(text) - (1 << 63)] = len(text)
+        for node, own in texts.items():
+            depth = self.nodes[node][1] if node else 0
+            for value, n in own.items():
+                yield node, 1, value, depth, n
+        k: dict[int, int] = {node: 1 for node in texts}
+        for up, _ in self.nodes.values():
+            k[up] = k.get(up, 0) + 1
+        for node in {0, *self.nodes}:
+            up, depth = self.nodes.get(node, (0, 0))
+            kids = self.children.get(node, [])
+            yield node, 0, xxhash.xxh64_intdigest("\n".join(kids)) - (1 << 63), depth, len(kids)
+            if node:
+                yield node, 1 + k[up], up, depth, 0
+        for node in texts:
+            yield node, -k[node], 0, self.nodes[node][1] if node else 0, 0
 
 
 def host_of(url: str | None) -> str:
@@ -232,11 +306,11 @@ def host_of(url: str | None) -> str:
     return m[1].lower().rpartition("@")[2] if m else ""
 
 
-_COUNTS = pa.schema([("host", pa.string()), ("node", pa.int64()), ("kind", pa.int8()), ("value", pa.int64()), ("pages", pa.int64())])
+_COUNTS = pa.schema([("host", pa.string()), ("node", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("depth", pa.int32()), ("chars", pa.int64()), ("pages", pa.int64())])
 
 
-def style_tree(pages: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """(host, node, pages, importance) for each node of each host's style tree. pages: url, html.
+def _counts(pages: DataFrame) -> DataFrame:
+    """(host, node, kind, value, depth, chars, c): the features of all pages, with the number of pages that have each.
 
     Tasks add up what they have seen before it is shuffled; a host's nodes and texts are separate keys, so a host with
     most of the pages is no single group.
@@ -246,7 +320,7 @@ def style_tree(pages: DataFrame, gamma: float = GAMMA) -> DataFrame:
         counts: dict[tuple, int] = {}
 
         def out() -> pa.RecordBatch:
-            rows = list(zip(*[(*k, v) for k, v in counts.items()])) or [[]] * 5
+            rows = list(zip(*[(*k, v) for k, v in counts.items()])) or [[]] * 7
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _COUNTS)], schema=_COUNTS)
 
@@ -255,68 +329,118 @@ def style_tree(pages: DataFrame, gamma: float = GAMMA) -> DataFrame:
                 host = host_of(url)
                 if not host or not source:
                     continue
-                for node, kind, value in Page(source).features():
-                    key = (host, node, kind, value)
+                for feature in Page(source).features():
+                    key = (host, *feature)
                     counts[key] = counts.get(key, 0) + 1
             if len(counts) > 200_000:
                 yield out()
         yield out()
 
-    counted = pages.select("url", "html").mapInArrow(run, "host string, node long, kind byte, value long, pages long")
-    each = counted.groupBy("host", "node", "kind", "value").agg(F.sum("pages").alias("c"))
-    style, text, c = F.col("kind") == 0, F.col("kind") == 1, F.col("c")
-    node = each.groupBy("host", "node").agg(
+    counted = pages.select("url", "html").mapInArrow(run, "host string, node long, kind int, value long, depth int, chars long, pages long")
+    return counted.groupBy("host", "node", "kind", "value", "depth", "chars").agg(F.sum("pages").alias("c"))
+
+
+def style_tree(pages: DataFrame, gamma: float = GAMMA) -> DataFrame:
+    """(host, node, depth, pages, importance, mass, inner) for each node of each host's style tree. pages: url, html.
+
+    importance is the composite one, before evidence; mass as above; inner: whether the node has children. Node 0 is
+    the body. One step for each level, from the deepest up; a step joins a level with the sums of the one below.
+    """
+    each = _counts(pages)
+    style, text, child, own, c = F.col("kind") == 0, F.col("kind") == 1, F.col("kind") > 1, F.col("kind") < 0, F.col("c")
+    node = each.groupBy("host", "node", "depth").agg(
         F.sum(F.when(style, c)).alias("pages"),
         F.sum(F.when(style, c * F.log(c))).alias("s"),
         F.count_if(style).alias("l"),
+        F.coalesce(F.max(F.when(style, F.col("chars"))) > 0, F.lit(False)).alias("inner"),
         F.avg(F.when(text, F.log(c))).alias("t"),
+        F.coalesce(F.sum(F.when(text, c * F.col("chars"))), F.lit(0)).alias("chars"),
+        F.coalesce(F.sum(F.when(own, c / -F.col("kind"))), F.lit(0.0)).alias("own"),
+        F.coalesce(F.sum(F.when(child, c / (F.col("kind") - 1))), F.lit(0.0)).alias("weight"),
+        F.max(F.when(child, F.col("value"))).alias("up"),
     )
     m = F.col("pages")
-    look = 1 - F.col("s") / (m * F.log(m))
-    content = 1 - F.least(F.coalesce("t", F.lit(0.0)) / F.log(m), F.lit(1.0))
-    share = F.pow(F.lit(gamma), F.col("l"))
-    return node.select("host", "node", "pages", F.when(m > 1, (1 - share) * look + share * content).otherwise(1.0).alias("importance"))
+    look = F.when(m > 1, 1 - F.col("s") / (m * F.log(m))).otherwise(1.0)
+    content = F.when(m > 1, 1 - F.least(F.coalesce("t", F.lit(0.0)) / F.log(m), F.lit(1.0))).otherwise(1.0)
+    node = keep(node.withColumns({"look": look, "content": content}).drop("s", "t"), "style-nodes")
+    deepest = node.agg(F.max("depth")).first()[0]
+    out, below = None, None
+    for depth in range(deepest if deepest is not None else 0, -1, -1):
+        level = node.where(F.col("depth") == depth)
+        if below is None:
+            level = level.withColumns({"sum": F.lit(0.0), "of": F.lit(0.0), "under": F.lit(0.0)})
+        else:
+            level = level.join(below, ["host", "node"], "left").fillna(0.0, ["sum", "of", "under"])
+        of = F.col("of") + F.col("own")
+        inside = F.when(of > 0, (F.col("sum") + F.col("own") * F.col("content")) / of).otherwise(1.0)
+        share = F.pow(F.lit(gamma), F.col("l"))
+        importance = F.when(F.col("inner"), (1 - share) * F.col("look") + share * inside).otherwise(F.col("content"))
+        level = keep(level.withColumns({"importance": importance, "mass": F.col("chars") * F.col("content") + F.col("under")}).select("host", "node", "up", "depth", "pages", "importance", "mass", "inner", "weight"), "style-level")
+        below = level.groupBy("host", F.col("up").alias("node")).agg(F.sum(F.col("weight") * F.col("importance")).alias("sum"), F.sum("weight").alias("of"), F.sum("mass").alias("under"))
+        out = level if out is None else out.unionByName(level)
+    return out.select("host", "node", "depth", "pages", "importance", "mass", "inner")
+
+
+#: Kinds of rows of what the trees say.
+_LOW, _BIG, _MAIN = 0, 1, 2
+
+
+def findings(tree: DataFrame, threshold: float = THRESHOLD, main_share: float = MAIN_SHARE) -> DataFrame:
+    """(host, node, kind): nodes to cut, dominant nodes, and each host's main branch: the deepest dominant node with children."""
+    m = F.col("pages")
+    evidence = (m - 1) / (m + 1)
+    low = tree.where((F.col("node") != 0) & (1 - evidence * (1 - F.col("importance")) < threshold)).select("host", "node", F.lit(_LOW).alias("kind"))
+    whole = tree.where("node = 0").select("host", F.col("mass").alias("whole"), evidence.alias("sure"))
+    shared = tree.where("node <> 0").join(whole, "host")
+    big = shared.where((F.col("whole") > 0) & (F.col("mass") / F.col("whole") * F.col("sure") >= main_share))
+    main = big.where("inner").groupBy("host").agg(F.max_by("node", F.struct("depth", "mass", "node")).alias("node"))
+    return low.unionByName(big.select("host", "node", F.lit(_BIG).alias("kind"))).unionByName(main.select("host", "node", F.lit(_MAIN).alias("kind")))
+
+
+def _view(rows: list[tuple[int, int]]) -> HostView:
+    return HostView(frozenset(n for n, k in rows if k == _LOW), frozenset(n for n, k in rows if k == _BIG), next((n for n, k in rows if k == _MAIN), None))
 
 
 _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
-def main_texts(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
+def main_texts(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages.
 
-    Null or empty html: the empty text. Null url, or one without a host: the prior alone. Null page_id and repeated
-    rows: a row each. Very long pages: whole. If all of a page that the prior leaves would go, it stays. Empty table:
-    no rows. Columns other than page_id, url and html are not read.
+    Null or empty html: the empty text. Null url, or one without a host: no tree, names alone. Null page_id and repeated
+    rows: a row each; repeated pages count in the tree. Very long or deep pages: whole, in memory that grows with the
+    page. If all of a page that names leave would go by the tree, it stays. Ties: equal masses at one depth go by node;
+    an importance at the threshold stays. Empty table: no rows. Columns other than page_id, url and html are not read.
     """
     spark = prepare(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    low = keep(style_tree(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < threshold)).select("host", "node"), "low-nodes")
+    said = keep(findings(style_tree(pages), threshold), "style-findings")
 
-    def row(page_id, url, source, nodes) -> tuple:
-        text = Page(source).text(nodes) if source else ""
+    def row(page_id, url, source, view) -> tuple:
+        text = Page(source).text(view) if source else ""
         return page_id, url, text, len(text)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 4, _TEXT)], schema=_TEXT)
 
     out = "page_id long, url string, text string, n_chars long"
-    if small(low, 128):
-        by_host: dict[str, set[int]] = {}
-        for host, node in low.toLocalIterator():
-            by_host.setdefault(host, set()).add(node)
-        shared = spark.sparkContext.broadcast(by_host)
+    if small(said, 128):
+        by_host: dict[str, list] = {}
+        for host, node, kind in said.toLocalIterator():  # counted
+            by_host.setdefault(host, []).append((node, kind))
+        shared = spark.sparkContext.broadcast({h: _view(rows) for h, rows in by_host.items()})
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield batch_of([row(i, u, s, shared.value.get(host_of(u), frozenset())) for i, u, s in zip(*(c.to_pylist() for c in b.columns))])
+                yield batch_of([row(i, u, s, shared.value.get(host_of(u), _NOTHING)) for i, u, s in zip(*(c.to_pylist() for c in b.columns))])
 
         return pages.mapInArrow(near, out)
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch_of([row(i, u, s, set(n or ())) for i, u, s, n in zip(*(c.to_pylist() for c in b.columns))])
+            yield batch_of([row(i, u, s, _view([(x["node"], x["kind"]) for x in n or ()])) for i, u, s, n in zip(*(c.to_pylist() for c in b.columns))])
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#@]*)", 1))
-    lists = low.groupBy("host").agg(F.collect_set("node").alias("nodes")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    lists = said.groupBy("host").agg(F.collect_list(F.struct("node", "kind")).alias("nodes")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     keyed = pages.withColumns({"host": host, "salt": F.pmod(F.xxhash64("page_id", "html"), F.lit(SALT)).cast("int")})
     return keyed.join(lists, ["host", "salt"], "left").select("page_id", "url", "html", "nodes").mapInArrow(far, out)

@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import math
 import random
+from collections import Counter
 
 import pytest
 import zstandard
@@ -9,8 +11,8 @@ from invented import prose
 from tablestate.llm import html_extract, warc
 
 
-def text(html, low=frozenset()):
-    return html_extract.Page(html).text(low)
+def text(html):
+    return html_extract.Page(html).text()
 
 
 @pytest.mark.parametrize(
@@ -50,6 +52,11 @@ def strip(body):
     return body.replace("<p>", "").replace("</p>", " ").strip()
 
 
+def extracted(spark, rows):
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.main_texts(pages).collect()}
+
+
 def test_style_tree_removes_what_repeats(spark):
     rows = site(random.Random(1), 40)
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -60,6 +67,97 @@ def test_style_tree_removes_what_repeats(spark):
     assert {r.host for r in tree} == {"h.example"} and all(0 <= r.importance <= 1 for r in tree)
 
 
+def test_the_tree_finds_articles_without_telling_names(spark):
+    """The boilerplate differs from page to page, no name tells: what is outside the main branch goes."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(30):
+        title, body = prose(rng, 4), [prose(rng, 30) for _ in range(rng.randint(2, 6))]
+        want[i] = " ".join([title, *body])
+        rows.append((i, f"http://plain.example/{i}", f"<body><div class=a1><a>{prose(rng, 1)}</a> <a>{prose(rng, 1)}</a></div><div class=a2>{prose(rng, 6)}</div><div class=a3><h1>{title}</h1>{''.join(f'<p>{x}</p>' for x in body)}</div><div class=a4>{prose(rng, 3)}</div></body>"))
+    assert extracted(spark, rows) == want
+
+
+def test_the_tree_overrules_misleading_names(spark):
+    """The article stands in an element named like boilerplate, and one that repeats is named an article."""
+    rng = random.Random(13)
+    rows, want = [], {}
+    for i in range(30):
+        body = [prose(rng, 30) for _ in range(rng.randint(2, 6))]
+        want[i] = " ".join(body)
+        rows.append((i, f"http://odd.example/{i}", f"<body><nav>menu</nav><div class=article>read our {prose(rng, 2)}</div><div class=promo>{''.join(f'<p>{x}</p>' for x in body)}<div class=comments>{prose(rng, 9)}</div></div></body>"))
+    assert extracted(spark, rows) == want
+
+
+def brute_tree(pages):
+    """Importance, mass and pages of each node from the definition, on trees of (label, [children or texts])."""
+    html = lambda n: n if isinstance(n, str) else f"<div class={n[0]}>{''.join(map(html, n[1]))}</div>"
+    seen = {}
+
+    def walk(page, path, elements):
+        """elements: all elements of the page that are this node, merged."""
+        kids, texts, styles = {}, set(), []
+        for e in elements:
+            for x in e[1]:
+                if isinstance(x, str):
+                    texts.add(x)
+                else:
+                    kids.setdefault(x[0], []).append(x)
+                    if not styles or styles[-1] != x[0]:
+                        styles.append(x[0])
+        seen.setdefault(path, {})[page] = (tuple(styles), texts, sorted(kids))
+        for name, own in kids.items():
+            walk(page, (*path, name), own)
+
+    for i, page in enumerate(pages):
+        walk(i, (), [("", page)])
+    h = lambda counts, m: -sum(c / m * math.log(c / m, m) for c in counts)
+    out = {}
+    for path in sorted(seen, key=len, reverse=True):
+        own = seen[path]
+        m = len(own)
+        styles, texts = Counter(s for s, _, _ in own.values()), Counter(x for _, t, _ in own.values() for x in t)
+        look = h(styles.values(), m) if m > 1 else 1.0
+        content = 1 - sum(math.log(c, m) for c in texts.values()) / max(len(texts), 1) if m > 1 else 1.0
+        inner = any(k for _, _, k in own.values())
+        means = [x for _, t, k in own.values() if k or t for x in [([out[(*path, c)][0] for c in k] + [content] * bool(t))]]
+        weight = len(means)
+        inside = sum(sum(x) / len(x) for x in means) / weight if weight else 1.0
+        share = 0.9 ** len(styles)
+        kids = {(*path, c) for _, _, k in own.values() for c in k}
+        mass = sum(len(x) * c for x, c in texts.items()) * content + sum(out[c][1] for c in kids)
+        out[path] = ((1 - share) * look + share * inside if inner else content, mass, m)
+    return out, ["<body>" + "".join(map(html, p)) + "</body>" for p in pages]
+
+
+def test_importance_by_brute_force(spark):
+    rng = random.Random(14)
+
+    def element(depth):
+        kids = [element(depth + 1) if depth < 4 and rng.random() < 0.6 else rng.choice(["same", "text", prose(rng, 3)]) for _ in range(rng.randint(0, 3))]
+        kids = [x for k, x in enumerate(kids) if not (isinstance(x, str) and k and isinstance(kids[k - 1], str))]  # neighbours would be one text
+        return (rng.choice(["ka", "kb", "kc"]), kids)
+
+    want, html = brute_tree([[element(0) for _ in range(rng.randint(1, 3))] for _ in range(25)])
+    pages = spark.createDataFrame([(i, f"http://t.example/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    names = {}
+    for path in want:
+        node = 0
+        for label in path:
+            node = html_extract._node(node, f"div.{label}")
+        names[node] = path
+    got = {names[r.node]: (r.importance, r.mass, r.pages) for r in html_extract.style_tree(pages).collect()}
+    assert set(got) == set(want)
+    for path, (importance, mass, m) in want.items():
+        assert got[path][2] == m and math.isclose(got[path][0], importance, abs_tol=1e-9) and math.isclose(got[path][1], mass, abs_tol=1e-6)
+
+
+def test_deep_pages(spark):
+    deep = "<div>w " * 20_000
+    out = extracted(spark, [(1, "http://d.example/1", deep), (2, "http://d.example/2", deep), (3, "http://d.example/3", "<article><p>x</article>")])
+    assert out == {1: "w " * 19_999 + "w", 2: "w " * 19_999 + "w", 3: "x"}
+
+
 def test_broadcast_and_join_agree(spark, monkeypatch):
     pages = spark.createDataFrame([r[:3] for r in site(random.Random(2), 20) + site(random.Random(3), 3, "few.example")], "page_id long, url string, html string")
     near = sorted(map(repr, html_extract.main_texts(pages).collect()))
