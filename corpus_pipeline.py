@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns the rows that go on. All but the
 last return the columns of documents. The last returns the packing: a row for each piece of each document.
+
+Every stage decides row by row, by row numbers of its own where it needs some, so null and repeated ids go through.
+Nulls in other columns, further columns and columns whose names a stage uses itself go through unchanged. An empty
+table gives no rows at every stage.
 """
 
 from __future__ import annotations
@@ -17,22 +21,27 @@ from tablestate.llm.simhash import one_of_each
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose perplexity is within their language's threshold. Null and empty texts: by the text's end alone."""
     return keep_fluent(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the base rules and the likelihood ratio. Null and empty texts have no words, so they go."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate group: the smallest doc_id, of equal ones the first row; null ids last."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in which no window of a benchmark item occurs. Null and empty texts stay."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packing of all rows; null and empty texts are the end id alone."""
     return packed_documents(docs)
 
 

@@ -63,7 +63,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_in = path
+    return out
+
+
+def remove(spark: SparkSession, *what: DataFrame | str) -> None:
+    """Delete tables that keep() wrote, or folders of our own, once nothing that is still to run reads them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for x in what:
+        path = jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else x.kept_in)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def crc32_text(c: Column) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, marked, new_folder, prepare, read_whole, trusted_ids, write_whole
+from .common import keep, marked, new_folder, prepare, read_whole, remove, trusted_ids, write_whole
 
 ORDER = 4
 #: Symbols: 12 bits. 0 bounds a text; code points up to 3070 have their own; the rest share 1024 classes.
@@ -131,6 +131,7 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
 def probabilities(grams: DataFrame) -> DataFrame:
     """(gram, nll) for each gram of (gram, n), from the model of those with n > 0."""
     table = keep(grams.where("n > 0").select("gram", F.col("n").alias("c")), "kn-counts")
+    tables = [table]
     out = grams.select("gram", F.col("gram").alias("g4"))
     orders = []
     for k in range(ORDER, 0, -1):
@@ -141,6 +142,7 @@ def probabilities(grams: DataFrame) -> DataFrame:
         orders.append((k, table.select("gram", (c - less).alias("rest")), context))
         if k > 1:
             table = keep(table.groupBy(F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1).alias("gram")).agg(F.count("*").alias("c")), "kn-counts")
+            tables.append(table)
     p = F.lit(1.0 / (1 << BITS))
     for k, rest, context in reversed(orders):
         own = F.col("g4").bitwiseAND((1 << BITS * k) - 1)
@@ -149,7 +151,9 @@ def probabilities(grams: DataFrame) -> DataFrame:
         p = F.when(F.col("total").isNull(), p).otherwise(F.greatest(F.coalesce("rest", F.lit(0.0)), F.lit(0.0)) / F.col("total") + F.col("freed") / F.col("total") * p)
         out = out.withColumn(f"p{k}", p).drop("rest", "total", "freed")
         p = F.col(f"p{k}")
-    return keep(out.select("gram", (-F.log(f"p{ORDER}")).alias("nll")), "kn-scores")
+    scores = keep(out.select("gram", (-F.log(f"p{ORDER}")).alias("nll")), "kn-scores")
+    remove(grams.sparkSession, *tables)
+    return scores
 
 
 class GramTable:
@@ -245,7 +249,10 @@ class Model:
     def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, shard_grams: int = SHARD_GRAMS):
         prepare(docs.sparkSession)
         flagged = marked(docs.select("doc_id", "lang", "text"), keep(trusted_ids(labels), "trusted"), "doc_id", "good").select("lang", "text", "good")
-        self.shards = shards(probabilities(keep(count_grams(flagged), "grams")), shard_grams)
+        grams = keep(count_grams(flagged), "grams")
+        scores = probabilities(grams)
+        self.shards = shards(scores, shard_grams)
+        remove(docs.sparkSession, grams, scores)
         self._thresholds(flagged.where("good"), quantile, margin)
 
     def _thresholds(self, trusted: DataFrame, quantile: float, margin: float) -> None:

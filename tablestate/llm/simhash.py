@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, prepare, unused
+from .common import keep, prepare, remove, unused
 
 BITS = 3
 SHINGLE = 3
@@ -207,12 +207,14 @@ def components(edges: DataFrame) -> DataFrame:
     state, count = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
-        large = join_hot(both, least, "a", "n", 2 * count).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        first = keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_hot(both, first, "a", "n", 2 * count).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = keep(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), "down")
         least = keep(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
         small = join_hot(down, least, "a", "n", count).select("b", "m").where("b <> m").unionByName(least.select(F.col("a").alias("b"), "m"))
+        used = [edges, first, down, least]
         edges = keep(small.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        remove(edges.sparkSession, *used)
         count, digest = now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             return edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))

@@ -53,6 +53,25 @@ def test_likelihood_ratio_by_brute_force(spark, odd_docs, odd_labels):
         assert math.isclose(ratio[b], math.log((target[b] + 1) / (n + k)) - math.log((raw[b] + 1) / (m + k)), abs_tol=1e-9)
 
 
+def test_scores_and_verdicts_by_brute_force(spark, odd_docs, odd_labels):
+    """The mean log ratio over a text's words and pairs, from dictionaries, and the threshold on it."""
+    rows = odd_docs.select("doc_id", "text").collect()
+    good = {r.doc_id for r in odd_labels.collect() if r.doc_id is not None} - {2, 3, 4} - {100 + i for i in range(60) if i % 3 == 0}
+    grams = lambda t: quality_rules.buckets_of(quality_rules.word_hashes((t or "").encode().split()), quality_rules.BUCKETS).tolist()
+    target, raw = Counter(), Counter()
+    for r in rows:
+        raw.update(grams(r.text))
+        target.update(grams(r.text) if r.doc_id in good else [])
+    n, m, k = sum(target.values()), sum(raw.values()), quality_rules.BUCKETS
+    want = []
+    for r in rows:
+        b = grams(r.text)
+        score = sum(math.log((target[x] + 1) / (n + k)) - math.log((raw[x] + 1) / (m + k)) for x in b) / len(b) if b else 0.0
+        want.append((r.doc_id, round(score, 6), not base(r.text)[5] and score >= quality_rules.THRESHOLD))
+    got = quality_rules.quality_rules(odd_docs, odd_labels).collect()
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, round(r.score, 6), r.kept)) for r in got)
+
+
 def test_verdicts_separate_junk(spark):
     rng = random.Random(9)
     rows = [(i, prose(rng, 200), "aa") for i in range(60)] + [(1000 + i, " ".join(x.upper() + "!!" for x in prose(rng, 200).split()), "aa") for i in range(20)]
