@@ -19,36 +19,52 @@ def tag_phase(samples: DataFrame, runs: DataFrame, at: str = "at_ts") -> DataFra
     return samples.join(start, "run_id").withColumn("phase", F.when(F.col(at) < F.col("change_start"), "baseline").otherwise("during")).drop("change_start")
 
 
-def _figures() -> list[Column]:
-    """count, exact nearest-rank quantiles and the largest, 0 where nothing was measured."""
-    rank = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY took_us)")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return [F.count("took_us").alias("n"), zero(rank(0.5)).alias("p50"), zero(rank(0.99)).alias("p99"), zero(rank(0.999)).alias("p999"), zero(F.max("took_us")).alias("max")]
+QUANTILES = {"p50": 0.5, "p99": 0.99, "p999": 0.999}
 
 
 def quantiles(samples: DataFrame, by: list[str]) -> DataFrame:
-    """Exact quantiles by group: the value of rank ceil(q n)."""
-    return samples.groupBy(*by).agg(*_figures())
+    """Exact quantiles by group, with percentile_disc: the value of rank ceil(q n); 0 where nothing was measured.
+
+    A group's distinct values are one buffer: for groups of bounded variety. quantiles_ranked has no such bound.
+    """
+    rank = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY took_us)")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return samples.groupBy(*by).agg(F.count("took_us").alias("n"), *[zero(rank(q)).alias(name) for name, q in QUANTILES.items()], zero(F.max("took_us")).alias("max"))
 
 
-def quantiles_ranked(samples: DataFrame, by: list[str], quantile_list: tuple[float, ...] = (0.5, 0.99, 0.999)) -> DataFrame:
-    """The same for groups with very many distinct values: values are counted, then ranked by a running count.
+def quantiles_ranked(samples: DataFrame, by: list[str], width: int = 1024) -> DataFrame:
+    """The same by counting: values are counted, counts are summed in ranges of width values, and running counts over the
+    ranges tell which few ranges hold a rank; only these are looked into value by value.
 
-    The count is pre-aggregated by value, so a hot group shuffles distinct values only.
+    A group's rows are pre-aggregated by value, its values are dealt by range, and what is ordered in one task is its
+    ranges, or the values of one range.
     """
-    counts = samples.where("took_us is not null").groupBy(*by, "took_us").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    ranked = counts.withColumns({"upto": F.sum("c").over(w.orderBy("took_us").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
-    names = {0.5: "p50", 0.99: "p99", 0.999: "p999"}
-    picks = [F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("n")), F.col("took_us"))).alias(names.get(q, f"q{q}")) for q in quantile_list]
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *picks, F.max("took_us").alias("max"))
+    counts = samples.groupBy(*by, "took_us").agg(F.count("took_us").alias("c")).withColumn("__b", F.floor(F.col("took_us") / width))
+    whole = Window.partitionBy(*by)
+    ranges = counts.groupBy(*by, "__b").agg(F.sum("c").alias("s"), F.max("took_us").alias("m"))
+    before = F.coalesce(F.sum("s").over(whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumns({"__before": before, "n": F.sum("s").over(whole)})
+    rank = {name: F.ceil(F.lit(q) * F.col("n")) for name, q in QUANTILES.items()}
+    holds = [(r > F.col("__before")) & (r <= F.col("__before") + F.col("s")) for r in rank.values()]
+    asked = ranges.where(holds[0] | holds[1] | holds[2]).drop("s", "m")
+    upto = F.sum("c").over(Window.partitionBy(*by, "__b").orderBy("took_us").rowsBetween(Window.unboundedPreceding, 0))
+    keys = [*by, "__b"]
+    other = asked.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], "n", "__before")
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)]
+    inside = counts.join(other, same).drop(*[f"__k{i}" for i in range(len(keys))])
+    inside = inside.withColumn("__upto", upto + F.col("__before"))
+    found = {name: F.when((F.col("__upto") >= r) & (r > F.col("__before")), F.col("took_us")) for name, r in rank.items()}
+    least = inside.groupBy(*by, "__b").agg(*[F.min(c).alias(name) for name, c in found.items()])
+    none = {name: F.lit(None).cast("long").alias(name) for name in QUANTILES}
+    both = ranges.select(*by, "n", *none.values(), F.col("m").cast("long").alias("max")).unionByName(least.select(*by, F.lit(None).cast("long").alias("n"), *[F.col(c).cast("long").alias(c) for c in QUANTILES], F.lit(None).cast("long").alias("max")))
+    return both.groupBy(*by).agg(F.max("n").alias("n"), *[F.coalesce(F.min(c), F.lit(0)).alias(c) for c in QUANTILES], F.coalesce(F.max("max"), F.lit(0)).alias("max"))
 
 
 def overall(samples: DataFrame, instrument: str = INSTRUMENT) -> DataFrame:
     """Figures by (run, phase) without the instrument, class '', and by (run, phase, class) with it."""
-    each = quantiles(samples, ["run_id", "phase", "class"])
-    whole = quantiles(samples.where(F.col("class") != instrument), ["run_id", "phase"]).withColumn("class", F.lit(""))
-    return each.unionByName(whole)
+    each = samples.withColumn("__whole", F.lit(False))
+    rows = each.unionByName(samples.where(F.col("class") != instrument).withColumns({"class": F.lit(""), "__whole": F.lit(True)}))
+    return quantiles_ranked(rows, ["run_id", "phase", "class", "__whole"]).drop("__whole")
 
 
 def before_after(figures: DataFrame) -> DataFrame:

@@ -61,28 +61,52 @@ def reconcile_candidates(ledger: DataFrame) -> DataFrame:
     return ledger.where((F.col("attempts") > 0) | F.col("status").isin("running", "failed"))
 
 
-def stale_writer_filter(writes: DataFrame) -> DataFrame:
-    """writes (seq, resource, owner, epoch) with accepted: the epoch is the highest so far and its first writer owns it."""
-    w = Window.partitionBy("resource").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    top = writes.withColumn("__top", F.max("epoch").over(w))
-    first = Window.partitionBy("resource", "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    taker = F.first("owner").over(first)
-    return top.withColumn("accepted", (F.col("epoch") == F.col("__top")) & (F.col("owner") == taker)).drop("__top")
+#: Consecutive rows by seq, and microseconds, that are one run: windows stay within runs, and what a run must know of
+#: earlier ones comes from a table with a row for each run.
+RUN_ROWS, RUN_US = 65_536, 3_600_000_000
 
 
-def ownership_intervals(beats: DataFrame, ttl_us: int) -> DataFrame:
+def stale_writer_filter(writes: DataFrame, run: int = RUN_ROWS) -> DataFrame:
+    """writes (seq, resource, owner, epoch) with accepted: the epoch is the highest so far and its first writer owns it.
+
+    A resource with most of the rows is many runs, so it is no single task.
+    """
+    rows = writes.withColumn("__run", F.floor(F.col("seq") / run))
+    earlier = Window.partitionBy("resource").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("resource", "__run").agg(F.max("epoch").alias("__m")).select("resource", "__run", F.max("__m").over(earlier).alias("__before"))
+    takers = writes.groupBy("resource", "epoch").agg(F.min_by("owner", "seq").alias("__taker"))
+    inside = Window.partitionBy("resource", "__run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("__top", F.max("epoch").over(inside)).join(tops, ["resource", "__run"]).join(takers, ["resource", "epoch"])
+    accepted = (F.col("epoch") == F.greatest("__top", "__before")) & (F.col("owner") == F.col("__taker"))
+    return seen.withColumn("accepted", accepted).select(*writes.columns, "accepted")
+
+
+def ownership_intervals(beats: DataFrame, ttl_us: int, run_us: int = RUN_US) -> DataFrame:
     """(resource, owner, epoch, started, ended, beats, how): who held what, from when to when; how: lost or expired.
 
     beats: seq, resource, owner, epoch, at_us. A beat by another owner or epoch, or after a gap of more than the ttl,
-    begins a new interval. An interval lasts until its last beat plus the ttl, or until the next one begins.
+    begins a new interval. An interval lasts until its last beat plus the ttl, or until the next one begins. An
+    interval is known by the place of its first beat; rows look back within their run, and to the last row and the last
+    beginning of earlier runs, so that a resource with most of the beats is no single task.
     """
-    w = Window.partitionBy("resource").orderBy("at_us", "seq")
-    new = F.coalesce((F.lag("owner").over(w) != F.col("owner")) | (F.lag("epoch").over(w) != F.col("epoch")) | (F.col("at_us") - F.lag("at_us").over(w) > ttl_us), F.lit(True))
-    marked = beats.withColumn("__new", new.cast("long")).withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = marked.groupBy("resource", "__island").agg(F.first("owner").alias("owner"), F.first("epoch").alias("epoch"), F.min("at_us").alias("started"), F.max("at_us").alias("__last"), F.count("*").alias("beats"))
-    following = F.lead("started").over(Window.partitionBy("resource").orderBy("__island"))
-    expiry = F.col("__last") + ttl_us
-    return spans.withColumn("__next", following).select("resource", "owner", "epoch", "started", F.least(expiry, F.coalesce("__next", expiry)).alias("ended"), "beats", F.when(F.col("__next") <= expiry, "lost").otherwise("expired").alias("how"))
+    place, state, key = F.struct("at_us", "seq"), F.struct("owner", "epoch", "at_us"), ["resource", "__run"]
+    rows = beats.withColumn("__run", F.floor(F.col("at_us") / run_us))
+    over_runs = Window.partitionBy("resource").orderBy("__run")
+    inside = Window.partitionBy(*key).orderBy("at_us", "seq")
+    ends = rows.groupBy(*key).agg(F.max_by(state, place).alias("__s")).select(*key, F.lag("__s").over(over_runs).alias("__last"))
+    rows = rows.withColumn("__prior", F.lag(state).over(inside)).join(ends, key)
+    prior = F.coalesce("__prior", "__last")
+    fresh = F.coalesce((prior["owner"] != F.col("owner")) | (prior["epoch"] != F.col("epoch")) | (F.col("at_us") - prior["at_us"] > ttl_us), F.lit(True))
+    rows = rows.withColumn("__begun", F.when(fresh, place)).drop("__prior", "__last")
+    begun = rows.groupBy(*key).agg(F.max("__begun").alias("__b")).select(*key, F.last("__b", ignorenulls=True).over(over_runs.rowsBetween(Window.unboundedPreceding, -1)).alias("__open"))
+    rows = rows.withColumn("__own", F.last("__begun", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(begun, key)
+    spans = rows.groupBy("resource", F.coalesce("__own", "__open").alias("__start")).agg(F.first("owner").alias("owner"), F.first("epoch").alias("epoch"), F.min("at_us").alias("started"), F.max("at_us").alias("__end"), F.count("*").alias("beats"))
+    spans = spans.withColumn("__run", F.floor(F.col("started") / run_us))
+    firsts = spans.groupBy(*key).agg(F.min("started").alias("__f")).select(*key, F.lead("__f").over(over_runs).alias("__after"))
+    following = F.coalesce(F.lead("started").over(Window.partitionBy(*key).orderBy("__start")), "__after")
+    spans = spans.join(firsts, key).withColumn("__next", following)
+    expiry = F.col("__end") + ttl_us
+    return spans.select("resource", "owner", "epoch", "started", F.least(expiry, F.coalesce("__next", expiry)).alias("ended"), "beats", F.when(F.col("__next") <= expiry, "lost").otherwise("expired").alias("how"))
 
 
 def overlapping_owners(intervals: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,53 @@ def test_owner_and_epoch_must_both_match(spark):
     assert {r.seq: r.accepted for r in out.collect()} == {1: True, 2: True, 3: False, 4: False, 5: True}
 
 
+def logged_beats(rng, n, resources):
+    """(seq, resource, owner, epoch, at_us) in the order of seq; times rise, now and then by more than the time to live."""
+    at, out = 0, []
+    for i in range(n):
+        at += rng.choice([0, 1, 5, 5, 5, 40])
+        out.append((i, rng.choice(resources), rng.choice("ab"), i // 25 - (rng.random() < 0.2), at))
+    return out
+
+
+@pytest.mark.parametrize("run", [1, 7, 1_000_000])
+def test_fences_and_intervals_do_not_depend_on_runs(spark, run):
+    """One resource has most of the rows; whatever the runs, verdicts and intervals are those of one pass in order."""
+    beats = logged_beats(random.Random(3), 300, [1, 1, 1, 1, 2])
+    df = spark.createDataFrame(beats, "seq long, resource long, owner string, epoch long, at_us long")
+    top, taker, want = {}, {}, []
+    for seq, r, owner, epoch, _ in beats:
+        taker.setdefault((r, epoch), owner)
+        top[r] = max(top.get(r, -9), epoch)
+        want.append((seq, epoch == top[r] and owner == taker[r, epoch]))
+    got = ledger.stale_writer_filter(df.select("seq", "resource", "owner", "epoch"), run)
+    assert got.columns == ["seq", "resource", "owner", "epoch", "accepted"]
+    assert sorted((r.seq, r.accepted) for r in got.collect()) == want
+    spans, ttl = {1: [], 2: []}, 20
+    for seq, r, owner, epoch, at in beats:
+        last = spans[r][-1] if spans[r] else None
+        if last and last[0] == owner and last[1] == epoch and at - last[3] <= ttl:
+            last[3], last[4] = at, last[4] + 1
+        else:
+            spans[r].append([owner, epoch, at, at, 1])
+    want = []
+    for r, own in spans.items():
+        for i, (owner, epoch, began, last, n) in enumerate(own):
+            following = own[i + 1][2] if i + 1 < len(own) else None
+            lost = following is not None and following <= last + ttl
+            want.append((r, owner, epoch, began, following if lost else last + ttl, n, "lost" if lost else "expired"))
+    assert sorted(map(tuple, ledger.ownership_intervals(df, ttl, run).collect())) == sorted(want)
+
+
+def test_quantiles_by_ranges(spark):
+    rng = random.Random(5)
+    rows = [(g, None if rng.random() < 0.05 else int(rng.lognormvariate(6, 2)) - 3) for g in ("a", "a", "b", None) for _ in range(700)] + [("c", None), ("d", 7)]
+    df = spark.createDataFrame(rows, "g string, took_us long")
+    want = sorted(map(repr, latency.quantiles(df, ["g"]).collect()))
+    for width in (1, 64, 1024, 1 << 40):
+        assert sorted(map(repr, latency.quantiles_ranked(df, ["g"], width).collect())) == want
+
+
 def test_overlaps(spark):
     rows = [("r", "a", 0, 100), ("r", "b", 10, 50), ("r", "a", 20, 30), ("r", "b", 100, 120)]
     out = ledger.overlapping_owners(spark.createDataFrame(rows, "resource string, owner string, started long, ended long")).collect()
