@@ -21,7 +21,7 @@ training tokens, are known before probabilities are formed.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_text, keep, new_folder, prepare, read_whole, write_whole
+from .common import crc32_text, keep, new_folder, prepare, read_whole, remove, write_whole
 
 ORDER = 3
 #: Words in a block; a text is never divided, so the last one of a block may go beyond.
@@ -48,14 +48,19 @@ LOG_BASE, LEVELS = 1.5, 70
 SPARE_BITS = 12
 #: Blocks that a task holds while it reads part after part.
 HELD_BLOCKS = 4
+_PROBED = 1 << 18
 _BEGIN, _END = xxhash.xxh3_64_intdigest(b""), xxhash.xxh3_64_intdigest(b" ")  # no word has these bytes
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
+    """64-bit finaliser, a new array."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x = x ^ (x >> np.uint64(30))
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -214,17 +219,25 @@ def filter_words(short: np.ndarray, levels: np.ndarray, entry_bits: int = ENTRY_
 class Part:
     """Some shards' pieces of the filter, to be probed."""
 
-    def __init__(self, layout: Layout, pieces: dict[int, np.ndarray]):
-        self.layout = layout
+    def __init__(self, layout: Layout, pieces: Iterable[tuple[int, np.ndarray]], total: int):
+        """pieces: (shard, words), copied as they come, total words in all."""
+        self.layout, self.words = layout, np.empty(total, np.uint64)
         self.size, self.offset = np.zeros(layout.shards, np.uint64), np.zeros(layout.shards, np.int64)
         at = 0
-        for shard, words in pieces.items():
+        for shard, words in pieces:
             self.size[shard], self.offset[shard] = len(words), at
+            self.words[at : at + len(words)] = words
             at += len(words)
-        self.words = np.concatenate([*pieces.values(), np.zeros(0, np.uint64)])
 
-    def fill(self, short: np.ndarray, out: np.ndarray) -> None:
-        """Write the levels of those keys that this part has room for into out: levels by repeated probes, 0 if the first misses."""
+    def fill(self, hashes: np.ndarray, order: int, out: np.ndarray) -> None:
+        """Write the levels of those n-grams that this part has room for into out: by repeated probes, 0 if the first misses.
+
+        A piece at a time, so that what probing needs stays small beside the filter.
+        """
+        for i in range(0, len(hashes), _PROBED):
+            self._fill(self.layout.short(self.layout.keys(hashes[i : i + _PROBED], order)), out[i : i + _PROBED])
+
+    def _fill(self, short: np.ndarray, out: np.ndarray) -> None:
         shard = self.layout.shard(short)
         alive = np.flatnonzero(self.size[shard] > 0)
         if not len(alive):
@@ -253,11 +266,12 @@ def dealt(table: DataFrame, layout: Layout) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                two, three = b.grams()
-                one = b.by_token(b.words, np.uint64(_END))
-                for order, hashes in ((1, one), (2, two), (3, three)):
-                    keys = layout.keys(hashes[b.learn], order)
-                    keys = np.sort(keys if order == 1 else keys >> np.uint64(step))
+                grams = [b.by_token(b.words, np.uint64(_END)), *b.grams()]
+                for order in range(1, ORDER + 1):
+                    keys = layout.keys(grams.pop(0)[b.learn], order)
+                    if order > 1:
+                        keys >>= np.uint64(step)
+                    keys.sort()
                     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
                     counts = np.diff(np.r_[first, len(keys)]).astype(np.uint32)
                     keys = keys[first]
@@ -276,9 +290,8 @@ def dealt(table: DataFrame, layout: Layout) -> DataFrame:
 _PIECES_SQL = "shard long, filter string, filter_bytes long, vocabulary string, kinds long, entries long"
 
 
-def pieces(rows: DataFrame, layout: Layout, entry_bits: int = ENTRY_BITS) -> DataFrame:
+def pieces(rows: DataFrame, layout: Layout, folder: str, entry_bits: int = ENTRY_BITS) -> DataFrame:
     """A row for each shard that has n-grams: the files of its piece of the filter and of its words' exact counts."""
-    folder = new_folder(rows.sparkSession, "lm-pieces")
     step = 64 - layout.bits
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -308,7 +321,7 @@ def pieces(rows: DataFrame, layout: Layout, entry_bits: int = ENTRY_BITS) -> Dat
             write_whole(vocabulary, known[0].tobytes() + known[1].tobytes())
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "filter": [f"{name}.filter"], "filter_bytes": [words.nbytes], "vocabulary": [vocabulary], "kinds": [kinds], "entries": [entries]})
 
-    return keep(rows.groupBy("shard").applyInPandas(run, _PIECES_SQL), "lm-pieces")
+    return keep(rows.repartition(layout.shards, "shard").groupBy("shard").applyInPandas(run, _PIECES_SQL), "lm-pieces")
 
 
 class Model:
@@ -318,7 +331,8 @@ class Model:
         tokens, texts = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
         self.tokens, self.texts = int(tokens), int(texts)
         self.layout = Layout(self.tokens, shard_grams)
-        found = [r.asDict() for r in pieces(dealt(table, self.layout), self.layout, entry_bits).toLocalIterator()]  # a row for each shard
+        self.folder = new_folder(table.sparkSession, "lm-pieces")
+        found = [r.asDict() for r in pieces(dealt(table, self.layout), self.layout, self.folder, entry_bits).toLocalIterator()]  # a row for each shard
         self.kinds = sum(r["kinds"] for r in found)
         self.entries, self.bytes = sum(r["entries"] for r in found), sum(r["filter_bytes"] for r in found)
         found.sort(key=lambda r: r["shard"])
@@ -326,36 +340,45 @@ class Model:
         self.vocabulary = _grouped([(r["shard"], r["vocabulary"], 16 * r["kinds"]) for r in found if r["kinds"]], part_bytes)
 
 
-def _grouped(files: list[tuple[int, str, int]], most: int) -> list[tuple[tuple[int, str], ...]]:
-    out: list[tuple[tuple[int, str], ...]] = []
+_Files = tuple[tuple[int, str, int], ...]
+
+
+def _grouped(files: list[tuple[int, str, int]], most: int) -> list[_Files]:
+    """(shard, file, bytes) in groups of at most so many bytes, or of one file."""
+    out: list[_Files] = []
     room = 0
-    for shard, path, size in files:
-        if size > room or not out:
+    for f in files:
+        if f[2] > room or not out:
             out.append(())
             room = most
-        out[-1] += ((shard, path),)
-        room -= size
+        out[-1] += (f,)
+        room -= f[2]
     return out
 
 
-#: What this worker has read last, by kind and files.
-_READ: dict[str, tuple] = {}
+#: What this worker has read last: one group of files at a time.
+_READ: dict[_Files, object] = {}
 
 
-def _part(layout: Layout, files: tuple[tuple[int, str], ...]) -> Part:
-    if _READ.get("part", (None,))[0] != files:
-        _READ.pop("part", None)
-        _READ["part"] = (files, Part(layout, {s: np.frombuffer(read_whole(p), np.uint64) for s, p in files}))
-    return _READ["part"][1]
+def _part(layout: Layout, files: _Files) -> Part:
+    if files not in _READ:
+        _READ.clear()
+        _READ[files] = Part(layout, ((s, np.frombuffer(read_whole(p), np.uint64)) for s, p, _ in files), sum(n for _, _, n in files) // 8)
+    return _READ[files]
 
 
-def _words(files: tuple[tuple[int, str], ...]) -> tuple[np.ndarray, np.ndarray]:
+def _words(files: _Files) -> tuple[np.ndarray, np.ndarray]:
     """(keys, counts) of some shards' words: shards come in the order of their keys, so all are sorted."""
-    if _READ.get("words", (None,))[0] != files:
-        _READ.pop("words", None)
-        read = [np.frombuffer(read_whole(p), np.uint64) for _, p in files]
-        _READ["words"] = (files, np.concatenate([x[: len(x) // 2] for x in read]), np.concatenate([x[len(x) // 2 :].astype(np.uint32 if max(x[len(x) // 2 :].max(), 1) < 1 << 32 else np.uint64) for x in read]))
-    return _READ["words"][1:]
+    if files not in _READ:
+        _READ.clear()
+        total = sum(n for _, _, n in files) // 16
+        keys, counts, at = np.empty(total, np.uint64), np.empty(total, np.int64), 0
+        for _, path, n in files:
+            both = np.frombuffer(read_whole(path), np.uint64)
+            keys[at : at + n // 16], counts[at : at + n // 16] = both[: n // 16], both[n // 16 :]
+            at += n // 16
+        _READ[files] = keys, counts
+    return _READ[files]
 
 
 # --- levels, discounts and scores
@@ -385,9 +408,9 @@ def levels(table: DataFrame, model: Model) -> DataFrame:
                 part = _part(layout, files)
                 for row, (one, two, three) in zip(held, found):
                     b = Block(row)
-                    part.fill(layout.short(layout.keys(np.append(b.words, np.uint64(_END)), 1)), one)
+                    part.fill(np.append(b.words, np.uint64(_END)), 1, one)
                     for order, hashes, to in zip((2, 3), b.grams(), (two, three)):
-                        part.fill(layout.short(layout.keys(hashes, order)), to)
+                        part.fill(hashes, order, to)
             for row, known, (one, two, three) in zip(held, counts, found):
                 b = Block(row)
                 base = np.log10((np.append(known, texts) + 1) / (total + kinds + 1))
@@ -500,6 +523,7 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2, block_words: int = BL
     table = blocks(rows, block_words)
     model = Model(table, shard_grams, part_bytes, entry_bits)
     found = levels(table, model)
+    remove(docs.sparkSession, table, model.folder)  # all that is still to run reads levels alone
     scorer, tokens, texts = Scorer(model.tokens, model.kinds, *discounts(found, model)), model.tokens, model.texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,6 +33,53 @@ def test_held_out_accuracy(spark, sf_dir):
     assert sum(got[r.doc_id].lang_pred == r.lang for r in rows) >= 0.97 * len(rows)
 
 
+def brute_languages(rows, dimensions=language_id.DIMENSIONS):
+    """Predictions from the definition: trigrams of letters bound by rotation, bundled, centred prototypes, cosine."""
+
+    def counts(text):
+        c = "".join(x if x.isalpha() else " " for x in f" {(text or '').lower()} ")
+        while "  " in c:
+            c = c.replace("  ", " ")
+        return Counter(zip(c, c[1:], c[2:]))
+
+    def bundle(grams):
+        out = np.zeros(dimensions)
+        for (a, b, c), n in grams.items():
+            a, b, c = (language_id._vector(ord(x), dimensions).astype(float) for x in (a, b, c))
+            out += n * np.roll(a, 2) * np.roll(b, 1) * c
+        return out
+
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    sums = {}
+    for i, lang, text in rows:
+        if not held(i, 3, 1) and lang is not None and text is not None:
+            sums[lang] = sums.get(lang, np.zeros(dimensions)) + bundle(counts(text))
+    names = sorted(sums)
+    protos = np.array([unit(sums[k]) for k in names])
+    mean = protos.mean(0) if len(names) > 1 else np.zeros(dimensions)
+    centred = np.array([unit(p - mean) for p in protos])
+    out = []
+    for i, _, text in rows:
+        g = counts(text)
+        if not any(x.isalpha() for x in text or "") or not g:
+            out.append((i, "und", 0.0))
+            continue
+        cosine = centred @ unit(unit(bundle(g)) - mean)
+        k = int(cosine.argmax())
+        out.append((i, names[k], min(1.0, max(0.0, float(cosine[k])))))
+    return out
+
+
+def test_predictions_by_brute_force(spark, sf_dir, odd_docs, monkeypatch):
+    monkeypatch.setattr(language_id, "_TOGETHER", 300)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 40").select("doc_id", "lang", "text").unionByName(odd_docs.where("doc_id is null or doc_id not in (7, 8)").limit(30).selectExpr("doc_id + 1000000 as doc_id", "lang", "text"))
+    rows = [tuple(r) for r in docs.collect()]
+    got = {r.doc_id: r for r in language_id.identified(spark.createDataFrame(rows, docs.schema)).collect() if r.doc_id is not None}
+    for i, lang, score in brute_languages(rows):
+        if i is not None and sum(x[0] == i for x in rows) == 1:
+            assert got[i].lang_pred == lang and math.isclose(got[i].score, score, abs_tol=1e-4)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     out = language_id.identified(odd_docs).collect()
     assert len(out) == odd_docs.count()
@@ -128,16 +175,19 @@ def test_words_in_another_order_score_otherwise(spark):
 def test_filter_levels_are_quantised_counts(spark):
     rng = np.random.default_rng(0)
     layout = bloom_lm.Layout(1_000_000, 100_000)
-    keys = np.unique(layout.short(layout.keys(np.arange(30_000, dtype=np.uint64), 2)))
+    hashes = np.arange(30_000, dtype=np.uint64)
+    keys = layout.short(layout.keys(hashes, 2))
+    assert len(np.unique(keys)) == len(keys)
     n = rng.integers(1, 5000, len(keys))
-    part = bloom_lm.Part(layout, {int(s): bloom_lm.filter_words(keys[own], bloom_lm.level(n[own])) for s in np.unique(layout.shard(keys)) for own in [layout.shard(keys) == s]})
+    pieces = [(int(s), bloom_lm.filter_words(keys[own], bloom_lm.level(n[own]))) for s in np.unique(layout.shard(keys)) for own in [layout.shard(keys) == s]]
+    part = bloom_lm.Part(layout, pieces, sum(len(w) for _, w in pieces))
     got = np.zeros(len(keys), np.uint8)
-    part.fill(keys, got)
+    part.fill(hashes, 2, got)
     assert (got >= bloom_lm.level(n)).all() and (got == bloom_lm.level(n)).mean() > 0.96  # a filter may overstate, never understate
     other = np.zeros(100_000, np.uint8)
-    part.fill(layout.short(layout.keys(np.arange(1 << 40, (1 << 40) + 100_000, dtype=np.uint64), 2)), other)
+    part.fill(np.arange(1 << 40, (1 << 40) + 100_000, dtype=np.uint64), 2, other)
     assert 0 < (other > 0).mean() < 0.03
-    bloom_lm.Part(layout, {}).fill(keys, none := np.zeros(len(keys), np.uint8))
+    bloom_lm.Part(layout, [], 0).fill(hashes, 2, none := np.zeros(len(keys), np.uint8))
     assert not none.any()
     value = bloom_lm.level_values()
     assert all(value[bloom_lm.level(np.array([c]))[0]] == pytest.approx(c, rel=0.25) for c in range(1, 3000))
@@ -146,7 +196,7 @@ def test_filter_levels_are_quantised_counts(spark):
 def test_an_empty_filter_changes_scores(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     full = {r.doc_id: r.score for r in bloom_lm.scored(docs).collect()}
-    monkeypatch.setattr(bloom_lm.Part, "fill", lambda self, short, out: None)
+    monkeypatch.setattr(bloom_lm.Part, "fill", lambda self, hashes, order, out: None)
     table = bloom_lm.blocks(docs.selectExpr("doc_id", "crc32(cast(cast(doc_id as string) as binary)) % 7 = 2 as held_out", "text"))
     model = bloom_lm.Model(table)
     model.parts = []
