@@ -24,6 +24,8 @@ UNKNOWN = "und"
 _SPACE = 32
 #: Texts are joined up to this many characters at a time.
 _CHUNK = 2_000_000
+#: Trigrams that are bound at a time: their vectors take dimensions bytes each.
+_TOGETHER = 4096
 
 
 @lru_cache(maxsize=1)
@@ -32,23 +34,24 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
 
 
-def _codes(text: str) -> np.ndarray:
-    """Lower-case letters, with one space for each run of anything else and at both ends."""
-    c = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    letter = _letters()[np.minimum(c, 0xFFFF)]
+def _codes(texts: list[str]) -> np.ndarray:
+    """Lower-case letters, with one space for each run of anything else and at both ends of a text; 0 between texts."""
+    c = np.frombuffer("\0".join(f" {t.lower().replace(chr(0), ' ')} " for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    letter, between = _letters()[np.minimum(c, 0xFFFF)], c == 0
     high = np.flatnonzero(c > 0xFFFF)
     if len(high):
         letter[high] = [chr(x).isalpha() for x in c[high].tolist()]
-    c = np.where(letter, c, _SPACE)
-    return c[np.r_[True, letter[1:] | letter[:-1]]]
+    whole = letter | between
+    return np.where(whole, c, _SPACE)[whole | np.r_[True, whole[:-1]]]
 
 
-def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigrams (three code points, 21 bits each) and their counts; none if the text has no letter."""
-    c = _codes(text)
+def trigrams(*texts: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams (three code points, 21 bits each) of the texts and their counts; none goes beyond a text."""
+    c = _codes(list(texts)) if texts else np.zeros(0, np.int64)
     if len(c) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:], return_counts=True)
+    inside = (c[:-2] > 0) & (c[1:-1] > 0) & (c[2:] > 0)
+    return np.unique((c[:-2] << 42 | c[1:-1] << 21 | c[2:])[inside], return_counts=True)
 
 
 @lru_cache(maxsize=20_000)
@@ -84,10 +87,13 @@ class Prototypes:
         if not len(every) or not self.names:
             return [(UNKNOWN, 0.0)] * len(texts)
         vectors = np.zeros((len(texts), self.dimensions), np.float32)
-        table = bind(every, self.dimensions)
-        for i, (g, n) in enumerate(grams):
-            if len(g):
-                vectors[i] = n.astype(np.float32) @ table[np.searchsorted(every, g)].astype(np.float32)
+        for at in range(0, len(every), _TOGETHER):
+            some = every[at : at + _TOGETHER]
+            table = bind(some, self.dimensions)
+            for i, (g, n) in enumerate(grams):
+                a, b = np.searchsorted(g, some[0]), np.searchsorted(g, some[-1], "right")
+                if a < b:
+                    vectors[i] += n[a:b].astype(np.float32) @ table[np.searchsorted(some, g[a:b])].astype(np.float32)
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         vectors -= self.mean.astype(np.float32)
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
@@ -117,7 +123,7 @@ def fit(training: DataFrame, dimensions: int = DIMENSIONS) -> Prototypes:
                     part.append(t)
                     size += len(t)
                     if size >= _CHUNK or i == len(texts) - 1:
-                        grams, n = trigrams(" ".join(part))
+                        grams, n = trigrams(*part)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], schema=counted)
                         part, size = [], 0
 
@@ -149,7 +155,7 @@ def identified(docs: DataFrame, folds: int = 3, held: int = 1, dimensions: int =
 
     Held out: rows whose crc32 of the id's decimal text leaves `held` modulo `folds`; they teach nothing. Null id: not
     held out. Null lang teaches nothing and is predicted like any other; null, empty or letterless text: und, score 0.
-    Repeated rows teach again. Without training rows all is und. Very long texts: whole. Other columns are not read.
+    Ties: of equal cosines, the first language in alphabetic order. Repeated rows teach again. Without training rows all is und. Very long texts: whole. Other columns are not read.
     """
     spark = prepare(docs.sparkSession)
     held_out = F.coalesce(F.pmod(crc32_text(F.col("doc_id")), F.lit(folds)) == held, F.lit(False))
