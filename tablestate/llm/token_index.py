@@ -136,10 +136,12 @@ def index_bytes(keys: np.ndarray, is_null: np.ndarray, lengths: np.ndarray, widt
 def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write shards under folder; returns the manifest, materialised: partition, shard (within it), name, n_docs, n_tokens.
 
-    Partitions are ranges of keys (null first), so (partition, shard) is key order. Only files that the manifest names
-    count: a lost or repeated task leaves files of other names behind.
+    Partitions are ranges of keys (null first), and of a hash of the texts where keys are equal, so (partition, shard)
+    is key order and a key with very many rows is dealt to many shards. Only files that the manifest names count: a lost
+    or repeated task leaves files of other names behind.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
+    rows = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -164,7 +166,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
         end = np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if size >= shard_bytes and (nulls[-1], keys[-1]) != (k is None, k or 0):  # a key's documents share a shard
+                if size >= shard_bytes:
                     yield close()
                 ids = enc.encode(t or "")
                 if width == 2:
@@ -214,8 +216,9 @@ def token_index(docs: DataFrame, vocabulary_path: str | None = None, end_id: int
     """Encode, write, index and read back every document of docs.
 
     Null or empty text: the end id alone. Null keys: stored first, under a key of their own. Repeated keys: side by
-    side, ordered by text; one slot leads to all of them. Very long texts: whole, in one shard. Empty table: no shard,
-    no rows. Columns other than the id and the text are not read.
+    side, by a hash of their texts and then by text; in each shard that has some, one slot leads to all of them. Very
+    long texts: whole; a shard takes one in full and is closed after it. Empty table: no shard, no rows. Columns other
+    than the id and the text are not read.
     """
     spark = prepare(docs.sparkSession)
     folder = folder or new_folder(spark, "token-shards")

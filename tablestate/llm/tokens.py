@@ -36,6 +36,10 @@ _BYTE = _byte_letters()
 _LETTERS = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(256)}
 
 
+class _Odd(Exception):
+    """A part between two spaces that is no word: empty, or with white space at an end."""
+
+
 class _Words(dict):
     """Word to its ids as little-endian unsigned 32-bit integers; emptied when it reaches its limit."""
 
@@ -76,6 +80,8 @@ class TextEncoder:
 
     def _word(self, word: str) -> bytes:
         """A word that a space precedes."""
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Odd
         if not _PLAIN(word):
             return self._whole(" " + word)
         if self.lower:
@@ -85,6 +91,8 @@ class TextEncoder:
 
     def _start(self, word: str) -> bytes:
         """A word at the start of a text."""
+        if not word or word[-1].isspace():
+            raise _Odd
         if not _PLAIN(word):
             return self._whole(word)
         if self.lower:
@@ -97,8 +105,21 @@ class TextEncoder:
             return b""
         if any(s in text for s in self.special):
             return self._whole(text)
-        first, *rest = _SPLIT(text)
-        return self.starts[first] + b"".join(map(self.words.__getitem__, rest))
+        first, *rest = text.split(" ")
+        try:
+            return self.starts[first] + b"".join(map(self.words.__getitem__, rest))
+        except _Odd:  # white space beside a space: cut there only where the library would
+            first, *rest = _SPLIT(text)
+        if not rest:
+            return self._whole(first)
+        *rest, last = rest
+        return self._first(first) + b"".join(map(self.words.__getitem__, rest)) + self._last(last)
+
+    def _first(self, part: str) -> bytes:
+        return self._whole(part) if part[0].isspace() else self.starts[part]
+
+    def _last(self, part: str) -> bytes:
+        return self._whole(" " + part) if part[-1].isspace() else self.words[part]
 
 
 def _pack(ids: list[int]) -> bytes:

@@ -3,8 +3,10 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from invented import prose
 from tokenizers import Tokenizer
 
 from tablestate.llm import packing
@@ -36,9 +38,32 @@ def crc(part):
     return zlib.crc32(np.array(part, "<u4").tobytes())
 
 
+def by_hash(text):
+    """Spark's xxhash64 of a text; of null, the seed."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_a_key_of_most_rows_is_dealt_to_many_shards(spark):
+    rng = random.Random(6)
+    rows = [(7 if i % 4 else i, prose(rng, 30)) for i in range(400)] + [(None, prose(rng, 30)) for _ in range(100)]
+    folder = new_folder(spark, "hot-key")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = write_shards(docs, folder, vocabulary(NAMES[0]), 2, shard_bytes=3000)
+    out = read_shards(manifest, folder).collect()
+    assert len({r.shard_name for r in out if r.doc_id == 7}) > 3 and len({r.shard_name for r in out if r.doc_id is None}) > 1
+    at = 0
+    for r in sorted(out, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.start)] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    want = sorted(repr((i, len(x), crc(x))) for i, t in rows for x in [ids(NAMES[0], t) + [2]])
+    assert sorted(repr((r.doc_id, r.n_tokens, r.ids_crc32)) for r in out) == want
+
+
 def test_token_index_round_trip(spark, odd_docs, no_docs):
     got = token_index(odd_docs).collect()
-    rows = sorted(odd_docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+    rows = sorted(odd_docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, by_hash(r.text), r.text or ""))
     assert len(got) == len(rows)
     at, want = 0, []
     for r in rows:
