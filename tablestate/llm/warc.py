@@ -122,6 +122,7 @@ class BundleReader:
         self.data, self.unpack = data, zstandard.ZstdDecompressor()
         self.map = np.frombuffer(self.unpack.decompress(data[at + 8 : at + 8 + length], max_output_size=_MAP.itemsize << 24), _MAP)
         self.last: tuple[int, bytes] = (-1, b"")
+        self.rows: dict[int, int] | None = None
 
     def frame(self, k: int) -> bytes:
         if self.last[0] != k:
@@ -134,9 +135,12 @@ class BundleReader:
         return parse_record(self.frame(int(m["frame"]))[at : at + int(m["length"])])
 
     def find(self, page_id: int) -> dict | None:
-        """The record of an identifier: one frame is decompressed."""
-        rows = np.flatnonzero((self.map["id"] == page_id) & (self.map["null"] == 0))
-        return self.record(int(rows[0])) if len(rows) else None
+        """The record of an identifier, the first if there are several: one look into the map, one frame decompressed."""
+        if self.rows is None:
+            some = np.flatnonzero(self.map["null"] == 0)
+            self.rows = dict(zip(self.map["id"][some[::-1]].tolist(), some[::-1].tolist()))
+        row = self.rows.get(page_id)
+        return None if row is None else self.record(row)
 
 
 def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -216,7 +220,7 @@ def archived(pages: DataFrame, least_bytes: int = 0, folder: str | None = None)
     page_id, url, payload_bytes, payload_digest, record_type, refers_to, bundle, frame, frame_offset. Null html: an
     empty payload. Null url: no target header. Null page_id: named "none"; among equal payloads the largest page_id
     that is not null is the response, and if all are null each is a response. Repeated rows of the response's page_id
-    are responses alike. Very long payloads: whole, in a frame of their own. Empty table: no file, no rows. Other
+    are responses alike. Very long payloads: whole; a frame takes one in full and is closed after it. Empty table: no file, no rows. Other
     columns are not read.
     """
     spark = prepare(pages.sparkSession)
