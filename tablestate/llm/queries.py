@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from .bloom_lm import scored
 from .common import table
 from .decontaminate import contamination
+from .fill_middle import fill_middle, restore
+from .filter_audit import filter_audit
 from .html_extract import main_texts
 from .kneser_ney import classified
 from .language_id import identified
 from .packing import packed_documents
 from .quality_rules import quality_rules
+from .shards import balanced_shards
 from .simhash import near_duplicates
 from .token_index import token_index
 from .warc import archived
@@ -71,8 +74,21 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arranged = fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return restore(arranged.drop("text"), with_text=False).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_kneser_ney_quality, op3_best_fit_packing, op4_quality_rules, op5_simhash_anchors, op6_decontamination, op7_language_id, op8_warc_bundles, op9_bloom_lm, op10_token_index)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_kneser_ney_quality, op3_best_fit_packing, op4_quality_rules, op5_simhash_anchors, op6_decontamination, op7_language_id, op8_warc_bundles, op9_bloom_lm, op10_token_index, op11_filter_audit, op12_fill_in_middle, op13_balanced_shards)}
 
 
 #: Words by op6: A-Z to a-z, then runs of what is no ASCII sign or space.
@@ -111,5 +127,38 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
   FROM x"""
 
 
+#: Cells by the five conditions, and every order's steps over them.
+_OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, len(words) < 200 AS a, 100 * list_unique(words) < 50 * len(words) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c,
+             regexp_matches(t, '[#$%&*|]') AS d, coalesce(w.doc_id > first, false) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+        FROM w LEFT JOIN said USING (doc_id)),
+cell AS (SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+                count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT concat(f1.x, f2.x, f3.x, f4.x, f5.x) AS filter_order FROM f f1, f f2, f f3, f f4, f f5 WHERE len(list_distinct([f1.x, f2.x, f3.x, f4.x, f5.x])) = 5),
+steps AS (SELECT filter_order, s.step, substr(filter_order, s.step, 1) AS f, substr(filter_order, 1, s.step - 1) AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS step) s),
+met AS (SELECT part, filter_order, step, f, fails, n, good, toxic, contains(fails, f) AS fail, regexp_matches(fails, concat('[', earlier, '_]')) AS gone FROM steps, cell),
+x AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND fail THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN gone AND fail THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN NOT gone AND fail THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND fail THEN toxic ELSE 0 END) AS toxic_lost
+        FROM met GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+  FROM x"""
+
+_OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256(concat('1:', CAST(doc_id AS VARCHAR))) AS hex FROM documents),
+h AS (SELECT doc_id, t, w, len(w) AS n, list_transform(range(4), lambda i: CAST(concat('0x', substr(hex, CAST(8 * i + 1 AS INTEGER), 8)) AS BIGINT)) AS h FROM d),
+c AS (SELECT doc_id, t, w, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+x AS (SELECT doc_id, t, n, form, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1 : b], '') AS m, array_to_string(w[b + 1 : n], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256, sha256(t) AS restored_sha256
+  FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": _OP6_SQL, "op8_warc_bundles": _OP8_SQL}
+    return {"op6_decontamination": _OP6_SQL, "op8_warc_bundles": _OP8_SQL, "op11_filter_audit": _OP11_SQL, "op12_fill_in_middle": _OP12_SQL}

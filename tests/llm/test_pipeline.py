@@ -31,5 +31,5 @@ def test_stages(spark, sf_dir):
 
 
 def test_registered():
-    assert sorted(k.split("_")[0] for k in queries()) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(k.split("_")[0] for k in queries()) == sorted(f"op{n}" for n in range(1, 14))
     assert set(oracle_sql()) <= set(queries())
