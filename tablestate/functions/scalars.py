@@ -1,4 +1,4 @@
-"""Column functions that say sizes and durations the way a reader does. All stay in generated code."""
+"""Column functions: sizes and durations the way a reader says them, and what a check says of a column. All stay in generated code."""
 
 from __future__ import annotations
 
@@ -50,3 +50,18 @@ def humanize_duration(us: Column) -> Column:
         .when(us >= 60_000_000, F.when(seconds >= 3600, text(s(seconds / 3600), "h0m0s")).otherwise(text(s(seconds / 60), "m", (seconds % 60).cast("string"), "s")))
         .otherwise(F.when(tenths >= 600, F.lit("1m0s")).otherwise(part))
     )
+
+
+#: A column, its qualifiers before it, quoted or not, then the test; parentheses around either.
+NOT_NULL_TEST = r'''^[\s(]*(?:(?:"(?:[^"]|"")+"|[^\s().",'0-9][^\s().",']*)\s*\.\s*)*(?:"((?:[^"]|"")+)"|([^\s().",'0-9][^\s().",']*))(?:\s*\)[\s)]*|\s+)(?i:is\s+not\s+null)[\s)]*$'''
+
+
+def not_null_column(condition: Column) -> Column:
+    """The column of a condition that is exactly `column IS NOT NULL`, as the server reads the name; null for any other.
+
+    Parentheses that match, qualifiers, quotes and the case of unquoted names don't matter.
+    """
+    test = F.lit(NOT_NULL_TEST)
+    quoted, bare = F.regexp_extract(condition, NOT_NULL_TEST, 1), F.regexp_extract(condition, NOT_NULL_TEST, 2)
+    matched = F.regexp_count(condition, F.lit(r"\(")) == F.regexp_count(condition, F.lit(r"\)"))
+    return F.when(F.regexp_like(condition, test) & matched, F.when(quoted != "", F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(F.lower(bare)))

@@ -1,9 +1,11 @@
 """G. Hazards in a fleet's log of schema changes.
 
 actions: repo, migration_no, step_no, stmt_no, action_no, step_kind, no_lock_timeout, action_kind, schema_name,
-relation, column_name, referenced, constraint_name, type_name, type_mod, concurrent, not_valid, if_exists, has_where,
-filled_by, condition_text, label, lock_mode. A statement's place is (migration_no, step_no, stmt_no); a migration is a
-file. lock_mode is the mode that a lock_table action names (null: the strongest).
+relation, column_name, referenced, constraint_name, type_name, mods, concurrent, not_valid, if_exists, has_where,
+filled_by, condition_text, label, and, where the log has them, lock_mode, columns, literals. A statement's place is
+(migration_no, step_no, stmt_no); a migration is a file. lock_mode is the mode that a lock_table action names (null:
+the strongest). mods are a type's modifiers, numeric(10,2) has [10, 2]; columns are those of a created table, an array
+of (name, type_name, mods); literals are the string literals of the action's statement. Null arrays are empty ones.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import not_null_column
 from .sizing import is_large, size_grade
 
 STMT = ["repo", "migration_no", "step_no", "stmt_no"]
@@ -86,6 +89,8 @@ RULES = [
     ("update", None, None, None, 0, 99, "relation", 3, 2, False, "searched and written"),
     ("delete", None, None, None, 0, 99, "relation", 3, 2, False, "searched and written"),
 ]
+CREATES = ("create_table", "create_partition", "create_referencing")
+COLUMNS_TYPE, MODS_TYPE, LITERALS_TYPE = "array<struct<name:string,type_name:string,mods:array<int>>>", "array<int>", "array<string>"
 RULE_COLUMNS = "ord int, kind string, r_concurrent boolean, r_not_valid boolean, r_filled_by string, version_from int, version_to int, side string, mode int, duration int, implicit boolean, reason string"
 
 
@@ -131,7 +136,7 @@ def fresh_at(probes: DataFrame, actions: DataFrame, name: str = "relation") -> D
     migration and name, no theta join.
     """
     key = ["repo", "migration_no", "__name"]
-    born = F.when(F.col("action_kind").isin("create_table", "create_partition", "create_referencing"), True).when(F.col("action_kind") == "drop_table", False)
+    born = F.when(F.col("action_kind").isin(*CREATES), True).when(F.col("action_kind") == "drop_table", False)
     events = actions.withColumn("__born", born).where("__born is not null").select("repo", "migration_no", F.lower("relation").alias("__name"), "step_no", "stmt_no", F.when(F.col("__born"), 0).otherwise(2).alias("__turn"), "__born", F.lit(False).alias("__probe"))
     asked = probes.withColumns({"__name": F.lower(F.col(name)), "__turn": F.lit(1), "__born": F.lit(None).cast("boolean"), "__probe": F.lit(True)})
     w = Window.partitionBy(*key).orderBy("step_no", "stmt_no", "__turn").rowsBetween(Window.unboundedPreceding, 0)
@@ -144,7 +149,7 @@ def created_here(probes: DataFrame, actions: DataFrame, name: str = "relation")
 
     Names are compared as written; schemas match when equal or when either is empty.
     """
-    made = actions.where(F.col("action_kind").isin("create_table", "create_partition", "create_referencing")).groupBy("repo", "migration_no", F.col("relation").alias("__r"), F.col("schema_name").alias("__s")).agg(F.min(F.struct("step_no", "stmt_no")).alias("__first"))
+    made = actions.where(F.col("action_kind").isin(*CREATES)).groupBy("repo", "migration_no", F.col("relation").alias("__r"), F.col("schema_name").alias("__s")).agg(F.min(F.struct("step_no", "stmt_no")).alias("__first"))
     by_name = made.groupBy("repo", "migration_no", "__r").agg(F.map_from_entries(F.collect_list(F.struct("__s", "__first"))).alias("__made"))
     joined = probes.join(by_name.withColumnRenamed("__r", name), ["repo", "migration_no", name], "left")
     here = F.struct("step_no", "stmt_no")
@@ -154,59 +159,81 @@ def created_here(probes: DataFrame, actions: DataFrame, name: str = "relation")
 
 def blockable(e: DataFrame, actions: DataFrame) -> DataFrame:
     """effects with blockable: can the lock block anyone: not on a fresh relation, not a drop-if-exists of one never created."""
-    ever = actions.where("action_kind = 'create_table'").select("repo", F.lower("relation").alias("__ever")).distinct().withColumn("__made", F.lit(True))
+    ever = actions.where(F.col("action_kind").isin(*CREATES)).select("repo", F.lower("relation").alias("__ever")).distinct().withColumn("__made", F.lit(True))
     fresh = fresh_at(e, actions, "locked").withColumn("__ever", F.lower("locked")).join(ever, ["repo", "__ever"], "left")
     idle = (F.col("action_kind") == "drop_table") & F.col("if_exists") & F.col("__made").isNull()
     return fresh.withColumn("blockable", ~F.col("fresh") & ~idle).drop("__ever", "__made")
 
 
-_SPEC = ["type_name", "type_mod"]
+def _array(df: DataFrame, name: str, kind: str) -> Column:
+    """An array column, empty where it is null or the log has none."""
+    empty = F.array().cast(kind)
+    return F.coalesce(F.col(name).cast(kind), empty) if name in df.columns else empty
+
+
+def type_events(actions: DataFrame) -> DataFrame:
+    """(repo, place, relation, column_name, spec, nth): each time a column's type is said, by a create, an add or a change.
+
+    Names are in lower case. spec is (type_name, mods); nth orders what one statement says of a column.
+    """
+    spec = F.struct("type_name", _array(actions, "mods", MODS_TYPE).alias("mods"))
+    said = actions.where("action_kind IN ('add_column', 'alter_type')").select(*STMT, F.lower("relation").alias("relation"), F.lower("column_name").alias("column_name"), spec.alias("spec"), F.struct("action_no", F.lit(0).alias("at")).alias("nth"))
+    born = actions.where(F.col("action_kind").isin(*CREATES)).select(*STMT, "relation", "action_no", F.posexplode(_array(actions, "columns", COLUMNS_TYPE)).alias("at", "c"))
+    spec = F.struct(F.col("c.type_name").alias("type_name"), F.coalesce("c.mods", F.array().cast(MODS_TYPE)).alias("mods"))
+    return said.unionByName(born.select(*STMT, F.lower("relation").alias("relation"), F.lower("c.name").alias("column_name"), spec.alias("spec"), F.struct("action_no", "at").alias("nth")))
 
 
 def type_before(actions: DataFrame) -> DataFrame:
-    """Type changes with prior (name, modifier): the column's last known type strictly before, across files; null if unknown.
+    """Type changes with prior (type_name, mods): the column's last known type strictly before, across files; null if unknown.
 
     An as-of lookup as one sort by (repo, relation, column): probes stand before the events of their own statement, of
-    which the last action counts for later ones.
+    which the last counts for later ones. A column that a created table is born with is known from there on.
     """
-    spec = F.struct(*_SPEC)
-    known = actions.where(F.col("action_kind").isin("add_column", "alter_type")).withColumns({"__spec": spec, "__turn": F.lit(1)})
-    asked = actions.where("action_kind = 'alter_type'").withColumns({"__spec": F.lit(None).cast(known.schema["__spec"].dataType), "__turn": F.lit(0)})
-    w = Window.partitionBy("repo", F.lower("relation"), F.lower("column_name")).orderBy("migration_no", "step_no", "stmt_no", "__turn", "action_no").rowsBetween(Window.unboundedPreceding, 0)
-    return asked.unionByName(known).withColumn("prior", F.last("__spec", ignorenulls=True).over(w)).where("__turn = 0").drop("__spec", "__turn")
+    known = type_events(actions).withColumnsRenamed({"relation": "__r", "column_name": "__c", "spec": "__spec", "nth": "__nth"}).withColumn("__turn", F.lit(1))
+    asked = actions.where("action_kind = 'alter_type'").withColumns({"__r": F.lower("relation"), "__c": F.lower("column_name"), "__turn": F.lit(0)})
+    w = Window.partitionBy("repo", "__r", "__c").orderBy("migration_no", "step_no", "stmt_no", "__turn", "__nth").rowsBetween(Window.unboundedPreceding, 0)
+    return asked.unionByName(known, allowMissingColumns=True).withColumn("prior", F.last("__spec", ignorenulls=True).over(w)).where("__turn = 0").drop("__r", "__c", "__spec", "__nth", "__turn")
 
 
 def in_place_type_change(changes: DataFrame) -> DataFrame:
-    """Type changes with in_place: the server rewrites nothing. An unknown prior type means a rewrite."""
-    was, mod, new, to = F.col("prior.type_name"), F.col("prior.type_mod"), F.col("type_name"), F.col("type_mod")
-    same = (was == new) & mod.eqNullSafe(to)
-    wider = (was == "varchar") & (new == "varchar") & (to.isNull() | (mod.isNotNull() & (to >= mod)))
-    text = (was == "varchar") & (new == "text")
-    numeric = (was == "numeric") & (new == "numeric") & (to.isNull() | (mod.isNotNull() & (to >= mod)))
-    return changes.withColumn("in_place", F.coalesce(F.col("prior").isNotNull() & (same | wider | text | numeric), F.lit(False)))
+    """Type changes with in_place: the server rewrites nothing. An unknown prior type means a rewrite.
+
+    In place are: the same type and modifiers; varchar to a limit that is no lower, to none, or to text; numeric to one
+    without modifiers, or from two modifiers to two with the same scale and a precision that is no lower.
+    """
+    was, new = F.col("prior.type_name"), F.col("type_name")
+    mods, to = F.coalesce("prior.mods", F.array().cast(MODS_TYPE)), _array(changes, "mods", MODS_TYPE)
+    both = lambda name: (was == name) & (new == name)
+    no_lower, unbound = F.get(to, F.lit(0)) >= F.get(mods, F.lit(0)), F.size(to) == 0
+    wider = both("varchar") & (unbound | ((F.size(mods) == 1) & no_lower))
+    precise = both("numeric") & (unbound | ((F.size(mods) == 2) & (F.size(to) == 2) & no_lower & (F.get(to, F.lit(1)) == F.get(mods, F.lit(1)))))
+    same = (was == new) & (mods == to)
+    return changes.withColumn("in_place", F.coalesce(same | wider | ((was == "varchar") & (new == "text")) | precise, F.lit(False)))
 
 
 def column_added_in_file(probes: DataFrame, actions: DataFrame) -> DataFrame:
-    """probes with column_added: the column was added earlier in the same file."""
-    key = ["repo", "migration_no", "relation", "column_name"]
-    first = actions.where("action_kind = 'add_column'").groupBy(*key).agg(F.min(F.struct("step_no", "stmt_no")).alias("__first"))
-    return probes.join(first, key, "left").withColumn("column_added", F.coalesce(F.col("__first") < F.struct("step_no", "stmt_no"), F.lit(False))).drop("__first")
+    """probes with column_added: earlier in the same file the column was created with its table, added or given a type; names in lower case."""
+    key = ["repo", "migration_no", "__r", "__c"]
+    first = type_events(actions).withColumnsRenamed({"relation": "__r", "column_name": "__c"}).groupBy(*key).agg(F.min(F.struct("step_no", "stmt_no")).alias("__first"))
+    joined = probes.withColumns({"__r": F.lower("relation"), "__c": F.lower("column_name")}).join(first, key, "left")
+    return joined.withColumn("column_added", F.coalesce(F.col("__first") < F.struct("step_no", "stmt_no"), F.lit(False))).drop("__first", "__r", "__c")
 
 
 def lock_domains(actions: DataFrame, parents: DataFrame, view_bases: DataFrame, version: int = 16) -> DataFrame:
-    """(step, n_domains, n_stmts): transactions that block two or more independent tables by two or more statements.
+    """(step, n_domains, n_stmts): transactions whose access-exclusive locks stop two or more independent tables by two or more statements.
 
-    Relations stand for their parents (the last parent in the lineage wins); a view counts only if its base is not
-    locked by the same step. The locks are computed once: what a step locks is gathered beside each of its rows.
+    A relation stands for its parent (the last in the lineage wins); one without a parent that is a view over something
+    that the step locks adds no domain, though its statement counts. Parents, views and bases go by lower-case names,
+    domains as written. The locks are computed once: what a step locks is gathered beside each of its rows.
     """
-    last = parents.groupBy("repo", F.lower("relation").alias("__r")).agg(F.max_by("parent", F.struct("migration_no", "ord")).alias("__parent"))
-    e = blockable(effects(actions.where("step_kind = 'ddl_tx'"), version), actions).where("blockable and mode >= 5").withColumn("__r", F.lower("locked"))
+    last = parents.groupBy("repo", F.lower("relation").alias("__r")).agg(F.max_by(F.lower("parent"), F.struct("migration_no", "ord")).alias("__parent"))
+    strongest = effects(actions.where("step_kind = 'ddl_tx'"), version).where("mode = 8")
     bases = view_bases.groupBy("repo", F.lower("relation").alias("__r")).agg(F.collect_set(F.lower("base")).alias("__bases"))
-    locked = e.groupBy(*STEP, "__r").agg(F.collect_set("stmt_no").alias("__stmts"))
-    beside = locked.withColumn("__all", F.collect_set("__r").over(Window.partitionBy(*STEP))).join(bases, ["repo", "__r"], "left")
-    own = beside.where(~F.coalesce(F.arrays_overlap("__bases", "__all"), F.lit(False))).join(last, ["repo", "__r"], "left")
-    domain = F.coalesce(F.lower("__parent"), "__r")
-    counted = own.groupBy(*STEP).agg(F.count_distinct(domain).alias("n_domains"), F.size(F.array_distinct(F.flatten(F.collect_list("__stmts")))).cast("long").alias("n_stmts"))
+    locked = blockable(strongest, actions).where("blockable").groupBy(*STEP, "locked").agg(F.collect_set("stmt_no").alias("__stmts")).withColumn("__r", F.lower("locked"))
+    beside = locked.withColumn("__all", F.collect_set("locked").over(Window.partitionBy(*STEP))).join(bases, ["repo", "__r"], "left").join(last, ["repo", "__r"], "left")
+    covered = F.col("__parent").isNull() & F.coalesce(F.arrays_overlap("__bases", "__all"), F.lit(False))
+    domain = F.when(~covered, F.coalesce("__parent", "locked"))
+    counted = beside.groupBy(*STEP).agg(F.count_distinct(domain).alias("n_domains"), F.size(F.array_distinct(F.flatten(F.collect_list("__stmts")))).cast("long").alias("n_stmts"))
     return counted.where("n_domains >= 2 and n_stmts >= 2")
 
 
@@ -221,18 +248,23 @@ def long_work_with_company(actions: DataFrame, version: int = 16) -> DataFrame:
 
 
 def before_backfill(actions: DataFrame) -> DataFrame:
-    """(statement, rule_id): indexes (L022) and foreign keys (L023) added before the step that fills the table; bare names."""
-    fill = actions.where("step_kind = 'backfill'").groupBy("repo", "migration_no", F.lower("relation").alias("__r")).agg(F.max("step_no").alias("__fill"))
+    """(statement, rule_id): indexes (L022) and foreign keys (L023) added before the step that fills the table; bare names as written."""
+    fill = actions.where("step_kind = 'backfill'").groupBy("repo", "migration_no", "relation").agg(F.max("step_no").alias("__fill"))
     rule = F.when(F.col("action_kind") == "create_index", "L022").when(F.col("action_kind") == "add_foreign_key", "L023")
-    early = actions.withColumns({"rule_id": rule, "__r": F.lower("relation")}).where("rule_id is not null").join(fill, ["repo", "migration_no", "__r"])
+    early = actions.withColumn("rule_id", rule).where("rule_id is not null").join(fill, ["repo", "migration_no", "relation"])
     return early.where("__fill > step_no").select(*STMT, "action_no", "rule_id")
 
 
 def used_after_added_in_txn(actions: DataFrame) -> DataFrame:
-    """Statements that use an enum label added earlier in the same transaction; labels match exactly."""
+    """(statement, label): statements of any kind with a literal that is an enum label added earlier in the same transaction; exact match.
+
+    Literals are exploded and meet each step's first addition of a label by equality; a statement has a row for each
+    such label, however many of its actions or literals say it.
+    """
     tx = actions.where("step_kind = 'ddl_tx'")
-    added = tx.where("action_kind = 'add_enum_value'").groupBy(*STEP, "label").agg(F.min("stmt_no").alias("__added"))
-    return tx.where("action_kind = 'use_enum_value'").join(added, [*STEP, "label"]).where("stmt_no > __added").select(*STMT, "label")
+    added = tx.where("action_kind = 'add_enum_value' AND label <> ''").groupBy(*STEP, "label").agg(F.min("stmt_no").alias("__added"))
+    said = tx.select(*STMT, F.explode(_array(actions, "literals", LITERALS_TYPE)).alias("label"))
+    return said.join(added, [*STEP, "label"]).where("stmt_no > __added").select(*STMT, "label").distinct()
 
 
 def timeout_off(actions: DataFrame, version: int = 16) -> DataFrame:
@@ -241,26 +273,33 @@ def timeout_off(actions: DataFrame, version: int = 16) -> DataFrame:
 
 
 def never_granted(actions: DataFrame) -> DataFrame:
-    """(repo, relation): created, not dropped, never granted later, in a lineage that does grant. Earlier grants do not count."""
-    place = F.struct("migration_no", "step_no", "stmt_no", "action_no")
-    name = F.lower("relation").alias("__r")
-    made = actions.where("action_kind = 'create_table'").groupBy("repo", name).agg(F.max(place).alias("made"), F.max_by("relation", place).alias("relation"))
-    gone = actions.where("action_kind = 'drop_table'").groupBy("repo", name).agg(F.max(place).alias("gone"))
-    granted = actions.where("action_kind = 'grant'").groupBy("repo", name).agg(F.max(place).alias("granted"))
-    lineage = actions.where("action_kind in ('grant', 'grant_all')").select("repo").distinct()
-    everywhere = actions.where("action_kind = 'grant_all'").groupBy("repo").agg(F.max(place).alias("everywhere"))
-    joined = made.join(lineage, "repo", "left_semi").join(gone, ["repo", "__r"], "left").join(granted, ["repo", "__r"], "left").join(everywhere, "repo", "left")
-    not_later = lambda c: F.col(c).isNull() | (F.col(c) < F.col("made"))
-    return joined.where(not_later("gone") & not_later("granted") & not_later("everywhere")).select("repo", "relation")
+    """(statement, relation): tables that their own file neither drops, anywhere, nor grants access to, later on, in a lineage that does grant.
+
+    A grant names the table or covers all that exist when it runs, so one above the create does not count. Names are as
+    written and bare. Creates, drops and grants are short tables that meet by file.
+    """
+    file, place = ["repo", "migration_no"], F.struct("step_no", "stmt_no")
+    made = actions.where(F.col("action_kind").isin(*CREATES)).select(*STMT, "relation").distinct()
+    gone = actions.where("action_kind = 'drop_table'").select(*file, "relation").distinct()
+    grants = actions.where("action_kind IN ('grant', 'grant_all')")
+    named = grants.where("action_kind = 'grant'").groupBy(*file, "relation").agg(F.max(place).alias("__named"))
+    everywhere = grants.where("action_kind = 'grant_all'").groupBy(*file).agg(F.max(place).alias("__all"))
+    left = made.join(grants.select("repo").distinct(), "repo", "left_semi").join(gone, [*file, "relation"], "left_anti").join(named, [*file, "relation"], "left").join(everywhere, file, "left")
+    later = F.coalesce(F.col("__named") > place, F.lit(False)) | F.coalesce(F.col("__all") > place, F.lit(False))
+    return left.where(~later).select(*STMT, "relation")
 
 
 def not_null_proof(probes: DataFrame, actions: DataFrame) -> DataFrame:
-    """probes with proven: a check on the relation is added and validated in the same file, so not-null needs no scan."""
-    key = ["repo", "migration_no", "relation", "constraint_name"]
-    checks = actions.where("action_kind = 'add_check'").select(*key).distinct()
-    validated = actions.where("action_kind = 'validate_constraint'").select(*key).distinct()
-    proof = checks.join(validated, key).select("repo", "migration_no", "relation").distinct().withColumn("__p", F.lit(True))
-    return probes.join(proof, ["repo", "migration_no", "relation"], "left").withColumn("proven", F.coalesce("__p", F.lit(False))).drop("__p")
+    """probes with proven: the file has a check on the relation that says exactly that the column is not null, and it holds.
+
+    It holds if it is checked when it is added, or a constraint of its name is validated anywhere in the file. Names
+    are as written, the column as the server reads it. A check on another column, or on more, proves nothing.
+    """
+    key = ["repo", "migration_no", "relation"]
+    validated = actions.where("action_kind = 'validate_constraint'").select(*key, "constraint_name").distinct().withColumn("__v", F.lit(True))
+    checks = actions.where("action_kind = 'add_check'").select(*key, "constraint_name", "not_valid", not_null_column(F.col("condition_text")).alias("column_name")).where("column_name IS NOT NULL")
+    proof = checks.join(validated, [*key, "constraint_name"], "left").where("NOT not_valid OR __v").select(*key, "column_name").distinct().withColumn("__p", F.lit(True))
+    return probes.join(proof, [*key, "column_name"], "left").withColumn("proven", F.coalesce("__p", F.lit(False))).drop("__p")
 
 
 def _heaviest(spark: SparkSession, version: int) -> DataFrame:
@@ -282,23 +321,28 @@ def _heaviest(spark: SparkSession, version: int) -> DataFrame:
 def with_context(actions: DataFrame, stats: DataFrame, version: int = 16) -> DataFrame:
     """actions with what the rules look at: created, column_added, proven, in_place, duration, sized, large.
 
-    The same columns as created_here, column_added_in_file, not_null_proof and in_place_type_change give, but as windows
-    over one partitioning by file; only type changes are looked up across files, apart from the rest.
+    The same columns as created_here, column_added_in_file, not_null_proof (of set_not_null actions) and
+    in_place_type_change give, but as windows over one partitioning by file; only type changes are looked up across
+    files, apart from the rest.
     """
     typed = in_place_type_change(type_before(actions)).drop("prior")
     rest = actions.where("action_kind is null or action_kind <> 'alter_type'").withColumn("in_place", F.lit(False))
-    rows = rest.unionByName(typed).repartition("repo", "migration_no")
+    columns = {"__r": F.lower("relation"), "__c": F.lower("column_name")}
+    said = type_events(actions).select(*STMT, F.col("relation").alias("__r"), F.col("column_name").alias("__c"), F.lit(True).alias("__said"))
+    rows = rest.unionByName(typed).withColumns(columns).unionByName(said, allowMissingColumns=True).repartition("repo", "migration_no")
     kind, place, schema = F.col("action_kind"), F.struct("step_no", "stmt_no"), F.col("schema_name")
-    file = ["repo", "migration_no", "relation"]
+    file = ["repo", "migration_no"]
     over = lambda c, *more: c.over(Window.partitionBy(*file, *more))
-    made = kind.isin("create_table", "create_partition", "create_referencing")
-    any_, bare, same = (over(F.min(F.when(made & w, place)), *more) for w, more in ((F.lit(True), ()), (schema == "", ()), (F.lit(True), ("schema_name",))))
-    rows = rows.withColumns({"__any": any_, "__bare": bare})
-    rows = rows.withColumns({"__same": same, "column_added": F.coalesce(over(F.min(F.when(kind == "add_column", place)), "column_name") < place, F.lit(False))})
-    both = over(F.max((kind == "add_check").cast("int")), "constraint_name") * over(F.max((kind == "validate_constraint").cast("int")), "constraint_name")
-    rows = rows.withColumn("__both", both).withColumn("proven", F.coalesce(over(F.max("__both")), F.lit(0)) == 1)
+    rows = rows.withColumn("column_added", F.coalesce(over(F.min(F.when(F.col("__said"), place)), "__r", "__c") < place, F.lit(False))).where("__said IS NULL").drop("__said", "__r", "__c")
+    made = kind.isin(*CREATES)
+    any_, bare, same = (over(F.min(F.when(made & w, place)), "relation", *more) for w, more in ((F.lit(True), ()), (schema == "", ()), (F.lit(True), ("schema_name",))))
+    rows = rows.withColumns({"__any": any_, "__bare": bare}).withColumn("__same", same)
+    checked = F.when(kind == "add_check", not_null_column(F.col("condition_text")))
+    holds = ~F.col("not_valid") | over(F.max(kind == "validate_constraint"), "relation", "constraint_name")
+    rows = rows.withColumn("__holds", holds & checked.isNotNull()).withColumn("__column", F.coalesce(checked, "column_name"))
+    rows = rows.withColumn("proven", F.coalesce(over(F.max("__holds"), "relation", "__column"), F.lit(False)) & (kind == "set_not_null"))
     created = F.when(schema == "", F.col("__any")).otherwise(F.least("__bare", "__same")) < place
-    rows = rows.withColumn("created", F.coalesce(created, F.lit(False))).drop("__any", "__bare", "__same", "__both")
+    rows = rows.withColumn("created", F.coalesce(created, F.lit(False))).drop("__any", "__bare", "__same", "__holds", "__column")
     heaviest = _heaviest(actions.sparkSession, version)
     fills = [r[3] for r in RULES if r[3] is not None]
     flags = {"__beside": F.coalesce("concurrent", F.lit(False)), "__unchecked": F.coalesce("not_valid", F.lit(False)), "__fill": F.when(F.col("filled_by").isin(*fills), F.col("filled_by")).otherwise("")}
@@ -335,14 +379,24 @@ def predicate_table(version: int = 16) -> list[tuple[str, Column, Column]]:
     ]
 
 
+#: Rules that speak once for a statement, of its first action that they flag; dropped columns are spoken of one by one.
+ONCE = {"L030": "drop_table", "L033": "truncate"}
+
+
 def single_action_rules(ctx: DataFrame, version: int = 16) -> DataFrame:
     """(statement, action_no, relation, rule_id, severity): every rule in one pass over the rows of with_context."""
     each = [F.when(c, F.struct(F.lit(r).alias("rule_id"), s.cast("int").alias("severity"))) for r, c, s in predicate_table(version)]
-    return ctx.select(*STMT, "action_no", "relation", F.explode(F.array_compact(F.array(*each))).alias("f")).select(*STMT, "action_no", "relation", "f.rule_id", "f.severity")
+    found = ctx.select(*STMT, "action_no", "relation", "action_kind", F.explode(F.array_compact(F.array(*each))).alias("f")).select("*", "f.rule_id", "f.severity")
+    once = F.lit(False)
+    for rule, kind in ONCE.items():
+        once = once | ((F.col("rule_id") == rule) & (F.col("action_kind") == kind))
+    first = found.groupBy(*STMT, "rule_id", F.when(~once, F.col("action_no")).alias("__each"), "severity").agg(F.min(F.struct("action_no", "relation")).alias("a"))
+    return first.select(*STMT, "a.action_no", "a.relation", "rule_id", "severity")
 
 
-def order_findings(findings: DataFrame) -> DataFrame:
-    return findings.orderBy("repo", "migration_no", "step_no", "stmt_no", "action_no", "rule_id")
+def order_findings(findings: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """findings by file, position and rule, over all partitions; by names other columns."""
+    return findings.orderBy(*(by or [*STMT, "action_no", "rule_id"]))
 
 
 def relations_touched(actions: DataFrame, version: int = 16) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import NOT_NULL_TEST
 from ..operators import corpus, findings, hazards
 from .registry import Views, query
 
@@ -29,7 +30,9 @@ _P = "{0}repo, {0}migration_no, {0}step_no, {0}stmt_no"
 _S = "repo, migration_no, step_no, stmt_no"
 _STEP = "repo, migration_no, step_no"
 _AT = "({0}step_no, {0}stmt_no)"
-_OUTSIDE = "(action_kind IN ('create_index', 'drop_index') AND concurrent) OR action_kind = 'vacuum_full' OR (action_kind = 'add_enum_value' AND {0} < 12)"
+_OUTSIDE = "(action_kind IN ('create_index', 'drop_index', 'reindex_index', 'reindex_table', 'detach_partition') AND concurrent) OR action_kind IN ('vacuum', 'vacuum_full', 'reindex_schema', 'cluster_all') OR (action_kind = 'add_enum_value' AND {0} < 12)"
+_MADE = "action_kind IN ('create_table', 'create_partition', 'create_referencing')"
+_COLUMNS = """from_json(columns, '[{"name":"VARCHAR","type_name":"VARCHAR","mods":["INTEGER"]}]')"""
 
 
 @query(f"SELECT {_S}, locked, mode, duration, implicit, ord FROM ({EFF}) e")
@@ -51,8 +54,8 @@ def g2_statement_profile(v: Views) -> DataFrame:
 
 
 def _fresh_sql(probe: str, name: str) -> str:
-    return f"""SELECT p.*, coalesce((SELECT first(e.action_kind = 'create_table' ORDER BY e.step_no DESC, e.stmt_no DESC, e.action_kind = 'drop_table' DESC) FROM v_ddl_actions e WHERE e.repo = p.repo AND e.migration_no = p.migration_no AND lower(e.relation) = lower(p.{name})
-   AND ((e.action_kind = 'create_table' AND {_AT.format('e.')} <= {_AT.format('p.')}) OR (e.action_kind = 'drop_table' AND {_AT.format('e.')} < {_AT.format('p.')}))), FALSE) AS fresh FROM ({probe}) p"""
+    return f"""SELECT p.*, coalesce((SELECT first(e.{_MADE} ORDER BY e.step_no DESC, e.stmt_no DESC, e.action_kind = 'drop_table' DESC) FROM v_ddl_actions e WHERE e.repo = p.repo AND e.migration_no = p.migration_no AND lower(e.relation) = lower(p.{name})
+   AND ((e.{_MADE} AND {_AT.format('e.')} <= {_AT.format('p.')}) OR (e.action_kind = 'drop_table' AND {_AT.format('e.')} < {_AT.format('p.')}))), FALSE) AS fresh FROM ({probe}) p"""
 
 
 @query(f"SELECT {_S}, relation, fresh FROM ({_fresh_sql('SELECT * FROM v_ddl_actions', 'relation')}) f")
@@ -61,7 +64,7 @@ def g3_fresh_at(v: Views) -> DataFrame:
     return hazards.fresh_at(a, a).select(*hazards.STMT, "relation", "fresh")
 
 
-_CREATED = f"EXISTS (SELECT 1 FROM v_ddl_actions e WHERE e.repo = a.repo AND e.migration_no = a.migration_no AND e.relation = a.relation AND e.action_kind = 'create_table' AND (e.schema_name = a.schema_name OR e.schema_name = '' OR a.schema_name = '') AND {_AT.format('e.')} < {_AT.format('a.')})"
+_CREATED = f"EXISTS (SELECT 1 FROM v_ddl_actions e WHERE e.repo = a.repo AND e.migration_no = a.migration_no AND e.relation = a.relation AND e.{_MADE} AND (e.schema_name = a.schema_name OR e.schema_name = '' OR a.schema_name = '') AND {_AT.format('e.')} < {_AT.format('a.')})"
 
 
 @query(f"SELECT {_P.format('a.')}, a.relation, {_CREATED} AS created FROM v_ddl_actions a")
@@ -70,7 +73,7 @@ def g4_created_here(v: Views) -> DataFrame:
     return hazards.created_here(a, a).select(*hazards.STMT, "relation", "created")
 
 
-_BLOCKABLE = f"""SELECT f.*, NOT fresh AND NOT (action_kind = 'drop_table' AND if_exists AND NOT EXISTS (SELECT 1 FROM v_ddl_actions e WHERE e.repo = f.repo AND e.action_kind = 'create_table' AND lower(e.relation) = lower(f.locked))) AS blockable
+_BLOCKABLE = f"""SELECT f.*, NOT fresh AND NOT (action_kind = 'drop_table' AND if_exists AND NOT EXISTS (SELECT 1 FROM v_ddl_actions e WHERE e.repo = f.repo AND e.{_MADE} AND lower(e.relation) = lower(f.locked))) AS blockable
   FROM ({_fresh_sql(EFF, 'locked')}) f"""
 
 
@@ -80,16 +83,23 @@ def g5_blockable(v: Views) -> DataFrame:
     return hazards.blockable(hazards.effects(a), a).select(*hazards.STMT, "locked", "ord", "blockable")
 
 
-#: Strictly before the statement: its own actions are behind the frame.
-_WINDOW = "(PARTITION BY repo, lower(relation), lower(column_name) ORDER BY ((migration_no * 100 + step_no) * 100 + stmt_no) * 100 + action_no RANGE BETWEEN UNBOUNDED PRECEDING AND (action_no + 1) PRECEDING)"
-_TYPED = f"""SELECT *, prior_name IS NOT NULL AND coalesce((prior_name = type_name AND prior_mod IS NOT DISTINCT FROM type_mod) OR (prior_name = 'varchar' AND type_name = 'varchar' AND (type_mod IS NULL OR (prior_mod IS NOT NULL AND type_mod >= prior_mod)))
-    OR (prior_name = 'varchar' AND type_name = 'text') OR (prior_name = 'numeric' AND type_name = 'numeric' AND (type_mod IS NULL OR (prior_mod IS NOT NULL AND type_mod >= prior_mod))), FALSE) AS in_place FROM (
-SELECT {_S}, action_no, action_kind, type_name, type_mod, last_value(type_name) OVER {_WINDOW} AS prior_name, last_value(type_mod) OVER {_WINDOW} AS prior_mod FROM v_ddl_actions WHERE action_kind IN ('add_column', 'alter_type')) x WHERE action_kind = 'alter_type'"""
+#: Each time a column's type is said: adds and changes, and the columns that tables are created with.
+_SAID = f"""SELECT {_S}, action_no, 0 AS nth, lower(relation) AS r, lower(column_name) AS c, type_name, coalesce(CAST(mods AS INTEGER[]), []) AS mods FROM v_ddl_actions WHERE action_kind IN ('add_column', 'alter_type')
+UNION ALL SELECT {_S}, action_no, nth, lower(relation), lower(x.name), x.type_name, coalesce(x.mods, []) FROM (SELECT *, unnest({_COLUMNS}) AS x, unnest(range(len({_COLUMNS}))) AS nth FROM v_ddl_actions WHERE {_MADE}) n"""
+_FILE_AT = "({0}migration_no, {0}step_no, {0}stmt_no)"
+_PRIOR = f"""SELECT a.*, coalesce(CAST(a.mods AS INTEGER[]), []) AS new_mods, k.p.type_name AS prior_name, k.p.mods AS prior_mods FROM v_ddl_actions a LEFT JOIN (
+SELECT q.repo, q.migration_no, q.step_no, q.stmt_no, q.action_no, arg_max({{'type_name': e.type_name, 'mods': e.mods}}, (e.migration_no, e.step_no, e.stmt_no, e.action_no, e.nth)) AS p
+  FROM v_ddl_actions q JOIN ({_SAID}) e ON e.repo = q.repo AND e.r = lower(q.relation) AND e.c = lower(q.column_name) AND {_FILE_AT.format('e.')} < {_FILE_AT.format('q.')} WHERE q.action_kind = 'alter_type' GROUP BY ALL) k
+    ON (k.repo, k.migration_no, k.step_no, k.stmt_no, k.action_no) = (a.repo, a.migration_no, a.step_no, a.stmt_no, a.action_no) WHERE a.action_kind = 'alter_type'"""
+_TYPED = f"""SELECT *, coalesce((prior_name = type_name AND prior_mods = new_mods)
+    OR (prior_name = 'varchar' AND type_name = 'varchar' AND (len(new_mods) = 0 OR (len(prior_mods) = 1 AND new_mods[1] >= prior_mods[1]))) OR (prior_name = 'varchar' AND type_name = 'text')
+    OR (prior_name = 'numeric' AND type_name = 'numeric' AND (len(new_mods) = 0 OR (len(prior_mods) = 2 AND len(new_mods) = 2 AND new_mods[1] >= prior_mods[1] AND new_mods[2] = prior_mods[2]))), FALSE) AS in_place FROM ({_PRIOR}) y"""
 
 
-@query(f"SELECT {_S}, prior_name, prior_mod FROM ({_TYPED}) t")
+@query(f"SELECT {_S}, prior_name, array_to_string(prior_mods, ',') AS prior_mods FROM ({_PRIOR}) t")
 def g6_type_before(v: Views) -> DataFrame:
-    return hazards.type_before(v.ddl_actions).select(*hazards.STMT, F.col("prior.type_name").alias("prior_name"), F.col("prior.type_mod").alias("prior_mod"))
+    prior = hazards.type_before(v.ddl_actions)
+    return prior.select(*hazards.STMT, F.col("prior.type_name").alias("prior_name"), F.array_join(F.col("prior.mods").cast("array<string>"), ",").alias("prior_mods"))
 
 
 @query(f"SELECT {_S}, in_place FROM ({_TYPED}) t")
@@ -97,7 +107,7 @@ def g7_in_place_type_change(v: Views) -> DataFrame:
     return hazards.in_place_type_change(hazards.type_before(v.ddl_actions)).select(*hazards.STMT, "in_place")
 
 
-_ADDED = f"EXISTS (SELECT 1 FROM v_ddl_actions e WHERE e.repo = a.repo AND e.migration_no = a.migration_no AND e.relation = a.relation AND e.column_name = a.column_name AND e.action_kind = 'add_column' AND {_AT.format('e.')} < {_AT.format('a.')})"
+_ADDED = f"EXISTS (SELECT 1 FROM ({_SAID}) e WHERE e.repo = a.repo AND e.migration_no = a.migration_no AND e.r = lower(a.relation) AND e.c = lower(a.column_name) AND {_AT.format('e.')} < {_AT.format('a.')})"
 
 
 @query(f"SELECT {_P.format('a.')}, a.column_name, {_ADDED} AS column_added FROM v_ddl_actions a")
@@ -106,10 +116,11 @@ def g8_column_added_in_file(v: Views) -> DataFrame:
     return hazards.column_added_in_file(a, a).select(*hazards.STMT, "column_name", "column_added")
 
 
-@query(f""", lk AS (SELECT DISTINCT {_S}, lower(locked) AS r FROM ({_BLOCKABLE}) b WHERE blockable AND mode >= 5 AND step_kind = 'ddl_tx'),
-par AS (SELECT repo, lower(relation) AS r, first(parent ORDER BY migration_no DESC, ord DESC) AS parent FROM v_relation_parents GROUP BY repo, lower(relation)),
-own AS (SELECT l.* FROM lk l WHERE NOT EXISTS (SELECT 1 FROM v_view_bases w JOIN lk o ON o.repo = l.repo AND o.migration_no = l.migration_no AND o.step_no = l.step_no AND o.r = lower(w.base) WHERE w.repo = l.repo AND lower(w.relation) = l.r))
-SELECT * FROM (SELECT o.repo, o.migration_no, o.step_no, count(DISTINCT coalesce(lower(p.parent), o.r)) AS n_domains, count(DISTINCT o.stmt_no) AS n_stmts FROM own o LEFT JOIN par p ON p.repo = o.repo AND p.r = o.r GROUP BY o.repo, o.migration_no, o.step_no) d WHERE n_domains >= 2 AND n_stmts >= 2""")
+@query(f""", lk AS (SELECT DISTINCT {_S}, locked FROM ({_BLOCKABLE}) b WHERE blockable AND mode = 8 AND step_kind = 'ddl_tx'),
+par AS (SELECT repo, lower(relation) AS r, lower(first(parent ORDER BY migration_no DESC, ord DESC)) AS parent FROM v_relation_parents GROUP BY repo, lower(relation)),
+dom AS (SELECT {_P.format('l.')}, coalesce(p.parent, CASE WHEN NOT EXISTS (SELECT 1 FROM v_view_bases w JOIN lk o ON o.repo = l.repo AND o.migration_no = l.migration_no AND o.step_no = l.step_no AND o.locked = lower(w.base)
+          WHERE w.repo = l.repo AND lower(w.relation) = lower(l.locked)) THEN l.locked END) AS domain FROM lk l LEFT JOIN par p ON p.repo = l.repo AND p.r = lower(l.locked))
+SELECT * FROM (SELECT {_STEP}, count(DISTINCT domain) AS n_domains, count(DISTINCT stmt_no) AS n_stmts FROM dom GROUP BY {_STEP}) d WHERE n_domains >= 2 AND n_stmts >= 2""")
 def g9_lock_domains(v: Views) -> DataFrame:
     return hazards.lock_domains(v.ddl_actions, v.relation_parents, v.view_bases)
 
@@ -122,12 +133,12 @@ def g10_long_work_with_company(v: Views) -> DataFrame:
 
 
 @query(f"""SELECT {_P.format('a.')}, a.action_no, CASE a.action_kind WHEN 'create_index' THEN 'L022' ELSE 'L023' END AS rule_id FROM v_ddl_actions a WHERE a.action_kind IN ('create_index', 'add_foreign_key')
-   AND EXISTS (SELECT 1 FROM v_ddl_actions f WHERE f.repo = a.repo AND f.migration_no = a.migration_no AND lower(f.relation) = lower(a.relation) AND f.step_kind = 'backfill' AND f.step_no > a.step_no)""")
+   AND EXISTS (SELECT 1 FROM v_ddl_actions f WHERE f.repo = a.repo AND f.migration_no = a.migration_no AND f.relation = a.relation AND f.step_kind = 'backfill' AND f.step_no > a.step_no)""")
 def g11_before_backfill(v: Views) -> DataFrame:
     return hazards.before_backfill(v.ddl_actions)
 
 
-@query(f"""SELECT {_P.format('u.')}, u.label FROM v_ddl_actions u WHERE u.action_kind = 'use_enum_value' AND u.step_kind = 'ddl_tx' AND EXISTS (
+@query(f"""SELECT DISTINCT {_P.format('u.')}, u.label FROM (SELECT *, unnest(CAST(literals AS VARCHAR[])) AS label FROM (SELECT {_S}, step_kind, literals FROM v_ddl_actions) w) u WHERE u.step_kind = 'ddl_tx' AND EXISTS (
 SELECT 1 FROM v_ddl_actions a WHERE a.repo = u.repo AND a.migration_no = u.migration_no AND a.step_no = u.step_no AND a.label = u.label AND a.action_kind = 'add_enum_value' AND a.step_kind = 'ddl_tx' AND u.stmt_no > a.stmt_no)""")
 def g12_used_after_added_in_txn(v: Views) -> DataFrame:
     return hazards.used_after_added_in_txn(v.ddl_actions)
@@ -138,12 +149,9 @@ def g13_timeout_off(v: Views) -> DataFrame:
     return hazards.timeout_off(v.ddl_actions)
 
 
-_PLACE = "({0}migration_no, {0}step_no, {0}stmt_no, {0}action_no)"
-
-
-_NEVER = f"""SELECT m.repo, m.relation FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, lower(relation) ORDER BY migration_no DESC, step_no DESC, stmt_no DESC, action_no DESC) AS k FROM v_ddl_actions WHERE action_kind = 'create_table') c WHERE k = 1) m
- WHERE m.repo IN (SELECT repo FROM v_ddl_actions WHERE action_kind = 'grant')
-   AND NOT EXISTS (SELECT 1 FROM v_ddl_actions e WHERE e.repo = m.repo AND lower(e.relation) = lower(m.relation) AND e.action_kind IN ('drop_table', 'grant') AND {_PLACE.format('e.')} > {_PLACE.format('m.')})"""
+_NEVER = f"""SELECT DISTINCT {_P.format('m.')}, m.relation FROM v_ddl_actions m WHERE m.{_MADE} AND m.repo IN (SELECT repo FROM v_ddl_actions WHERE action_kind IN ('grant', 'grant_all'))
+   AND NOT EXISTS (SELECT 1 FROM v_ddl_actions e WHERE e.repo = m.repo AND e.migration_no = m.migration_no AND ((e.action_kind = 'drop_table' AND e.relation = m.relation)
+     OR (((e.action_kind = 'grant' AND e.relation = m.relation) OR e.action_kind = 'grant_all') AND {_AT.format('e.')} > {_AT.format('m.')})))"""
 
 
 @query(_NEVER)
@@ -151,13 +159,11 @@ def g14_never_granted(v: Views) -> DataFrame:
     return hazards.never_granted(v.ddl_actions)
 
 
-@query(_NEVER)
-def g14_never_granted_whole(v: Views) -> DataFrame:
-    """The name under which the whole input was first covered."""
-    return hazards.never_granted(v.ddl_actions)
-
-
-_PROVEN = "EXISTS (SELECT 1 FROM v_ddl_actions c JOIN v_ddl_actions d ON d.repo = c.repo AND d.migration_no = c.migration_no AND d.relation = c.relation AND d.constraint_name = c.constraint_name WHERE c.action_kind = 'add_check' AND d.action_kind = 'validate_constraint' AND c.repo = a.repo AND c.migration_no = a.migration_no AND c.relation = a.relation)"
+_TEST = NOT_NULL_TEST.replace("'", "''")
+_CHECKS = f"""SELECT repo, migration_no, relation, constraint_name, not_valid, CASE WHEN regexp_matches(condition_text, '{_TEST}') AND len(string_split(condition_text, '(')) = len(string_split(condition_text, ')'))
+  THEN CASE WHEN regexp_extract(condition_text, '{_TEST}', 1) <> '' THEN replace(regexp_extract(condition_text, '{_TEST}', 1), '""', '"') ELSE lower(regexp_extract(condition_text, '{_TEST}', 2)) END END AS proven_column FROM v_ddl_actions WHERE action_kind = 'add_check'"""
+_PROVEN = f"""EXISTS (SELECT 1 FROM ({_CHECKS}) c WHERE c.repo = a.repo AND c.migration_no = a.migration_no AND c.relation = a.relation AND c.proven_column = a.column_name
+  AND (NOT c.not_valid OR EXISTS (SELECT 1 FROM v_ddl_actions d WHERE d.repo = c.repo AND d.migration_no = c.migration_no AND d.relation = c.relation AND d.constraint_name = c.constraint_name AND d.action_kind = 'validate_constraint')))"""
 
 
 @query(f"SELECT {_P.format('a.')}, {_PROVEN} AS proven FROM v_ddl_actions a WHERE a.action_kind = 'set_not_null'")
@@ -191,7 +197,10 @@ _CASES = [
     ("L041", "action_kind = 'delete' AND large AND step_kind <> 'backfill' AND NOT created", "sized"),
     ("L042", "action_kind = 'create_index' AND concurrent AND condition_text <> '' AND condition_text NOT LIKE '%indisvalid%'", "1"),
 ]
-_FOUND = ", ctx AS (" + _CTX + ") " + " UNION ALL ".join(f"SELECT {_S}, action_no, relation, '{r}' AS rule_id, CAST({s} AS INTEGER) AS severity FROM ctx WHERE {c}" for r, c, s in _CASES)
+_EVERY = " UNION ALL ".join(f"SELECT {_S}, action_no, relation, '{r}' AS rule_id, CAST({s} AS INTEGER) AS severity, action_kind FROM ctx WHERE {c}" for r, c, s in _CASES)
+#: Dropped and emptied tables: one finding a statement.
+_FOUND = f""", ctx AS ({_CTX}), every AS ({_EVERY})
+SELECT {_S}, action_no, relation, rule_id, severity FROM (SELECT *, row_number() OVER (PARTITION BY {_S}, rule_id, severity, CASE WHEN (rule_id, action_kind) IN (('L030', 'drop_table'), ('L033', 'truncate')) THEN -1 ELSE action_no END ORDER BY action_no, relation) AS k FROM every) x WHERE k = 1"""
 
 
 def _found(v: Views) -> DataFrame:
@@ -204,9 +213,10 @@ def g16_single_action_rules(v: Views) -> DataFrame:
     return _found(v)
 
 
-@query(_FOUND)
+@query("SELECT finding_id, file, step, rule_id, severity FROM v_findings")
 def g17_order_findings(v: Views) -> DataFrame:
-    return hazards.order_findings(_found(v))
+    found = v.findings.select("finding_id", "file", "step", "rule_id", "severity")
+    return hazards.order_findings(found, ["file", "step", "finding_id", "rule_id"])
 
 
 @query(f"SELECT DISTINCT locked AS relation FROM ({EFF}) e")

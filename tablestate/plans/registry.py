@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.hazards import COLUMNS_TYPE, LITERALS_TYPE, MODS_TYPE
+from ..sources.tables import nested
 from .views import view, with_views
 
+#: Nested columns that the views hold as JSON text, which both engines can write.
+NESTED = {"v_ddl_actions": {"mods": MODS_TYPE, "columns": COLUMNS_TYPE, "literals": LITERALS_TYPE}}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -19,7 +24,7 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, f"v_{name}")
+        return nested(view(self.spark, self.sf_dir, f"v_{name}"), **NESTED.get(f"v_{name}", {}))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -10,6 +10,15 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 _LINE_ORDER = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
 
+#: Kinds of schema changes: the common ones first. A few more would be no kinds of the rule table.
+KINDS = """
+create_table create_index add_column alter_type set_not_null add_foreign_key add_check drop_table rename_column truncate update delete grant add_enum_value
+validate_constraint add_primary_key vacuum_full refresh_view attach_partition lock_table drop_column rename_table cluster use_enum_value drop_view drop_sequence
+drop_index rename_index vacuum analyze reindex_index reindex_table create_partition create_referencing column_default drop_not_null add_exclusion drop_constraint
+column_setting storage_setting detach_partition alter_other select select_for_update insert grant_all reindex_schema cluster_all""".split()
+_KIND = f"split_part('{' '.join(KINDS)}', ' ', CAST((l_partkey + rn) % {len(KINDS)} + 1 AS INTEGER))"
+_Q = "CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING)"
+
 VIEWS: dict[str, str] = {
     # A
     "v_backfill": """
@@ -139,28 +148,29 @@ SELECT 't' || CAST(l_suppkey % 40 AS STRING) AS relation, CAST(count(*) * (l_sup
 SELECT m.server, m.relation, 1 + (m.server + r.n_rows) % 4 AS duration, CAST(floor(r.n_bytes / (1 + m.server % 9)) AS BIGINT) AS took_us
   FROM (SELECT DISTINCT l_suppkey AS server, 't' || CAST(l_partkey % 40 AS STRING) AS relation FROM lineitem) m JOIN v_relation_stats r ON r.relation = m.relation""",
     # G
-    "v_ddl_actions": """
+    "v_ddl_actions": f"""
 SELECT l_orderkey % 20 AS repo, l_orderkey AS migration_no,
        CASE WHEN l_orderkey % 3 = 0 THEN CAST(floor((rn - 1) / 4) AS BIGINT) ELSE CAST(floor((rn - 1) / 3) AS BIGINT) END AS step_no,
        CASE WHEN l_orderkey % 3 = 0 THEN CAST(floor((rn - 1) % 4 / 2) AS BIGINT) ELSE (rn - 1) % 3 END AS stmt_no, CASE WHEN l_orderkey % 3 = 0 THEN (rn - 1) % 2 ELSE CAST(0 AS BIGINT) END AS action_no,
        CASE WHEN l_orderkey % 4 = 0 THEN 'ddl_notx' WHEN l_orderkey % 9 = 0 AND rn > 3 THEN 'backfill' ELSE 'ddl_tx' END AS step_kind,
        l_orderkey % 11 = 0 AS no_lock_timeout,
-       CASE (l_partkey + rn) % 24
-         WHEN 0 THEN 'create_table' WHEN 1 THEN 'create_index' WHEN 2 THEN 'add_column' WHEN 3 THEN 'alter_type'
-         WHEN 4 THEN 'set_not_null' WHEN 5 THEN 'add_foreign_key' WHEN 6 THEN 'add_check' WHEN 7 THEN 'drop_table'
-         WHEN 8 THEN 'rename_column' WHEN 9 THEN 'truncate' WHEN 10 THEN 'update' WHEN 11 THEN 'delete'
-         WHEN 12 THEN 'grant' WHEN 13 THEN 'add_enum_value' WHEN 14 THEN 'validate_constraint' WHEN 15 THEN 'add_primary_key'
-         WHEN 16 THEN 'vacuum_full' WHEN 17 THEN 'refresh_view' WHEN 18 THEN 'attach_partition' WHEN 19 THEN 'lock_table'
-         WHEN 20 THEN 'drop_column' WHEN 21 THEN 'rename_table' WHEN 22 THEN 'cluster' ELSE 'use_enum_value' END AS action_kind,
+       kind AS action_kind,
        CASE l_partkey % 5 WHEN 0 THEN 'app' WHEN 1 THEN 'audit' ELSE '' END AS schema_name, CASE WHEN l_suppkey % 80 < 40 THEN 't' ELSE 'T' END || CAST(l_suppkey % 40 AS STRING) AS relation, 'c' || CAST(l_partkey % 5 AS STRING) AS column_name,
        't' || CAST(l_partkey % 40 AS STRING) AS referenced, 'k' || CAST(l_partkey % 2 AS STRING) AS constraint_name,
        CASE l_returnflag WHEN 'A' THEN 'varchar' WHEN 'N' THEN 'text' ELSE 'numeric' END AS type_name,
-       CASE WHEN l_returnflag = 'N' THEN NULL ELSE CAST(floor(l_quantity) AS BIGINT) END AS type_mod,
+       CASE WHEN l_returnflag = 'A' AND l_linenumber % 5 <> 0 THEN '[' || {_Q} || ']'
+            WHEN l_returnflag = 'R' AND l_linenumber % 4 = 1 THEN '[' || {_Q} || ']' WHEN l_returnflag = 'R' AND l_linenumber % 4 > 1 THEN '[' || {_Q} || ',' || CAST(l_suppkey % 2 AS STRING) || ']' ELSE '[]' END AS mods,
+       CASE WHEN kind NOT IN ('create_table', 'create_partition', 'create_referencing') OR l_linenumber % 6 = 5 THEN NULL
+            ELSE '[{{"name":"c' || CAST((l_partkey + 1) % 5 AS STRING) || '","type_name":"varchar","mods":[' || {_Q} || ']}},{{"name":"C' || CAST(l_partkey % 5 AS STRING) || '","type_name":"numeric","mods":[' || {_Q} || ',' || CAST(l_partkey % 2 AS STRING) || ']}},{{"name":"c' || CAST((l_partkey + 3) % 5 AS STRING) || '","type_name":"text","mods":[]}}]' END AS columns,
+       CASE WHEN kind IN ('use_enum_value', 'update', 'delete', 'insert', 'select', 'add_column') AND l_linenumber % 7 > 0
+            THEN '["label_' || CAST((l_partkey + rn) % 3 AS STRING) || '","label_' || CAST(l_suppkey % 3 AS STRING) || '","text"]' ELSE NULL END AS literals,
        l_linestatus = 'O' AS concurrent, l_discount > 0.05 AS not_valid, l_tax > 0.04 AS if_exists, l_quantity > 25 AS has_where,
        CASE l_linenumber % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'constant' WHEN 2 THEN 'volatile' ELSE 'unique' END AS filled_by,
-       CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN 'relkind = 1' ELSE 'indisvalid' END AS condition_text,
+       CASE WHEN kind = 'add_check' AND l_suppkey % 6 < 3 THEN CASE l_suppkey % 6 WHEN 0 THEN 'c' || CAST(l_partkey % 5 AS STRING) || ' IS NOT NULL' WHEN 1 THEN '((t.C' || CAST(l_partkey % 5 AS STRING) || ' is  not null))' ELSE '("c' || CAST(l_partkey % 5 AS STRING) || '") IS NOT NULL' END
+            WHEN kind = 'add_check' THEN CASE l_suppkey % 6 WHEN 3 THEN 'c1 > 0' WHEN 4 THEN 'c1 IS NOT NULL AND c2 IS NOT NULL' ELSE '"C1" IS NOT NULL' END
+            ELSE CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN 'relkind = 1' ELSE 'indisvalid' END END AS condition_text,
        'label_' || CAST(l_partkey % 3 AS STRING) AS label, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(1 + l_linenumber % 8 AS INTEGER) END AS lock_mode
-  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS rn FROM lineitem) p""",
+  FROM (SELECT *, {_KIND} AS kind FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS rn FROM lineitem) p) k""",
     "v_view_bases": """
 SELECT DISTINCT l_orderkey % 20 AS repo, 't' || CAST(l_suppkey % 40 AS STRING) AS relation, 't' || CAST((l_suppkey + 1) % 40 AS STRING) AS base FROM lineitem""",
     "v_relation_parents": """
@@ -252,5 +262,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _bind(sql: str, frames: dict[str, DataFrame]) -> str:
-    """Table names become parameters, so that no temporary view is left in the session."""
+    """Table names become parameters, so that no temporary view is left in the session; other braces are text."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
     return re.sub(r"\b(FROM|JOIN)(\s+)(" + "|".join(map(re.escape, frames)) + r")\b", r"\1\2{\3}", sql)

@@ -26,6 +26,15 @@ def read_texts(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
+def nested(df: DataFrame, **types: str) -> DataFrame:
+    """df with columns of JSON text read as arrays and structs of the given types, as logs keep them that have no nested columns.
+
+    Text that is no JSON of the type is refused, since a change whose details are lost would pass for one without.
+    """
+    read = {name: F.from_json(F.col(name), kind, {"mode": "FAILFAST"}) for name, kind in types.items() if name in df.columns}
+    return df.withColumns(read)
+
+
 def read_catalog(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
     """A query on a live server's catalog over JDBC."""
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
