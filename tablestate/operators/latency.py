@@ -10,7 +10,8 @@ INSTRUMENT = "slow_read"
 #: Budget terms in the order in which they are reported.
 TERMS = ("p50", "p99", "p999", "max_block")
 #: Microseconds of the units of a duration.
-UNITS = {"ns": 0.001, "us": 1.0, "ms": 1e3, "s": 1e6, "m": 6e7, "h": 3.6e9}
+UNITS = {"ns": 0.001, "us": 1.0, "\u00b5s": 1.0, "\u03bcs": 1.0, "ms": 1e3, "s": 1e6, "m": 6e7, "h": 3.6e9}
+_UNIT = "|".join(UNITS)
 
 
 def tag_phase(samples: DataFrame, runs: DataFrame, at: str = "at_ts") -> DataFrame:
@@ -19,6 +20,38 @@ def tag_phase(samples: DataFrame, runs: DataFrame, at: str = "at_ts") -> DataFra
     return samples.join(start, "run_id").withColumn("phase", F.when(F.col(at) < F.col("change_start"), "baseline").otherwise("during")).drop("change_start")
 
 
+#: Widths of the time buckets in which windows are filed, in microseconds: powers of this, so a window lies in few buckets of one of them.
+WIDTH_BASE = 16
+
+
+def tag_changes(samples: DataFrame, changes: DataFrame, at: str = "at_us", by: str = "run_id", sample: str = "sample_id") -> DataFrame:
+    """samples with change_no and phase: a row for each of the run's change windows that holds the sample (during), or one row of baseline.
+
+    changes: by, change_no, started_us, ended_us (exclusive; null: still open). Windows may be many, overlap and have any
+    length. A range join by equality: a window is filed under the buckets that it touches, at most 17 of them, of
+    the widths that suit its length, and a sample looks into its bucket of each width in use. An open window, or one of
+    more than the widest buckets, is filed once, under its run. Windows without length hold nothing. Samples are known
+    by `sample`, which should be unique: rows that repeat it count as one. Samples without a time or a run are baseline.
+    """
+    top = 15
+    length = F.col("ended_us") - F.col("started_us")
+    wide = F.ceil(F.log(float(WIDTH_BASE), F.greatest(length, F.lit(1)).cast("double"))).cast("int") - 1
+    level = F.when(F.col("ended_us").isNull() | (wide >= top), top).otherwise(F.greatest(wide, F.lit(0)))
+    width = lambda lv: F.pow(F.lit(float(WIDTH_BASE)), lv).cast("long")
+    first, last = (F.when(F.col("level_") < top, F.floor(c / width(F.col("level_")))).otherwise(0).cast("long") for c in (F.col("started_us"), F.col("ended_us") - 1))
+    filed = changes.where("ended_us IS NULL OR ended_us > started_us").select(F.col(by).alias("by_"), "change_no", "started_us", "ended_us", level.alias("level_"))
+    filed = filed.withColumn("bucket_", F.explode(F.sequence(first, last)))
+    used = [r.level_ for r in filed.select("level_").distinct().collect()]  # at most 16
+    looks = F.array(*[F.struct(F.lit(n).alias("level_"), (F.floor(F.col(at) / WIDTH_BASE**n) if n < top else F.lit(0)).cast("long").alias("bucket_")) for n in sorted(used)]) if used else F.array(F.struct(F.lit(-1).alias("level_"), F.lit(0).cast("long").alias("bucket_")))
+    rows = samples.withColumn("look_", F.explode(looks))
+    inside = (F.col("started_us") <= F.col(at)) & (F.col("ended_us").isNull() | (F.col(at) < F.col("ended_us")))
+    joined = rows.join(filed, (F.col(by) == F.col("by_")) & (F.col("look_.level_") == F.col("level_")) & (F.col("look_.bucket_") == F.col("bucket_")) & inside, "left")
+    keep = [F.first(c).alias(c) for c in samples.columns if c != sample]
+    one = joined.groupBy(sample).agg(*keep, F.collect_list("change_no").alias("change_nos"))  # the windows open at one moment of one run
+    each = one.select(*samples.columns, F.explode_outer("change_nos").alias("change_no"))
+    return each.withColumn("phase", F.when(F.col("change_no").isNull(), "baseline").otherwise("during"))
+
+
 QUANTILES = {"p50": 0.5, "p99": 0.99, "p999": 0.999}
 
 
@@ -39,7 +72,12 @@ def quantiles_ranked(samples: DataFrame, by: list[str], width: int = 1024) -> Da
     A group's rows are pre-aggregated by value, its values are dealt by range, and what is ordered in one task is its
     ranges, or the values of one range.
     """
-    counts = samples.groupBy(*by, "took_us").agg(F.count("took_us").alias("c")).withColumn("__b", F.floor(F.col("took_us") / width))
+    return quantiles_of_counts(samples.groupBy(*by, "took_us").agg(F.count("took_us").alias("c")), by, width)
+
+
+def quantiles_of_counts(counts: DataFrame, by: list[str], width: int = 1024) -> DataFrame:
+    """quantiles_ranked from counts c of values took_us by group; counts of parts may be added up before."""
+    counts = counts.withColumn("__b", F.floor(F.col("took_us") / width))
     whole = Window.partitionBy(*by)
     ranges = counts.groupBy(*by, "__b").agg(F.sum("c").alias("s"), F.max("took_us").alias("m"))
     before = F.coalesce(F.sum("s").over(whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -60,11 +98,27 @@ def quantiles_ranked(samples: DataFrame, by: list[str], width: int = 1024) -> Da
     return both.groupBy(*by).agg(F.max("n").alias("n"), *[F.coalesce(F.min(c), F.lit(0)).alias(c) for c in QUANTILES], F.coalesce(F.max("max"), F.lit(0)).alias("max"))
 
 
+def value_counts(samples: DataFrame, by: list[str]) -> DataFrame:
+    """(by, took_us, c): how often each value occurs; counts of parts, hours or shards add up to those of the whole."""
+    return samples.groupBy(*by, "took_us").agg(F.count("took_us").alias("c"))
+
+
 def overall(samples: DataFrame, instrument: str = INSTRUMENT) -> DataFrame:
-    """Figures by (run, phase) without the instrument, class '', and by (run, phase, class) with it."""
-    each = samples.withColumn("__whole", F.lit(False))
-    rows = each.unionByName(samples.where(F.col("class") != instrument).withColumns({"class": F.lit(""), "__whole": F.lit(True)}))
-    return quantiles_ranked(rows, ["run_id", "phase", "class", "__whole"]).drop("__whole")
+    """Figures by (run, phase) without the instrument, class '', and by (run, phase, class) with it.
+
+    Samples are read once, into counts of values by class; the counts then stand for their class and, but for the
+    instrument's, for the whole.
+    """
+    return overall_of_counts(value_counts(samples, ["run_id", "phase", "class"]), instrument)
+
+
+def overall_of_counts(counts: DataFrame, instrument: str = INSTRUMENT) -> DataFrame:
+    """overall from value counts by (run, phase, class)."""
+    each, whole = F.struct(F.col("class").alias("class"), F.lit(False).alias("__whole")), F.struct(F.lit("").alias("class"), F.lit(True).alias("__whole"))
+    both = counts.select("run_id", "phase", "took_us", "c", F.explode(F.when(F.col("class") != instrument, F.array(each, whole)).otherwise(F.array(each))).alias("g"))
+    by = ["run_id", "phase", "class", "__whole"]
+    summed = both.select("run_id", "phase", "g.*", "took_us", "c").groupBy(*by, "took_us").agg(F.sum("c").alias("c"))
+    return quantiles_of_counts(summed, by).drop("__whole")
 
 
 def before_after(figures: DataFrame) -> DataFrame:
@@ -114,18 +168,28 @@ def blocked_share(readings: DataFrame) -> DataFrame:
     return counted.select("run_id", "blocked", other.alias("other_waits"), F.when(F.col("__waits") > 0, F.col("blocked") / (F.col("blocked") + other)).otherwise(0.0).alias("share"))
 
 
+def _term_us(term: Column) -> Column:
+    """Microseconds of one number with its unit."""
+    scale = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
+    return F.regexp_extract(term, f"^([0-9.]+)({_UNIT})$", 1).cast("double") * scale[F.regexp_extract(term, f"^([0-9.]+)({_UNIT})$", 2)]
+
+
 def budget_terms(runs: DataFrame) -> DataFrame:
-    """(run_id, term, limit_us, problem) of each run's budget text, `p99=50ms,max_block=2s`; empty text has no term."""
+    """(run_id, term, limit_us, problem) of each run's budget text, `p99=50ms,max_block=1m30s`; empty text has no term.
+
+    A duration is a sign, if any, and one or more decimal numbers, each with a unit; or 0. Limits are whole microseconds.
+    """
     term = F.trim(F.col("part"))
     parts = runs.where(F.trim("budget") != "").select("run_id", F.explode(F.split("budget", ",")).alias("part")).withColumn("part", term)
     name, value = F.trim(F.split_part("part", F.lit("="), F.lit(1))), F.trim(F.expr("substr(part, instr(part, '=') + 1)"))
-    number, unit = F.regexp_extract(value, r"^([0-9]+(?:\.[0-9]+)?)(ns|us|ms|s|m|h)$", 1), F.regexp_extract(value, r"^([0-9]+(?:\.[0-9]+)?)(ns|us|ms|s|m|h)$", 2)
-    scale = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
-    limit = F.when(number != "", F.floor(number.cast("double") * scale[unit]).cast("long"))
+    size = F.aggregate(F.regexp_extract_all(value, F.lit(f"([0-9.]+(?:{_UNIT}))"), F.lit(1)), F.lit(0.0), lambda total, t: total + _term_us(t))
+    whole = value.rlike(rf"^[-+]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:{_UNIT}))+$")
+    exact = F.when(whole, F.when(value.startswith("-"), -size).otherwise(size)).when(value.rlike("^[-+]?0$"), 0.0)
+    limit = F.floor(exact).cast("long")
     bad = (
         F.when(F.instr("part", "=") == 0, "not name=duration")
-        .when(number == "", "not a duration")
-        .when(limit <= 0, "a limit must be positive")
+        .when(exact.isNull(), "not a duration")
+        .when(exact <= 0, "a limit must be positive")
         .when(~name.isin(*TERMS), "unknown term")
         .otherwise("")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import humanize_bytes, humanize_duration, humanize_rows
-from ..operators import adoption, backfill, latency, ledger, sizing, state
+from ..operators import adoption, backfill, latency, ledger, merkle, sizing, state
 from ..sources.tables import shared_folder
 from .registry import Views, query
 
@@ -170,6 +170,37 @@ def b6_row_diff(v: Views) -> DataFrame:
     return state.row_diff(want, got, ["id"], ["legacy", "filled"])
 
 
+_LINE = "sha256('=' || CAST(id AS STRING) || '|' || coalesce('=' || legacy, 'null') || '|' || coalesce('=' || filled, 'null'))"
+_BUCKETS = 1000
+
+
+def _tree_sql(buckets: int, fan: int) -> str:
+    n, out = merkle.depth(buckets, fan), []
+    for level in range(1, n + 1):
+        out.append(f"""t{level} AS (SELECT CAST(floor(node / {fan}) AS BIGINT) AS node, CAST(sum(n_rows) AS BIGINT) AS n_rows, sha256(string_agg(lpad(CAST(node AS STRING), 20, '0') || '=' || digest, ',' ORDER BY node)) AS digest FROM t{level - 1} GROUP BY 1)""")
+    return f""", line AS (SELECT CAST(('0x' || substr(md5('=' || CAST(id AS STRING)), 1, 8)) AS BIGINT) % {buckets} AS node, {_LINE} AS line FROM v_backfill),
+t0 AS (SELECT node, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(line || ':' || CAST(n AS STRING), ',' ORDER BY line || ':' || CAST(n AS STRING))) AS digest FROM (SELECT node, line, count(*) AS n FROM line GROUP BY node, line) c GROUP BY node),
+{', '.join(out)}
+""" + " UNION ALL ".join(f"SELECT {level} AS level, node, n_rows, digest FROM t{level}" for level in range(n + 1))
+
+
+@query(_tree_sql(_BUCKETS, merkle.FAN))
+def b5_merkle_tree(v: Views) -> DataFrame:
+    return merkle.tree(merkle.leaves(v.backfill, ["id"], ["legacy", "filled"], _BUCKETS), _BUCKETS)
+
+
+@query(f"""SELECT * FROM (SELECT coalesce(w.id, g.id) AS id, CASE WHEN g.id IS NULL THEN 'missing' WHEN w.id IS NULL THEN 'extra' WHEN w.filled IS DISTINCT FROM g.filled THEN 'changed' END AS kind,
+       CASE WHEN w.id IS NOT NULL AND g.id IS NOT NULL THEN 'filled' ELSE '' END AS changed FROM v_backfill w FULL OUTER JOIN ({_GOT}) g ON g.id = w.id) d WHERE kind IS NOT NULL""")
+def b6_merkle_diff(v: Views) -> DataFrame:
+    """Both tables digested in the shared folder, then compared from the roots down."""
+    want = v.backfill
+    got = want.where("id % 97 <> 0").select(F.when(F.col("id") % 89 == 0, F.col("id") + 10_000_000).otherwise(F.col("id")).alias("id"), "legacy", F.when(F.col("id") % 50 == 0, "x").otherwise(F.col("filled")).alias("filled"))
+    paths = [f"{shared_folder(v.spark)}/digested-{uuid.uuid4().hex}" for _ in range(2)]
+    for df, path in zip((want, got), paths):
+        merkle.save_digested(df, path, ["id"], ["legacy", "filled"], _BUCKETS)
+    return merkle.merkle_diff(v.spark, *paths, ["id"], ["legacy", "filled"], _BUCKETS)
+
+
 _FOLD = """SELECT migration_no, step_no, coalesce(arg_max(event, seq) FILTER (WHERE event <> 'checkpoint'), 'pending') AS status, count(*) FILTER (WHERE event = 'running') AS attempts,
        coalesce(arg_max(error, seq) FILTER (WHERE event <> 'checkpoint'), '') AS error, arg_max(at_ts, seq) FILTER (WHERE event = 'running') AS started_at,
        arg_max(at_ts, seq) FILTER (WHERE event IN ('succeeded', 'failed')) AS finished_at, arg_max(position, seq) FILTER (WHERE position IS NOT NULL) AS checkpoint
@@ -391,6 +422,26 @@ def e1_tag_phase(v: Views) -> DataFrame:
     return _tagged(v).select("sample_id", "run_id", "class", "took_us", "phase")
 
 
+_CHANGES = f"""SELECT l.sample_id, l.run_id, l.class, l.took_us, c.change_no, CASE WHEN c.change_no IS NULL THEN 'baseline' ELSE 'during' END AS phase
+  FROM v_latencies l LEFT JOIN v_changes c ON c.run_id = l.run_id AND c.started <= l.at_ts AND (c.ended IS NULL OR l.at_ts < c.ended)"""
+
+
+def _by_change(v: Views) -> DataFrame:
+    changes = v.changes.select("run_id", "change_no", micros("started").alias("started_us"), micros("ended").alias("ended_us"))
+    return latency.tag_changes(v.latencies.withColumn("at_us", micros("at_ts")).drop("at_ts"), changes).drop("at_us")
+
+
+@query(_CHANGES)
+def e1_tag_changes(v: Views) -> DataFrame:
+    return _by_change(v)
+
+
+@query(f"SELECT run_id, change_no, class, {_FIGURES} FROM ({_CHANGES}) c GROUP BY run_id, change_no, class")
+def e2_quantiles_by_change(v: Views) -> DataFrame:
+    """Many overlapping changes a run: figures of each, and of what no change touches."""
+    return latency.quantiles_ranked(_by_change(v), ["run_id", "change_no", "class"])
+
+
 @query(f"SELECT run_id, class, {_FIGURES} FROM v_latencies GROUP BY run_id, class")
 def e2_quantiles(v: Views) -> DataFrame:
     return latency.quantiles(v.latencies, ["run_id", "class"])
@@ -451,7 +502,8 @@ def e8_blocked_share(v: Views) -> DataFrame:
 
 _TERMS = """SELECT run_id, term, CASE WHEN problem = '' THEN us END AS limit_us, problem FROM (
 SELECT *, CASE WHEN value IS NULL THEN 'not name=duration' WHEN us IS NULL THEN 'not a duration' WHEN us <= 0 THEN 'a limit must be positive' WHEN term NOT IN ('p50', 'p99', 'p999', 'max_block') THEN 'unknown term' ELSE '' END AS problem FROM (
-SELECT *, CAST(floor(TRY_CAST(regexp_extract(value, '^([0-9.]+)(ns|us|ms|s|m|h)$', 1) AS DOUBLE) * CASE regexp_extract(value, '^([0-9.]+)(ns|us|ms|s|m|h)$', 2) WHEN 'ns' THEN 0.001 WHEN 'us' THEN 1 WHEN 'ms' THEN 1000 WHEN 's' THEN 1000000 WHEN 'm' THEN 60000000 ELSE 3600000000 END) AS BIGINT) AS us FROM (
+SELECT *, CASE WHEN regexp_matches(value, '^[-+]?(([0-9]+\\.?[0-9]*|\\.[0-9]+)(ns|us|ms|s|m|h))+$') THEN CAST(floor((CASE WHEN value LIKE '-%' THEN -1 ELSE 1 END) *
+  list_sum(list_transform(regexp_extract_all(value, '[0-9.]+(ns|us|ms|s|m|h)'), lambda t: CAST(regexp_extract(t, '^[0-9.]+') AS DOUBLE) * CASE regexp_extract(t, '[a-z]+$') WHEN 'ns' THEN 0.001 WHEN 'us' THEN 1 WHEN 'ms' THEN 1000 WHEN 's' THEN 1000000 WHEN 'm' THEN 60000000 ELSE 3600000000 END))) AS BIGINT) END AS us FROM (
 SELECT run_id, trim(split_part(part, '=', 1)) AS term, CASE WHEN instr(part, '=') > 0 THEN trim(split_part(part, '=', 2)) END AS value FROM (
 SELECT run_id, unnest(string_split(budget, ',')) AS part FROM v_runs WHERE trim(budget) <> '') a) b) c) d"""
 _VIOLATIONS = f"""SELECT t.run_id, t.term, t.limit_us AS allowed_us, CAST(x.reached AS BIGINT) AS reached_us FROM ({_TERMS}) t JOIN (

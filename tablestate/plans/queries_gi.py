@@ -159,6 +159,12 @@ def g14_never_granted(v: Views) -> DataFrame:
     return hazards.never_granted(v.ddl_actions)
 
 
+@query(_NEVER)
+def g14_never_granted_whole(v: Views) -> DataFrame:
+    """The name under which the whole input was first covered."""
+    return hazards.never_granted(v.ddl_actions)
+
+
 _TEST = NOT_NULL_TEST.replace("'", "''")
 _CHECKS = f"""SELECT repo, migration_no, relation, constraint_name, not_valid, CASE WHEN regexp_matches(condition_text, '{_TEST}') AND len(string_split(condition_text, '(')) = len(string_split(condition_text, ')'))
   THEN CASE WHEN regexp_extract(condition_text, '{_TEST}', 1) <> '' THEN replace(regexp_extract(condition_text, '{_TEST}', 1), '""', '"') ELSE lower(regexp_extract(condition_text, '{_TEST}', 2)) END END AS proven_column FROM v_ddl_actions WHERE action_kind = 'add_check'"""
@@ -213,10 +219,9 @@ def g16_single_action_rules(v: Views) -> DataFrame:
     return _found(v)
 
 
-@query("SELECT finding_id, file, step, rule_id, severity FROM v_findings")
+@query(_FOUND)
 def g17_order_findings(v: Views) -> DataFrame:
-    found = v.findings.select("finding_id", "file", "step", "rule_id", "severity")
-    return hazards.order_findings(found, ["file", "step", "finding_id", "rule_id"])
+    return hazards.order_findings(_found(v))
 
 
 @query(f"SELECT DISTINCT locked AS relation FROM ({EFF}) e")

@@ -119,13 +119,16 @@ SELECT db, max(version) AS version, db = 2 AS dirty FROM v_history_log WHERE db
     # E
     "v_runs": """
 SELECT DISTINCT user_id % 10 AS run_id, TIMESTAMP '2024-01-16 00:00:00' AS change_start, user_id % 10 <> 3 AS applied,
-       CASE user_id % 10 WHEN 0 THEN '' WHEN 1 THEN 'p50=10ms, p99=250ms' WHEN 2 THEN 'p99=900us,max_block=100ms' WHEN 3 THEN 'p999=2s' WHEN 4 THEN 'p95=1s' WHEN 5 THEN 'p50' WHEN 6 THEN 'p50=0ms' ELSE 'max_block=50ms,p50=1h' END AS budget
+       CASE user_id % 10 WHEN 0 THEN '' WHEN 1 THEN 'p50=10ms, p99=250ms' WHEN 2 THEN 'p99=900us,max_block=100ms' WHEN 3 THEN 'p999=2s' WHEN 4 THEN 'p95=1s' WHEN 5 THEN 'p50' WHEN 6 THEN 'p50=0ms' WHEN 8 THEN 'p99=1m30s,p50=-1ms,p999=.5s20ms,max_block=5' ELSE 'max_block=50ms,p50=1h' END AS budget
   FROM events""",
     "v_latencies": """
 SELECT event_id AS sample_id, user_id % 10 AS run_id, ts AS at_ts,
        CASE event_type WHEN 'view' THEN 'point_read' WHEN 'click' THEN 'range_read' WHEN 'purchase' THEN 'point_write' WHEN 'signup' THEN 'insert' ELSE 'slow_read' END AS class,
        CAST(floor(value * 1000) AS BIGINT) AS took_us
   FROM events WHERE NOT (user_id % 10 = 7 AND event_type = 'error')""",
+    "v_changes": """
+SELECT a.user_id % 10 AS run_id, a.event_id AS change_no, a.ts AS started, CASE WHEN a.event_id % 3 = 0 THEN NULL ELSE b.ts END AS ended
+  FROM events a JOIN events b ON b.event_id = a.event_id + (a.event_id % 7) * (a.event_id % 7) * (a.event_id % 7) WHERE a.event_id % 67 = 0""",
     "v_activity": """
 SELECT event_id AS reading_no, user_id % 10 AS run_id, ts AS sample_at, user_id AS pid,
        CASE event_type WHEN 'error' THEN 'Lock' WHEN 'click' THEN 'IO' WHEN 'purchase' THEN 'LWLock' ELSE NULL END AS wait_type,

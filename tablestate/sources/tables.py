@@ -49,9 +49,11 @@ def write_report(df: DataFrame, path: str, kind: str = "parquet", by: list[str]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; one of our own where it is unset (tests)."""
+    """spark.checkpoint.dir, which driver and executors share; one of our own where it is unset (tests), which a cluster refuses."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tablestate-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
