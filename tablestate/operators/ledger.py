@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _KEY = ["migration_no", "step_no"]
@@ -81,32 +81,68 @@ def stale_writer_filter(writes: DataFrame, run: int = RUN_ROWS) -> DataFrame:
     return seen.withColumn("accepted", accepted).select(*writes.columns, "accepted")
 
 
+def _last_before(rows: DataFrame, state: Column, counts: Column, run_us: int) -> DataFrame:
+    """rows (resource, at_us, seq, __run) with __prior: the state of the last earlier row that counts.
+
+    Rows look back within their run; the last state of earlier runs comes from a table with a row for each run.
+    """
+    key, place = ["resource", "__run"], F.struct("at_us", "seq")
+    over_runs = Window.partitionBy("resource").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key).orderBy("at_us", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*key).agg(F.max_by(F.when(counts, state), F.when(counts, place)).alias("__s")).select(*key, F.last("__s", ignorenulls=True).over(over_runs).alias("__earlier"))
+    here = F.last(F.when(counts, state), ignorenulls=True).over(inside)
+    return rows.withColumn("__here", here).join(ends, key).withColumn("__prior", F.coalesce("__here", "__earlier")).drop("__here", "__earlier")
+
+
+def releases(events: DataFrame, ttl_us: int, run_us: int = RUN_US) -> DataFrame:
+    """The release events (kind 'release') with accepted, and held_at and held_seq, the beat that an accepted one ends.
+
+    A release counts if its owner and epoch are those of the last beat before it, that beat is no older than the ttl,
+    and it is the first release after it. Any other, a stale one, is refused and changes nothing.
+    """
+    rows = events.withColumn("__run", F.floor(F.col("at_us") / run_us))
+    asked = _last_before(rows, F.struct("owner", "epoch", "at_us", "seq"), F.col("kind") != "release", run_us).where("kind = 'release'")
+    fits = F.coalesce((F.col("__prior.owner") == F.col("owner")) & (F.col("__prior.epoch") == F.col("epoch")) & (F.col("at_us") - F.col("__prior.at_us") <= ttl_us), F.lit(False))
+    beat = [F.when(fits, F.col("__prior.at_us")).alias("held_at"), F.when(fits, F.col("__prior.seq")).alias("held_seq")]
+    asked = asked.select(*events.columns, *beat)
+    first = asked.where("held_seq IS NOT NULL").groupBy("resource", "held_at", "held_seq").agg(F.min(F.struct("at_us", "seq")).alias("__first"))
+    joined = asked.join(first, ["resource", "held_at", "held_seq"], "left")
+    return joined.select(*events.columns, F.coalesce(F.col("__first") == F.struct("at_us", "seq"), F.lit(False)).alias("accepted"), "held_at", "held_seq")
+
+
 def ownership_intervals(beats: DataFrame, ttl_us: int, run_us: int = RUN_US) -> DataFrame:
-    """(resource, owner, epoch, started, ended, beats, how): who held what, from when to when; how: lost or expired.
+    """(resource, owner, epoch, started, ended, beats, how): who held what, from when to when; how: lost, expired or released.
 
-    beats: seq, resource, owner, epoch, at_us. A beat by another owner or epoch, or after a gap of more than the ttl,
-    begins a new interval. An interval lasts until its last beat plus the ttl, or until the next one begins. An
-    interval is known by the place of its first beat; rows look back within their run, and to the last row and the last
-    beginning of earlier runs, so that a resource with most of the beats is no single task.
+    beats: seq, resource, owner, epoch, at_us and, if there are releases among them, kind. A beat by another owner or
+    epoch, after a gap of more than the ttl, or after an accepted release, begins a new interval. An interval lasts
+    until its release, its last beat plus the ttl, or until the next one begins. An interval is known by the place of
+    its first beat; rows look back within their run, and to the last row and the last beginning of earlier runs, so
+    that a resource with most of the beats is no single task.
     """
-    place, state, key = F.struct("at_us", "seq"), F.struct("owner", "epoch", "at_us"), ["resource", "__run"]
-    rows = beats.withColumn("__run", F.floor(F.col("at_us") / run_us))
+    place, key = F.struct("at_us", "seq"), ["resource", "__run"]
     over_runs = Window.partitionBy("resource").orderBy("__run")
     inside = Window.partitionBy(*key).orderBy("at_us", "seq")
-    ends = rows.groupBy(*key).agg(F.max_by(state, place).alias("__s")).select(*key, F.lag("__s").over(over_runs).alias("__last"))
-    rows = rows.withColumn("__prior", F.lag(state).over(inside)).join(ends, key)
-    prior = F.coalesce("__prior", "__last")
-    fresh = F.coalesce((prior["owner"] != F.col("owner")) | (prior["epoch"] != F.col("epoch")) | (F.col("at_us") - prior["at_us"] > ttl_us), F.lit(True))
-    rows = rows.withColumn("__begun", F.when(fresh, place)).drop("__prior", "__last")
+    released = F.lit(None).cast("long")
+    if "kind" in beats.columns:
+        done = releases(beats, ttl_us, run_us).where("accepted").select("resource", F.col("held_at").alias("at_us"), F.col("held_seq").alias("seq"), F.col("at_us").alias("__released"))
+        beats = beats.where("kind IS NULL OR kind <> 'release'").join(done, ["resource", "at_us", "seq"], "left")
+        released = F.col("__released")
+    rows = beats.withColumn("__released", released).withColumn("__run", F.floor(F.col("at_us") / run_us))
+    rows = _last_before(rows, F.struct("owner", "epoch", "at_us", "__released"), F.lit(True), run_us)
+    prior = F.col("__prior")
+    fresh = F.coalesce((prior["owner"] != F.col("owner")) | (prior["epoch"] != F.col("epoch")) | (F.col("at_us") - prior["at_us"] > ttl_us) | prior["__released"].isNotNull(), F.lit(True))
+    rows = rows.withColumn("__begun", F.when(fresh, place)).drop("__prior")
     begun = rows.groupBy(*key).agg(F.max("__begun").alias("__b")).select(*key, F.last("__b", ignorenulls=True).over(over_runs.rowsBetween(Window.unboundedPreceding, -1)).alias("__open"))
     rows = rows.withColumn("__own", F.last("__begun", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(begun, key)
-    spans = rows.groupBy("resource", F.coalesce("__own", "__open").alias("__start")).agg(F.first("owner").alias("owner"), F.first("epoch").alias("epoch"), F.min("at_us").alias("started"), F.max("at_us").alias("__end"), F.count("*").alias("beats"))
+    spans = rows.groupBy("resource", F.coalesce("__own", "__open").alias("__start")).agg(F.first("owner").alias("owner"), F.first("epoch").alias("epoch"), F.min("at_us").alias("started"), F.max("at_us").alias("__end"), F.max("__released").alias("__released"), F.count("*").alias("beats"))
     spans = spans.withColumn("__run", F.floor(F.col("started") / run_us))
     firsts = spans.groupBy(*key).agg(F.min("started").alias("__f")).select(*key, F.lead("__f").over(over_runs).alias("__after"))
     following = F.coalesce(F.lead("started").over(Window.partitionBy(*key).orderBy("__start")), "__after")
     spans = spans.join(firsts, key).withColumn("__next", following)
     expiry = F.col("__end") + ttl_us
-    return spans.select("resource", "owner", "epoch", "started", F.least(expiry, F.coalesce("__next", expiry)).alias("ended"), "beats", F.when(F.col("__next") <= expiry, "lost").otherwise("expired").alias("how"))
+    ended = F.coalesce("__released", F.least(expiry, F.coalesce("__next", expiry)))
+    how = F.when(F.col("__released").isNotNull(), "released").when(F.col("__next") <= expiry, "lost").otherwise("expired")
+    return spans.select("resource", "owner", "epoch", "started", ended.alias("ended"), "beats", how.alias("how"))
 
 
 def overlapping_owners(intervals: DataFrame) -> DataFrame:

@@ -327,16 +327,34 @@ def c7_stale_writer_filter(v: Views) -> DataFrame:
 TTL_US = 600_000_000
 
 
-@query(f"""SELECT resource, owner, epoch, started, least(last + {TTL_US}, coalesce(nxt, last + {TTL_US})) AS ended, beats, CASE WHEN nxt <= last + {TTL_US} THEN 'lost' ELSE 'expired' END AS how FROM (
-SELECT *, lead(started) OVER (PARTITION BY resource ORDER BY island) AS nxt FROM (
-SELECT resource, island, min(owner) AS owner, min(epoch) AS epoch, min(at_us) AS started, max(at_us) AS last, count(*) AS beats FROM (
+def _intervals_sql(rows: str) -> str:
+    """Intervals of beats and releases (seq, resource, owner, epoch, at_us, kind)."""
+    return f""", h AS ({rows}),
+pair AS (SELECT r.seq, r.resource, r.owner, r.epoch, r.at_us, arg_max({{'owner': b.owner, 'epoch': b.epoch, 'at_us': b.at_us, 'seq': b.seq}}, (b.at_us, b.seq)) AS last
+  FROM h r LEFT JOIN h b ON b.kind = 'beat' AND b.resource = r.resource AND (b.at_us, b.seq) < (r.at_us, r.seq) WHERE r.kind = 'release' GROUP BY ALL),
+fits AS (SELECT *, row_number() OVER (PARTITION BY resource, last.at_us, last.seq ORDER BY at_us, seq) AS k FROM pair WHERE last.owner = owner AND last.epoch = epoch AND at_us - last.at_us <= {TTL_US}),
+beat AS (SELECT h.*, f.at_us AS released FROM h LEFT JOIN fits f ON f.k = 1 AND f.resource = h.resource AND f.last.seq = h.seq AND f.last.at_us = h.at_us WHERE h.kind = 'beat'),
+spans AS (SELECT resource, island, min(owner) AS owner, min(epoch) AS epoch, min(at_us) AS started, max(at_us) AS last, max(released) AS released, count(*) AS beats FROM (
 SELECT *, sum(fresh) OVER (PARTITION BY resource ORDER BY at_us, seq) AS island FROM (
-SELECT *, CASE WHEN coalesce(lag(owner) OVER w <> owner OR lag(epoch) OVER w <> epoch OR at_us - lag(at_us) OVER w > {TTL_US}, TRUE) THEN 1 ELSE 0 END AS fresh
-  FROM (SELECT seq, resource, owner, epoch, {_MICROS_SQL.format('at_ts')} AS at_us FROM v_heartbeats) h WINDOW w AS (PARTITION BY resource ORDER BY at_us, seq)) a) b GROUP BY resource, island) c) d""")
+SELECT *, CASE WHEN coalesce(lag(owner) OVER w <> owner OR lag(epoch) OVER w <> epoch OR at_us - lag(at_us) OVER w > {TTL_US} OR lag(released) OVER w IS NOT NULL, TRUE) THEN 1 ELSE 0 END AS fresh
+  FROM beat WINDOW w AS (PARTITION BY resource ORDER BY at_us, seq)) a) b GROUP BY resource, island)
+SELECT resource, owner, epoch, started, coalesce(released, least(last + {TTL_US}, coalesce(nxt, last + {TTL_US}))) AS ended, beats, CASE WHEN released IS NOT NULL THEN 'released' WHEN nxt <= last + {TTL_US} THEN 'lost' ELSE 'expired' END AS how
+  FROM (SELECT *, lead(started) OVER (PARTITION BY resource ORDER BY island) AS nxt FROM spans) d"""
+
+
+_BEATS = f"SELECT seq, resource, owner, epoch, {_MICROS_SQL.format('at_ts')} AS at_us"
+
+
+@query(_intervals_sql(f"{_BEATS}, 'beat' AS kind FROM v_heartbeats"))
 def c8_ownership_intervals(v: Views) -> DataFrame:
     return ledger.ownership_intervals(v.heartbeats.select("seq", "resource", "owner", "epoch", micros("at_ts").alias("at_us")), TTL_US)
 
 
+@query(_intervals_sql(f"{_BEATS}, kind FROM v_heartbeats"))
+def c8_released_intervals(v: Views) -> DataFrame:
+    return ledger.ownership_intervals(v.heartbeats.select("seq", "resource", "owner", "epoch", micros("at_ts").alias("at_us"), "kind"), TTL_US)
+
+
 def _held(beats: DataFrame) -> DataFrame:
     return beats.select("resource", "owner", micros("at_ts").alias("started"), (micros("at_ts") + 20_000_000_000).alias("ended"))
 

@@ -6,33 +6,41 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.tables import shared_folder
 from ..streaming import streams
 from .queries_af import _FOLD, _MICROS_SQL, change, micros, work
 from .registry import Views, query
 
-_FILES = 6
+#: Steps in which an input arrives; each is one write by many tasks, of a file each.
+_STEPS, _TASKS = 6, 4
 
 
 def _folder(v: Views, name: str) -> str:
     return f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _live(v: Views, df: DataFrame, order: str, name: str, files: int = 2, marker: dict | None = None, time: str | None = None) -> DataFrame:
+def _steps(df: DataFrame, order: str) -> list:
+    """Values of a column that cut its rows into _STEPS parts of about one size."""
+    shares = ", ".join(str(i / _STEPS) for i in range(1, _STEPS))
+    return sorted(set(df.select(F.expr(f"percentile_approx({order}, array({shares}), 1000)").alias("p")).first().p or []))
+
+
+def _live(v: Views, df: DataFrame, order: str, name: str, files: int = 2 * _TASKS, marker: dict | None = None, time: str | None = None) -> DataFrame:
     """df as a stream of files in the order of a column, some files a trigger.
 
-    A file source takes files by their time of change, so they are written one after another. marker: values of a last
+    A file source takes files by their time of change, so steps are written one after another, and a trigger takes the
+    files of whole steps, however their tasks came to an end. marker: values of a last
     row, by its time (usually the order) a day after all others, that lets the watermark pass them; its other columns
     are null.
     """
     time = time or order
-    dealt, path = _folder(v, f"{name}-dealt"), _folder(v, name)
-    df.repartitionByRange(_FILES, order).sortWithinPartitions(order).withColumn("file_", F.spark_partition_id()).write.parquet(dealt)
-    rows = v.spark.read.schema(StructType([*df.schema.fields, StructField("file_", IntegerType())])).parquet(dealt)
-    for i in range(_FILES):
-        rows.where(F.col("file_") == i).drop("file_").coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
+    path, steps = _folder(v, name), _steps(df, order)
+    for low, high in zip([None, *steps], [*steps, None]):
+        part = df
+        part = part if low is None else part.where(F.col(order) >= F.lit(low))
+        part = part if high is None else part.where((F.col(order) < F.lit(high)) | (F.col(order).isNull() if low is None else F.lit(False)))
+        part.repartition(_TASKS).sortWithinPartitions(order).write.mode("append").parquet(path)  # dealt in turn, so that every task has a file
     if marker is not None:
         after = df.agg((F.max(time) + F.expr("INTERVAL 1 DAY")).alias(time))
         last = after.select(*[F.col(time) if f.name == time else F.lit(marker.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema])
@@ -101,6 +109,18 @@ def j2_wait_windows(v: Views) -> DataFrame:
     return out.where("run_id <> -1").select(micros("window.start").alias("started_us"), "run_id", "event", "samples", F.col("longest_us").cast("long").alias("longest_us"))
 
 
+@query(f""", r AS ({_WAITS}), s AS (SELECT r.*, {_MICROS_SQL.format('sample_at')} AS us FROM r),
+w AS (SELECT CAST((floor(us / 10000000) - k) * 10000000 AS BIGINT) AS started_us, run_id, event, count(*) AS samples, CAST(coalesce(max(CASE WHEN event <> '' AND relation <> '' THEN waiting_us END), 0) AS BIGINT) AS longest_us
+  FROM s, (SELECT unnest(range(6)) AS k) w GROUP BY ALL)
+SELECT started_us, run_id, event, samples, samples / sum(samples) OVER (PARTITION BY started_us, run_id) AS share, longest_us FROM w""")
+def j2_wait_shares(v: Views) -> DataFrame:
+    """Join, windows and shares as one query over live inputs, with one checkpoint."""
+    activity = _live(v, v.activity, "sample_at", "activity", marker={"state": "active", "reading_no": -1, "pid": -1, "run_id": -1})
+    locks = _live(v, v.locks, "sample_at", "locks", marker={"granted": False, "locktype": "relation", "pid": -1})
+    out = _done(v, streams.wait_shares(activity, locks)).where("run_id <> -1")
+    return out.select(micros("window.start").alias("started_us"), "run_id", "event", "samples", "share", F.col("longest_us").cast("long").alias("longest_us"))
+
+
 @query(f"SELECT migration_no, step_no, status, attempts, error, checkpoint FROM ({_FOLD}) f")
 def j3_stream_ledger(v: Views) -> DataFrame:
     out = _done(v, streams.stream_ledger(_live(v, v.ledger_events, "at_ts", "events")), "update")
@@ -112,20 +132,41 @@ def j3_stream_ledger(v: Views) -> DataFrame:
 _TTL_US = 600_000_000
 
 
-@query(f""", h AS (SELECT seq, resource, owner, epoch, {_MICROS_SQL.format('at_ts')} AS at_us, epoch = max(epoch) OVER (PARTITION BY resource ORDER BY seq) AND owner = first_value(owner) OVER (PARTITION BY resource, epoch ORDER BY seq) AS ok FROM v_heartbeats)
-SELECT resource, seq, owner, epoch, at_us, CASE WHEN ok THEN 'accepted' ELSE 'refused' END AS outcome FROM h
-UNION ALL SELECT resource, -1, owner, epoch, at_us + {_TTL_US}, 'expired' FROM (SELECT *, lead(at_us) OVER (PARTITION BY resource ORDER BY seq) AS nxt FROM h WHERE ok) a WHERE coalesce(nxt > at_us + {_TTL_US}, TRUE)""")
-def j4_stream_stale_writers(v: Views) -> DataFrame:
+def _fences_sql(kind: str) -> str:
+    """Outcomes by the order of seq: writes by fence, the first fitting release of an epoch, what expires between."""
+    return f""", h AS (SELECT seq, resource, owner, epoch, {_MICROS_SQL.format('at_ts')} AS at_us, {kind} AS kind FROM v_heartbeats),
+t AS (SELECT *, max(epoch) FILTER (kind = 'beat') OVER (PARTITION BY resource ORDER BY seq) AS top FROM h),
+first AS (SELECT resource, epoch, arg_min(owner, seq) AS taker FROM h WHERE kind = 'beat' GROUP BY ALL),
+held AS (SELECT t.*, t.epoch = top AND t.owner = f.taker AS holds FROM t LEFT JOIN first f ON f.resource = t.resource AND f.epoch = t.top),
+fits AS (SELECT r.resource, r.epoch, min(r.seq) AS seq FROM held r WHERE r.kind = 'release' AND r.holds
+   AND r.at_us <= (SELECT max(w.at_us) FROM held w WHERE w.resource = r.resource AND w.epoch = r.epoch AND w.kind = 'beat' AND w.holds AND w.seq < r.seq) + {_TTL_US} GROUP BY ALL),
+said AS (SELECT h.resource, h.seq, h.owner, h.epoch, h.at_us, CASE WHEN h.kind = 'release' THEN CASE WHEN f.seq = h.seq THEN 'released' ELSE 'refused' END WHEN coalesce(h.holds, FALSE) AND coalesce(h.seq < f.seq, TRUE) THEN 'accepted' ELSE 'refused' END AS outcome
+  FROM held h LEFT JOIN fits f ON f.resource = h.resource AND f.epoch = h.epoch)
+SELECT * FROM said UNION ALL SELECT resource, -1, owner, epoch, at_us + {_TTL_US}, 'expired' FROM (
+SELECT *, lead(at_us) OVER (PARTITION BY resource ORDER BY seq) AS nxt FROM said WHERE outcome <> 'refused') a WHERE outcome = 'accepted' AND coalesce(nxt > at_us + {_TTL_US}, TRUE)"""
+
+
+def _fenced(v: Views, beats: DataFrame) -> DataFrame:
     before = v.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
     try:
-        beats = _live(v, v.heartbeats, "seq", "beats", files=1, marker={"resource": -1, "seq": -1, "owner": "", "epoch": 0}, time="at_ts")
-        out = _done(v, streams.stream_stale_writers(beats, _TTL_US // 1000))
+        live = _live(v, beats, "seq", "beats", files=_TASKS, marker={"resource": -1, "seq": -1, "owner": "", "epoch": 0, "kind": "beat"}, time="at_ts")
+        out = _done(v, streams.stream_stale_writers(live, _TTL_US // 1000))
     finally:
         v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return out.where("resource <> -1").select("resource", "seq", "owner", "epoch", micros("timestamp_micros(at_us)").alias("at_us"), "outcome")
 
 
+@query(_fences_sql("'beat'"))
+def j4_stream_stale_writers(v: Views) -> DataFrame:
+    return _fenced(v, v.heartbeats.drop("kind"))
+
+
+@query(_fences_sql("kind"))
+def j4_stream_releases(v: Views) -> DataFrame:
+    return _fenced(v, v.heartbeats)
+
+
 @query("SELECT id, legacy, coalesce(filled, legacy) AS filled FROM v_backfill")
 def j5_stream_backfill(v: Views) -> DataFrame:
     src = v.backfill

@@ -107,7 +107,8 @@ SELECT DISTINCT 't' || CAST(p_size AS STRING) AS relation, a.attnum, 'c' || CAST
   FROM part CROSS JOIN (SELECT 1 AS attnum UNION ALL SELECT 2 UNION ALL SELECT 3) a""",
     "v_heartbeats": """
 SELECT event_id AS seq, user_id % 5 AS resource, 'owner_' || CAST(user_id % 3 AS STRING) AS owner,
-       CAST(floor(event_id / 100) AS BIGINT) - CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS epoch, ts AS at_ts
+       CAST(floor(event_id / 100) AS BIGINT) - CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS epoch, ts AS at_ts,
+       CASE WHEN event_id % 13 = 0 THEN 'release' ELSE 'beat' END AS kind
   FROM events""",
     # D
     "v_history_log": """

@@ -45,23 +45,40 @@ def wait_windows(readings: DataFrame, width: str = "1 minute", step: str = "10 s
     return readings.groupBy(F.window("sample_at", width, step), "run_id", "event").agg(F.count("*").alias("samples"), F.coalesce(F.max(F.when(blocked, F.col("waiting_us"))), F.lit(0)).alias("longest_us"))
 
 
+def wait_shares(activity: DataFrame, locks: DataFrame, late: str = "30 seconds", width: str = "1 minute", step: str = "10 seconds") -> DataFrame:
+    """(window, run_id, event, samples, share, longest_us) in one query: readings join locks, sliding windows count events, totals make shares.
+
+    Three stateful operators in a chain, the watermark of the joined readings going through all of them: a window comes
+    out when no reading of it can come any more, nor a lock for one. share is of all active readings of the window,
+    those that wait for nothing (event '') among them. State: readings and locks of the lateness, counts of open windows
+    by event, and for a window's totals one entry for each of its events.
+    """
+    counts = wait_windows(stream_waits(activity, locks, late), width, step)
+    whole = counts.groupBy("window", "run_id").agg(F.sum("samples").alias("all"), F.collect_list(F.struct("event", "samples", "longest_us")).alias("each"))
+    return whole.select("window", "run_id", "all", F.explode("each").alias("e")).select("window", "run_id", "e.event", "e.samples", (F.col("e.samples") / F.col("all")).alias("share"), "e.longest_us")
+
+
 def stream_ledger(events: DataFrame) -> DataFrame:
     """Current row of each step, in update mode; events out of order lose by seq."""
     return ledger_fold(events)
 
 
 def stream_stale_writers(writes: DataFrame, ttl_ms: int, late: str = "30 seconds") -> DataFrame:
-    """Each write as accepted or refused when it arrives, and the end of ownership by timeout (outcome expired, seq -1).
+    """Each write as accepted or refused when it arrives, each release as released or refused, and the end of ownership by timeout (outcome expired, seq -1).
 
     Needs the RocksDB state store. State by resource: highest epoch, its owner and expiry, with an event-time timer.
-    writes: seq, resource, owner, epoch, at_ts. Columns: resource, seq, owner, epoch, at_us, outcome; at_us is the
-    write's time, or for expired the last accepted write's plus the time to live. An ownership expires when no write of
-    its own is accepted in that time, whether the next write or the watermark shows it. Rows of one resource that come
-    together are taken in the order of seq; a row later than `late` behind the newest is dropped and counted by Spark.
+    writes: seq, resource, owner, epoch, at_ts and, if there are releases among them, kind. Columns: resource, seq,
+    owner, epoch, at_us, outcome; at_us is the row's time, or for expired the last accepted write's plus the time to
+    live. An ownership expires when no write of its own is accepted in that time, whether the next write or the
+    watermark shows it. A release (kind 'release') by the holder, with its epoch and before it expires, ends the
+    ownership and cancels its timer: no write of that epoch is accepted after it. Any other release is refused and
+    changes nothing. Rows of one resource that come together are taken in the order of seq; a row later than `late`
+    behind the newest is dropped and counted by Spark.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     ttl_us, columns = ttl_ms * 1000, ["resource", "seq", "owner", "epoch", "at_us", "outcome"]
+    least = -(1 << 62)
 
     class Fence(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -70,28 +87,41 @@ def stream_stale_writers(writes: DataFrame, ttl_ms: int, late: str = "30 seconds
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             df = pd.concat(rows).sort_values("seq", kind="stable", ignore_index=True)
-            epoch, owner, last, still = self.held.get() if self.held.exists() else (-(1 << 62), None, 0, False)
-            # Runs of equal (highest epoch so far) have one owner: the writer of the first row that has that epoch.
-            top = df["epoch"].cummax().clip(lower=epoch)
-            taker = df["owner"].where((top > top.shift(fill_value=epoch))).ffill()
+            epoch, owner, last, still = self.held.get() if self.held.exists() else (least, None, 0, False)
+            write = df["kind"] != "release"
+            # Runs of equal (highest epoch written so far) have one owner: the writer of the first row that has that epoch.
+            top = df["epoch"].where(write, least).cummax().clip(lower=epoch)
+            taker = df["owner"].where(top > top.shift(fill_value=epoch)).ffill()
             taker = taker.where(top > epoch, owner)
-            ok = (df["epoch"] == top) & (df["owner"] == taker)
+            holds = (df["epoch"] == top) & (df["owner"] == taker)
             us = df["us"]
-            out = pd.DataFrame({"resource": key[0], "seq": df["seq"], "owner": df["owner"], "epoch": df["epoch"], "at_us": us, "outcome": ok.map({True: "accepted", False: "refused"})})
-            mine = pd.DataFrame({"epoch": top[ok], "owner": taker[ok], "at_us": us[ok].cummax()})
+            # A release ends its epoch: the first one in time after the epoch's last accepted write.
+            seen = us.where(holds & write).groupby(top).cummax().groupby(top).ffill()
+            carried = last if still else least
+            seen = seen.where(top > epoch, seen.fillna(carried)).fillna(least)
+            fits = holds & ~write & (us <= seen + ttl_us)
+            ends = fits & (fits.groupby(top).cumsum() == 1)
+            before = ends.groupby(top).cumsum() - ends
+            ok = holds & write & (before == 0)
+            outcome = pd.Series("refused", index=df.index).mask(ok, "accepted").mask(ends, "released")
+            out = pd.DataFrame({"resource": key[0], "seq": df["seq"], "owner": df["owner"], "epoch": df["epoch"], "at_us": us, "outcome": outcome})
+            mine = pd.DataFrame({"epoch": top, "owner": taker, "at_us": us, "free": ends})[ok | ends]
             if still:
-                mine = pd.concat([pd.DataFrame({"epoch": [epoch], "owner": [owner], "at_us": [last]}), mine], ignore_index=True)
-            ended = mine[mine["at_us"].shift(-1) > mine["at_us"] + ttl_us]
+                mine = pd.concat([pd.DataFrame({"epoch": [epoch], "owner": [owner], "at_us": [last], "free": [False]}), mine], ignore_index=True)
+            mine["at_us"] = mine["at_us"].cummax()
+            ended = mine[~mine["free"] & (mine["at_us"].shift(-1) > mine["at_us"] + ttl_us)]
             gone = pd.DataFrame({"resource": key[0], "seq": -1, "owner": ended["owner"], "epoch": ended["epoch"], "at_us": ended["at_us"] + ttl_us, "outcome": "expired"})
             if len(mine):
-                last, still = int(mine["at_us"].iloc[-1]), True
+                last, still = int(mine["at_us"].iloc[-1]), not mine["free"].iloc[-1]
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             if still:
                 self.handle.registerTimer((last + ttl_us) // 1000 + 1)
             if len(df):
                 epoch, owner = int(top.iloc[-1]), taker.iloc[-1]
-            self.held.update((epoch, owner, last, still))
+                if ends[top == epoch].any():
+                    owner = None  # an epoch that was released has no owner any more
+            self.held.update((epoch, owner, last, bool(still)))
             yield pd.concat([out, gone])[columns].astype({"resource": "int64", "seq": "int64", "epoch": "int64", "at_us": "int64"})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -102,7 +132,8 @@ def stream_stale_writers(writes: DataFrame, ttl_ms: int, late: str = "30 seconds
         def close(self) -> None:
             pass
 
-    keyed = writes.withColumn("us", F.unix_micros(F.col("at_ts").cast("timestamp"))).withWatermark("at_ts", late).groupBy("resource")
+    kind = F.coalesce(F.col("kind"), F.lit("beat")) if "kind" in writes.columns else F.lit("beat")
+    keyed = writes.withColumns({"us": F.unix_micros(F.col("at_ts").cast("timestamp")), "kind": kind}).withWatermark("at_ts", late).groupBy("resource")
     return keyed.transformWithStateInPandas(Fence(), "resource long, seq long, owner string, epoch long, at_us long, outcome string", "Append", "EventTime")
 
 
