@@ -18,6 +18,29 @@ def key_bounds(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.min(key).alias("low"), F.max(key).alias("high"))
 
 
+def footer_bounds(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(low, high) of a stored column from the footers of its Parquet files: no row is read.
+
+    The aggregate is pushed into the reader, in a session of its own whose settings allow that. key is a column of
+    the files, not an expression, of a type that footers keep bounds of (numbers, dates; not texts). Fails when run if
+    a file with rows has no bounds, as one whose keys are all null: stored_bounds then reads the column.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return key_bounds(own.read.parquet(path), key)
+
+
+def stored_bounds(spark: SparkSession, path: str, key: str) -> tuple:
+    """(low, high) from the footers, or from the column itself where a footer has no bounds."""
+    try:
+        return tuple(footer_bounds(spark, path, key).first())
+    except Exception as e:  # the reader's own error class is not public: it is known by what it says
+        if "No min/max found" not in str(e):
+            raise
+        return tuple(key_bounds(spark.read.parquet(path), key).first())
+
+
 def slice_no(key: str, start: Column, batch: int) -> Column:
     return F.floor((F.col(key) - start - 1) / F.lit(batch)).cast("long")
 
@@ -127,7 +150,7 @@ def committed(spark: SparkSession, out: str, schema) -> DataFrame:
 
 
 def run_backfill(
-    spark: SparkSession, src: DataFrame, key: str, changes: dict[str, Column], needs_work: Column, batch: int, out: str, wave_slices: int = 1000, crash: Callable[[str, int], None] | None = None
+    spark: SparkSession, src: DataFrame, key: str, changes: dict[str, Column], needs_work: Column, batch: int, out: str, wave_slices: int = 1000, crash: Callable[[str, int], None] | None = None, bounds: tuple[int, int] | None = None
 ) -> DataFrame:
     """Rewrite src into out, wave by wave of consecutive slices, and return the rows that are committed.
 
@@ -136,8 +159,9 @@ def run_backfill(
     was stopped begins after the last committed wave. Slices are independent, so those of a wave run in parallel; a
     range predicate on the key prunes row groups. The next wave's slices follow the pacing rule. Null keys are written
     with the last wave, unchanged. crash, for tests, is called before the data and before the manifest row of a wave.
+    bounds: the lowest and highest key, where the caller knows them, as from stored_bounds.
     """
-    low, high = key_bounds(src, key).first()
+    low, high = bounds or key_bounds(src, key).first()
     done = _manifest(spark, out).agg(F.count("*"), F.max("position"), F.max("wave")).first()
     if low is None:
         return src.limit(0) if not done[0] else committed(spark, out, src.schema)

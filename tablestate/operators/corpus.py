@@ -43,8 +43,8 @@ def section_text(sections: DataFrame, mark: str = MARK) -> DataFrame:
     return grouped.withColumn("problem", F.when(F.trim("text") == "", "empty section").otherwise(""))
 
 
-def directives(sections: DataFrame, known_rules: list[str], mark: str = MARK) -> DataFrame:
-    """(doc_id, line_no, section, rule_id, reason, problem) of ignore markers; a reason is mandatory, quoted and not blank."""
+def directives(sections: DataFrame, known_rules: list[str], mark: str = MARK, own_rule: str = "L000") -> DataFrame:
+    """(doc_id, line_no, section, rule_id, reason, problem) of ignore markers; a reason is mandatory, quoted and not blank, and own_rule, which tells of broken markers, cannot be silenced."""
     body = F.trim(F.regexp_replace(F.expr(f"substr(line, {len(mark) + 8})"), "[ \t]+", " "))
     rule = F.split_part(body, F.lit(" "), F.lit(1))
     rest = F.trim(F.expr("substr(__body, length(__rule) + 1)"))
@@ -52,6 +52,7 @@ def directives(sections: DataFrame, known_rules: list[str], mark: str = MARK) ->
     problem = (
         F.when(F.col("__rule") == "", "names no rule")
         .when(~F.col("__rule").isin(*known_rules), "names no known rule")
+        .when(F.col("__rule") == own_rule, "names a rule that cannot be silenced")
         .when(~F.col("__rest").startswith("reason="), "gives no reason")
         .when(reason == "", "has no quoted reason")
         .otherwise("")

@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 SEVERITIES = {"off": 0, "info": 1, "warn": 2, "error": 3}
 
 
+#: The rule that speaks of broken directives and settings: it can be neither graded nor silenced.
+OWN_RULE = "L000"
+LIMITS = ("big_rows", "big_bytes", "small_rows", "small_bytes")
+_RULES_TYPE = "map<string,string>"
+DOCUMENT_TYPE = f"struct<target_version:int,thresholds:struct<{','.join(f'{x}:bigint' for x in LIMITS)}>,rules:{_RULES_TYPE},overrides:array<struct<path:string,rules:{_RULES_TYPE}>>>"
+
+
 def clean_path(c: Column) -> Column:
-    """Without leading ./ and trailing slashes."""
-    return F.regexp_replace(F.regexp_replace(c, r"^(\./)+", ""), "/+$", "")
+    """A path without empty and dot parts, and without what a following '..' takes back; '' stays '', and '.' is all that is left of a path of dots."""
+    parts = F.filter(F.split(c, "/"), lambda p: (p != "") & (p != "."))
+    up = lambda acc, p: (p == "..") & (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("..")) != "..")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(up(acc, p), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, p)))
+    joined = F.concat(F.when(c.startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
+    return F.when((joined == "") & (c != ""), ".").otherwise(joined)
 
 
 def resolve_policy(scopes: DataFrame, directories: DataFrame) -> DataFrame:
@@ -25,12 +36,76 @@ def resolve_policy(scopes: DataFrame, directories: DataFrame) -> DataFrame:
     return joined.groupBy("directory", "rule_id").agg(F.max_by("severity", "scope_no").alias("severity"))
 
 
+def read_policies(documents: DataFrame, text_col: str = "document") -> DataFrame:
+    """documents with policy, the nested settings of a JSON text: thresholds, a map of rules, an array of scopes with maps.
+
+    A blank text is a policy that says nothing; one that is no such document has a null policy.
+    """
+    text = F.when(F.trim(F.coalesce(text_col, F.lit(""))) == "", "{}").otherwise(F.col(text_col))
+    return documents.withColumn("policy", F.from_json(text, DOCUMENT_TYPE))
+
+
+def policy_scopes(policies: DataFrame, by: str = "repo") -> DataFrame:
+    """(by, scope_no, path, rule_id, severity) of nested policies: scope 0 is the document's own rules, then its overrides in order."""
+    own = F.struct(F.lit("").alias("path"), F.col("policy.rules").alias("rules"))
+    scopes = policies.select(by, F.posexplode(F.concat(F.array(own), F.coalesce("policy.overrides", F.array().cast(f"array<struct<path:string,rules:{_RULES_TYPE}>>")))).alias("scope_no", "s"))
+    levels = F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv])
+    return scopes.select(by, "scope_no", F.col("s.path").alias("path"), F.explode("s.rules").alias("rule_id", "level")).select(by, "scope_no", "path", "rule_id", levels[F.col("level")].cast("long").alias("severity"))
+
+
+def resolve_documents(policies: DataFrame, directories: DataFrame, by: str = "repo") -> DataFrame:
+    """(by, directory, rule_id, severity) from many repositories' documents: the last scope that holds the directory wins.
+
+    As resolve_policy, with the repository in the key. Documents with problems should be left out first.
+    """
+    parts = F.split(clean_path(F.col("directory")), "/")
+    ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    each = directories.select(by, "directory", F.explode(F.array_distinct(ancestors)).alias("path"))
+    scopes = policy_scopes(policies, by).withColumn("path", clean_path(F.col("path")))
+    return each.join(scopes, [by, "path"]).groupBy(by, "directory", "rule_id").agg(F.max_by("severity", "scope_no").alias("severity"))
+
+
+def validate_documents(documents: DataFrame, known_rules: list[str], by: str = "repo", text_col: str = "document") -> DataFrame:
+    """(by, scope_no, item, value, problem) of documents that no build would take; a document with any is refused whole.
+
+    scope_no is null for what belongs to no scope. Unknown fields count as problems at every level: a misspelled
+    setting would seem to be in force.
+    """
+    read = read_policies(documents, text_col).withColumn("raw_", F.col(text_col))
+    row = lambda df, item, value, problem, scope=F.lit(None).cast("int"): df.select(by, scope.alias("scope_no"), F.lit(item).alias("item"), value.alias("value"), problem.alias("problem")).where("problem IS NOT NULL")
+    keys = lambda text: F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
+    part = lambda name: F.get_json_object("raw_", f"$.{name}")
+    unknown = lambda df, known: df.where(~F.col("k").isin(*known))
+    fields = unknown(read.select(by, F.explode(keys(F.col("raw_"))).alias("k")), ("target_version", "thresholds", "rules", "overrides"))
+    sizes = unknown(read.select(by, F.explode(keys(part("thresholds"))).alias("k")), LIMITS)
+    each = read.select(by, F.posexplode(F.from_json(part("overrides"), "array<map<string,string>>")).alias("at", "m"))
+    inner = unknown(each.select(by, "at", F.explode(F.map_keys("m")).alias("k")), ("path", "rules"))
+    scopes = read.select(by, F.posexplode(F.concat(F.array(F.struct(F.lit("own").alias("path"), F.col("policy.rules").alias("rules"))), F.coalesce("policy.overrides", F.array().cast(f"array<struct<path:string,rules:{_RULES_TYPE}>>")))).alias("scope_no", "s"))
+    graded = scopes.select(by, "scope_no", F.explode("s.rules").alias("rule", "level"))
+    limits = read.select(by, F.explode(F.array(*[F.struct(F.lit(x).alias("k"), F.col(f"policy.thresholds.{x}").alias("v")) for x in LIMITS])).alias("l"))
+    no, own = F.col("scope_no"), F.lit(OWN_RULE)
+    found = [
+        row(read.where("policy IS NULL OR NOT (trim(coalesce(raw_, '')) = '' OR raw_ LIKE '%{%')"), "document", F.substring("raw_", 1, 40), F.lit("not a policy document")),
+        *[row(df, "field", F.col("k"), F.lit("unknown field")) for df in (fields, sizes)],
+        row(inner, "field", F.col("k"), F.lit("unknown field"), (F.col("at") + 1).cast("int")),
+        row(scopes.where("scope_no > 0"), "path", F.coalesce("s.path", F.lit("")), F.when(F.coalesce("s.path", F.lit("")) == "", "missing path"), no),
+        row(graded, "rule", F.col("rule"), F.when(F.col("rule") == own, "cannot be graded").when(~F.col("rule").isin(*known_rules), "unknown rule"), no),
+        row(graded, "level", F.coalesce("level", F.lit("")), F.when(~F.coalesce("level", F.lit("")).isin(*SEVERITIES), "unknown level"), no),
+        row(limits, "threshold", F.concat_ws("=", "l.k", F.col("l.v").cast("string")), F.when(F.col("l.v") < 0, "a threshold cannot be negative")),
+    ]
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def validate_policy(policies: DataFrame, known_rules: list[str]) -> DataFrame:
     """(repo, item, value, problem) of policy settings that no build would take. policies: repo, item, value."""
     item, value = F.col("item"), F.col("value")
     number = F.expr("try_cast(value AS BIGINT)")
     problem = (
         F.when((item == "rule") & ~value.isin(*known_rules), "unknown rule")
+        .when((item == "rule") & (value == OWN_RULE), "cannot be graded")
         .when((item == "level") & ~value.isin(*SEVERITIES), "unknown level")
         .when((item == "path") & (value == ""), "missing path")
         .when((item == "threshold") & (F.coalesce(number, F.lit(-1)) < 0), "not a threshold")

@@ -44,10 +44,13 @@ def status_report(state: DataFrame | None, plan: DataFrame) -> DataFrame:
 
 
 def run_summary(results: DataFrame) -> DataFrame:
-    """(job, run_no, steps_total, applied, skipped, repaired, duration_us); a repair counts even if the step is then skipped."""
-    return results.groupBy("job", "run_no").agg(
-        F.count("*").alias("steps_total"), F.count_if(F.col("outcome") == "applied").alias("applied"), F.count_if(F.col("outcome") == "skipped").alias("skipped"), F.count_if("repaired").alias("repaired"), F.sum("took_us").alias("duration_us")
-    )
+    """(job, run_no, migrations, steps_total, applied, skipped, repaired, duration_us); a repair counts even if the step is then skipped.
+
+    The steps themselves stay rows, those of results, so that a long run is no single value.
+    """
+    counts = {"applied": F.col("outcome") == "applied", "skipped": F.col("outcome") == "skipped", "repaired": F.col("repaired")}
+    each = results.groupBy("job", "run_no", "migration_no").agg(F.count("*").alias("steps_total"), *[F.count_if(c).alias(name) for name, c in counts.items()], F.sum("took_us").alias("duration_us"))
+    return each.groupBy("job", "run_no").agg(F.count("*").alias("migrations"), *[F.sum(c).alias(c) for c in ("steps_total", *counts, "duration_us")])
 
 
 def convergence_check(summary: DataFrame) -> DataFrame:

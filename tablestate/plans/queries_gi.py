@@ -9,7 +9,8 @@ from ..functions.scalars import NOT_NULL_TEST
 from ..operators import corpus, findings, hazards
 from .registry import Views, query
 
-KNOWN_RULES = [f"L00{k}" for k in range(1, 10)]
+#: The rules there are.
+KNOWN_RULES = [f"L{k:03}" for k in (*range(12), *range(20, 26), *range(30, 34), *range(40, 43))]
 NOW = "2024-12-01 00:00:00"
 _KNOWN = ", ".join(f"'{r}'" for r in KNOWN_RULES)
 
@@ -245,12 +246,38 @@ def h1_resolve_policy(v: Views) -> DataFrame:
     return _policy(v)
 
 
-@query(f"""SELECT * FROM (SELECT *, CASE WHEN item = 'rule' AND value NOT IN ({_KNOWN}) THEN 'unknown rule' WHEN item = 'level' AND value NOT IN ('off', 'info', 'warn', 'error') THEN 'unknown level' WHEN item = 'path' AND value = '' THEN 'missing path'
+@query(f"""SELECT * FROM (SELECT *, CASE WHEN item = 'rule' AND value NOT IN ({_KNOWN}) THEN 'unknown rule' WHEN item = 'rule' AND value = 'L000' THEN 'cannot be graded' WHEN item = 'level' AND value NOT IN ('off', 'info', 'warn', 'error') THEN 'unknown level' WHEN item = 'path' AND value = '' THEN 'missing path'
        WHEN item = 'threshold' AND coalesce(TRY_CAST(value AS BIGINT), -1) < 0 THEN 'not a threshold' WHEN item NOT IN ('rule', 'level', 'path', 'threshold') THEN 'unknown field' END AS problem FROM v_policies) p WHERE problem IS NOT NULL""")
 def h2_validate_policy(v: Views) -> DataFrame:
     return findings.validate_policy(v.policies, KNOWN_RULES)
 
 
+#: Scopes of documents by the JSON functions; paths of the given documents need no more than these replacements.
+_DOC_SCOPES = f"""SELECT repo, 0 AS scope_no, '' AS path, '$.rules' AS spot, document FROM v_policy_documents WHERE document <> ''
+UNION ALL SELECT repo, i + 1, coalesce(json_extract_string(document, '$.overrides[' || i || '].path'), ''), '$.overrides[' || i || '].rules', document FROM (SELECT *, unnest(range(CAST(json_array_length(document, '$.overrides') AS BIGINT))) AS i FROM v_policy_documents WHERE document <> '') o"""
+_DOC_RULES = f"""SELECT repo, scope_no, replace(replace(regexp_replace(regexp_replace(path, '^(\\./)+', ''), '/+$', ''), '//', '/'), '/x/..', '') AS path, rule, json_extract_string(document, spot || '.' || rule) AS level FROM (SELECT *, unnest(json_keys(document, spot)) AS rule FROM ({_DOC_SCOPES}) s) r"""
+_DOC_PROBLEMS = f"""SELECT repo, CAST(NULL AS INTEGER) AS scope_no, 'field' AS item, k AS value, 'unknown field' AS problem FROM (SELECT repo, unnest(json_keys(document)) AS k FROM v_policy_documents WHERE document <> '') f WHERE k NOT IN ('target_version', 'thresholds', 'rules', 'overrides')
+UNION ALL SELECT repo, CAST(scope_no AS INTEGER), 'path', '', 'missing path' FROM ({_DOC_SCOPES}) s WHERE scope_no > 0 AND path = ''
+UNION ALL SELECT repo, CAST(scope_no AS INTEGER), 'rule', rule, CASE WHEN rule = 'L000' THEN 'cannot be graded' ELSE 'unknown rule' END FROM ({_DOC_RULES}) r WHERE rule = 'L000' OR rule NOT IN ({_KNOWN})
+UNION ALL SELECT repo, CAST(scope_no AS INTEGER), 'level', level, 'unknown level' FROM ({_DOC_RULES}) r WHERE level NOT IN ('off', 'info', 'warn', 'error')
+UNION ALL SELECT repo, NULL, 'threshold', 'big_rows=' || json_extract_string(document, '$.thresholds.big_rows'), 'a threshold cannot be negative' FROM v_policy_documents WHERE document <> '' AND CAST(json_extract_string(document, '$.thresholds.big_rows') AS BIGINT) < 0"""
+
+
+@query(_DOC_PROBLEMS)
+def h2_policy_documents(v: Views) -> DataFrame:
+    return findings.validate_documents(v.policy_documents, KNOWN_RULES)
+
+
+@query(f"""SELECT d.repo, d.directory, r.rule AS rule_id, CAST(arg_max(CASE r.level WHEN 'off' THEN 0 WHEN 'info' THEN 1 WHEN 'warn' THEN 2 ELSE 3 END, r.scope_no) AS BIGINT) AS severity
+  FROM v_repo_directories d JOIN ({_DOC_RULES}) r ON r.repo = d.repo AND (r.path = '' OR d.directory = r.path OR starts_with(d.directory, r.path || '/'))
+ WHERE d.repo NOT IN (SELECT repo FROM ({_DOC_PROBLEMS}) p) GROUP BY d.repo, d.directory, r.rule""")
+def h1_policy_documents(v: Views) -> DataFrame:
+    """Documents without problems, of many repositories, resolved for the directories of each."""
+    docs = v.policy_documents
+    sound = findings.read_policies(docs.join(findings.validate_documents(docs, KNOWN_RULES).select("repo").distinct(), "repo", "left_anti"))
+    return findings.resolve_documents(sound, v.repo_directories)
+
+
 _GRADED = f"""SELECT * FROM (SELECT f.finding_id, f.corpus, f.file, f.step, f.rule_id, CAST(coalesce(p.severity, f.severity) AS BIGINT) AS severity, f.span_start, f.fixable FROM v_findings f LEFT JOIN ({_POLICY}) p ON p.directory = f.file AND p.rule_id = f.rule_id) g WHERE severity > 0"""
 _MATCH = "d.problem = '' AND d.file = f.file AND d.rule_id = f.rule_id AND (d.step = '' OR d.step = f.step)"
 _LEFT = f"SELECT * FROM ({_GRADED}) f WHERE NOT EXISTS (SELECT 1 FROM v_directives d WHERE {_MATCH})"
@@ -348,7 +375,7 @@ def i3_section_text(v: Views) -> DataFrame:
 
 
 @query(f"""SELECT doc_id, line_no, section, rule_id, CASE WHEN problem = '' THEN reason ELSE '' END AS reason, problem FROM (
-SELECT *, CASE WHEN rule_id = '' THEN 'names no rule' WHEN rule_id NOT IN ({_KNOWN}) THEN 'names no known rule' WHEN NOT starts_with(rest, 'reason=') THEN 'gives no reason' WHEN reason = '' THEN 'has no quoted reason' ELSE '' END AS problem FROM (
+SELECT *, CASE WHEN rule_id = '' THEN 'names no rule' WHEN rule_id NOT IN ({_KNOWN}) THEN 'names no known rule' WHEN rule_id = 'L000' THEN 'names a rule that cannot be silenced' WHEN NOT starts_with(rest, 'reason=') THEN 'gives no reason' WHEN reason = '' THEN 'has no quoted reason' ELSE '' END AS problem FROM (
 SELECT *, trim(regexp_extract(rest, '^reason="(.*)"$', 1)) AS reason FROM (
 SELECT doc_id, line_no, section, split_part(body, ' ', 1) AS rule_id, trim(substr(body, length(split_part(body, ' ', 1)) + 1)) AS rest FROM (
 SELECT *, trim(regexp_replace(substr(line, 10), '[ \t]+', ' ', 'g')) AS body FROM ({_SECTIONS}) s WHERE starts_with(line, '@@ ignore')) a) b) c) d""")

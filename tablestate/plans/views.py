@@ -56,7 +56,7 @@ SELECT l_orderkey AS migration_no, CAST(l_linenumber AS BIGINT) AS step_no,
        CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'lock timeout' ELSE '' END AS error
   FROM lineitem""",
     "v_step_results": """
-SELECT o_custkey % 50 AS job, CAST(floor(o_totalprice) AS BIGINT) % 4 AS run_no, o_orderkey AS step,
+SELECT o_custkey % 50 AS job, o_custkey AS migration_no, CAST(floor(o_totalprice) AS BIGINT) % 4 AS run_no, o_orderkey AS step,
        CASE WHEN o_custkey % 2 = 0 AND CAST(floor(o_totalprice) AS BIGINT) % 4 > 0 THEN 'skipped' WHEN o_orderstatus = 'F' THEN 'applied' ELSE 'skipped' END AS outcome,
        CASE WHEN o_custkey % 2 = 0 AND CAST(floor(o_totalprice) AS BIGINT) % 4 > 0 THEN FALSE ELSE o_orderkey % 10 = 0 END AS repaired,
        CAST(floor(o_totalprice) AS BIGINT) AS took_us
@@ -203,6 +203,13 @@ SELECT DISTINCT source || '/' || lang || CASE WHEN doc_id % 25 = 0 THEN '' ELSE
 SELECT 0 AS scope_no, '' AS path, 'L00' || CAST(r.k AS STRING) AS rule_id, 1 + r.k % 3 AS severity FROM (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) r
 UNION ALL SELECT 1, 'src1', 'L001', 0 UNION ALL SELECT 2, 'src1/en', 'L001', 3 UNION ALL SELECT 3, 'src2/', 'L002', 1
 UNION ALL SELECT 4, 'src', 'L003', 0 UNION ALL SELECT 5, './src3/en', 'L004', 2""",
+    "v_policy_documents": """
+SELECT c_custkey AS repo, CASE WHEN c_custkey % 17 = 0 THEN '' ELSE '{"target_version":' || CAST(10 + c_custkey % 7 AS STRING) || ',"thresholds":{"big_rows":' || CAST(c_custkey % 5 * 1000 - CASE WHEN c_custkey % 11 = 0 THEN 5000 ELSE 0 END AS STRING) || '},"rules":{"L001":"warn","L00'
+       || CAST(2 + c_custkey % 8 AS STRING) || '":"' || CASE c_custkey % 6 WHEN 0 THEN 'off' WHEN 1 THEN 'error' WHEN 2 THEN 'loud' ELSE 'info' END || '"},"overrides":[{"path":"./db/' || CAST(c_custkey % 3 AS STRING) || '/","rules":{"L001":"off","L002":"error"}},{"path":"'
+       || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'db//' || CAST(c_custkey % 3 AS STRING) || '/x/../O' END || '","rules":{"L002":"warn","L' || lpad(CAST(c_custkey % 60 AS STRING), 3, '0') || '":"error"}}]' || CASE WHEN c_custkey % 13 = 0 THEN ',"colour":"red"' ELSE '' END || '}' END AS document
+  FROM customer WHERE c_custkey % 60 <> 2""",
+    "v_repo_directories": """
+SELECT DISTINCT o_custkey AS repo, 'db/' || CAST(o_orderkey % 3 AS STRING) || CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'x' ELSE '/' || o_orderstatus END AS directory FROM orders""",
     "v_policies": """
 SELECT o_custkey AS repo, CASE o_orderkey % 7 WHEN 0 THEN 'rule' WHEN 1 THEN 'level' WHEN 2 THEN 'path' WHEN 3 THEN 'threshold' WHEN 4 THEN 'field' ELSE 'rule' END AS item,
        CASE o_orderkey % 5 WHEN 0 THEN 'L001' WHEN 1 THEN 'L999' WHEN 2 THEN 'warn' WHEN 3 THEN '' ELSE '-5' END AS value
@@ -210,7 +217,7 @@ SELECT o_custkey AS repo, CASE o_orderkey % 7 WHEN 0 THEN 'rule' WHEN 1 THEN 'le
     # I
     "v_marked_texts": """
 SELECT doc_id, '@@ ignore L001 reason="header"' || chr(10) || '@@ step: first' || chr(10) || text || chr(10) || '@@ step: second' || chr(10)
-       || '@@ ignore L' || CAST(doc_id % 1000 AS STRING) || CASE doc_id % 4 WHEN 0 THEN ' reason="ok"' WHEN 1 THEN '' WHEN 2 THEN ' reason=" "' ELSE '    reason="why not"' END || chr(10)
+       || '@@ ignore L' || lpad(CAST(doc_id % 50 AS STRING), 3, '0') || CASE doc_id % 4 WHEN 0 THEN ' reason="ok"' WHEN 1 THEN '' WHEN 2 THEN ' reason=" "' ELSE '    reason="why not"' END || chr(10)
        || '@@ settings: table=t' || CAST(doc_id % 40 AS STRING) || '  key=id batch=' || CAST((doc_id % 5) * 100 AS STRING) || CASE doc_id % 3 WHEN 0 THEN ' max_lag_bytes=-1' WHEN 1 THEN '' ELSE ' colour=red' END || chr(10)
        || '@@ bogus' || chr(10) || 'body of ' || lang || CASE WHEN doc_id % 6 = 0 THEN chr(10) || '@@ step: second' || chr(10) || '@@ step: empty' || chr(10) ELSE '' END AS text
   FROM documents""",
