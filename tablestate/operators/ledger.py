@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 _KEY = ["migration_no", "step_no"]
 
 
@@ -148,23 +150,28 @@ def ownership_intervals(beats: DataFrame, ttl_us: int, run_us: int = RUN_US) ->
     return spans.select("resource", "owner", "epoch", "started", ended.alias("ended"), "beats", how.alias("how"))
 
 
-def overlapping_owners(intervals: DataFrame) -> DataFrame:
+def overlapping_owners(intervals: DataFrame, run_us: int = RUN_US) -> DataFrame:
     """intervals that begin while an earlier one of another owner is open (must be none), with others_open.
 
     No theta join: beginnings and ends are put in order, and the open intervals of all owners and of the own one are
-    counted as they pass.
+    counted as they pass, within runs of time.
     """
-    begin = intervals.select("resource", "owner", "started", "ended", F.col("started").alias("__t"), F.lit(1).alias("__d"))
-    finish = intervals.select("resource", "owner", "started", "ended", F.col("ended").alias("__t"), F.lit(-1).alias("__d"))
-    order = ["__t", "__d", "started", "ended", "owner"]
-    every = Window.partitionBy("resource").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = Window.partitionBy("resource", "owner").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    open_ = F.coalesce(F.sum("__d").over(every), F.lit(0)) - F.coalesce(F.sum("__d").over(own), F.lit(0))
-    counted = begin.unionByName(finish).withColumn("others_open", open_)
-    return counted.where("__d = 1 and others_open > 0").select("resource", "owner", "started", "ended", "others_open")
-
-
-def step_order_and_numbering(plan: DataFrame) -> DataFrame:
-    """plan with position and total within its database's plan."""
-    w = Window.partitionBy("db").orderBy("migration_no", "step_no")
-    return plan.withColumns({"position": F.row_number().over(w), "total": F.count("*").over(Window.partitionBy("db"))})
+    begin = intervals.select("resource", "owner", "started", "ended", F.col("started").alias("t_"), F.lit(1).alias("d_"))
+    finish = intervals.select("resource", "owner", "started", "ended", F.col("ended").alias("t_"), F.lit(-1).alias("d_"))
+    order, run = ["t_", "d_", "started", "ended", "owner"], F.floor(F.col("t_") / run_us)
+    both = running(begin.unionByName(finish), ["resource"], run, order, every_=("sum", F.col("d_")))
+    both = running(both, ["resource", "owner"], run, order, own_=("sum", F.col("d_")))
+    counted = both.withColumn("others_open", F.coalesce("every_", F.lit(0)) - F.coalesce("own_", F.lit(0)))
+    return counted.where("d_ = 1 and others_open > 0").select("resource", "owner", "started", "ended", "others_open")
+
+
+#: Consecutive migrations that are numbered together.
+MIGRATIONS = 1024
+
+
+def step_order_and_numbering(plan: DataFrame, width: int = MIGRATIONS) -> DataFrame:
+    """plan with position and total within its database's plan; numbered within ranges of migrations."""
+    placed = running(plan, ["db"], F.floor(F.col("migration_no") / width), ["migration_no", "step_no"], before_=("sum", F.lit(1)))
+    totals = plan.groupBy(F.col("db").alias("db_")).agg(F.count("*").alias("total"))
+    numbered = placed.withColumn("position", (F.coalesce("before_", F.lit(0)) + 1).cast("int")).drop("before_")
+    return numbered.join(totals, F.col("db").eqNullSafe(F.col("db_"))).drop("db_")

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 #: Sections of a schema's description, in order.
 SECTIONS = ("columns", "indexes", "constraints", "sequences", "ownership", "grants")
 BOOKKEEPING = "bookkeeping"
@@ -139,9 +141,11 @@ def refused_steps(steps: DataFrame) -> DataFrame:
     return steps.where(F.col("step_kind").isin("ddl_notx", "backfill") & F.col("satisfied").isNull())
 
 
-def pending_steps(steps: DataFrame, ledger: DataFrame | None, by: list[str]) -> DataFrame:
+def pending_steps(steps: DataFrame, ledger: DataFrame | None, by: list[str], width: int = 1024) -> DataFrame:
     """steps with pending: the first unfinished step of a database and all after it, across migrations.
 
+    Runs within ranges of width migrations.
+
     A transactional step without a condition of its own is done when the ledger says that it succeeded. No ledger: all
     is pending.
     """
@@ -150,8 +154,9 @@ def pending_steps(steps: DataFrame, ledger: DataFrame | None, by: list[str]) ->
     said = ledger.select(*by, (F.col("status") == "succeeded").alias("__ok"))
     fallback = (F.col("step_kind") == "ddl_tx") & F.coalesce("__ok", F.lit(False))
     done = F.coalesce(F.col("satisfied"), fallback)
-    w = Window.partitionBy("db").orderBy("migration_no", "step_no").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.join(said, by, "left").withColumn("pending", F.max(~done).over(w)).drop("__ok")
+    undone = steps.join(said, by, "left").withColumn("undone_", (~done).cast("int"))
+    ahead = running(undone, ["db"], F.floor(F.col("migration_no") / width), ["migration_no", "step_no"], before_=("max", F.col("undone_")))
+    return ahead.withColumn("pending", F.coalesce(F.greatest("undone_", "before_") == 1, F.lit(False))).drop("__ok", "undone_", "before_")
 
 
 def checksum_drift(plan: DataFrame, ledger: DataFrame) -> DataFrame:
