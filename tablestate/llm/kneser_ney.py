@@ -6,7 +6,7 @@ occurs in the corpus comes from joins of these tables, sharded by key. The score
 shards of bounded size; a task reads one shard at a time and adds each text's share of the sum, so a worker holds one
 shard and the driver none. A document's score is its mean negative log probability by character (the log of its
 perplexity). A language's threshold is a quantile of the scores of its trusted documents, found exactly from a
-histogram; documents above it go.
+histogram and, in small languages, raised towards that of all; documents above it go.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ BITS, OWN = 12, 3071
 MASK = (1 << BITS) - 1
 #: A language's threshold: this quantile of its trusted documents' scores, plus a margin in nats a character.
 QUANTILE, MARGIN = 0.999, 0.02
-#: Width of the histogram's bins; languages with fewer trusted documents than this, but some, use all languages' threshold.
-BIN, LEAST_DOCS = 0.001, 50
+#: Width of the histogram's bins, and the trusted documents at which a language's own quantile has half the say.
+BIN, SHRINK = 0.001, 100
 #: Characters whose mean is mixed into a short text's mean, at the trusted mean, so that few characters decide little.
 PRIOR = 200.0
 #: Characters that are turned into n-grams at a time, and that a task holds while it reads shard after shard.
@@ -243,6 +243,17 @@ def shards(scores: DataFrame, shard_grams: int = SHARD_GRAMS) -> list[tuple[str,
     return groups or [()]
 
 
+def raised(own: float, n: int, pooled: float) -> float:
+    """A language's own quantile, raised towards that of all languages the more, the fewer its n trusted documents are.
+
+    The model has learnt from the documents whose scores give the quantile, and the fewer they are the better it knows
+    them, so a small language's own quantile is too low for other clean documents. One rule at every size: the gap to
+    the pooled quantile counts by SHRINK / (n + SHRINK); a quantile above the pooled one is left as it is, since other
+    languages say nothing against it.
+    """
+    return own + max(0.0, pooled - own) * SHRINK / (n + SHRINK)
+
+
 class Model:
     """The scored n-grams' shards, and thresholds."""
 
@@ -267,7 +278,7 @@ class Model:
         found = ranked.where(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy("lang").agg(F.min("bin").alias("bin"), F.max("all").alias("all"))
         rows = list(found.toLocalIterator())  # a row for each language
         pooled = next((b for lang, b, _ in rows if lang is None), 0)
-        self.limits = {lang: ((b if n >= LEAST_DOCS else pooled) + 1) * BIN + margin for lang, b, n in rows if lang is not None}
+        self.limits = {lang: (raised(b, n, pooled) + 1) * BIN + margin for lang, b, n in rows if lang is not None}
         self.every = float("inf")  # a language without trusted text is not judged by others
 
     def with_sums(self, text: int):
@@ -311,7 +322,7 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, m
     """doc_id, lang, n_chars, perplexity (by character), threshold (of it), kept for each row of docs.
 
     labels: doc_id, quality, toxic; trusted are ids with quality 1 and not toxic. Null or empty text: the end alone is
-    scored. Null lang: a language of its own. Null ids: scored, never trusted. Repeated rows: each counts and is
+    scored. Null lang: as the empty string, one language. Null ids: scored, never trusted. Repeated rows: each counts and is
     scored. A language without trusted rows is kept whole. Very long texts: whole, in pieces of bounded size. Empty
     table: no rows. Other columns are not read, so they may have any name.
     """

@@ -176,3 +176,13 @@ def test_languages_without_trusted_text_are_kept(spark):
     assert all(r.kept and math.isinf(r.threshold) for r in out if r.lang == "zz")
     assert all(math.isfinite(r.threshold) for r in out if r.lang == "aa")
     assert kneser_ney.keep_fluent(docs, labels).where("lang = 'zz'").count() == 10
+
+
+def test_thresholds_have_no_step():
+    """A language's threshold changes by little with each trusted document, and is never below its own quantile."""
+    from tablestate.llm.kneser_ney import raised
+
+    by_n = [raised(1000, n, 1500) for n in range(1, 5000)]
+    assert max(a - b for a, b in zip(by_n, by_n[1:])) < 5 and by_n == sorted(by_n, reverse=True)
+    assert by_n[0] > 1490 and by_n[-1] < 1010
+    assert all(raised(1500, n, 1000) == 1500 for n in (1, 50, 5000))
