@@ -5,6 +5,9 @@ ids (16 bits wide where the vocabulary allows, else 32), `<shard>.idx` holds the
 displacement for each bucket of keys, and for each slot a fingerprint, the first document of the key and how many
 there are. A lookup hashes the key, reads one slot, compares the fingerprint and has the payload's place: constant
 time, no search. Each key has one slot; the fingerprint (32 bits) tells keys that were never stored.
+
+The manifest keeps each shard's lowest and highest key. Shards are ranges of keys, so a key's range names the one shard
+that may hold it (or the few over which a key with very many documents extends), and find() opens no other.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, new_folder, prepare, read_whole, write_whole
+from .common import filesystem, keep, new_folder, prepare, read_whole, write_whole
 from .tokens import encoder, vocabulary
 
 MAGIC = b"TSIX0001"
@@ -134,7 +137,9 @@ def index_bytes(keys: np.ndarray, is_null: np.ndarray, lengths: np.ndarray, widt
 
 
 def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write shards under folder; returns the manifest, materialised: partition, shard (within it), name, n_docs, n_tokens.
+    """Write shards under folder; returns the manifest, materialised: partition, shard (within it), name, n_docs, n_tokens, low, high, nulls.
+
+    low and high are the shard's lowest and highest key (null if it has none), nulls whether it holds null keys.
 
     Partitions are ranges of keys (null first), and of a hash of the texts where keys are equal, so (partition, shard)
     is key order and a key with very many rows is dealt to many shards. Only files that the manifest names count: a lost
@@ -157,7 +162,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
             name = f"{part:06d}-{shard:06d}-{uuid.uuid4().hex}"
             write_whole(f"{folder}/{name}.bin", b"".join(payload))
             write_whole(f"{folder}/{name}.idx", index_bytes(np.array(keys, np.int64), np.array(nulls, bool), np.array(lengths, np.int64), width))
-            out = pa.RecordBatch.from_pylist([{"partition": part, "shard": shard, "name": name, "n_docs": len(keys), "n_tokens": sum(lengths)}], schema=_MANIFEST)
+            out = pa.RecordBatch.from_pylist([{"partition": part, "shard": shard, "name": name, "n_docs": len(keys), "n_tokens": sum(lengths), **_range(keys, nulls)}], schema=_MANIFEST)
             for x in (keys, nulls, lengths, payload):
                 x.clear()
             shard, size = shard + 1, 0
@@ -179,10 +184,16 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
         if keys:
             yield close()
 
-    return keep(rows.mapInArrow(run, "partition int, shard int, name string, n_docs long, n_tokens long"), "token-manifest")
+    return keep(rows.mapInArrow(run, "partition int, shard int, name string, n_docs long, n_tokens long, low long, high long, nulls boolean"), "token-manifest")
+
+
+def _range(keys: list[int], nulls: list[bool]) -> dict:
+    """The keys are in order, null ones first."""
+    some = len(keys) - sum(nulls)
+    return {"low": keys[-some] if some else None, "high": keys[-1] if some else None, "nulls": nulls[0]}
 
 
-_MANIFEST = pa.schema([("partition", pa.int32()), ("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+_MANIFEST = pa.schema([("partition", pa.int32()), ("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("nulls", pa.bool_())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("shard_name", pa.string()), ("shard_offset", pa.int64())])
 
 
@@ -212,6 +223,60 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     return files.repartition(parts, "name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard_name string, shard_offset long")
 
 
+class OpenShard:
+    """An index file that is read in place: the head, and of a key its bucket's displacement, its slot and two offsets."""
+
+    def __init__(self, uri: str):
+        store, path = filesystem(uri)
+        self.file = store.open_input_file(path)
+        magic, self.width, self.buckets, self.n_keys, self.n_docs, _ = _HEAD.unpack(self._at(0, _HEAD.size))
+        if magic != MAGIC:
+            raise ValueError("not a token index")
+        self.slots = _HEAD.size + 4 * self.buckets
+        self.offsets = self.slots + 12 * self.n_keys
+
+    def _at(self, place: int, n: int) -> bytes:
+        self.file.seek(place)
+        return self.file.read(n)
+
+    def _number(self, kind: str, place: int, nth: int) -> int:
+        kind = np.dtype(kind)
+        return int(np.frombuffer(self._at(place + nth * kind.itemsize, kind.itemsize), kind)[0])
+
+    def documents(self, key: int | None) -> list[tuple[int, int]]:
+        """(place, length) in tokens of the key's documents; none if it was not stored."""
+        if not self.n_keys:
+            return []
+        h = Shard.hashed(np.array([key or 0], np.int64), np.array([key is None]))
+        bucket = int((_mix(h, 0) % np.uint64(self.buckets))[0])
+        shift = self._number("<i4", _HEAD.size, bucket)
+        slot = -shift - 1 if shift < 0 else int((_mix(h, np.array([shift], np.uint64)) % np.uint64(self.n_keys))[0])
+        prints, first, count = (self._number("<u4", self.slots + 4 * self.n_keys * k, slot) for k in range(3))
+        if prints != int((_mix(h, 7) >> np.uint64(32))[0]):
+            return []
+        ends = np.frombuffer(self._at(self.offsets + 8 * first, 8 * (count + 1)), "<u8").astype(np.int64)
+        return list(zip(ends[:-1].tolist(), np.diff(ends).tolist()))
+
+
+def find(manifest: DataFrame, folder: str, key: int | None) -> Iterator[np.ndarray]:
+    """The ids of each document of a key, in the order of the corpus, the end id last; a null key is a key.
+
+    The manifest's ranges lead to the shard, its index to the place in its payload: one index is opened and one slot
+    read, and as much payload as the documents have. A key that was not stored opens one index at most.
+    """
+    here = F.col("nulls") if key is None else F.lit(key).between(F.col("low"), F.col("high"))
+    for r in manifest.where(here).orderBy("partition", "shard").select("name").toLocalIterator():  # more than one shard only for a key that fills them
+        shard = OpenShard(f"{folder}/{r.name}.idx")
+        found = shard.documents(key)
+        if not found:
+            continue
+        store, path = filesystem(f"{folder}/{r.name}.bin")
+        with store.open_input_file(path) as payload:
+            for at, n in found:
+                payload.seek(at * shard.width)
+                yield np.frombuffer(payload.read(n * shard.width), f"<u{shard.width}")
+
+
 def token_index(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, write, index and read back every document of docs.
 

@@ -181,3 +181,27 @@ def test_open_bins_go_on_to_the_last_round(spark, monkeypatch):
     out = packing.pack(spark.createDataFrame(rows, "rid long, length long"), size=100, group=200).collect()
     assert sorted((r.rid, r.length) for r in out) == rows
     assert seen[0] > 1 and seen[-1] == 1
+
+
+def test_find_opens_one_index(spark, odd_docs, monkeypatch):
+    """Keys stored, repeated, null and absent over many shards: the right ids, one index opened, none for a key out of all ranges."""
+    from tablestate.llm import token_index as ti
+
+    rng = random.Random(8)
+    more = spark.createDataFrame([(1000 + 3 * i, prose(rng, 30)) for i in range(200)] + [(1100, prose(rng, 40)) for _ in range(60)], "doc_id long, text string")
+    docs = odd_docs.select("doc_id", "text").unionByName(more)
+    folder = new_folder(spark, "find")
+    manifest = write_shards(docs, folder, vocabulary("byte_bpe_50k.json"), 2, shard_bytes=3000)
+    assert manifest.count() > 10
+    enc, want = encoder(vocabulary("byte_bpe_50k.json")), {}
+    for r in docs.collect():
+        want.setdefault(r.doc_id, []).append(np.frombuffer(enc.encode(r.text or ""), "<u4").tolist() + [2])
+    opened = []
+    monkeypatch.setattr(ti, "OpenShard", lambda uri, real=ti.OpenShard: opened.append(uri) or real(uri))
+    for key in [*want, 1001, 1000 + 3 * 150 + 1, -5, 10**9]:
+        opened.clear()
+        got = [ids.tolist() for ids in ti.find(manifest, folder, key)]
+        assert sorted(got) == sorted(want.get(key, []))
+        spread = manifest.where(f"low <= {key} AND {key} <= high").count() if key is not None else manifest.where("nulls").count()
+        assert len(opened) == spread and (len(want.get(key, [])) > 5 or spread <= 2)
+    assert len(want[1100]) == 60 and len(want[None]) == 2
