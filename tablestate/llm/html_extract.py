@@ -39,7 +39,15 @@ DEPTH = 48
 #: Copies of the hosts' lists, so that a host with a third of all pages is dealt to many tasks.
 SALT = 32
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|[^<]++|<", re.S)
+#: Comments, tags, tags with a quote that never closes or without an end (they end at the next angle bracket), other
+#: markup, text. Quantifiers that give nothing back, and no unquoted < in a tag, keep the scan linear.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)(>?)"
+    r"|<[!?/][^>]*+(?:>|\Z)|[^<]++|<",
+    re.S,
+)
 _ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|$)""", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -145,6 +153,8 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack: list[_Open] = []
+        places: dict[str, list[int]] = {}  # of the open elements of each tag
+        blocks_at, scopes_at = [-1], [-1]  # of the open elements that are no inline ones, that bound a search
         run: list[str] = []
         match, at, end = _TOKEN.match, 0, len(source)
 
@@ -155,29 +165,40 @@ class Page:
                     self.blocks.append((text, stack[-1] if stack else None))
                 run.clear()
 
+        def close(k: int) -> None:
+            while len(stack) > k:
+                name = stack.pop().tag
+                places[name].pop()
+                if blocks_at[-1] == len(stack):
+                    blocks_at.pop()
+                if scopes_at[-1] == len(stack):
+                    scopes_at.pop()
+
+        def last(name: str) -> int:
+            return places[name][-1] if places.get(name) else -1
+
         while at < end:
             m = match(source, at)
             at = m.end()
-            tag = m[2]
+            slash, tag, attributes = (m[1], m[2], m[3]) if m[2] is not None else (m[4], m[5], m[6])
             if tag is None:
                 text = m[0]
                 if text[0] != "<" or text == "<":
                     run.append(text)
                 continue
+            if m[7] == "":  # it has no end: no tag
+                continue
             tag = tag.lower()
-            if m[1]:  # an end tag
+            if slash:  # an end tag
+                k = last(tag)
                 if tag in INLINE:
-                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag or stack[k].tag not in INLINE), -1)
-                    if k >= 0 and stack[k].tag == tag:
+                    if k > blocks_at[-1]:
                         if any(e.named for e in stack[k:]):
                             flush()
-                        del stack[k:]
-                    continue
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag == tag:
-                        flush()
-                        del stack[k:]
-                        break
+                        close(k)
+                elif k >= 0:
+                    flush()
+                    close(k)
                 continue
             if tag == "br" or tag == "hr" or tag == "wbr":
                 run.append(" " if tag != "wbr" else "")
@@ -190,27 +211,16 @@ class Page:
                 stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
                 at = stop.end() if stop else end
                 continue
-            label, noise, main, named = _element(tag, m[3].strip())
+            label, noise, main, named = _element(tag, attributes.strip())
             inline = tag in INLINE
             if not inline:
                 flush()
-                if tag in _ENDS_P:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k].tag == "p":
-                            del stack[k:]
-                            break
-                        if stack[k].tag in _SCOPE:
-                            break
-                elif tag in _SAME:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k].tag in _SAME[tag]:
-                            del stack[k:]
-                            break
-                        if stack[k].tag in _SCOPE:
-                            break
+                k = last("p") if tag in _ENDS_P else max(map(last, _SAME[tag])) if tag in _SAME else -1
+                if k > scopes_at[-1]:
+                    close(k)
             elif named:
                 flush()
-            if m[3].endswith("/") and not inline:
+            if attributes.endswith("/") and not inline:
                 continue
             top = stack[-1] if stack else None
             up, depth = (top.node, top.depth) if top else (0, 0)
@@ -223,6 +233,11 @@ class Page:
                 self.children.setdefault(node, [])
                 self.nodes[node] = (up, depth)
             new = _Open(tag, node, depth, noise, main, named, top)
+            places.setdefault(tag, []).append(len(stack))
+            if not inline:
+                blocks_at.append(len(stack))
+            if tag in _SCOPE:
+                scopes_at.append(len(stack))
             stack.append(new)
             if main:
                 self.marks.append(new)

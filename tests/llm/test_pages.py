@@ -2,6 +2,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -220,3 +221,33 @@ def test_bundle_is_seekable_and_plain_zstandard():
     assert reader.find(33)["payload"] == b"p" * 33 and reader.find(99) is None
     with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as f:
         assert f.read() == b"".join(records)
+
+
+@pytest.mark.parametrize(
+    "source,texts",
+    [
+        ('<p>good</p><a title="foo>bar</a><p>more</p>', ["good", "bar", "more"]),
+        ("x <a <a y", ["x"]),
+        ("<p>1 < 2 and it's <b class='x>y</b>z</p><div>w</div>", ["1 < 2 and it's yz", "w"]),
+        ('<div id="q>one</div><div>two</div>three', ["one", "two", "three"]),
+        ("a<!-- open <p>b</p>", ["a"]),
+        ("<p>a<div title='1 > 0'>b</div>", ["a", "b"]),
+    ],
+)
+def test_no_markup_in_texts(source, texts):
+    """Quotes that never close, tags without an end: what is dropped ends at the next angle bracket."""
+    assert [t for t, _ in html_extract.Page(source).blocks] == texts
+
+
+@pytest.mark.parametrize("part", ["<form>x", "<div>", "<a ", '<a "', "<a \"'", "<!", "<li><div><x>", "<p><x>", "<!--", "<b><i></b>", "<", '<div class="x\'>', "</", "<table><tr><td>", "<x></y>"])
+def test_hostile_pages_take_linear_time(part):
+    """A quarter of a megabyte of one piece, and closing tags after it that find nothing: well under what a square would take."""
+    began = time.process_time()
+    html_extract.Page(part * (250_000 // len(part)) + "</z>" * 5000)
+    assert time.process_time() - began < 3
+
+
+def test_long_hostile_pages_whole(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", p * (200_000 // len(p))) for i, p in enumerate(["<form>x", "<a ", "<div>", "<b><i></b>"])], "page_id long, url string, html string")
+    got = {r.page_id: r.n_chars for r in html_extract.main_texts(pages).collect()}
+    assert len(got) == 4 and got[1] == got[2] == 0
