@@ -53,7 +53,8 @@ STAGES = [
     ("best_fit_packing", packing),
 ]
 
-#: Trained models, fingerprints and packing are beyond SQL; the tests hold run() against a brute-force version.
+#: Trained models, fingerprints and packing are beyond SQL. The tests hold each stage and run() against the operators'
+#: own verdicts, and the operators against brute force.
 ORACLE_SQL = None
 
 
