@@ -3,14 +3,16 @@
 Pieces are dealt at random to groups of bounded size. Within a group, they are laid into bins as they come; then a
 local search takes the emptiest bin and gives its pieces away: it moves a piece, exchanges one for one or two for one
 with a fuller bin, always so that tokens flow to the fuller bin and the sum of squared fills rises. An index by length
-and room finds the partner, and the search ends at the lower bound or when no exchange helps. If it ends above the
-bound, it searches once more from best fit by decreasing length, and the packing with fewer bins stays: of short pieces
-best fit wastes least, of pieces of a third to two thirds of a bin the search does. Bins that stay underfull in their
-group meet those of other groups in the next round, in fewer groups, until one group holds all that are left.
+and room finds the partner. Where no exchange helps any more, sideways exchanges with full bins, which leave the sum as
+it is, change long pieces of underfull bins for shorter ones, and the search goes on until the lower bound is met or
+eight rounds of them empty no bin. If it ends above the bound, it searches once more from best fit by decreasing
+length, and the packing with fewer bins stays. Bins that stay underfull in their group meet those of other groups in
+the next round, in fewer groups, until one group holds all that are left.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -29,6 +31,8 @@ SEQUENCE = 2048
 GROUP = 16_384
 #: Of each group's bins, the fullest are closed while their free room stays below this share of one sequence.
 CLOSE = 1 / 64
+#: Rounds of sideways exchanges that may empty no bin before the search ends.
+PATIENCE = 8
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -136,7 +140,7 @@ def _offers(items: list[int], lengths: list[int]) -> list[tuple[int, tuple[int,
     return out
 
 
-def improve(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
+def climb(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
     """Empty bins by exchanges, emptiest first, until the lower bound is met or no exchange helps.
 
     A donor takes the exchange that fills another bin most: an item or two of its own for one item or none. Tokens
@@ -186,6 +190,72 @@ def improve(bins: list[list[int]], lengths: list[int], size: int) -> list[list[i
     return [b for b in bins if b]
 
 
+def loosen(bins: list[list[int]], lengths: list[int], size: int) -> int:
+    """Change long pieces of underfull bins for shorter ones, in place; the number of exchanges. A bin takes part in one.
+
+    An underfull bin gives a piece for two that are as long together, of a full bin, or a little shorter, of a bin at
+    least as full that has room for the difference. Or it takes a piece or two that fill it from a full bin, which then
+    stands in its place, if what stays there is shorter pieces by the sum of their squares.
+    """
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    squares = [sum(lengths[i] ** 2 for i in b) for b in bins]
+    givers: dict[int, list[int]] = {}
+    for k, b in enumerate(bins):
+        if fill[k] < size:
+            for x in {lengths[i] for i in b}:
+                givers.setdefault(x, []).append(k)
+    rooms = {size - f for f in fill if f < size}
+    known, pairs, fits = sorted(givers), {}, {}
+    for k, b in enumerate(bins):
+        for s, given in _offers(b, lengths):
+            if len(given) == 2:
+                at = bisect.bisect_right(known, s + size - fill[k]) - 1
+                if at >= 0 and (known[at] > s or known[at] == s and fill[k] == size):
+                    pairs.setdefault(known[at], []).append((known[at] - s, abs(lengths[given[0]] - lengths[given[1]]), k, given))
+            if fill[k] == size and s in rooms and len(b) > len(given):
+                fits.setdefault(s, []).append((squares[k] - sum(lengths[i] ** 2 for i in given), k, given))
+    used: set[int] = set()
+    for x in sorted(pairs, reverse=True):
+        offers = sorted(pairs[x], reverse=True)  # the last: nothing lost, and the most even pair
+        for k in givers[x]:
+            while offers and offers[-1][2] in used:
+                offers.pop()
+            at = next((at for at in range(len(offers) - 1, -1, -1) if offers[at][2] not in used and offers[at][2] != k and fill[offers[at][2]] >= fill[k]), -1)
+            if k in used or at < 0:
+                continue
+            *_, other, given = offers.pop(at)
+            piece = next(i for i in bins[k] if lengths[i] == x)
+            bins[k] = [i for i in bins[k] if i != piece] + list(given)
+            bins[other] = [i for i in bins[other] if i not in given] + [piece]
+            used |= {k, other}
+    for room in sorted(fits, reverse=True):
+        offers = sorted(fits[room], reverse=True)
+        takers = [k for k in range(len(bins)) if size - fill[k] == room and k not in used]
+        for k in sorted(takers, key=lambda k: -squares[k]):
+            while offers and offers[-1][1] in used:
+                offers.pop()
+            if not offers or offers[-1][0] >= squares[k]:
+                break
+            _, other, given = offers.pop()
+            bins[k] = bins[k] + list(given)
+            bins[other] = [i for i in bins[other] if i not in given]
+            used |= {k, other}
+    return len(used) // 2
+
+
+def improve(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
+    """Climb, loosen where that stalls, and climb again, until the lower bound is met or PATIENCE rounds empty no bin.
+
+    The sum of squared fills never falls.
+    """
+    least, idle = -(-sum(lengths) // size), 0
+    bins = climb(bins, lengths, size)
+    while len(bins) > least and idle < PATIENCE and loosen(bins, lengths, size):
+        before, bins = len(bins), climb(bins, lengths, size)
+        idle = 0 if len(bins) < before else idle + 1
+    return bins
+
+
 def pack_group(lengths: list[int], size: int) -> list[list[int]]:
     """Bins by the local search from next fit, or from best fit where that comes to fewer; equal numbers: from next fit."""
     found = improve(next_fit(lengths, size), lengths, size)

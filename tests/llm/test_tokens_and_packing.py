@@ -173,6 +173,35 @@ def test_search_beats_best_fit_and_never_loses_to_it():
         assert len(searched) < 0.95 * len(first)  # the search alone empties bins
 
 
+def test_search_from_next_fit_meets_the_bound():
+    """Most texts short, some long, as documents are: the search alone needs no more bins than their tokens fill."""
+    rng = random.Random(7)
+    lengths = [min(2047, 1 + int(rng.expovariate(1 / 400))) for _ in range(3000)] + [rng.randint(1200, 2047) for _ in range(300)]
+    bins = packing.improve(packing.next_fit(lengths, 2048), lengths, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(3300)) and all(sum(lengths[i] for i in b) <= 2048 for b in bins)
+    assert len(bins) == -(-sum(lengths) // 2048) <= len(packing.best_fit(lengths, 2048))
+
+
+def test_sideways_exchanges():
+    # Room 4 in a bin of one 6: a full bin gives 2 + 4 for the 6, or the 4 that fills it and stands in its place.
+    for bins, lengths in [([[0], [1, 2, 3]], [6, 2, 4, 4]), ([[0], [1, 2, 3]], [6, 4, 3, 3])]:
+        assert packing.loosen(bins, lengths, 10) == 1
+        assert sorted(i for b in bins for i in b) == list(range(4))
+        assert sorted(sum(lengths[i] for i in b) for b in bins) == [6, 10]
+        assert all(len(b) == 2 for b in bins)
+    rng = random.Random(3)
+    lengths = [rng.randint(1, 60) for _ in range(400)]
+    bins = packing.climb(packing.next_fit(lengths, 64), lengths, 64)
+    fills = lambda: [sum(lengths[i] for i in b) for b in bins]
+    square = sum(f * f for f in fills())
+    while packing.loosen(bins, lengths, 64):
+        assert sorted(i for b in bins for i in b) == list(range(400)) and max(fills()) <= 64
+        assert sum(f * f for f in fills()) >= square
+        square = sum(f * f for f in fills())
+    full, stuck = packing.loosen([[0]], [5], 10), packing.loosen([], [], 10)
+    assert full == stuck == 0
+
+
 def test_open_bins_go_on_to_the_last_round(spark, monkeypatch):
     rows = [(i, 40 if i % 2 else 41) for i in range(2000)]  # two of three to a bin: rooms of 18 to 20 close no bin
     seen = []
