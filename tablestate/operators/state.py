@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
+from hashlib import sha256
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
 from .running import running
 
 #: Sections of a schema's description, in order.
@@ -45,19 +51,48 @@ def catalog_lines(columns: DataFrame, indexes: DataFrame, constraints: DataFrame
 def schema_fingerprint(lines: DataFrame) -> DataFrame:
     """(db, sha256): equal exactly when the descriptions are. Lines sort by bytes; a section's header stands even when it is empty.
 
-    A group holds one section of one database's catalog, then six digests' texts of one database: bounded by a catalog.
+    A digest of a whole text reads it in order, so one task reads a database's lines; they are sorted there, by Spark,
+    which spills, and digested as they pass: no database's text is ever held. Null lines do not count.
     """
-    section = lines.groupBy("db", "section_no").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list("line")), lambda x: F.concat(x, F.lit("\n")))).alias("text"))
-    frame = lines.select("db").distinct().select("db", F.posexplode(F.array(*map(F.lit, SECTIONS))).alias("section_no", "section"))
-    whole = frame.join(section, ["db", "section_no"], "left").withColumn("text", F.concat(F.lit("["), "section", F.lit("]\n"), F.coalesce("text", F.lit(""))))
-    text = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("section_no", "text"))), lambda x: x["text"]))
-    return whole.groupBy("db").agg(F.sha2(text, 256).alias("sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, digest, db, section = [], None, None, 0
+
+        def close() -> None:
+            digest.update("".join(f"[{name}]\n" for name in SECTIONS[section:]).encode())
+            done.append((db, digest.hexdigest()))
+
+        for batch in batches:
+            for (d, no), rows in groupby(zip(*(c.to_pylist() for c in batch.columns)), lambda r: r[:2]):
+                if digest is None or d != db:
+                    if digest is not None:
+                        close()
+                    digest, db, section = sha256(), d, 0
+                headers = "".join(f"[{name}]\n" for name in SECTIONS[section : no + 1])
+                digest.update((headers + "".join(f"{line}\n" for *_, line in rows if line is not None)).encode())
+                section = max(section, no + 1)
+        if digest is not None:
+            close()
+        yield pa.RecordBatch.from_pydict({"db": [d for d, _ in done], "sha256": [x for _, x in done]}, pa.schema([("db", pa.int64()), ("sha256", pa.string())]))
+
+    placed = lines.select(F.col("db").cast("long").alias("db"), F.col("section_no").cast("int").alias("section_no"), "line")
+    return placed.repartition("db").sortWithinPartitions("db", "section_no", "line").mapInArrow(run, "db long, sha256 string")
 
 
 def schema_describe(lines: DataFrame) -> DataFrame:
-    """The lines with their place in the database's description."""
-    w = Window.partitionBy("db").orderBy("section_no", "line")
-    return lines.withColumn("position", F.row_number().over(w))
+    """The lines with their place in the database's description.
+
+    Distinct lines are dealt by range and written to the shared folder, so that each has a range for good; running
+    counts within ranges place them, and repeats follow one another. So no task holds a database's catalog.
+    """
+    spark = lines.sparkSession
+    folder = f"{shared_folder(spark)}/described-{uuid.uuid4().hex}"
+    distinct = lines.groupBy(*lines.columns).agg(F.count("*").alias("n_"))
+    distinct.repartitionByRange("db", "section_no", "line").withColumn("part_", F.spark_partition_id()).write.parquet(folder)
+    kept = spark.read.parquet(folder)
+    placed = running(kept, ["db"], F.col("part_"), ["section_no", "line"], before_=("sum", F.col("n_")))
+    first = F.coalesce("before_", F.lit(0)) + 1
+    return placed.select(*lines.columns, F.explode(F.sequence(first.cast("int"), (first + F.col("n_") - 1).cast("int"))).alias("position"))
 
 
 def schema_diff(want: DataFrame, got: DataFrame) -> DataFrame:
@@ -66,6 +101,20 @@ def schema_diff(want: DataFrame, got: DataFrame) -> DataFrame:
     return want.join(got, "line", "left_anti").select(F.lit("-").alias("sign"), "line").unionByName(got.join(want, "line", "left_anti").select(F.lit("+").alias("sign"), "line"))
 
 
+def neighbour_diffs(lines: DataFrame) -> DataFrame:
+    """(db, sign, line): each database's description against that of the next number, where both have lines.
+
+    As schema_diff, in one grouping: a line counts for its own database and for the one before.
+    """
+    lines = lines.where("trim(line) <> '' AND db IS NOT NULL")
+    sides = lines.select("line", F.explode(F.array(F.struct("db", F.lit(1).alias("mine")), F.struct((F.col("db") - 1).alias("db"), F.lit(0).alias("mine")))).alias("x_")).select("x_.db", "x_.mine", "line")
+    counts = sides.groupBy("db", "line").agg(F.sum("mine").alias("want"), F.sum(1 - F.col("mine")).alias("got"))
+    both = counts.groupBy("db").agg(F.max("want").alias("w"), F.max("got").alias("g")).where("w > 0 AND g > 0")
+    one = counts.where("want = 0 OR got = 0").join(both, "db", "left_semi")
+    sign = F.when(F.col("want") > 0, "-").otherwise("+")
+    return one.select("db", sign.alias("sign"), "line", F.explode(F.array_repeat(F.lit(0), (F.col("want") + F.col("got")).cast("int")))).drop("col")
+
+
 def row_line(columns: list[str]) -> Column:
     """A row as one text: columns in order, null marked apart from any value."""
     return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns])

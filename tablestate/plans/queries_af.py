@@ -149,11 +149,10 @@ def b3_schema_describe(v: Views) -> DataFrame:
     return state.schema_describe(_lines(v))
 
 
-@query(f"""SELECT '-' AS sign, line FROM ({_LINES}) l WHERE db = 3 AND line NOT IN (SELECT line FROM ({_LINES}) m WHERE db = 4)
-UNION ALL SELECT '+', line FROM ({_LINES}) l WHERE db = 4 AND line NOT IN (SELECT line FROM ({_LINES}) m WHERE db = 3)""")
+@query(f"""SELECT w.db, '-' AS sign, w.line FROM ({_LINES}) w WHERE w.db + 1 IN (SELECT db FROM ({_LINES}) d) AND NOT EXISTS (SELECT 1 FROM ({_LINES}) g WHERE g.db = w.db + 1 AND g.line = w.line)
+UNION ALL SELECT g.db - 1, '+', g.line FROM ({_LINES}) g WHERE g.db - 1 IN (SELECT db FROM ({_LINES}) d) AND NOT EXISTS (SELECT 1 FROM ({_LINES}) w WHERE w.db = g.db - 1 AND w.line = g.line)""")
 def b4_schema_diff(v: Views) -> DataFrame:
-    lines = _lines(v)
-    return state.schema_diff(lines.where("db = 3"), lines.where("db = 4"))
+    return state.neighbour_diffs(_lines(v))
 
 
 _MD5 = "md5('=' || CAST(c_custkey AS STRING) || '|' || '=' || c_name || '|' || '=' || c_mktsegment || '|' || coalesce('=' || CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(c_nationkey AS STRING) END, 'null'))"

@@ -1,5 +1,6 @@
 """Running figures of one hot key, cut into ranges, against the plain window."""
 
+import hashlib
 import random
 
 import pytest
@@ -41,3 +42,27 @@ def test_one_database(spark):
     assert {(r.migration_no, r.step_no): (r.position, r.total) for r in placed.collect()} == {(m, s): (3 * m + s + 1, 180) for m in range(60) for s in range(3)}
     plan = placed._jdf.queryExecution().optimizedPlan().toString()
     assert "range_" in plan
+
+
+def test_one_catalog(spark):
+    """One database with most lines, repeats among them, and one with none in some sections, against plain Python."""
+    rng = random.Random(9)
+    rows = [(7, no, state.SECTIONS[no], f"x{rng.randrange(150):03d}é") for no in (0, 1, 1, 3) for _ in range(200)]
+    rows += [(8, 5, state.SECTIONS[5], "z"), (8, 5, state.SECTIONS[5], "z"), (9, 2, state.SECTIONS[2], None)]
+    lines = spark.createDataFrame(rows, "db long, section_no int, section string, line string")
+    want = {}
+    for db in (7, 8, 9):
+        mine = sorted((no, line or "") for d, no, _, line in rows if d == db)
+        want[db] = mine
+    got = state.schema_describe(lines).collect()
+    assert sorted((r.db, r.position, r.section_no, r.line or "") for r in got) == sorted((db, i + 1, *x) for db, mine in want.items() for i, x in enumerate(mine))
+    digests = {r.db: r.sha256 for r in state.schema_fingerprint(lines.repartition(3)).collect()}
+    for db, mine in want.items():
+        text = "".join(f"[{name}]\n" + "".join(f"{x}\n" for no, x in mine if no == k and x) for k, name in enumerate(state.SECTIONS))
+        assert digests[db] == hashlib.sha256(text.encode()).hexdigest()
+    assert state.schema_fingerprint(lines.limit(0)).count() == state.schema_describe(lines.limit(0)).count() == 0
+
+
+def test_neighbours(spark):
+    lines = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "c"), (4, "a"), (5, "a"), (5, " ")], "db long, line string")
+    assert sorted(map(tuple, state.neighbour_diffs(lines).collect())) == [(1, "+", "c"), (1, "-", "b"), (1, "-", "b")]
