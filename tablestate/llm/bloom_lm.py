@@ -12,16 +12,17 @@ the filter. p_0 is uniform over the training vocabulary and one unknown word.
 How it runs. A task turns its texts into blocks: numbers of words in a list of the block's distinct words, so words are
 hashed once a block and no later pass touches a string. Blocks send their sorted, distinct n-gram keys with counts to
 the shards that the keys' leading bits name; a shard adds up, and writes its piece of the filter and its words' exact
-counts. Pieces are gathered into parts of bounded size. A part is given to the workers whole: each reads it from the
-shared folder and probes it for its blocks' n-grams, then the next part. Nothing passes through the driver but a row
-for each shard. Levels of the n-grams at hand are kept for each block, so that the discounts, which depend on all
+counts. Pieces are gathered into parts of bounded size. While parts are few, each is given to the workers whole: they
+read it from the shared folder and probe it for their blocks' n-grams, then the next part. Where they are many, blocks
+send their distinct keys to the parts that hold them, which are read once and send the levels back. Both ways give the
+same levels. Nothing passes through the driver but a row for each shard. Levels of the n-grams at hand are kept for each block, so that the discounts, which depend on all
 training tokens, are known before probabilities are formed.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,8 @@ BLOCK_WORDS = 2_000_000
 SHARD_GRAMS = 2_000_000
 #: Bytes that a worker holds of the filter, or of the words' counts, at a time.
 PART_BYTES = 128 << 20
+#: Parts up to which every worker reads all of them; beyond, n-grams go to the parts. Costs differ, levels do not.
+WHOLE_PARTS = 8
 #: Bits of the filter for each entry, and bits that an entry sets, all in one 64-bit word of the filter.
 ENTRY_BITS, PROBES = 12, 4
 #: Counts are stored as level 1 + floor(log(count) / log(LOG_BASE)); LEVELS covers counts up to 10^12.
@@ -85,8 +88,8 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
 
 # --- blocks of word numbers
 
-_BLOCKS = pa.schema([("ids", pa.binary()), ("lengths", pa.binary()), ("numbers", pa.binary()), ("words", pa.binary()), ("tokens", pa.int64()), ("texts", pa.int64())])
-_BLOCK_SQL = "ids binary, lengths binary, numbers binary, words binary, tokens long, texts long"
+_BLOCKS = pa.schema([("block", pa.string()), ("ids", pa.binary()), ("lengths", pa.binary()), ("numbers", pa.binary()), ("words", pa.binary()), ("tokens", pa.int64()), ("texts", pa.int64())])
+_BLOCK_SQL = "block string, ids binary, lengths binary, numbers binary, words binary, tokens long, texts long"
 
 
 def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -108,7 +111,7 @@ def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, place), np.uint64, len(place))
             at = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
             texts = sum(not h for _, _, h in ids)
-            row = [np.array(ids, np.int64).tobytes(), np.array(lengths, np.int64).tobytes(), _packed(at), hashes.tobytes(), tokens + texts, texts]
+            row = [uuid.uuid4().hex, np.array(ids, np.int64).tobytes(), np.array(lengths, np.int64).tobytes(), _packed(at), hashes.tobytes(), tokens + texts, texts]
             for x in (ids, lengths, numbers, place):
                 x.clear()
             size = tokens = 0
@@ -237,6 +240,13 @@ class Part:
         for i in range(0, len(hashes), _PROBED):
             self._fill(self.layout.short(self.layout.keys(hashes[i : i + _PROBED], order)), out[i : i + _PROBED])
 
+    def levels(self, short: np.ndarray) -> np.ndarray:
+        """The levels of n-grams by their keys' leading bits."""
+        out = np.zeros(len(short), np.uint8)
+        for i in range(0, len(short), _PROBED):
+            self._fill(short[i : i + _PROBED], out[i : i + _PROBED])
+        return out
+
     def _fill(self, short: np.ndarray, out: np.ndarray) -> None:
         shard = self.layout.shard(short)
         alive = np.flatnonzero(self.size[shard] > 0)
@@ -339,6 +349,19 @@ class Model:
         self.parts = _grouped([(r["shard"], r["filter"], r["filter_bytes"]) for r in found], part_bytes)
         self.vocabulary = _grouped([(r["shard"], r["vocabulary"], 16 * r["kinds"]) for r in found if r["kinds"]], part_bytes)
 
+    def figures(self) -> Callable[..., tuple[bytes, ...]]:
+        """A function that gives a row of levels() from a block's row, its words' exact counts and its n-grams' levels."""
+        total, kinds, texts = self.tokens, self.kinds, self.texts
+
+        def of(row: dict, known: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> tuple[bytes, ...]:
+            b = Block(row)
+            base = np.log10((np.append(known, texts) + 1) / (total + kinds + 1))
+            seen = np.add.reduceat(b.by_token((known > 0).astype(np.int64), texts > 0), b.starts)
+            sums = np.add.reduceat(b.by_token(base[:-1], base[-1]), b.starts)
+            return row["ids"], row["lengths"], seen.tobytes(), sums.tobytes(), _packed(b.by_token(one[:-1], one[-1])), _packed(two), _packed(three)
+
+        return of
+
 
 _Files = tuple[tuple[int, str, int], ...]
 
@@ -389,7 +412,7 @@ _LEVELS_SQL = "ids binary, lengths binary, known binary, base binary, one binary
 
 def levels(table: DataFrame, model: Model) -> DataFrame:
     """For each block: each text's known tokens and base score, by exact counts, and the levels of each token's n-grams."""
-    layout, parts, vocabulary, total, kinds, texts = model.layout, model.parts, model.vocabulary, model.tokens, model.kinds, model.texts
+    layout, parts, vocabulary, figures = model.layout, model.parts, model.vocabulary, model.figures()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -412,24 +435,7 @@ def levels(table: DataFrame, model: Model) -> DataFrame:
                     for order, hashes, to in zip((2, 3), b.grams(), (two, three)):
                         part.fill(hashes, order, to)
             for row, known, (one, two, three) in zip(held, counts, found):
-                b = Block(row)
-                base = np.log10((np.append(known, texts) + 1) / (total + kinds + 1))
-                sums = lambda each: np.add.reduceat(each, b.starts)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x], pa.binary())
-                        for x in (
-                            row["ids"],
-                            row["lengths"],
-                            sums(b.by_token((known > 0).astype(np.int64), texts > 0)).tobytes(),
-                            sums(b.by_token(base[:-1], base[-1])).tobytes(),
-                            _packed(b.by_token(one[:-1], one[-1])),
-                            _packed(two),
-                            _packed(three),
-                        )
-                    ],
-                    schema=_LEVELS,
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in figures(row, known, one, two, three)], schema=_LEVELS)
             held.clear()
 
         for batch in batches:
@@ -443,6 +449,69 @@ def levels(table: DataFrame, model: Model) -> DataFrame:
     return keep(table.select("ids", "lengths", "numbers", "words").mapInArrow(run, _LEVELS_SQL), "lm-levels")
 
 
+_COUNTS = 0  # what is asked for beside the levels of orders one to three: exact counts of words
+_ASKED = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("block", pa.string()), ("keys", pa.binary())])
+_FOUND = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("block", pa.string()), ("found", pa.binary())])
+
+
+def _wanted(b: Block, layout: Layout, kind: int) -> np.ndarray:
+    """The keys whose counts or levels a block needs: whole ones of its words, or leading bits of an order's n-grams."""
+    if kind == _COUNTS:
+        return layout.keys(b.words, 1)
+    return layout.short(layout.keys(np.append(b.words, np.uint64(_END)) if kind == 1 else b.grams()[kind - 2], kind))
+
+
+def levels_by_part(table: DataFrame, model: Model) -> DataFrame:
+    """What levels() gives, by two shuffles: distinct keys of blocks go to the parts that hold them, levels come back.
+
+    A part has a row for each block and order at most, and is read by one task, a row at a time; a frequent n-gram is
+    asked for once by a block. Keys are hashes, so parts are asked for alike.
+    """
+    layout, parts, vocabulary, figures = model.layout, model.parts, model.vocabulary, model.figures()
+    starts = {exact: np.array([files[0][0] for files in groups]) for exact, groups in ((True, vocabulary), (False, parts))}
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = Block(row)
+                for kind in range(ORDER + 1):
+                    keys = np.unique(_wanted(b, layout, kind))
+                    if len(keys):
+                        shard = layout.shard(layout.short(keys) if kind == _COUNTS else keys)
+                        part = np.maximum(np.searchsorted(starts[kind == _COUNTS], shard, "right") - 1, 0)
+                        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist()
+                        rows = [(kind, int(part[a]), row["block"], _packed(np.r_[keys[a : a + 1], keys[a + 1 : z] - keys[a : z - 1]])) for a, z in zip(cuts, [*cuts[1:], len(keys)])]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys = np.cumsum(_unpacked(row["keys"], np.uint64), dtype=np.uint64)
+                if row["kind"] == _COUNTS:
+                    have, counts = _words(vocabulary[row["part"]])
+                    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                    found = np.where(have[at] == keys, counts[at], 0)
+                else:
+                    found = _part(layout, parts[row["part"]]).levels(keys)
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((row["kind"], row["part"], row["block"], _packed(found)), _FOUND)], schema=_FOUND)
+
+    def back(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        row = left.iloc[0].to_dict()
+        b, out = Block(row), []
+        for kind in range(ORDER + 1):
+            keys = _wanted(b, layout, kind)
+            own, width = right[right["kind"] == kind].sort_values("part"), np.int64 if kind == _COUNTS else np.uint8
+            found = np.concatenate([_unpacked(x, width) for x in own["found"]]) if len(own) else np.zeros(0, width)
+            out.append(found[np.unique(keys, return_inverse=True)[1]])
+        return pd.DataFrame([figures(row, *out)], columns=_LEVELS.names)
+
+    rows = table.select("block", "ids", "lengths", "numbers", "words")
+    exact = F.col("kind") == _COUNTS  # a task holds words' counts or a part of the filter, one at a time
+    asks = rows.mapInArrow(ask, "kind byte, part int, block string, keys binary").repartition(len(parts) + len(vocabulary), exact, "part").sortWithinPartitions(exact, "part")
+    found = asks.mapInArrow(look, "kind byte, part int, block string, found binary")
+    return keep(rows.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(back, _LEVELS_SQL), "lm-levels")
+
+
 def _contexts(b: Block, one: np.ndarray, two: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
     """Levels of the contexts of each token's pair and triple; texts begin with contexts that all texts share."""
     begin = level(np.array([texts]))[0] if texts else np.uint8(0)
@@ -509,7 +578,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens",
 _OUT_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scored(docs: DataFrame, folds: int = 7, held: int = 2, block_words: int = BLOCK_WORDS, shard_grams: int = SHARD_GRAMS, part_bytes: int = PART_BYTES, entry_bits: int = ENTRY_BITS) -> DataFrame:
+def scored(docs: DataFrame, folds: int = 7, held: int = 2, block_words: int = BLOCK_WORDS, shard_grams: int = SHARD_GRAMS, part_bytes: int = PART_BYTES, entry_bits: int = ENTRY_BITS, whole_parts: int = WHOLE_PARTS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Held out: rows whose crc32 of the id's decimal text leaves `held` modulo `folds`; null ids are not. Null or empty
@@ -522,7 +591,7 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2, block_words: int = BL
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     table = blocks(rows, block_words)
     model = Model(table, shard_grams, part_bytes, entry_bits)
-    found = levels(table, model)
+    found = (levels if len(model.parts) <= whole_parts else levels_by_part)(table, model)
     remove(docs.sparkSession, table, model.folder)  # all that is still to run reads levels alone
     scorer, tokens, texts = Scorer(model.tokens, model.kinds, *discounts(found, model)), model.tokens, model.texts
 

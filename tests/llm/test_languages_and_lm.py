@@ -153,15 +153,44 @@ def brute_scores(rows, folds=7, k=2):
 
 
 def test_score_by_brute_force(spark, odd_docs, sf_dir):
-    """With many bits to an entry, so that false positives are rare; once in one part and block, once in many."""
+    """With many bits to an entry, so that false positives are rare; in one part and block, in many, and with keys sent to the parts."""
     docs = odd_docs.select("doc_id", "text").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id < 60"))
     rows = [tuple(r) for r in docs.collect()]
     want = brute_scores(rows)
-    for sizes in ({}, {"block_words": 3000, "shard_grams": 20_000, "part_bytes": 400_000}):
+    many = {"block_words": 3000, "shard_grams": 20_000, "part_bytes": 400_000}
+    for sizes in ({}, many, many | {"whole_parts": 0}):
         got = bloom_lm.scored(docs, entry_bits=400, **sizes).collect()
         assert sorted(repr((r.doc_id, round(r.score, 3))) for r in got) == want
 
 
+def test_both_ways_to_probe_give_the_same_rows(spark, sf_dir, odd_docs, no_docs):
+    """The same levels, so the same scores to the last digit, whatever the sizes of blocks, shards and parts."""
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    by_row = lambda out: sorted(map(repr, out.collect()))
+    for sizes in ({}, {"block_words": 5000, "shard_grams": 30_000, "part_bytes": 60_000}, {"block_words": 700, "shard_grams": 30_000, "part_bytes": 1}):
+        assert by_row(bloom_lm.scored(docs, **sizes, whole_parts=0)) == by_row(bloom_lm.scored(docs, **sizes, whole_parts=1 << 30))
+    assert bloom_lm.scored(no_docs, whole_parts=0).count() == 0
+    nothing = spark.createDataFrame([(i, None) for i in range(30)], "doc_id long, text string")
+    assert by_row(bloom_lm.scored(nothing, whole_parts=0)) == by_row(bloom_lm.scored(nothing))
+    held_only = spark.createDataFrame([(i, "a b c") for i in range(200) if held(i, 7, 2)], "doc_id long, text string")
+    assert all(r.score == 0 and r.train_tokens == 0 for r in bloom_lm.scored(held_only, whole_parts=0).collect())
+
+
+def test_keys_go_to_the_part_that_holds_them(spark, sf_dir):
+    """By the first shards of the parts, every key of a block finds the part with its own shard."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "doc_id % 7 = 2 as held_out", "text")
+    table = bloom_lm.blocks(docs, 4000)
+    model = bloom_lm.Model(table, 30_000, 100_000)
+    assert len(model.parts) > 3 and table.count() > 3
+    for row in table.collect():
+        b = bloom_lm.Block(row.asDict())
+        part = np.searchsorted([files[0][0] for files in model.parts], model.layout.shard(bloom_lm._wanted(b, model.layout, 3)), "right") - 1
+        assert set(np.unique(part)) <= set(range(len(model.parts)))
+        assert all({s for s, _, _ in model.parts[p]} >= set(model.layout.shard(bloom_lm._wanted(b, model.layout, 3)[part == p]).tolist()) for p in np.unique(part))
+    out = bloom_lm.levels_by_part(table, model)
+    assert out.count() == table.count()
+
+
 def test_words_in_another_order_score_otherwise(spark):
     rng = random.Random(7)
     texts = [prose(rng, 60) for _ in range(40)]
