@@ -102,6 +102,20 @@ def test_many_changes_a_run(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_pairs_of_changes_are_not_shuffled(spark, monkeypatch):
+    """Many ranges, long windows and repeated samples: every pair comes out, and no aggregate gathers pairs again."""
+    monkeypatch.setattr(latency, "RANGE_ROWS", 5, raising=False)
+    rng = random.Random(11)
+    changes = [(i % 2, i, s := rng.randrange(900), None if i % 3 == 0 else s + rng.randrange(400)) for i in range(60)]
+    samples = [(i, i % 3, rng.choice([7, rng.randrange(1000)])) for i in range(300)] * 2 + [(900, None, 5), (901, 1, None)]
+    df = spark.createDataFrame(samples, "sample_id int, run_id int, at_us long")
+    tagged = latency.tag_changes(df, spark.createDataFrame(changes, "run_id int, change_no int, started_us long, ended_us long"))
+    hit = lambda s, c: s[1] == c[0] and s[2] is not None and c[2] <= s[2] and (c[3] is None or s[2] < c[3])
+    want = [(s[0], c[1]) for s in samples for c in changes if hit(s, c)] + [(s[0], -1) for s in samples if not any(hit(s, c) for c in changes)]
+    assert sorted((r.sample_id, -1 if r.change_no is None else r.change_no) for r in tagged.collect()) == sorted(want)
+    assert "Aggregate" not in tagged._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_counts_add_up(spark):
     """Value counts of two halves give the figures of the whole."""
     rng = random.Random(2)
