@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +119,118 @@ def quantiles_of_counts(counts: DataFrame, by: list[str], width: int = 1024) ->
     return both.groupBy(*by).agg(F.max("n").alias("n"), *[F.coalesce(F.min(c), F.lit(0)).alias(c) for c in QUANTILES], F.coalesce(F.max("max"), F.lit(0)).alias("max"))
 
 
+#: Samples of one class that a task of quantiles_by_change holds, and changes that go together.
+PART_ROWS, BATCH = 65536, 4096
+
+
+def _kth(values: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th smallest (from 1) of values at places low to high, for many queries at once; a query has sizes spans.
+
+    Bit by bit from the top over the values' ranks: the values with a 0 go before those with a 1, in their order, and a
+    query follows the side that holds its k-th.
+    """
+    known, a = np.unique(values, return_inverse=True)
+    first, found = np.cumsum(sizes) - sizes, np.zeros(len(k), np.int64)
+    for b in reversed(range(int(len(known) - 1).bit_length())):
+        one = (a >> b) & 1 == 1
+        zeros = np.concatenate(([0], np.cumsum(~one)))
+        zl, zh = zeros[low], zeros[high]
+        n = np.add.reduceat(zh - zl, first)
+        up = k > n
+        k, found = k - np.where(up, n, 0), found | (up.astype(np.int64) << b)
+        each = np.repeat(up, sizes)
+        low, high = np.where(each, zeros[-1] + low - zl, zl), np.where(each, zeros[-1] + high - zh, zh)
+        a = np.concatenate((a[~one], a[one]))
+    return known[found]
+
+
+def quantiles_by_change(samples: DataFrame, changes: DataFrame, classes: list[str], at: str = "at_us", by: str = "run_id") -> DataFrame:
+    """quantiles of tag_changes by (by, change_no, *classes), without the pairs, which may be the square of the samples.
+
+    The samples of a run and class are cut by value into parts of bounded size. Each part counts for every change of
+    its run how many samples lie in its windows, by places in the order of time; the counts of all parts tell which part
+    holds a rank, and that part finds the value. What is shuffled is the samples, each change once for each part of its
+    run, with its counts, and a row for each figure. Samples that no change holds have change_no null.
+    """
+    key = F.to_json(F.struct(by, *classes)).alias("key_")
+    fractions = [i / RANGES for i in range(1, RANGES)]
+    known = samples.where(F.col(by).isNotNull()).groupBy(by, *classes).agg(F.count("took_us").alias("n_"), F.count("*").alias("all_"), F.percentile_approx("took_us", fractions, 10000).alias("p_"))
+    parts = F.least(F.lit(RANGES), F.greatest(F.lit(1), F.ceil(F.col("n_") / PART_ROWS))).cast("int")
+    cut = lambda j: F.get("p_", F.floor(j * RANGES / parts).cast("int") - 1)
+    known = known.withColumns({"parts_": parts, "nulls_": F.ceil((F.col("all_") - F.col("n_")) / PART_ROWS).cast("int")})
+    known = known.withColumn("cuts_", F.when(F.col("parts_") > 1, F.transform(F.sequence(F.lit(1), F.col("parts_") - 1), cut)).otherwise(F.array().cast("array<bigint>"))).select(key, by, *classes, "parts_", "nulls_", "cuts_")
+
+    # A value that is a cut more than once is dealt over the parts that it fills.
+    below, upto = (F.size(F.filter("cuts_", f)) for f in (lambda c: c < F.col("took_us"), lambda c: c <= F.col("took_us")))
+    deal = lambda n: F.pmod("deal_", F.greatest(n, F.lit(1)))
+    part = F.when(F.col("took_us").isNull(), -1 - deal(F.col("nulls_"))).otherwise(below + deal(upto - below))
+    dealt = samples.where(F.col(by).isNotNull() & F.col(at).isNotNull()).select(key, at, "took_us", F.hash(*samples.columns).alias("deal_")).join(known.select("key_", "nulls_", "cuts_"), "key_").select("key_", part.alias("part_"), F.col(at).alias("at_"), "took_us")
+
+    span = F.struct(F.col("started_us").alias("s"), F.coalesce("ended_us", F.lit((1 << 63) - 1)).alias("e"))
+    windows = changes.where(F.col(by).isNotNull() & F.col("started_us").isNotNull() & (F.col("ended_us").isNull() | (F.col("ended_us") > F.col("started_us")))).groupBy(by, "change_no").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    batches = F.ceil(F.count("*") / BATCH).alias("batches_")
+    batched = windows.join(windows.groupBy(by).agg(batches), by).groupBy(by, F.pmod(F.hash("change_no"), F.col("batches_").cast("int")).alias("batch_")).agg(F.array_sort(F.collect_list(F.struct("change_no", "spans"))).alias("w_"))
+    flat = lambda f: F.flatten(F.transform("w_", lambda w: F.transform(w["spans"], lambda x: x[f])))
+    batched = batched.select(by, "batch_", F.transform("w_", lambda w: w["change_no"]).alias("nos"), F.transform("w_", lambda w: F.size(w["spans"])).alias("sizes"), flat("s").alias("starts"), flat("e").alias("ends"))
+    of_key = known.select("key_", by, "parts_", "nulls_").join(batched, by).drop(by)
+    asked = of_key.select("key_", "batch_", "sizes", "starts", "ends", F.explode(F.sequence(-F.col("nulls_"), F.col("parts_") - 1)).alias("part_"))
+
+    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if right.empty:
+            return pd.DataFrame()
+        times, out = np.sort(left["at_"].to_numpy()), []
+        for sizes, starts, ends in zip(right["sizes"], right["starts"], right["ends"]):
+            n = np.searchsorted(times, ends) - np.searchsorted(times, starts)
+            out.append(np.add.reduceat(n, np.cumsum(sizes) - sizes))
+        return right[["key_", "part_", "batch_"]].assign(counts=pd.Series(out, index=right.index, dtype=object))
+
+    both = ["key_", "part_"]
+    counted = dealt.groupBy(*both).cogroup(asked.groupBy(*both)).applyInPandas(count, "key_ string, part_ int, batch_ int, counts array<long>")
+    gathered = counted.groupBy("key_", "batch_").agg(F.array_sort(F.collect_list(F.struct("part_", "counts"))).alias("c_")).join(of_key, ["key_", "batch_"])
+    gathered = gathered.select("key_", "nos", "sizes", "starts", "ends", F.col("c_.part_").alias("parts"), F.flatten("c_.counts").alias("counts"))
+    shares = [*QUANTILES.values(), 1.0]
+
+    def ranks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key_, nos, sizes, starts, ends, parts, counts in frame.itertuples(index=False):
+                counts = np.reshape(counts, (len(parts), -1))
+                value = parts >= 0
+                upto = np.cumsum(np.where(value[:, None], counts, 0), axis=0)
+                n, first = upto[-1], np.cumsum(sizes) - sizes
+                place = np.full((len(shares), len(nos)), -1)
+                k = np.stack([np.ceil(q * n).astype(np.int64) for q in shares])
+                for q in range(len(shares)):
+                    place[q] = np.where(n > 0, np.argmax(upto >= k[q], axis=0), -1)
+                place[-1, (n == 0) & (counts.sum(axis=0) > 0)] = 0  # nothing but nulls: a row without values
+                for at_part in np.unique(place[place >= 0]):
+                    q, i = np.nonzero(place == at_part)
+                    before = upto[at_part] - np.where(value[at_part], counts[at_part], 0)
+                    own = np.concatenate([np.arange(first[x], first[x] + sizes[x]) for x in i]) if sizes.max() > 1 else i
+                    yield pd.DataFrame({"key_": [key_], "part_": [parts[at_part]], "nos": [nos[i]], "q": [q], "k": [k[q, i] - before[i]], "n": [n[i]], "sizes": [sizes[i]], "starts": [starts[own]], "ends": [ends[own]]})
+
+    no = changes.schema["change_no"].dataType.simpleString()
+    wanted = gathered.mapInPandas(ranks, f"key_ string, part_ int, nos array<{no}>, q array<int>, k array<long>, n array<long>, sizes array<int>, starts array<long>, ends array<long>")
+
+    def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if right.empty:
+            return pd.DataFrame()
+        nos, q, k, n, sizes, starts, ends = (np.concatenate(right[c].to_list()) for c in ("nos", "q", "k", "n", "sizes", "starts", "ends"))
+        took = np.zeros(len(nos), np.int64)
+        some = n > 0
+        if some.any():
+            left = left.sort_values("at_", kind="stable")
+            times = left["at_"].to_numpy()
+            took = _kth(left["took_us"].to_numpy().astype(np.int64), np.searchsorted(times, starts), np.searchsorted(times, ends), sizes, k)
+        return pd.DataFrame({"key_": right["key_"].iloc[0], "change_no": nos, "q": q, "n": n, "took_us": took})
+
+    found = dealt.groupBy(*both).cogroup(wanted.groupBy(*both)).applyInPandas(find, f"key_ string, change_no {no}, q int, n long, took_us long")
+    names = [*QUANTILES, "max"]
+    figures = [F.coalesce(F.max(F.when(F.col("q") == i, F.col("took_us"))), F.lit(0)).alias(name) for i, name in enumerate(names)]
+    held = found.groupBy("key_", "change_no").agg(F.max("n").alias("n"), *figures).join(known.select("key_", by, *classes), "key_").select(by, "change_no", *classes, "n", *names)
+    free = quantiles_ranked(_beside_changes(samples, changes, at, by, "left_anti").drop("range_"), [by, *classes])
+    return held.unionByName(free.withColumn("change_no", F.lit(None).cast(no)))
+
+
 def value_counts(samples: DataFrame, by: list[str]) -> DataFrame:
     """(by, took_us, c): how often each value occurs; counts of parts, hours or shards add up to those of the whole."""
     return samples.groupBy(*by, "took_us").agg(F.count("took_us").alias("c"))

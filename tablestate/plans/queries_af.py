@@ -450,20 +450,20 @@ _CHANGES = f"""SELECT l.sample_id, l.run_id, l.class, l.took_us, c.change_no, CA
   FROM v_latencies l LEFT JOIN v_changes c ON c.run_id = l.run_id AND c.started <= l.at_ts AND (c.ended IS NULL OR l.at_ts < c.ended)"""
 
 
-def _by_change(v: Views) -> DataFrame:
+def _with_changes(v: Views) -> tuple[DataFrame, DataFrame]:
     changes = v.changes.select("run_id", "change_no", micros("started").alias("started_us"), micros("ended").alias("ended_us"))
-    return latency.tag_changes(v.latencies.withColumn("at_us", micros("at_ts")).drop("at_ts"), changes).drop("at_us")
+    return v.latencies.withColumn("at_us", micros("at_ts")).drop("at_ts"), changes
 
 
 @query(_CHANGES)
 def e1_tag_changes(v: Views) -> DataFrame:
-    return _by_change(v)
+    return latency.tag_changes(*_with_changes(v)).drop("at_us")
 
 
 @query(f"SELECT run_id, change_no, class, {_FIGURES} FROM ({_CHANGES}) c GROUP BY run_id, change_no, class")
 def e2_quantiles_by_change(v: Views) -> DataFrame:
     """Many overlapping changes a run: figures of each, and of what no change touches."""
-    return latency.quantiles_ranked(_by_change(v), ["run_id", "change_no", "class"])
+    return latency.quantiles_by_change(*_with_changes(v), ["class"])
 
 
 @query(f"SELECT run_id, class, {_FIGURES} FROM v_latencies GROUP BY run_id, class")

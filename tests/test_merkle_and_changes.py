@@ -116,6 +116,24 @@ def test_pairs_of_changes_are_not_shuffled(spark, monkeypatch):
     assert "Aggregate" not in tagged._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("rows", [3, 64])
+def test_quantiles_by_change_without_pairs(spark, monkeypatch, rows):
+    """Parts and batches of any size, a frequent value, nulls, windows that repeat a change: the figures of tag_changes."""
+    monkeypatch.setattr(latency, "PART_ROWS", rows)
+    monkeypatch.setattr(latency, "BATCH", 7)
+    monkeypatch.setattr(latency, "RANGE_ROWS", 50)
+    rng = random.Random(5)
+    changes = [(i % 2, i % 37, s := rng.randrange(900), None if i % 5 == 0 else s + rng.randrange(300)) for i in range(40)] + [(0, 90, 2000, 2001), (0, 91, None, 5), (1, 92, 5, 5), (None, 93, 0, None)]
+    samples = [(i, rng.choice([0, 0, 1, 2, None]), rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(1000)] + [rng.randrange(1000)] * 8), rng.choice([None, 7, 7, 7, 8, rng.randrange(-50, 5000)])) for i in range(500)]
+    samples += [(1000 + i, 0, "nulls", 950 + i, None) for i in range(9)] + [(2000, 0, "once", 2000, 4)]
+    df = spark.createDataFrame(samples, "sample_id int, run_id int, class string, at_us long, took_us long")
+    windows = spark.createDataFrame(changes, "run_id int, change_no int, started_us long, ended_us long")
+    want = latency.quantiles_ranked(latency.tag_changes(df, windows), ["run_id", "change_no", "class"])
+    got = latency.quantiles_by_change(df, windows, ["class"])
+    assert plain(got.select(*want.columns)) == plain(want)
+    assert plain(latency.quantiles_by_change(df, windows.limit(0), ["class"]).select(*want.columns)) == plain(latency.quantiles_ranked(latency.tag_changes(df, windows.limit(0)), ["run_id", "change_no", "class"]))
+
+
 def test_counts_add_up(spark):
     """Value counts of two halves give the figures of the whole."""
     rng = random.Random(2)
