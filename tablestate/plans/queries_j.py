@@ -6,46 +6,52 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.tables import shared_folder
 from ..streaming import streams
 from .queries_af import _FOLD, _MICROS_SQL, change, micros, work
 from .registry import Views, query
 
-#: Steps in which an input arrives; each is one write by many tasks, of a file each.
-_STEPS, _TASKS = 6, 4
+#: Steps in which an input arrives; each is one write by many tasks, of a file each: so many tasks at least and at most, of about so many rows.
+_STEPS, _TASKS, _MOST, _ROWS = 6, 4, 128, 250_000
 
 
 def _folder(v: Views, name: str) -> str:
     return f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _steps(df: DataFrame, order: str) -> list:
-    """Values of a column that cut its rows into _STEPS parts of about one size."""
+def _steps(df: DataFrame, order: str) -> tuple[list, int]:
+    """Values of a column that cut its rows into _STEPS parts of about one size, and the files of a part."""
     shares = ", ".join(str(i / _STEPS) for i in range(1, _STEPS))
-    return sorted(set(df.select(F.expr(f"percentile_approx({order}, array({shares}), 1000)").alias("p")).first().p or []))
+    r = df.select(F.expr(f"percentile_approx({order}, array({shares}), 1000)").alias("p"), F.count(order).alias("n")).first()
+    return sorted(set(r.p or [])), min(_MOST, max(_TASKS, -(-r.n // (_STEPS * _ROWS))))
 
 
-def _live(v: Views, df: DataFrame, order: str, name: str, files: int = 2 * _TASKS, marker: dict | None = None, time: str | None = None) -> DataFrame:
-    """df as a stream of files in the order of a column, some files a trigger.
+def _live(v: Views, df: DataFrame, order: str, name: str, per_trigger: int = 2, marker: dict | None = None, time: str | None = None) -> DataFrame:
+    """df as a stream of files in the order of a column, the files of some steps a trigger.
 
     A file source takes files by their time of change, so steps are written one after another, and a trigger takes the
-    files of whole steps, however their tasks came to an end. marker: values of a last
-    row, by its time (usually the order) a day after all others, that lets the watermark pass them; its other columns
-    are null.
+    files of whole steps, however their tasks came to an end. The view is worked out once, into a folder for each step,
+    from which the steps are written. marker: values of a last row, by its time (usually the order) a day after all others,
+    that lets the watermark pass them; its other columns are null.
     """
     time = time or order
-    path, steps = _folder(v, name), _steps(df, order)
-    for low, high in zip([None, *steps], [*steps, None]):
-        part = df
-        part = part if low is None else part.where(F.col(order) >= F.lit(low))
-        part = part if high is None else part.where((F.col(order) < F.lit(high)) | (F.col(order).isNull() if low is None else F.lit(False)))
-        part.repartition(_TASKS).sortWithinPartitions(order).write.mode("append").parquet(path)  # dealt in turn, so that every task has a file
+    path, staged = _folder(v, name), _folder(v, f"{name}-steps")
+    steps, tasks = _steps(df, order)
+    step = F.lit(0)
+    for low in steps:
+        step = step + F.coalesce((F.col(order) >= F.lit(low)).cast("int"), F.lit(0))
+    df.withColumn("step_", step).write.partitionBy("step_").parquet(staged)
+    arrived = v.spark.read.schema(StructType([*df.schema.fields, StructField("step_", IntegerType())])).parquet(staged)
+    there = sorted(r.step_ for r in arrived.select("step_").distinct().collect())
+    for part in [v.spark.read.schema(df.schema).parquet(f"{staged}/step_={i}") for i in there] or [arrived.drop("step_")]:
+        part.repartition(tasks).sortWithinPartitions(order).write.mode("append").parquet(path)  # dealt in turn, so that every task has a file
     if marker is not None:
-        after = df.agg((F.max(time) + F.expr("INTERVAL 1 DAY")).alias(time))
+        after = arrived.agg((F.max(time) + F.expr("INTERVAL 1 DAY")).alias(time))
         last = after.select(*[F.col(time) if f.name == time else F.lit(marker.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema])
         last.coalesce(1).write.mode("append").parquet(path)
-    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger * tasks).parquet(path)
 
 
 def _done(v: Views, stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -150,7 +156,7 @@ def _fenced(v: Views, beats: DataFrame) -> DataFrame:
     before = v.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
     try:
-        live = _live(v, beats, "seq", "beats", files=_TASKS, marker={"resource": -1, "seq": -1, "owner": "", "epoch": 0, "kind": "beat"}, time="at_ts")
+        live = _live(v, beats, "seq", "beats", per_trigger=1, marker={"resource": -1, "seq": -1, "owner": "", "epoch": 0, "kind": "beat"}, time="at_ts")
         out = _done(v, streams.stream_stale_writers(live, _TTL_US // 1000))
     finally:
         v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

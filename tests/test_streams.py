@@ -6,6 +6,8 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from tablestate.plans import queries_j
+from tablestate.plans.registry import Views
 from tablestate.sources.tables import shared_folder
 from tablestate.streaming import streams
 
@@ -70,3 +72,22 @@ def test_ownership_over_batches(spark, cut):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     assert sorted((r.seq, r.outcome) for r in out if r.seq > 0) == [(1, "accepted"), (2, "refused"), (3, "accepted"), (4, "accepted"), (5, "refused"), (6, "accepted"), (7, "accepted"), (8, "refused"), (9, "accepted")]
     assert sorted((r.minute, r.owner, r.epoch) for r in out if r.outcome == "expired") == [(13, "b", 2), (43, "c", 3)]
+
+
+def test_live_input_is_worked_out_once(spark):
+    """A view is read for its cuts and once more for all steps; steps come in order, nulls first, nothing is lost."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    at = F.when(F.col("id") % 50 > 0, (F.col("id") * 37 % 600)).alias("at")
+    df = spark.range(600).select("id", at).mapInPandas(count, "id long, at long")
+    live = queries_j._live(Views(spark, ""), df, "at", "once")
+    assert seen.value == 2 * 600
+    got = sorted((r.batch, r["at"], r.id) for r in streams.run_once(live, folder(spark, "out"), folder(spark, "state"), "update").where("at is not null").collect())
+    assert sorted(r[2] for r in got) == [i for i in range(600) if i % 50] and [r[1] for r in got] == sorted(r[1] for r in got)
+    none = queries_j._live(Views(spark, ""), spark.range(0).select("id", F.col("id").alias("at")), "at", "none")
+    assert streams.run_once(none, folder(spark, "out"), folder(spark, "state")).count() == 0
