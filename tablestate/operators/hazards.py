@@ -10,10 +10,13 @@ of (name, type_name, mods); literals are the string literals of the action's sta
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import not_null_column
+from ..sources.tables import shared_folder
 from .sizing import is_large, size_grade
 
 STMT = ["repo", "migration_no", "step_no", "stmt_no"]
@@ -395,7 +398,11 @@ def single_action_rules(ctx: DataFrame, version: int = 16) -> DataFrame:
 
 
 def order_findings(findings: DataFrame) -> DataFrame:
-    return findings.orderBy("repo", "migration_no", "step_no", "stmt_no", "action_no", "rule_id")
+    """findings in their order. They are written out first: a global sort reads its input twice, for its ranges and for its rows."""
+    spark = findings.sparkSession
+    path = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
+    findings.write.parquet(path)
+    return spark.read.schema(findings.schema).parquet(path).orderBy("repo", "migration_no", "step_no", "stmt_no", "action_no", "rule_id")
 
 
 def relations_touched(actions: DataFrame, version: int = 16) -> DataFrame:

@@ -269,3 +269,18 @@ def test_whole_queries_leave_nothing_out(spark, sf_dir):
                     want.add((repo, migration, m.step_no, m.stmt_no, m.relation))
     assert sorted(map(tuple, catalog.QUERIES["g14_never_granted"](spark, sf_dir).collect())) == sorted(want)
     assert any(repo % 2 for repo, *_ in want)
+
+
+def test_findings_are_worked_out_once_to_be_sorted(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    schema = "repo long, migration_no long, step_no long, stmt_no long, action_no long, relation string, rule_id string, severity int"
+    rows = [(i % 3, 50 - i, 0, i % 2, 0, "t", f"L00{i % 7}", 1) for i in range(50)]
+    found = spark.createDataFrame(rows, schema).repartition(3).mapInPandas(count, schema)
+    got = [tuple(r) for r in hazards.order_findings(found).collect()]
+    assert got == sorted(rows) and seen.value == len(rows)
