@@ -339,7 +339,7 @@ def with_context(actions: DataFrame, stats: DataFrame, version: int = 16) -> Dat
     rows = rows.withColumn("column_added", F.coalesce(over(F.min(F.when(F.col("__said"), place)), "__r", "__c") < place, F.lit(False))).where("__said IS NULL").drop("__said", "__r", "__c")
     made = kind.isin(*CREATES)
     any_, bare, same = (over(F.min(F.when(made & w, place)), "relation", *more) for w, more in ((F.lit(True), ()), (schema == "", ()), (F.lit(True), ("schema_name",))))
-    rows = rows.withColumns({"__any": any_, "__bare": bare}).withColumn("__same", same)
+    rows = rows.withColumn("__same", same).withColumns({"__any": any_, "__bare": bare})  # in this order one sort serves all three
     checked = F.when(kind == "add_check", not_null_column(F.col("condition_text")))
     holds = ~F.col("not_valid") | over(F.max(kind == "validate_constraint"), "relation", "constraint_name")
     rows = rows.withColumn("__holds", holds & checked.isNotNull()).withColumn("__column", F.coalesce(checked, "column_name"))
