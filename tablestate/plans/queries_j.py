@@ -15,30 +15,37 @@ from .registry import Views, query
 
 #: Steps in which an input arrives; each is one write by many tasks, of a file each: so many tasks at least and at most, of about so many rows.
 _STEPS, _TASKS, _MOST, _ROWS = 6, 4, 128, 250_000
+#: Where every row of a trigger is kept as state: so many rows of the larger input a trigger, from so few triggers up to so many.
+_KEPT, _FEWEST, _FINEST = 2_000_000, 3, 600
+#: State partitions of what keeps open windows and rows only: as many as cores, so many at least.
+_PARTS = 8
 
 
 def _folder(v: Views, name: str) -> str:
     return f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _steps(df: DataFrame, order: str) -> tuple[list, int]:
-    """Values of a column that cut its rows into _STEPS parts of about one size, and the files of a part."""
-    shares = ", ".join(str(i / _STEPS) for i in range(1, _STEPS))
-    r = df.select(F.expr(f"percentile_approx({order}, array({shares}), 1000)").alias("p"), F.count(order).alias("n")).first()
-    return sorted(set(r.p or [])), min(_MOST, max(_TASKS, -(-r.n // (_STEPS * _ROWS))))
+def _steps(df: DataFrame, order: str, kept: bool = False) -> tuple[list, int]:
+    """Values of a column that cut its rows into parts of about one size, and the files of a part. Parts: _STEPS, or if rows are kept as many as have _KEPT rows each."""
+    fine, accuracy = (_FINEST, 20 * _FINEST) if kept else (_STEPS, 1000)
+    shares = ", ".join(str(i / fine) for i in range(1, fine))
+    r = df.select(F.expr(f"percentile_approx({order}, array({shares}), {accuracy})").alias("p"), F.count(order).alias("n")).first()
+    parts = min(_FINEST, max(_FEWEST, -(-r.n // _KEPT))) if kept else _STEPS
+    cuts = {r.p[round(i * fine / parts) - 1] for i in range(1, parts)} if r.p else set()
+    return sorted(cuts), min(_MOST, max(_TASKS, -(-r.n // (parts * _ROWS))))
 
 
-def _live(v: Views, df: DataFrame, order: str, name: str, per_trigger: int = 2, marker: dict | None = None, time: str | None = None) -> DataFrame:
+def _live(v: Views, df: DataFrame, order: str, name: str, per_trigger: int = 2, marker: dict | None = None, time: str | None = None, cuts: tuple[list, int] | None = None) -> DataFrame:
     """df as a stream of files in the order of a column, the files of some steps a trigger.
 
     A file source takes files by their time of change, so steps are written one after another, and a trigger takes the
     files of whole steps, however their tasks came to an end. The view is worked out once, into a folder for each step,
     from which the steps are written. marker: values of a last row, by its time (usually the order) a day after all others,
-    that lets the watermark pass them; its other columns are null.
+    that lets the watermark pass them; its other columns are null. cuts: of _steps, if they are not df's own.
     """
     time = time or order
     path, staged = _folder(v, name), _folder(v, f"{name}-steps")
-    steps, tasks = _steps(df, order)
+    steps, tasks = cuts or _steps(df, order)
     step = F.lit(0)
     for low in steps:
         step = step + F.coalesce((F.col(order) >= F.lit(low)).cast("int"), F.lit(0))
@@ -55,7 +62,15 @@ def _live(v: Views, df: DataFrame, order: str, name: str, per_trigger: int = 2,
 
 
 def _done(v: Views, stream: DataFrame, mode: str = "append") -> DataFrame:
-    return streams.run_once(stream, _folder(v, "out"), _folder(v, "state"), mode)
+    """What a stream writes. In append mode state is what is still open, whatever has come before: its stores, each committed in each trigger, do not follow the session's shuffle partitions."""
+    key = "spark.sql.shuffle.partitions"
+    before = v.spark.conf.get(key)
+    if mode == "append":
+        v.spark.conf.set(key, min(int(before), max(_PARTS, v.spark.sparkContext.defaultParallelism)))
+    try:
+        return streams.run_once(stream, _folder(v, "out"), _folder(v, "state"), mode)
+    finally:
+        v.spark.conf.set(key, before)
 
 
 _TICK = "CAST(floor({} / 60000000) AS BIGINT)"
@@ -91,11 +106,17 @@ _WAITS = """SELECT a.reading_no, a.run_id, a.sample_at, a.waiting_us, CASE WHEN
   LEFT JOIN (SELECT sample_at, pid, relation FROM v_locks WHERE NOT granted AND locktype = 'relation') l ON l.sample_at = a.sample_at AND l.pid = a.pid WHERE a.state = 'active'"""
 
 
+def _samples(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Readings and locks as they arrive together: a trigger takes the same time of both, so that the join keeps the rows of two triggers at most, and a last row on either side lets both watermarks pass."""
+    cuts = _steps(v.activity, "sample_at", kept=True)
+    activity = _live(v, v.activity, "sample_at", "activity", 1, {"state": "active", "reading_no": -1, "pid": -1, "run_id": -1}, cuts=cuts)
+    locks = _live(v, v.locks, "sample_at", "locks", 1, {"granted": False, "locktype": "relation", "pid": -1}, cuts=cuts)
+    return activity, locks
+
+
 def _waits(v: Views) -> DataFrame:
-    """Readings as stream_waits gives them, all of them: a last row on either side lets both watermarks pass."""
-    activity = _live(v, v.activity, "sample_at", "activity", marker={"state": "active", "reading_no": -1, "pid": -1})
-    locks = _live(v, v.locks, "sample_at", "locks", marker={"granted": False, "locktype": "relation", "pid": -1})
-    return _done(v, streams.stream_waits(activity, locks)).where("reading_no <> -1")
+    """Readings as stream_waits gives them, all of them."""
+    return _done(v, streams.stream_waits(*_samples(v))).where("reading_no <> -1")
 
 
 @query(f"SELECT reading_no, run_id, event, relation FROM ({_WAITS}) w")
@@ -121,9 +142,7 @@ w AS (SELECT CAST((floor(us / 10000000) - k) * 10000000 AS BIGINT) AS started_us
 SELECT started_us, run_id, event, samples, samples / sum(samples) OVER (PARTITION BY started_us, run_id) AS share, longest_us FROM w""")
 def j2_wait_shares(v: Views) -> DataFrame:
     """Join, windows and shares as one query over live inputs, with one checkpoint."""
-    activity = _live(v, v.activity, "sample_at", "activity", marker={"state": "active", "reading_no": -1, "pid": -1, "run_id": -1})
-    locks = _live(v, v.locks, "sample_at", "locks", marker={"granted": False, "locktype": "relation", "pid": -1})
-    out = _done(v, streams.wait_shares(activity, locks)).where("run_id <> -1")
+    out = _done(v, streams.wait_shares(*_samples(v))).where("run_id <> -1")
     return out.select(micros("window.start").alias("started_us"), "run_id", "event", "samples", "share", F.col("longest_us").cast("long").alias("longest_us"))
 
 

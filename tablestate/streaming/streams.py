@@ -32,11 +32,11 @@ def budget_breaches(windows: DataFrame, limits: dict[str, int], instrument: str
 
 def stream_waits(activity: DataFrame, locks: DataFrame, late: str = "30 seconds") -> DataFrame:
     """Active readings with the relation they wait for: a stream-stream left join on the sample, bounded by both watermarks."""
-    a = activity.withWatermark("sample_at", late).where("state = 'active'")
-    k = locks.withWatermark("sample_at", late).where("not granted and locktype = 'relation'").select(F.col("sample_at").alias("__at"), F.col("pid").alias("__pid"), "relation")
     event = F.when(F.col("wait_event").isNull(), "").otherwise(F.concat_ws(":", "wait_type", "wait_event"))
+    a = activity.withWatermark("sample_at", late).where("state = 'active'").select("reading_no", "run_id", "sample_at", "pid", event.alias("event"), "waiting_us")
+    k = locks.withWatermark("sample_at", late).where("not granted and locktype = 'relation'").select(F.col("sample_at").alias("__at"), F.col("pid").alias("__pid"), "relation")
     joined = a.join(k, (F.col("sample_at") == F.col("__at")) & (F.col("pid") == F.col("__pid")), "left")
-    return joined.select("reading_no", "run_id", "sample_at", event.alias("event"), F.coalesce("relation", F.lit("")).alias("relation"), "waiting_us")
+    return joined.select("reading_no", "run_id", "sample_at", "event", F.coalesce("relation", F.lit("")).alias("relation"), "waiting_us")
 
 
 def wait_windows(readings: DataFrame, width: str = "1 minute", step: str = "10 seconds") -> DataFrame:

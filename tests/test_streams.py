@@ -91,3 +91,39 @@ def test_live_input_is_worked_out_once(spark):
     assert sorted(r[2] for r in got) == [i for i in range(600) if i % 50] and [r[1] for r in got] == sorted(r[1] for r in got)
     none = queries_j._live(Views(spark, ""), spark.range(0).select("id", F.col("id").alias("at")), "at", "none")
     assert streams.run_once(none, folder(spark, "out"), folder(spark, "state")).count() == 0
+
+
+def test_joined_inputs_are_bounded_by_trigger(spark, monkeypatch):
+    """Triggers follow the rows, both sides of a join take the same time, and all rows come out."""
+    monkeypatch.setattr(queries_j, "_KEPT", 100)
+    events = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    kinds = ["view", "error", "signup", "click", "error"]
+    rows = [(i, BEGIN + dt.timedelta(seconds=(i * 37 % 1000) * 20), i % 9, kinds[i % 5], 1.0, "") for i in range(1000)]
+    sf = folder(spark, "sf")
+    spark.createDataFrame(rows, events).write.parquet(f"{sf}/events.parquet")
+    taken, seen = [], streams.rows_dropped
+    monkeypatch.setattr(streams, "rows_dropped", lambda q: taken.extend(([s.numInputRows for s in p.sources], p.stateOperators[0].numRowsTotal) for p in q.recentProgress) or seen(q))
+    got = queries_j.j2_stream_waits(Views(spark, sf)).collect()
+    assert sorted(r.reading_no for r in got) == [i for i in range(1000) if i % 50]
+    assert sorted(r.reading_no for r in got if r.relation) == [i for i in range(1000) if i % 5 in (1, 4) and i % 50]
+    full = [sides for sides, _ in taken if max(sides) > 1]
+    assert len(full) == 10 and max(max(s) for s in full) <= 110 and max(min(s) for s in full) <= 70
+    assert max(kept for _, kept in taken) <= 2 * 170
+
+
+def test_stores_of_open_rows_do_not_follow_shuffle_partitions(spark):
+    """Append mode has as many state partitions as cores, eight at least; update mode, whose state is of all keys, has the session's."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    parts, seen = [], streams.rows_dropped
+    try:
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(streams, "rows_dropped", lambda q: parts.append(max(op.numShufflePartitions for p in q.recentProgress for op in p.stateOperators)) or seen(q))
+            for mode in ("append", "update"):
+                stream = live(spark, SAMPLES, [[(BEGIN, 1, "r", 5)], [(BEGIN + dt.timedelta(hours=1), 1, "r", 1)]])
+                out = queries_j._done(Views(spark, ""), streams.stream_latency(stream), mode)
+                assert out.count() == (1 if mode == "append" else 2)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert parts == [8, 40]
