@@ -114,14 +114,14 @@ def _samples(v: Views) -> tuple[DataFrame, DataFrame]:
     return activity, locks
 
 
-def _waits(v: Views) -> DataFrame:
-    """Readings as stream_waits gives them, all of them."""
-    return _done(v, streams.stream_waits(*_samples(v))).where("reading_no <> -1")
+def _waits(v: Views, *columns: str) -> DataFrame:
+    """Readings as stream_waits gives them, all of them; columns: those that are kept and written."""
+    return _done(v, streams.stream_waits(*_samples(v)).select(*(columns or ["*"]))).where("reading_no <> -1")
 
 
 @query(f"SELECT reading_no, run_id, event, relation FROM ({_WAITS}) w")
 def j2_stream_waits(v: Views) -> DataFrame:
-    return _waits(v).select("reading_no", "run_id", "event", "relation")
+    return _waits(v, "reading_no", "run_id", "event", "relation")
 
 
 @query(f""", r AS ({_WAITS}), s AS (SELECT r.*, {_MICROS_SQL.format('sample_at')} AS us FROM r)
