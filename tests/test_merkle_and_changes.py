@@ -116,6 +116,32 @@ def test_pairs_of_changes_are_not_shuffled(spark, monkeypatch):
     assert "Aggregate" not in tagged._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_written_pair_takes_little_however_many_windows(spark, tmp_path, monkeypatch):
+    """A row in a file does not grow with the windows that hold a sample: 20,000 of them, and 4 ranges of 80 samples."""
+    monkeypatch.setattr(latency, "RANGE_ROWS", 80)
+    windows = spark.range(20_000).selectExpr("1L AS run_id", "id * 201 AS change_no", "id AS started_us", "CAST(NULL AS BIGINT) AS ended_us")
+    samples = spark.range(-80, 320).selectExpr("id AS sample_id", "IF(id < 0, 2L, 1L) AS run_id", "30000 + id AS at_us")
+    tagged = latency.tag_changes(samples, windows)
+    tagged.write.parquet(path := str(tmp_path / "out"), compression="snappy")
+    got = spark.read.parquet(path).groupBy("run_id", "phase").agg(F.count("*"), F.sum("sample_id"), F.sum("change_no")).collect()
+    assert set(map(tuple, got)) == {(1, "during", 6_400_000, 20_000 * 320 * 319 // 2, 320 * 201 * 20_000 * 19_999 // 2), (2, "baseline", 80, -80 * 81 // 2, None)}
+    assert sum(f.stat().st_size for f in Path(path).rglob("*.parquet")) < 0.5 * 6_400_000
+
+
+def test_blocks_and_tiles_of_pairs(spark, monkeypatch):
+    """Lists that do not come out even, one moment with many samples, windows that repeat, have no number or hold every range."""
+    for name, n in (("RANGE_ROWS", 9), ("BLOCK_ROWS", 8), ("TILE_ROWS", 3), ("TILE_WINDOWS", 2)):
+        monkeypatch.setattr(latency, name, n, raising=False)
+    rng = random.Random(3)
+    changes = [(rng.choice(["a", "b"]), i, s := rng.randrange(-50, 900), rng.choice([None, s, s + 3, s + rng.randrange(1, 1500)])) for i in range(70)]
+    changes += [("a", 5, -9, None), ("a", 5, -9, None), ("b", None, 10, 700), ("c", 7, 0, None), (None, 8, 0, None), ("a", 9, None, 5)]
+    samples = [(i, rng.choice(["a", "a", "b", "c", "d", None]), rng.choice([500, 500, None] + [rng.randrange(1000)] * 5)) for i in range(350)] * 2
+    tagged = latency.tag_changes(spark.createDataFrame(samples, "sample_id int, run_id string, at_us long"), spark.createDataFrame(changes, "run_id string, change_no int, started_us long, ended_us long"))
+    hit = lambda s, c: None not in (s[1], s[2], c[2]) and s[1] == c[0] and c[2] <= s[2] and (c[3] is None or s[2] < c[3])
+    want = [(*s, c[1], "during") for s in samples for c in changes if hit(s, c)] + [(*s, None, "baseline") for s in samples if not any(hit(s, c) for c in changes)]
+    assert plain(tagged.select("sample_id", "run_id", "at_us", "change_no", "phase").rdd.map(tuple)) == sorted(map(repr, want))
+
+
 @pytest.mark.parametrize("rows", [3, 64])
 def test_quantiles_by_change_without_pairs(spark, monkeypatch, rows):
     """Parts and batches of any size, a frequent value, nulls, windows that repeat a change: the figures of tag_changes."""
